@@ -225,11 +225,13 @@ def trial_summary(trials: DataFrame, keys=KEYS) -> DataFrame:
 def suite_summary(cases: DataFrame) -> DataFrame:
     """One row over benchmark cases(name, run_status, assertions ARRAY<STRUCT<name, status>>)."""
     ok, skipped = F.col("run_status") == "200", F.col("run_status") == "skipped"
-    hits = {s: F.size(F.filter("assertions", lambda a, s=s: a["status"] == s)) for s in ("failed", "warning")}
+
+    def hits(status):
+        return F.coalesce(F.sum(F.size(F.filter("assertions", lambda a: a["status"] == status))), F.lit(0))
+
     out = cases.agg(F.count("*").alias("total_cases"), F.count_if(ok).alias("successful_runs"),
                     F.count_if(~ok & ~skipped).alias("failed_runs"),
-                    F.coalesce(F.sum(hits["failed"]), F.lit(0)).alias("failed_assertions"),
-                    F.coalesce(F.sum(hits["warning"]), F.lit(0)).alias("warning_assertions"))
+                    hits("failed").alias("failed_assertions"), hits("warning").alias("warning_assertions"))
     n = F.when(F.col("total_cases") > 0, F.col("total_cases"))
     return (out.withColumn("success_rate", F.coalesce(F.col("successful_runs") / n, F.lit(0.0)))
             .withColumn("failure_rate", F.coalesce(F.col("failed_runs") / n, F.lit(0.0))))

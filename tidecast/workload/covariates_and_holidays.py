@@ -156,11 +156,9 @@ def _(t):
     return out.select("series_id", "step", *[near(c, 1).alias(c) for c in ("p10", "p50", "p90")])
 
 
-@query("residual_histogram", with_ctes("eh_points", "SELECT series_id, model_id, floor(residual * 100.0::DOUBLE + 0.5::DOUBLE) / 100.0::DOUBLE AS residual, count(*) AS n FROM eh_points WHERE model_id <> 'moving_average' GROUP BY 1, 2, 3"))
+@query("residual_histogram", with_ctes("eh_points", "SELECT series_id, model_id, floor(residual * 100.0::DOUBLE + 0.5::DOUBLE) / 100.0::DOUBLE AS residual, count(*) AS n FROM eh_points GROUP BY 1, 2, 3"))
 def _(t):
-    # values with two decimals only: a moving average can fall on a rounding edge
-    pts = hourly_run(t)[1].where("model_id <> 'moving_average'").withColumn("residual", near("residual", 4))
-    return N.residual_histogram(pts)
+    return N.residual_histogram(hourly_run(t)[1])
 
 
 @query("chart_wide", with_ctes("eh_points", f"""

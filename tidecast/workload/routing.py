@@ -1 +1,72 @@
-"""Registered queries."""
+"""Routing of texts."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import routing as K
+from .base import CTES, near, near_sql, query, with_ctes
+
+
+def _rx(words) -> str:
+    return "regexp_matches(x, '" + "|".join(words) + "')"
+
+
+# every text, with a Chinese tail for a part of them so that all routes occur
+TAILS = ("", " 加入天气和油价", " 自定义模型", " 内幕", " 促销计划 gdp", " 约束 节假日 作为特征", " cpi 鲁棒")
+_tail = "CASE {k} % 7 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(TAILS)) + " END"
+CTES["idea"] = ("", f"SELECT doc_id, text || {_tail.format(k='doc_id')} AS idea FROM documents")
+CTES["idea_x"] = ("idea", "SELECT doc_id, lower(trim(idea)) AS x FROM idea")
+CTES["routed"] = ("idea_x", f"""
+SELECT doc_id, x, CASE WHEN {_rx(K.UNSUPPORTED_WORDS)} THEN 'unsupported' WHEN {_rx(K.DATA_WORDS)} AND {_rx(K.MODEL_WORDS)} AND {_rx(K.JOIN_WORDS)} THEN 'hybrid'
+ WHEN {_rx(K.MODEL_WORDS)} THEN 'custom_model' WHEN {_rx(K.DATA_WORDS)} THEN 'feature_engineering_data' ELSE 'clarify' END AS route FROM idea_x""")
+
+
+def ideas(t):
+    return t.documents.selectExpr("doc_id", f"concat(text, {_tail.format(k='doc_id')}) AS idea")
+
+
+@query("route_text", with_ctes("routed", "SELECT doc_id, route, CASE route WHEN 'hybrid' THEN 0.86 WHEN 'clarify' THEN 0.62 ELSE 0.9 END::DOUBLE AS confidence FROM routed"))
+def _(t):
+    return K.route_text(ideas(t), "idea").select("doc_id", "route", "confidence")
+
+
+CTES["leaky"] = ("routed", f"""
+SELECT doc_id, route, (route IN ('feature_engineering_data', 'hybrid') AND {_rx(K.UNKNOWN_FUTURE_WORDS)}) AS leak_warning,
+ CASE WHEN route IN ('feature_engineering_data', 'hybrid', 'clarify') THEN CASE WHEN {_rx(K.KNOWN_FUTURE_WORDS)} THEN 'known_future' ELSE 'static' END END AS covariate_kind,
+ coalesce(nullif(concat_ws('|', {", ".join(f"CASE WHEN contains(x, '{w}')" + (" AND NOT contains(x, '股票')" if w == "指数" else "") + f" THEN '{c}' END" for w, c in K.SUGGESTED)}), ''), 'external_covariate') AS suggested_columns FROM routed""")
+
+
+@query("leakage_terms", with_ctes("leaky", "SELECT * FROM leaky"))
+def _(t):
+    out = K.leakage_terms(K.route_text(ideas(t), "idea"), "idea")
+    return out.select("doc_id", "route", "leak_warning", "covariate_kind", F.array_join("suggested_columns", "|").alias("suggested_columns"))
+
+
+@query("routing_scores", with_ctes("leaky", f"""
+SELECT count(*) AS cases, {near_sql("avg((route = CASE quality WHEN 1 THEN 'clarify' ELSE 'custom_model' END)::INT)", 6)} AS route_accuracy,
+ {near_sql("avg(leak_warning::INT) FILTER (toxic = 1)", 6)} AS leakage_recall FROM leaky JOIN labels USING (doc_id)"""))
+def _(t):
+    routed = K.leakage_terms(K.route_text(ideas(t), "idea"), "idea")
+    labels = t.labels.select("doc_id", F.when(F.col("quality") == 1, "clarify").otherwise("custom_model").alias("expected_route"), (F.col("toxic") == 1).alias("needs_warning"))
+    return K.routing_scores(routed, labels, "doc_id").select("cases", near("route_accuracy", 6).alias("route_accuracy"), near("leakage_recall", 6).alias("leakage_recall"))
+
+
+# the product brands are the registered sources, part names the queries
+
+CTES["src"] = ("", """
+SELECT p_brand AS source_id, 'brand source' AS name, max(p_type) AS description, 'known_future' AS availability, CASE WHEN p_brand LIKE '%1' THEN 'market' END AS topic, p_brand = 'Brand#2' AS is_fallback FROM part GROUP BY 1""")
+CTES["qry"] = ("", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN lower(p_type) WHEN p_partkey % 3 = 1 THEN '股票 ' || p_name ELSE p_name END AS q FROM part")
+
+
+@query("match_sources", with_ctes("src qry", r"""
+, h AS (SELECT q.p_partkey, s.source_id FROM qry q JOIN src s ON (s.topic = 'market' AND contains(q.q, '股票'))
+  OR len(list_filter(regexp_split_to_array(lower(q.q), '[^\p{L}\p{N}_]+'), lambda w: w <> '' AND contains(lower(concat_ws(' ', s.source_id, s.name, s.description, s.availability)), w))) > 0)
+SELECT * FROM h UNION ALL SELECT q.p_partkey, s.source_id FROM qry q, src s WHERE s.is_fallback AND q.p_partkey NOT IN (SELECT p_partkey FROM h)""".replace("\n, h AS", ", h AS", 1)))
+def _(t):
+    part = t.part
+    src = part.groupBy(F.col("p_brand").alias("source_id")).agg(F.max("p_type").alias("description")).select(
+        "source_id", F.lit("brand source").alias("name"), "description", F.lit("known_future").alias("availability"),
+        F.when(F.col("source_id").like("%1"), "market").alias("topic"), F.array().cast("array<string>").alias("freqs"), (F.col("source_id") == "Brand#2").alias("is_fallback"))
+    q = part.selectExpr("p_partkey", "CASE WHEN p_partkey % 3 = 0 THEN lower(p_type) WHEN p_partkey % 3 = 1 THEN concat('股票 ', p_name) ELSE p_name END AS q")
+    return K.match_sources(q, src, "q", "p_partkey")
