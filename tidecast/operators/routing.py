@@ -6,6 +6,8 @@ Each rule is one alternation, matched against the whole text in one pass.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,32 +70,70 @@ def leakage_terms(df: DataFrame, col: str) -> DataFrame:
         "suggested_columns": F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("external_covariate")))})
 
 
-def match_sources(df: DataFrame, sources: DataFrame, col: str = "query", key: str = "query_id", freq: str | None = None) -> DataFrame:
-    """Registered sources that fit each query: key, source_id.
-
-    ``sources``: source_id, name, description, availability, category, topic
-    (calendar, market, weather or null), freqs ARRAY<STRING>.  A source fits if
-    it supports the frequency and shares a token or topic with the query; a
-    query without any fit gets the fallback sources (``is_fallback``).  Tokens
-    must occur inside the source's text, so sources are compared per query;
-    the registry is a short list by nature and AQE sends it to the tasks.
+@dataclass(frozen=True)
+class DataSource:
+    source_id: str
+    name: str
+    description: str
+    availability: str
+    freqs: tuple[str, ...]
+    topics: tuple[str, ...] = ()
+    fallback: bool = False
+
+    @property
+    def haystack(self) -> str:
+        return " ".join((self.source_id, self.name, self.description, self.availability)).strip().lower()
+
+
+# The registered sources; queries are matched against these texts.
+REGISTRY = (
+    DataSource("holiday_calendar_cn", "中国节假日日历", "由 Holiday Generator 生成节假日、节日前后窗口和距离特征。",
+               "known_future", ("D", "W", "M"), ("calendar",)),
+    DataSource("same_sheet_future_rows", "同一 Sheet 未来空目标行", "用户在同一表格中提供未来时间点的协变量，目标列留空。",
+               "known_future", ("H", "D", "W", "M", "Q", "Y"), ("market",), True),
+    DataSource("user_covariate_csv", "用户上传协变量 CSV/XLSX", "上传与目标时间轴可对齐的外部数据，进入 Covariate Loader。",
+               "unknown_future", ("H", "D", "W", "M", "Q", "Y"), ("market", "weather"), True),
+    DataSource("market_index_connector_placeholder", "行情/指数连接器占位", "用于登记股票指数、商品价格、油价等外部行情来源；当前版本不自动抓取。",
+               "unknown_future", ("D", "W", "M"), ("market",)),
+    DataSource("weather_connector_placeholder", "天气连接器占位", "用于登记历史天气或天气预报来源；当前版本只生成接口计划。",
+               "unknown_future", ("H", "D"), ("weather",)),
+    DataSource("macro_indicator_registry", "宏观指标登记表", "用于登记 GDP、CPI、汇率、利率等低频外部指标，不自动下载。",
+               "unknown_future", ("M", "Q", "Y"), ("market",)),
+)
+
+
+def match_sources(df: DataFrame, col: str = "query", key: str = "query_id", freq: str | None = None,
+                  sources: Iterable[DataSource] = REGISTRY) -> DataFrame:
+    """Sources that fit each query: key, place, source_id.
+
+    A source fits if it supports the frequency (column ``freq``) and contains a
+    token of the query or is listed under the query's topic; an empty query
+    fits all; a query that fits none gets the fallback sources.  The registry
+    is a short Python list, so it is part of the plan and nothing is joined.
     """
+    sources = list(sources)
     text = _plain(col)
-    topics = F.array_compact(F.array(*[F.when(has_any(text, w), F.lit(t)) for t, w in SOURCE_TOPICS.items()]))
-    tokens = F.filter(F.split(text, r"[^\p{L}\p{N}_]+"), lambda x: x != "")
-    base = [F.col(key), tokens.alias("_tokens"), topics.alias("_topics"), text.alias("_text")]
-    queries = df.select(*base, *([F.upper(freq).alias("_freq")] if freq else [F.lit("").alias("_freq")]))
-    listed = sources.select(
-        "source_id", "topic", "freqs", "is_fallback",
-        F.lower(F.concat_ws(" ", "source_id", "name", "description", "availability")).alias("_hay"))
-    registry = listed.groupBy().agg(F.collect_list(F.struct("source_id", "topic", "freqs", "is_fallback", "_hay")).alias("_all"))
-    pairs = queries.crossJoin(registry).withColumn("_ok", F.filter("_all", lambda s: (
-        (F.col("_freq") == "") | (F.size(s["freqs"]) == 0) | F.array_contains(s["freqs"], F.col("_freq")))))
-    hit = F.filter("_ok", lambda s: (F.col("_text") == "") | F.exists("_tokens", lambda w: s["_hay"].contains(w))
-                   | F.coalesce(F.array_contains(F.col("_topics"), s["topic"]), F.lit(False)))
-    fallback = F.filter("_all", lambda s: s["is_fallback"])
-    out = pairs.withColumn("_hit", hit).withColumn("_use", F.when(F.size("_hit") > 0, F.col("_hit")).otherwise(fallback))
-    return out.select(key, F.explode("_use").alias("s")).select(key, "s.source_id")
+    wanted = F.upper(F.coalesce(F.col(freq), F.lit(""))) if freq else F.lit("")
+    # the first topic found decides, in the order calendar, market, weather
+    topic = F.coalesce(*[F.when(has_any(text, w), F.lit(t)) for t, w in SOURCE_TOPICS.items()])
+    tokens = F.array_distinct(F.filter(F.split(text, r"[^\p{L}\p{N}_]+"), lambda x: x != ""))
+    rows = df.select(F.col(key), F.explode(F.array(F.struct(
+        text.alias("text"), wanted.alias("freq"), topic.alias("topic"), tokens.alias("tokens")))).alias("_q"))
+    q = F.col("_q")
+
+    def fits(s: DataSource) -> Column:
+        hay = F.lit(s.haystack)
+        by_topic = F.coalesce(q["topic"].isin(*s.topics), F.lit(False)) if s.topics else F.lit(False)
+        shared = F.exists(q["tokens"], lambda w: hay.contains(w))
+        return ((q["freq"] == "") | q["freq"].isin(*s.freqs)) & ((q["text"] == "") | by_topic | shared)
+
+    def item(i: int) -> Column:
+        return F.struct(F.lit(i + 1).alias("place"), F.lit(sources[i].source_id).alias("source_id"))
+
+    hits = F.array_compact(F.array(*[F.when(fits(s), item(i)) for i, s in enumerate(sources)]))
+    spare = F.array(*[item(i) for i, s in enumerate(sources) if s.fallback])
+    out = rows.select(key, hits.alias("_hit"))
+    return out.select(key, F.explode(F.when(F.size("_hit") > 0, F.col("_hit")).otherwise(spare)).alias("_s")).select(key, "_s.*")
 
 
 def routing_scores(routed: DataFrame, labels: DataFrame, key: str = "name") -> DataFrame:

@@ -1 +1,146 @@
-"""Registered queries."""
+"""Tree models, explanations, drivers and user forecasters."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+from ..operators import scenario as N
+from ..operators import trees as L
+from ..operators.custom import register_forecaster, run_forecaster
+from ..operators.features import feature_matrix
+from ..operators.forecasters import naive, residual_interval
+from ..operators.runs import importance_by_name
+from ..operators.scoring import holdout_split, pair_predictions
+from ..plans.backtest import leaderboard_of, model_grid
+from .base import CTES, hourly_zero, monthly, near, near_sql, query, with_ctes
+from .models_and_scores import hourly_run
+from .windows_and_fill import NAMES
+
+TEST = 24
+
+
+def split(t):
+    s = holdout_split(hourly_zero(t), TEST)
+    return s.where(~F.col("is_test")).drop("is_test", "step"), s.where("is_test")
+
+
+def forest(t, train):
+    m, names = feature_matrix(train)
+    return L.lag_forest(m, names, trees=20, depth=6), m
+
+
+@query("lag_forest_leaderboard")
+def _(t):
+    train, test = split(t)
+    model, _ = forest(t, train)
+    trees = L.recursive_predict(model, train, TEST, "H")
+    base = naive(train, TEST, "H")
+    points = pair_predictions(test, trees.unionByName(base))
+    expected = model_grid(train.select("series_id").distinct(), ["lag_forest", "naive"])
+    return leaderboard_of(points, expected, TEST)
+
+
+@query("lag_boosting_forecast")
+def _(t):
+    p = hourly_zero(t)
+    m, names = feature_matrix(p)
+    model = L.lag_boosting(m, names, trees=10, depth=3, rate=0.2)
+    return residual_interval(L.fitted_residuals(model, m), L.recursive_predict(model, p, 12, "H"))
+
+
+@query("feature_importance")
+def _(t):
+    model, _ = forest(t, split(t)[0])
+    return L.feature_importance(t.spark, model)
+
+
+@query("shapley_drivers")
+def _(t):
+    train, _ = split(t)
+    model, m = forest(t, train)
+    return N.driver_ranking(L.shapley_sampled(model, m, permutations=8, last=32), L.feature_importance(t.spark, model))
+
+
+@query("single_point")
+def _(t):
+    train, test = split(t)
+    model, m = forest(t, train)
+    rows = L.recursive_predict(model, train, TEST, "H", with_features=True)
+    points = pair_predictions(test, rows)
+    return L.single_point(points, L.shapley_points(model, rows, m, ["series_id", "t"], 8))
+
+
+@query("user_forecaster")
+def _(t):
+    def last_median(history: pd.DataFrame, horizon: int) -> pd.DataFrame:
+        return pd.DataFrame({"predicted": [history["y"].tail(24).median()] * horizon})
+
+    register_forecaster("last_median", last_median)
+    return run_forecaster("last_median", hourly_zero(t), 12)
+
+
+# naive one-step residuals as the in-sample fit
+
+CTES["ins"] = ("ord_m", "SELECT series_id, y - lag(y) OVER (PARTITION BY series_id ORDER BY t) AS residual FROM ord_m")
+
+
+@query("residual_interval", with_ctes("ins omf_axis omf_end", f"""
+, s AS (SELECT series_id, stddev_samp(residual) AS s FROM ins GROUP BY 1)
+SELECT a.series_id, a.step, {near_sql('e.y - 1.96 * s.s', 1)} AS lower, {near_sql('e.y + 1.96 * s.s', 1)} AS upper FROM omf_axis a JOIN omf_end e ON e.series_id = a.series_id AND e.rb = 1 JOIN s ON s.series_id = a.series_id""".replace("\n, s AS", ", s AS", 1)))
+def _(t):
+    from ..operators.features import lag_features
+    p = monthly(t)
+    fit = lag_features(p, (1,)).select("series_id", F.lit("naive").alias("model_id"), "t", (F.col("y") - F.col("lag_1")).alias("residual"))
+    return residual_interval(fit, naive(p, 12, "M")).select("series_id", "step", near("lower", 1).alias("lower"), near("upper", 1).alias("upper"))
+
+
+# drivers: |correlation| of every feature with the target stands for its importance
+
+CTES["imp"] = ("features", " UNION ALL ".join(f"SELECT series_id, '{n}' AS feature, abs(corr({n}, y)) AS importance, corr({n}, y) AS signed FROM features WHERE time_index >= 7 GROUP BY 1" for n in NAMES))
+CTES["imp_rank"] = ("imp", "SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY importance DESC, feature) AS rank FROM imp")
+
+
+def importance(t):
+    m, _ = feature_matrix(hourly_zero(t))
+    wide = m.groupBy("series_id").agg(*[F.corr(n, "y").alias(n) for n in NAMES])
+    items = F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).alias("signed")) for n in NAMES])
+    return wide.select("series_id", F.explode(items).alias("c")).select("series_id", "c.*", F.abs("c.signed").alias("importance"))
+
+
+def drivers(t):
+    con = importance(t).select("series_id", "feature", F.col("importance").alias("mean_abs"), F.when(F.col("signed") > 0, "positive").otherwise("negative").alias("direction"))
+    half = con.where(F.col("series_id") < "e")
+    return N.driver_ranking(half, importance(t), 8, ["series_id"])
+
+
+@query("top_features", with_ctes("imp_rank", f"SELECT series_id, feature, {near_sql('importance', 6)} AS importance, rank FROM imp_rank WHERE rank <= 5"))
+def _(t):
+    return N.top_features(importance(t), 5, by=["series_id"]).select("series_id", "feature", near("importance", 6).alias("importance"), "rank")
+
+
+@query("driver_ranking", with_ctes("imp_rank", f"""
+SELECT series_id, feature, {near_sql('importance', 6)} AS score, CASE WHEN series_id >= 'e' THEN 'mixed' WHEN signed > 0 THEN 'positive' ELSE 'negative' END AS direction,
+ CASE WHEN series_id < 'e' THEN 'contribution' ELSE 'importance' END AS evidence, rank FROM imp_rank WHERE rank <= 8"""))
+def _(t):
+    return drivers(t).select("series_id", "feature", near("score", 6).alias("score"), "direction", "evidence", "rank")
+
+
+@query("sensitivity", with_ctes("imp_rank", f"SELECT series_id, feature, rank, {near_sql('10 * importance / sum(importance) OVER (PARTITION BY series_id)', 4)} AS plus10 FROM imp_rank WHERE rank <= 5"))
+def _(t):
+    return N.sensitivity(drivers(t), 5, ["series_id"]).select("series_id", "feature", "rank", near("plus10").alias("plus10"))
+
+
+@query("waterfall", with_ctes("imp_rank", f"SELECT series_id, feature, rank, {near_sql('CASE WHEN series_id >= chr(101) THEN importance * 0.5 WHEN signed > 0 THEN importance ELSE -importance END', 6)} AS value FROM imp_rank WHERE rank <= 6"))
+def _(t):
+    return N.waterfall(drivers(t), 6, ["series_id"]).select("series_id", "feature", "rank", near("value", 6).alias("value"))
+
+
+@query("importance_by_name", with_ctes("imp", f"""
+SELECT replace(feature, '_', '') AS feature, {near_sql('max(importance)', 6)} AS importance, {near_sql("max(importance) FILTER (series_id <> 'click')", 6)} AS contribution FROM imp GROUP BY 1"""))
+def _(t):
+    imp = importance(t).withColumn("target", F.lit("y"))
+    con = imp.where(F.col("series_id") != "click").withColumnRenamed("importance", "mean_abs")
+    return importance_by_name(imp, con).select("feature", near("importance", 6).alias("importance"), near("contribution", 6).alias("contribution"))

@@ -52,21 +52,23 @@ def _(t):
     return K.routing_scores(routed, labels, "doc_id").select("cases", near("route_accuracy", 6).alias("route_accuracy"), near("leakage_recall", 6).alias("leakage_recall"))
 
 
-# the product brands are the registered sources, part names the queries
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
 
-CTES["src"] = ("", """
-SELECT p_brand AS source_id, 'brand source' AS name, max(p_type) AS description, 'known_future' AS availability, CASE WHEN p_brand LIKE '%1' THEN 'market' END AS topic, p_brand = 'Brand#2' AS is_fallback FROM part GROUP BY 1""")
-CTES["qry"] = ("", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN lower(p_type) WHEN p_partkey % 3 = 1 THEN '股票 ' || p_name ELSE p_name END AS q FROM part")
 
+CTES["src"] = ("", "SELECT * FROM (VALUES " + ", ".join(
+    f"({i + 1}, {_quoted(s.source_id)}, {_quoted(s.haystack)}, {list(s.freqs)!r}, {list(s.topics) or ['-']!r}, {s.fallback})" for i, s in enumerate(K.REGISTRY))
+    + ") AS v(place, source_id, hay, freqs, topics, is_fallback)")
+CTES["qry"] = ("idea_x", f"""
+SELECT doc_id, x, CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'D' ELSE 'Q' END AS freq,
+ CASE {" ".join(f"WHEN {_rx(w)} THEN '{t}'" for t, w in K.SOURCE_TOPICS.items())} END AS topic,
+ list_distinct(list_filter(regexp_split_to_array(x, '[^\\p{{L}}\\p{{N}}_]+'), lambda w: w <> '')) AS tokens FROM idea_x""")
 
-@query("match_sources", with_ctes("src qry", r"""
-, h AS (SELECT q.p_partkey, s.source_id FROM qry q JOIN src s ON (s.topic = 'market' AND contains(q.q, '股票'))
-  OR len(list_filter(regexp_split_to_array(lower(q.q), '[^\p{L}\p{N}_]+'), lambda w: w <> '' AND contains(lower(concat_ws(' ', s.source_id, s.name, s.description, s.availability)), w))) > 0)
-SELECT * FROM h UNION ALL SELECT q.p_partkey, s.source_id FROM qry q, src s WHERE s.is_fallback AND q.p_partkey NOT IN (SELECT p_partkey FROM h)""".replace("\n, h AS", ", h AS", 1)))
+
+@query("match_sources", with_ctes("src qry", """
+, h AS (SELECT q.doc_id, s.place, s.source_id FROM qry q JOIN src s ON (q.freq = '' OR list_contains(s.freqs, q.freq))
+  AND (q.x = '' OR coalesce(list_contains(s.topics, q.topic), false) OR len(list_filter(q.tokens, lambda w: contains(s.hay, w))) > 0))
+SELECT doc_id, place::BIGINT AS place, source_id FROM h UNION ALL SELECT q.doc_id, s.place, s.source_id FROM qry q, src s WHERE s.is_fallback AND q.doc_id NOT IN (SELECT doc_id FROM h)""".replace("\n, h AS", ", h AS", 1)))
 def _(t):
-    part = t.part
-    src = part.groupBy(F.col("p_brand").alias("source_id")).agg(F.max("p_type").alias("description")).select(
-        "source_id", F.lit("brand source").alias("name"), "description", F.lit("known_future").alias("availability"),
-        F.when(F.col("source_id").like("%1"), "market").alias("topic"), F.array().cast("array<string>").alias("freqs"), (F.col("source_id") == "Brand#2").alias("is_fallback"))
-    q = part.selectExpr("p_partkey", "CASE WHEN p_partkey % 3 = 0 THEN lower(p_type) WHEN p_partkey % 3 = 1 THEN concat('股票 ', p_name) ELSE p_name END AS q")
-    return K.match_sources(q, src, "q", "p_partkey")
+    freq = F.expr("CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'd' ELSE 'Q' END")
+    return K.match_sources(ideas(t).withColumn("freq", freq), "idea", "doc_id", "freq")
