@@ -11,15 +11,16 @@ import random
 from collections.abc import Iterable
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.calendar import next_period
-from ..session import cut_lineage
 from ..spec import KEYS, FeatureConfig
-from ._common import backward
+from ._common import backward, whole
 from .forecasters import series_tail
 
 SEED = 42  # fixed value
@@ -65,83 +66,116 @@ def fitted_residuals(model: TreeModel, features: DataFrame, keys=KEYS) -> DataFr
     return out.select(*keys, F.lit(model.model_id).alias("model_id"), "t", (F.col("y") - F.col("predicted")).alias("residual"))
 
 
-def _mean(values: Column) -> Column:
-    n = F.size(values)
-    return F.aggregate(values, F.lit(0.0), lambda s, x: s + x) / F.when(n > 0, n)
+def tree_arrays(model: TreeModel) -> dict[str, np.ndarray]:
+    """The trees as flat arrays, read from the model's own listing of its nodes.
 
-
-def _std(values: Column) -> Column:
-    n = F.size(values)
-    m = _mean(values)
-    return F.sqrt(F.aggregate(values, F.lit(0.0), lambda s, x: s + (x - m) * (x - m)) / F.when(n > 0, n))
-
-
-def _next_features(cfg: FeatureConfig, hist: Column, index: Column, t: Column) -> dict[str, Column]:
-    size = F.size(hist)
-
-    def last(k):
-        w = F.least(F.lit(k), size)
-        return F.slice(hist, size - w + 1, w)
-
-    out = {f"lag_{k}": F.when(size >= k, F.try_element_at(hist, F.lit(-k))).otherwise(F.element_at(hist, -1)) for k in cfg.lags}
-    out |= {f"rolling_mean_{k}": _mean(last(k)) for k in cfg.means}
-    out |= {f"rolling_std_{k}": _std(last(k)) for k in cfg.stds}
-    if cfg.calendar:
-        out |= {"time_index": index.cast("double"), "day_of_week": F.weekday(t).cast("double"), "month": F.month(t).cast("double")}
-    return out
+    ``feature`` is -1 at leaves; ``weight`` already averages a forest.
+    """
+    feature, cut, left, right, value, roots, weight = [], [], [], [], [], [], []
+    open_ifs: list[int] = []
+    slot: tuple[list, int] | None = None
+    for line in model.model.toDebugString.splitlines()[1:]:
+        words = line.replace("(", " ").replace(")", " ").split()
+        if not words:
+            continue
+        if words[0] == "Else":
+            slot = (right, open_ifs.pop())
+            continue
+        if words[0] == "Tree":
+            roots.append(len(feature))
+            weight.append(float(words[3]))
+            slot = None
+            continue
+        me = len(feature)
+        if slot is not None:
+            slot[0][slot[1]] = me
+        inner = words[0] == "If"
+        feature.append(int(words[2]) if inner else -1)
+        cut.append(float(words[4]) if inner else 0.0)
+        value.append(0.0 if inner else float(words[1]))
+        left.append(me)
+        right.append(me)
+        if inner:
+            open_ifs.append(me)
+            slot = (left, me)
+    share = np.asarray(weight) / (len(roots) if model.model_id == "lag_forest" else 1.0)
+    return {"feature": np.asarray(feature), "cut": np.asarray(cut), "left": np.asarray(left), "right": np.asarray(right),
+            "value": np.asarray(value), "roots": np.asarray(roots), "weight": share}
+
+
+def _tree_values(trees: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
+    at = np.broadcast_to(trees["roots"], (len(x), len(trees["roots"]))).copy()
+    rows = np.arange(len(x))[:, None]
+    while (trees["feature"][at] >= 0).any():
+        low = x[rows, np.maximum(trees["feature"][at], 0)] <= trees["cut"][at]
+        at = np.where(trees["feature"][at] < 0, at, np.where(low, trees["left"][at], trees["right"][at]))
+    return trees["value"][at] @ trees["weight"]
+
+
+def _trailing(past: np.ndarray, cfg: FeatureConfig) -> list[np.ndarray]:
+    """Lags, means and deviations of rows of history; NaN marks points before a short series began."""
+    out = [np.where(np.isnan(past[:, -k]), past[:, -1], past[:, -k]) for k in cfg.lags]
+    out += [np.nanmean(past[:, -k:], axis=1) for k in cfg.means]
+    return out + [np.nanstd(past[:, -k:], axis=1) for k in cfg.stds]
 
 
 def recursive_predict(model: TreeModel, panel: DataFrame, horizon: int, freq: str, future: DataFrame | None = None,
-                      keys=KEYS, cut_every: int = 8, with_features: bool = False) -> DataFrame:
+                      keys=KEYS, with_features: bool = False) -> DataFrame:
     """Feed each prediction back as history: keys, model_id, step, t, predicted.
 
-    The state is one row per series with its last few values; a step is a
-    narrow projection, without a shuffle.  Every ``cut_every`` steps the state
-    is checkpointed, so the plan stays short and lost executors cost at most
-    that many steps.  ``future`` has keys, step and the covariate columns; a
-    series without a row for a step repeats its last known covariates.
+    One row per series holds its last few values and the known inputs of every
+    step; an Arrow batch of such rows walks through the horizon together, all
+    series and trees at once.  So the plan does not grow with the horizon,
+    nothing is checkpointed, and a lost task only repeats its own series.
+    ``future`` has keys, step and the covariate columns; a series without a row
+    for a step repeats its last known covariates.
     """
     cfg, keys = model.cfg, list(keys)
     reach = max([1, *cfg.lags, *cfg.means, *cfg.stds])
     tail = series_tail(panel, reach, keys)
     sizes = panel.where(F.col("y").isNotNull()).groupBy(*keys).agg(
-        F.count("*").alias("_n"), *[F.max_by(c, "t").alias(f"_last_{c}") for c in cfg.covariates])
-    state = tail.join(sizes, keys).select(
-        *keys, F.transform("pts", lambda p: p["y"]).alias("_hist"), F.element_at("pts", -1)["t"].alias("_end"), "_n",
-        *[F.col(f"_last_{c}") for c in cfg.covariates], F.array().cast("array<double>").alias("_out"))
+        F.count("*").alias("_n"), *[F.max_by(c, "t").cast("double").alias(f"_last_{c}") for c in cfg.covariates])
+    state = tail.join(sizes, keys).withColumn("_end", F.element_at("pts", -1)["t"])
     if cfg.covariates and future is not None:
         given = future.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(
             F.col("step").cast("int").alias("step"), F.struct(*cfg.covariates).alias("c")))).alias("_future"))
         state = state.join(given, keys, "left")
-    base = list(state.columns)
-    kept: list[str] = []
-    for k in range(1, horizon + 1):
+
+    def known(k: int) -> list[Column]:
         t = next_period("_end", freq, k)
-        values = _next_features(cfg, F.col("_hist"), F.col("_n") + (k - 1), t)
+        row = []
+        if cfg.calendar:
+            row += [(F.col("_n") + (k - 1)).cast("double"), F.weekday(t).cast("double"), F.month(t).cast("double")]
         for c in cfg.covariates:
-            known = F.lit(None).cast("double")
-            if "_future" in base:
-                known = F.try_element_at("_future", F.lit(k))[c].cast("double")
-            values[c] = F.coalesce(known, F.col(f"_last_{c}"), F.lit(0.0))
-        step = state.withColumns({n: values[n] for n in model.names})
-        step = model.predict(step, "_p")
-        history = F.slice(F.concat("_hist", F.array("_p")), -F.least(F.lit(reach), F.size("_hist") + 1), F.lit(reach))
-        extra = []
-        if with_features:
-            kept.append(f"_x{k}")
-            extra = [F.struct(*model.names).alias(f"_x{k}")]
-        state = step.select(
-            *[c for c in base if c not in ("_hist", "_out")], history.alias("_hist"),
-            F.concat("_out", F.array("_p")).alias("_out"), *kept[:-1] if with_features else [], *extra)
-        base = [c for c in base if c not in ("_hist", "_out")] + ["_hist", "_out"]
-        if k % cut_every == 0 and k < horizon:
-            state = cut_lineage(state)
-    zipped = F.arrays_zip("_out", F.array(*kept).alias("x")) if with_features else F.arrays_zip("_out")
-    flat = state.select(*keys, "_end", F.posexplode(zipped).alias("_pos", "_z"))
-    cols = [*keys, F.lit(model.model_id).alias("model_id"), (F.col("_pos") + 1).alias("step"),
-            next_period("_end", freq, F.col("_pos") + 1).alias("t"), F.col("_z")["_out"].alias("predicted")]
+            ahead = F.try_element_at("_future", F.lit(k))[c].cast("double") if "_future" in state.columns else F.lit(None).cast("double")
+            row.append(F.coalesce(ahead, F.col(f"_last_{c}"), F.lit(0.0)))
+        return row
+
+    inputs = F.array(*[c for k in range(1, horizon + 1) for c in known(k)]).cast("array<double>")
+    trees = panel.sparkSession.sparkContext.broadcast(tree_arrays(model))
+    width = len(model.names)
+
+    @F.pandas_udf("array<double>")
+    def walk(history: pd.Series, ahead: pd.Series) -> pd.Series:
+        past = np.full((len(history), reach), np.nan)
+        for i, h in enumerate(history):
+            past[i, reach - len(h):] = h
+        fixed = np.stack([np.asarray(a, dtype=float) for a in ahead]).reshape(len(history), horizon, -1)
+        out = np.empty((len(history), horizon, 1 + width))
+        for k in range(horizon):
+            x = np.column_stack([*_trailing(past, cfg), fixed[:, k, :]])
+            y = _tree_values(trees.value, x)
+            out[:, k, 0], out[:, k, 1:] = y, x
+            past = np.column_stack([past[:, 1:], y])
+        return pd.Series(list(out.reshape(len(history), -1)))
+
+    walked = state.select(*keys, "_end", walk(F.transform("pts", lambda p: p["y"]), inputs).alias("_w"))
+    flat = walked.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
+    first = (F.col("step") - 1) * (1 + width)
+    cols = [*keys, F.lit(model.model_id).alias("model_id"), "step", next_period("_end", freq, F.col("step")).alias("t"),
+            F.col("_w")[first].alias("predicted")]
     if with_features:
-        cols += [F.col("_z")["x"][n].alias(n) for n in model.names]
+        cols += [F.col("_w")[first + i].alias(n) for i, n in enumerate(model.names, start=1)]
     return flat.select(*cols)
 
 
@@ -214,8 +248,7 @@ def shapley_sampled(model: TreeModel, features: DataFrame, permutations: int = 3
 
 
 def _one_partition():
-    from pyspark.sql import Window
-    return Window.partitionBy(F.lit(1))  # one row per feature
+    return whole([F.lit(1)])  # one row per feature
 
 
 def single_point(backtest: DataFrame, contributions: DataFrame, k: int = 5, keys=KEYS) -> DataFrame:
@@ -226,10 +259,5 @@ def single_point(backtest: DataFrame, contributions: DataFrame, k: int = 5, keys
     from .scoring import largest_residual
     worst = largest_residual(backtest, keys=keys)
     hit = worst.join(contributions, [*keys, "t"], "left")
-    pos = F.row_number().over(_by([*keys, "model_id"]).orderBy(F.abs("contribution").desc_nulls_last(), "feature"))
+    pos = F.row_number().over(whole([*keys, "model_id"]).orderBy(F.abs("contribution").desc_nulls_last(), "feature"))
     return hit.withColumn("place", pos).where(F.col("place") <= k).withColumn("direction", _direction(F.col("contribution")))
-
-
-def _by(keys):
-    from ._common import whole
-    return whole(keys)

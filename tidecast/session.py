@@ -1,10 +1,8 @@
-"""Session defaults and lineage cutting."""
+"""Session defaults for one machine."""
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def local_session(app: str = "tidecast", cores: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -20,17 +18,3 @@ def local_session(app: str = "tidecast", cores: int | str = "*", partitions: int
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return spark
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder the cluster names in ``spark.checkpoint.dir``."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            shared = tempfile.mkdtemp(prefix="tidecast-")
-        sc.setCheckpointDir(shared)
-    return df.checkpoint(eager=True)
