@@ -61,21 +61,23 @@ def smoothing_fit(train: Column, trend="auto", alphas=ALPHAS, betas=BETAS) -> Co
     first = F.element_at(train, 1)
     slope0 = F.when(F.size(train) > 1, F.try_element_at(train, F.lit(2)) - first).otherwise(0.0)
 
-    def run(alpha: float, beta: float) -> Column:
-        start = F.struct(F.lit(0.0).alias("sse"), F.lit(alpha).alias("alpha"), F.lit(beta).alias("beta"),
-                         first.alias("level"), (slope0 if beta else F.lit(0.0)).alias("slope"))
+    def best(grid) -> Column:
+        def fold(c):
+            start = F.struct(F.lit(0.0).alias("sse"), c["alpha"].alias("alpha"), c["beta"].alias("beta"), first.alias("level"),
+                             F.when(c["beta"] > 0, slope0).otherwise(0.0).alias("slope"))
 
-        def step(s, x):
-            err = x - (s["level"] + s["slope"])
-            return F.struct((s["sse"] + err * err).alias("sse"), F.lit(alpha).alias("alpha"), F.lit(beta).alias("beta"),
-                            (s["level"] + s["slope"] + alpha * err).alias("level"),
-                            (s["slope"] + (alpha * beta) * err).alias("slope"))
+            def step(s, x):
+                err = x - (s["level"] + s["slope"])
+                return F.struct((s["sse"] + err * err).alias("sse"), s["alpha"].alias("alpha"), s["beta"].alias("beta"),
+                                (s["level"] + s["slope"] + s["alpha"] * err).alias("level"),
+                                (s["slope"] + (s["alpha"] * s["beta"]) * err).alias("slope"))
 
-        return F.aggregate(F.slice(train, 2, F.greatest(F.size(train) - 1, F.lit(0))), start, step)
+            return F.aggregate(F.slice(train, 2, F.greatest(F.size(train) - 1, F.lit(0))), start, step)
 
-    trended = F.array_min(F.array(*[run(a, b) for a in alphas for b in betas]))
-    simple = F.array_min(F.array(*[run(a, 0.0) for a in alphas]))
-    return F.when(with_trend, trended).otherwise(simple)
+        points = F.array(*[F.struct(F.lit(a).alias("alpha"), F.lit(b).alias("beta")) for a, b in grid])
+        return F.array_min(F.transform(points, fold))
+
+    return F.when(with_trend, best([(a, b) for a in alphas for b in betas])).otherwise(best([(a, 0.0) for a in alphas]))
 
 
 def smoothing_values(train: Column, horizon: int, trend="auto", alphas=ALPHAS, betas=BETAS, **_) -> Column:

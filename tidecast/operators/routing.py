@@ -1,13 +1,15 @@
 """Routing of analysis ideas by keywords, over a table of texts.
 
-Each rule is one alternation, matched against the whole text in one pass.
+Rules are substring searches over the whole text: plain byte scans, which run
+several times faster than one regular expression with all the words.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,37 +39,47 @@ CONFIDENCE = {"feature_engineering_data": 0.9, "custom_model": 0.9, "hybrid": 0.
 
 
 def has_any(text: Column, words) -> Column:
-    return text.rlike("|".join(re.escape(w) for w in words))
+    return reduce(or_, [text.contains(w) for w in words])
 
 
 def _plain(col) -> Column:
     return F.lower(F.trim(F.col(col) if isinstance(col, str) else col))
 
 
+def _with_plain(df: DataFrame, col) -> DataFrame:
+    """``_x``: the text in lower case, made once per row.
+
+    Searches joined by OR are evaluated one after the other, and Spark would
+    repeat the lowering for each; an explode of one element keeps it apart.
+    """
+    return df.select("*", F.explode(F.array(_plain(col))).alias("_x"))
+
+
 def route_text(df: DataFrame, col: str) -> DataFrame:
     """Adds ``route`` and ``confidence``: unsupported before hybrid or custom_model before data before clarify."""
-    text = _plain(col)
-    data, model = has_any(text, DATA_WORDS), has_any(text, MODEL_WORDS)
-    flags = df.select("*", F.explode(F.array(F.struct(data.alias("data"), model.alias("model"), has_any(text, JOIN_WORDS).alias("joins"),
-                                                      has_any(text, UNSUPPORTED_WORDS).alias("no")))).alias("_k"))
+    text = F.col("_x")
+    found = F.struct(has_any(text, DATA_WORDS).alias("data"), has_any(text, MODEL_WORDS).alias("model"),
+                     has_any(text, UNSUPPORTED_WORDS).alias("no"))
+    flags = _with_plain(df, col).select("*", F.explode(F.array(found)).alias("_k"))
     k = F.col("_k")
-    route = (F.when(k["no"], "unsupported").when(k["data"] & k["model"] & k["joins"], "hybrid")
+    route = (F.when(k["no"], "unsupported")
+             .when(k["data"] & k["model"], F.when(has_any(text, JOIN_WORDS), "hybrid").otherwise("custom_model"))
              .when(k["model"], "custom_model").when(k["data"], "feature_engineering_data").otherwise("clarify"))
     table = F.create_map(*[F.lit(x) for kv in CONFIDENCE.items() for x in kv])
-    return flags.withColumn("route", route).withColumn("confidence", table[F.col("route")]).drop("_k")
+    return flags.withColumn("route", route).withColumn("confidence", table[F.col("route")]).drop("_k", "_x")
 
 
 def leakage_terms(df: DataFrame, col: str) -> DataFrame:
     """Adds ``leak_warning``, ``covariate_kind`` and ``suggested_columns``; needs ``route``."""
-    text = _plain(col)
+    text = F.col("_x")
     uses_data = F.col("route").isin("feature_engineering_data", "hybrid")
-    unknown = has_any(text, UNKNOWN_FUTURE_WORDS)
-    kind = F.when(F.col("route").isin("feature_engineering_data", "hybrid", "clarify"),
+    kind = F.when(uses_data | (F.col("route") == "clarify"),
                   F.when(has_any(text, KNOWN_FUTURE_WORDS), "known_future").otherwise("static"))
     found = F.array_distinct(texts(*[F.when(text.contains(w), c) for w, c in SUGGESTED]))
-    return df.withColumns({
-        "leak_warning": F.coalesce(uses_data & unknown, F.lit(False)), "covariate_kind": kind,
-        "suggested_columns": F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("external_covariate")))})
+    out = _with_plain(df, col).select("*", F.explode(F.array(found)).alias("_found"))
+    return out.withColumns({
+        "leak_warning": F.coalesce(uses_data & has_any(text, UNKNOWN_FUTURE_WORDS), F.lit(False)), "covariate_kind": kind,
+        "suggested_columns": F.when(F.size("_found") > 0, F.col("_found")).otherwise(F.array(F.lit("external_covariate")))}).drop("_x", "_found")
 
 
 @dataclass(frozen=True)
@@ -112,12 +124,14 @@ def match_sources(df: DataFrame, col: str = "query", key: str = "query_id", freq
     is a short Python list, so it is part of the plan and nothing is joined.
     """
     sources = list(sources)
-    text = _plain(col)
+    text = F.col("_x")
     wanted = F.upper(F.coalesce(F.col(freq), F.lit(""))) if freq else F.lit("")
     # the first topic found decides, in the order calendar, market, weather
     topic = F.coalesce(*[F.when(has_any(text, w), F.lit(t)) for t, w in SOURCE_TOPICS.items()])
-    tokens = F.array_distinct(F.filter(F.split(text, r"[^\p{L}\p{N}_]+"), lambda x: x != ""))
-    rows = df.select(F.col(key), F.explode(F.array(F.struct(
+    # only tokens that occur in some source can matter; one search drops the rest
+    every = F.lit(" ".join(s.haystack for s in sources))
+    tokens = F.filter(F.array_distinct(F.split(text, r"[^\p{L}\p{N}_]+")), lambda x: (x != "") & every.contains(x))
+    rows = _with_plain(df, col).select(F.col(key), F.explode(F.array(F.struct(
         text.alias("text"), wanted.alias("freq"), topic.alias("topic"), tokens.alias("tokens")))).alias("_q"))
     q = F.col("_q")
 

@@ -147,8 +147,7 @@ def distinct_gaps(df: DataFrame, keys, time: str = "t") -> DataFrame:
     inner = (seen.withColumn("_p", F.lag("_t").over(forward([*keys, "_h"], "_t")))
              .where(F.col("_p").isNotNull())
              .select(*keys, (seconds_of("_t") - seconds_of("_p")).alias("gap")))
-    ends = df.where(F.col(time).isNotNull()).groupBy(*keys, hour.alias("_h")).agg(
-        F.min(time).alias("_a"), F.max(time).alias("_z"))
+    ends = seen.groupBy(*keys, "_h").agg(F.min("_t").alias("_a"), F.max("_t").alias("_z"))
     across = (ends.withColumn("_p", F.lag("_z").over(forward(keys, "_h")))
               .where(F.col("_p").isNotNull())
               .select(*keys, (seconds_of("_a") - seconds_of("_p")).alias("gap")))
