@@ -93,7 +93,8 @@ def driver_ranking(contributions: DataFrame | None, importance: DataFrame, k: in
                             F.lit("importance").alias("evidence"))
     if contributions is not None:
         con = contributions.select(*by, "feature", F.col("mean_abs").alias("score"), "direction", F.lit("contribution").alias("evidence"))
-        imp = imp.join(con.select(*by).distinct(), by, "left_anti").unionByName(con)
+        both = imp.withColumn("_p", F.lit(1)).unionByName(con.withColumn("_p", F.lit(0)))
+        imp = both.withColumn("_best", F.min("_p").over(whole(by))).where(F.col("_p") == F.col("_best")).drop("_p", "_best")
     return top_features(imp, k, "score", by)
 
 

@@ -16,7 +16,7 @@ def clean_header(names) -> list[str]:
     """Blank names become column_n, repeated ones get _2, _3, ..."""
     out, seen = [], {}
     for i, raw in enumerate(names, start=1):
-        name = (raw or "").strip().lstrip("﻿") or f"column_{i}"
+        name = (raw or "").strip().lstrip("\ufeff") or f"column_{i}"
         seen[name] = seen.get(name, 0) + 1
         out.append(name if seen[name] == 1 else f"{name}_{seen[name]}")
     return out
@@ -24,7 +24,7 @@ def clean_header(names) -> list[str]:
 
 def detect_encoding(spark: SparkSession, path: str, sample: int = 1000) -> str:
     """UTF-8 unless the sampled lines hold bytes that are not; then GB18030."""
-    bad = spark.read.text(path).limit(sample).where(F.col("value").contains("�")).limit(1)
+    bad = spark.read.text(path).limit(sample).where(~F.is_valid_utf8("value")).limit(1)
     return "GB18030" if bad.take(1) else "UTF-8"
 
 

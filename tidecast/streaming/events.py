@@ -23,9 +23,14 @@ def model_states(events: DataFrame, keys=RUN_KEYS) -> DataFrame:
 
 
 def finished_counts(events: DataFrame) -> DataFrame:
-    """Models that reached success or failed, per run."""
+    """Models that have reached success or failed, per run.
+
+    The state of a run is the set of its finished models; a run has as many as
+    its model grid, whatever the number of events.
+    """
     done = F.col("status").isin("success", "failed")
-    return events.where(done).groupBy("run_id").agg(F.approx_count_distinct(F.concat_ws("|", "target", "model_id"), 0.01).alias("completed"))
+    models = F.collect_set(F.struct("target", "model_id"))
+    return events.where(done).groupBy("run_id").agg(F.size(models).alias("completed"))
 
 
 def follow(events: DataFrame, sink, checkpoint: str, mode: str = "update", once: bool = True) -> StreamingQuery:

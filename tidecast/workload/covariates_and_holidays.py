@@ -169,9 +169,11 @@ def _(t):
 
 
 @query("recommendation", with_ctes("om_board", f"""
-SELECT a.series_id, a.model_id, b.model_id AS runner_up, {near_sql('b.mae - a.mae', 2)} AS mae_gap, 4::BIGINT AS reasons, 0::BIGINT AS caveats FROM om_board a JOIN om_board b ON a.series_id = b.series_id AND a.rank = 1 AND b.rank = 2"""))
+, m AS (SELECT series_id, model_id, rank, {near_sql('mae', 2)} AS mae FROM om_board)
+SELECT a.series_id, a.model_id, b.model_id AS runner_up, {near_sql('b.mae - a.mae', 2)} AS mae_gap, 3 + (b.mae > a.mae)::BIGINT AS reasons, (b.mae = a.mae)::BIGINT AS caveats
+FROM m a JOIN m b ON a.series_id = b.series_id AND a.rank = 1 AND b.rank = 2""".replace("\n, m AS", ", m AS", 1)))
 def _(t):
-    r = N.recommendation(monthly_run(t)[0])
+    r = N.recommendation(monthly_run(t)[0].withColumn("mae", near("mae", 2)))
     return r.select("series_id", "model_id", "runner_up", near("mae_gap", 2).alias("mae_gap"), F.size("reasons").alias("reasons"), F.size("caveats").alias("caveats"))
 
 

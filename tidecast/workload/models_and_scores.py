@@ -129,7 +129,7 @@ def _(t):
 
 
 @query("trend_regression", with_ctes("sm_in omf_axis", f"""
-, r AS (SELECT series_id, regr_slope(y, i) AS s, regr_intercept(y, i) AS c, max(n) AS n FROM sm_in GROUP BY 1)
+, r AS (SELECT series_id, regr_slope(y, k) AS s, regr_intercept(y, k) AS c, max(k) AS n FROM (SELECT series_id, y, year(t) * 12 + month(t) - 23940 AS k FROM sm_in) GROUP BY 1)
 SELECT x.series_id, x.step, x.t, {near_sql('c + s * (n + step)', 1)} AS predicted FROM omf_axis x JOIN r USING (series_id)""".replace("\n, r AS", ", r AS", 1)))
 def _(t):
     return trend_season(monthly(t), 12, "M", seasons=()).select("series_id", "step", "t", near("predicted", 1).alias("predicted"))
@@ -339,17 +339,18 @@ def _(t):
 
 
 @query("select_candidate", with_ctes("trials", """
-SELECT series_id, model_id, round, param, row_number() OVER (PARTITION BY series_id, model_id ORDER BY mae, round) = 1 AS selected FROM trials"""))
+SELECT series_id, model_id, round, param, row_number() OVER (PARTITION BY series_id, model_id ORDER BY floor(mae * 100.0::DOUBLE + 0.500001::DOUBLE), round) = 1 AS selected FROM trials"""))
 def _(t):
-    return B.select_candidate(tuned(t)).select("series_id", "model_id", "round", "param", "selected")
+    # to the cent: two windows can give the same MAE up to the order of a sum
+    return B.select_candidate(tuned(t).withColumn("mae", near("mae", 2))).select("series_id", "model_id", "round", "param", "selected")
 
 
 @query("best_so_far", with_ctes("trials", f"""
-SELECT series_id, model_id, round, {near_sql('min(mae) OVER w', 2)} AS best_metric,
- coalesce(mae < min(mae) OVER (PARTITION BY series_id, model_id ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS improved
-FROM trials WINDOW w AS (PARTITION BY series_id, model_id ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""))
+SELECT series_id, model_id, round, min(m) OVER w AS best_metric,
+ coalesce(m < min(m) OVER (PARTITION BY series_id, model_id ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS improved
+FROM (SELECT *, {near_sql('mae', 2)} AS m FROM trials) WINDOW w AS (PARTITION BY series_id, model_id ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""))
 def _(t):
-    return S.best_so_far(tuned(t)).select("series_id", "model_id", "round", near("best_metric", 2).alias("best_metric"), "improved")
+    return S.best_so_far(tuned(t).withColumn("mae", near("mae", 2))).select("series_id", "model_id", "round", "best_metric", "improved")
 
 
 @query("trial_summary", with_ctes("trials", f"""
