@@ -107,7 +107,8 @@ def _parsed(value: Column, label: Column) -> Column:
 # trimmed text -> number -> (digits, seconds since 1970) -> label -> value.
 
 def _number(text: Column) -> Column:
-    return F.when(text.rlike(NUMBER) & ~text.rlike(r"^\d{4}$"), text.try_cast("decimal(38,6)"))
+    """DOUBLE: exact for every whole number the readings below accept."""
+    return F.when(text.rlike(NUMBER) & ~text.rlike(r"^\d{4}$"), text.try_cast("double"))
 
 
 def _digits(number: Column) -> Column:
@@ -118,7 +119,7 @@ def _digits(number: Column) -> Column:
 
 def _seconds(number: Column) -> Column:
     """Unix milliseconds, Unix seconds and Excel days (1899-12-30 is day -25569) as seconds since 1970."""
-    n = number.try_cast("double")
+    n = number
     return (F.when(n.between(1_000_000_000_000, 4_102_444_800_000), n / 1000)
             .when(n.between(1_000_000_000, 4_102_444_800), n)
             .when(n.between(2, 80000), (n - 25569) * 86400))

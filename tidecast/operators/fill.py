@@ -23,10 +23,9 @@ def reindex(panel: DataFrame, freq: str, keys=KEYS) -> DataFrame:
     needs no self join.  ``is_gap`` marks inserted rows; their other columns
     are null.
     """
-    ahead = F.lead("t").over(forward(keys))
-    steps = F.coalesce(period_no(ahead, freq) - period_no("t", freq) - 1, F.lit(0))
+    steps = F.coalesce(period_no("_ahead", freq) - period_no("t", freq) - 1, F.lit(0))
     values = [c for c in panel.columns if c not in (*keys, "t")]
-    grid = panel.withColumn("_gap", steps).withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_gap").cast("int"))))
+    grid = panel.withColumn("_ahead", F.lead("t").over(forward(keys))).withColumn("_gap", steps).withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_gap").cast("int"))))
     real = F.col("_k") == 0
     return grid.select(*keys, next_period("t", freq, F.col("_k")).alias("t"),
                        *[F.when(real, F.col(c)).alias(c) for c in values], (~real).alias("is_gap"))

@@ -19,37 +19,30 @@ def _present(c: str) -> Column:
 
 
 def infer_column_types(df: DataFrame, columns=None) -> DataFrame:
-    """column, inferred_type, hits: boolean, number, datetime, string or empty.
+    """column, inferred_type and the counts behind it: boolean, number, datetime, string or empty.
 
-    One global aggregate of counters for all columns; no rows are shuffled.
-    Columns already typed as numbers keep their values, text is tested.
+    Values are unpivoted to narrow rows, so the parsing code exists once
+    whatever the number of columns, and counted with partial aggregates: the
+    shuffle carries one row per column and task.
     """
     columns = list(columns or df.columns)
-    texts = df.select(*[_present(c).alias(c) for c in columns])
-    flags = texts
-    for i, c in enumerate(columns):
-        flags = with_parsed_time(flags, c, f"_ok{i}").withColumn(f"_ok{i}", F.col(f"_ok{i}.ok"))
-    counters = []
-    for i, c in enumerate(columns):
-        v = F.col(f"`{c}`")
-        word = F.lower(_text(v))
-        number = _text(v).rlike(NUMBER) | word.isin("inf", "-inf", "nan", "infinity", "-infinity")
-        whole_text = F.regexp_replace(_text(v), r"\.0$", "")
-        parsed = F.col(f"_ok{i}")
-        clear = whole_text.rlike(r"^(19|20|21|22)\d{6}$") & parsed
-        counters.append(F.struct(
-            F.lit(c).alias("column"), F.count(v).alias("n"),
-            F.count_if(word.isin(*BOOLEAN_WORDS)).alias("booleans"), F.count_if(number).alias("numbers"),
-            F.count_if(clear).alias("clear_dates"), F.count_if(parsed).alias("dates"),
-            F.lit(any(h in c.strip().lower() for h in TIME_HINTS)).alias("hinted")).alias(f"c{i}"))
-    one = flags.agg(*counters)
-    rows = one.select(F.explode(F.array(*[F.col(f"c{i}") for i in range(len(columns))])).alias("p")).select("p.*")
+    pairs = F.array(*[F.struct(F.lit(i).alias("_i"), _present(c).alias("v")) for i, c in enumerate(columns)])
+    long = with_parsed_time(df.select(F.explode(pairs).alias("p")).select("p.*"), "v", "_t")
+    v, parsed = F.col("v"), F.col("_t.ok")
+    word = F.lower(_text(v))
+    number = _text(v).rlike(NUMBER) | word.isin("inf", "-inf", "nan", "infinity", "-infinity")
+    clear = F.regexp_replace(_text(v), r"\.0$", "").rlike(r"^(19|20|21|22)\d{6}$") & parsed
+    counts = long.groupBy("_i").agg(
+        F.count(v).alias("n"), F.count_if(word.isin(*BOOLEAN_WORDS)).alias("booleans"), F.count_if(number).alias("numbers"),
+        F.count_if(clear).alias("_clear"), F.count_if(parsed).alias("dates"))
+    names = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(any(h in c.strip().lower() for h in TIME_HINTS)).alias("hinted")) for c in columns])
+    rows = counts.withColumn("_c", names[F.col("_i")]).select("*", "_c.*")
     n = F.col("n")
     enough = F.greatest(F.lit(2), F.floor(n * 0.7))
+    all_numbers = F.col("numbers") == n
     kind = (F.when(n == 0, "empty").when(F.col("booleans") == n, "boolean")
-            .when((F.col("numbers") == n) & (F.col("clear_dates") >= enough), "datetime")
-            .when((F.col("numbers") == n) & F.col("hinted") & (F.col("dates") >= enough), "datetime")
-            .when(F.col("numbers") == n, "number")
+            .when(all_numbers & ((F.col("_clear") >= enough) | (F.col("hinted") & (F.col("dates") >= enough))), "datetime")
+            .when(all_numbers, "number")
             .when(F.col("dates") >= enough, "datetime").otherwise("string"))
     return rows.select("column", kind.alias("inferred_type"), "n", "booleans", "numbers", "dates")
 

@@ -1,8 +1,10 @@
-"""Session defaults for one machine."""
+"""Session defaults for one machine, and staging of shared results."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(app: str = "tidecast", cores: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -18,3 +20,22 @@ def local_session(app: str = "tidecast", cores: int | str = "*", partitions: int
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared checkpoint folder and go on from there (runs a job).
+
+    The folder is the one the cluster names in ``spark.checkpoint.dir``; files
+    there survive lost executors.  Only a local session without that setting
+    uses a folder of its own.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if shared is None:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+            shared = tempfile.mkdtemp(prefix="tidecast-")
+        sc.setCheckpointDir(shared)
+    return df.checkpoint(eager=True)

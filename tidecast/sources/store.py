@@ -15,17 +15,22 @@ def _fs(spark: SparkSession, path: str):
 
 
 def save_run(tables: dict[str, DataFrame], root: str, experiment_id: str) -> None:
-    """Write the tables of one run; saving the same run again replaces it and nothing else."""
+    """Write the tables of one run; saving the same run again replaces it and nothing else.
+
+    A table without rows leaves no partition behind and is not loaded again.
+    """
     for name, df in tables.items():
         (df.withColumn("experiment_id", F.lit(experiment_id)).write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy("experiment_id").parquet(f"{root}/{name}"))
 
 
 def stored_tables(spark: SparkSession, root: str) -> list[str]:
+    """Names of the tables under ``root`` that hold any run."""
     fs, p = _fs(spark, root)
     if not fs.exists(p):
         return []
-    return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory())
+    folders = [f.getPath() for f in fs.listStatus(p) if f.isDirectory()]
+    return sorted(d.getName() for d in folders if any(x.getPath().getName().startswith("experiment_id=") for x in fs.listStatus(d)))
 
 
 def load_run(spark: SparkSession, root: str, experiment_id: str, names=None) -> dict[str, DataFrame]:
