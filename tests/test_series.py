@@ -167,3 +167,33 @@ def test_health_levels(spark):
     assert out["clean"]["score"] >= 90 and out["clean"]["level"] == "excellent" and out["clean"]["warnings"] == []
     assert out["dirty"]["score"] < 75 and len(out["dirty"]["warnings"]) >= 5 and out["dirty"]["suggestions"]
     assert out["clean"]["span_days"] == 90.0
+
+
+def test_numbering_keeps_null_keys_and_times(spark):
+    from tidecast.functions.calendar import time_bucket
+    from tidecast.operators._common import number_rows
+    t0 = datetime(2024, 1, 1)
+    rows = [(k, None if i % 7 == 0 else t0 + timedelta(minutes=37 * i), i) for k in ("a", None) for i in range(50)]
+    df = spark.createDataFrame(rows, "k string, ts timestamp_ntz, id int")
+    got = number_rows(df, ["k"], ["ts", "id"], time_bucket("ts", "H")).collect()
+    assert len(got) == 100
+    for k in ("a", None):
+        want = sorted((r for r in rows if r[0] == k), key=lambda r: (r[1] is not None, r[1] or t0, r[2]))
+        mine = sorted((r for r in got if r["k"] == k), key=lambda r: r["sequence"])
+        assert [r["sequence"] for r in mine] == list(range(1, 51)) and [r["id"] for r in mine] == [r[2] for r in want]
+
+
+def test_hot_series_spreads_over_tasks(spark):
+    """One series holds nearly all raw rows: its rows still reach many tasks, and the answers are exact."""
+    n = 200_000
+    df = spark.range(n).selectExpr(
+        "IF(id % 50 = 0, concat('s', id % 7), 'hot') AS series_id", "id AS row",
+        "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, cast(id * 7 AS decimal(18, 6))) AS t", "IF(id % 3 = 0, NULL, cast(id % 1000 AS double)) AS y")
+    spec = PanelSpec(("series_id",), "t", "y", "H", "row")
+    filled = R.fill_rows(df, spec, "ffill")
+    sizes = [r["n"] for r in filled.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == n and max(sizes) < 0.6 * n and filled.where("y IS NULL").count() == 0
+    hot = R.detect_frequency(df, spec).where("series_id = 'hot'").first()
+    assert hot["freq"] == "H" and not hot["irregular"]
+    med = exact_quantile(df.where("y IS NOT NULL"), ["series_id"], "y", 0.5).where("series_id = 'hot'").first()["quantile"]
+    assert med == df.where("y IS NOT NULL AND series_id = 'hot'").agg(F.percentile("y", F.lit(0.5))).first()[0]

@@ -25,21 +25,30 @@ def whole(keys):
     return W.partitionBy(*cols(keys))
 
 
+def mark_chunks(df: DataFrame, keys, chunk: Column) -> DataFrame:
+    return df.withColumn("_key", F.struct(*cols(keys))).withColumn("_chunk", F.struct(chunk))
+
+
+def in_chunks(df: DataFrame, keys, order, chunk: Column) -> DataFrame:
+    """Adds ``_key``, ``_chunk`` and ``_n``, the position inside both.
+
+    Key and chunk are structs, so that null keys and null times group and join
+    like other values.  ``chunk`` must follow ``order`` (for instance the hour of the time stamp).
+    Everything that follows groups and joins on (_key, _chunk), so the rows are
+    exchanged once, and a key with a third of all rows spreads over as many
+    tasks as it has chunks.
+    """
+    return mark_chunks(df, keys, chunk).withColumn("_n", F.row_number().over(forward(["_key", "_chunk"], *order)))
+
+
 def number_rows(df: DataFrame, keys, order, chunk: Column, name: str = "sequence") -> DataFrame:
-    """1-based position inside each key, computed in chunks of the time axis.
+    """1-based position inside each key: ranks inside chunks, plus the rows of the chunks before.
 
-    ``chunk`` must follow ``order`` (for instance the hour of the time stamp).
-    Rows are ranked inside (key, chunk); one row per chunk then carries the
-    running count, so a key with a third of all rows still spreads over as
-    many tasks as it has chunks.
+    The chunk sizes are partial counts, so only the ranking moves the rows.
     """
-    ranked = (df.withColumn("_chunk", chunk)
-              .withColumn("_n", F.row_number().over(forward([*keys, "_chunk"], *order))))
-    sizes = ranked.groupBy(*keys, "_chunk").agg(F.max("_n").cast("bigint").alias("_size"))
-    before = F.sum("_size").over(forward(keys, "_chunk").rowsBetween(START, -1))
-    offsets = sizes.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-                           F.col("_chunk").alias("_c"), F.coalesce(before, F.lit(0)).alias("_before"))
-    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-    joined = ranked.join(offsets, [*same, F.col("_chunk") == F.col("_c")])
-    return (joined.withColumn(name, F.col("_before") + F.col("_n"))
-            .drop("_chunk", "_c", "_n", "_before", *[f"_k{i}" for i in range(len(keys))]))
+    ranked = in_chunks(df, keys, order, chunk)
+    sizes = mark_chunks(df, keys, chunk).groupBy("_key", "_chunk").agg(F.count("*").alias("_size"))
+    before = F.sum("_size").over(forward(["_key"], "_chunk").rowsBetween(START, -1))
+    offsets = sizes.select("_key", "_chunk", F.coalesce(before, F.lit(0)).alias("_before"))
+    joined = ranked.join(offsets, ["_key", "_chunk"])
+    return joined.withColumn(name, F.col("_before") + F.col("_n")).drop("_key", "_chunk", "_n", "_before")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.calendar import FREQ_ORDER, check_freq, seconds_of, time_bucket
 from ..functions.parse import MONTH_FORMATS, YEAR_FORMATS, finite, parse_number, trim_blank, with_parsed_time
 from ..spec import CleaningConfig, PanelSpec
-from ._common import START, backward, forward, number_rows
+from ._common import START, backward, forward, in_chunks, whole
 
 
 def annotate_rows(df: DataFrame, spec: PanelSpec, cfg: CleaningConfig = CleaningConfig(),
@@ -180,7 +180,7 @@ def detect_frequency(df: DataFrame, spec: PanelSpec, target: str | None = None,
     bands = gaps.groupBy(*keys, "_band").agg(
         F.count("*").alias("_n"), F.min("gap").alias("_lo"), F.max("gap").alias("_hi"))
     upto = F.sum("_n").over(forward(keys, "_band").rowsBetween(START, 0))
-    placed = bands.withColumns({"_upto": upto, "_all": F.sum("_n").over(_whole(keys))})
+    placed = bands.withColumns({"_upto": upto, "_all": F.sum("_n").over(whole(keys))})
     # 1-based ranks of the two middle gaps
     left, right = F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1
     before = F.col("_upto") - F.col("_n")
@@ -211,11 +211,6 @@ def detect_frequency(df: DataFrame, spec: PanelSpec, target: str | None = None,
     return out
 
 
-def _whole(keys):
-    from ._common import whole
-    return whole(keys)
-
-
 # -- filling at row level -----------------------------------------------------
 
 def fill_rows(df: DataFrame, spec: PanelSpec, strategy: str, limit: int | None = None) -> DataFrame:
@@ -241,24 +236,31 @@ def fill_rows(df: DataFrame, spec: PanelSpec, strategy: str, limit: int | None =
 
 
 def chunked_neighbours(df: DataFrame, keys, order, value: str) -> DataFrame:
-    """Adds ``_i`` (position), ``_x`` (seconds), ``_prev`` and ``_next`` known point of every row."""
-    chunk = time_bucket("t", "H")
-    rows = number_rows(df.withColumn("_x", seconds_of("t")), keys, order, chunk, "_i").withColumn("_h", chunk)
-    point = F.when(F.col(value).isNotNull(), F.struct(
-        F.col("_i").alias("i"), F.col("_x").alias("x"), F.col(value).alias("v")))
-    rows = rows.withColumn("_pt", point)
-    ends = rows.groupBy(*keys, "_h").agg(F.min("_pt").alias("_first"), F.max("_pt").alias("_last"))
-    carried = ends.select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_h").alias("_hh"),
-        F.last("_last", True).over(forward(keys, "_h").rowsBetween(START, -1)).alias("_before"),
-        F.last("_first", True).over(backward(keys, "_h").rowsBetween(START, -1)).alias("_after"))
-    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-    up = forward([*keys, "_h"], "_i").rowsBetween(START, 0)
-    down = backward([*keys, "_h"], "_i").rowsBetween(START, 0)
-    return (rows.withColumn("_in_prev", F.last("_pt", True).over(up))
-            .withColumn("_in_next", F.last("_pt", True).over(down))
-            .join(carried, [*same, F.col("_h") == F.col("_hh")])
-            .withColumn("_prev", F.coalesce("_in_prev", "_before"))
-            .withColumn("_next", F.coalesce("_in_next", "_after"))
-            .drop("_in_prev", "_in_next", "_before", "_after", "_h", "_hh", "_pt",
-                  *[f"_k{i}" for i in range(len(keys))]))
+    """Adds ``_i`` (position), ``_x`` (seconds), ``_prev`` and ``_next`` known point of every row.
+
+    Windows see one hour of one series.  Per hour, the number of rows and the
+    first and last known point are carried along the series and joined back.
+    """
+    rows = in_chunks(df.withColumn("_x", seconds_of("t")), keys, order, time_bucket("t", "H"))
+
+    def point(c):
+        return F.when(F.col(value).isNotNull(), F.struct(c.alias("i"), F.col("_x").alias("x"), F.col(value).alias("v")))
+
+    rows = rows.withColumn("_pt", point(F.col("_n").cast("bigint")))
+    part = ["_key", "_chunk"]
+    rows = (rows.withColumn("_p", F.last("_pt", True).over(forward(part, "_n").rowsBetween(START, 0)))
+            .withColumn("_q", F.last("_pt", True).over(backward(part, "_n").rowsBetween(START, 0))))
+
+    def shifted(p):
+        return F.when(F.col(p).isNotNull(), F.struct((F.col(f"{p}.i") + F.col("_before")).alias("i"), F.col(f"{p}.x").alias("x"), F.col(f"{p}.v").alias("v")))
+
+    hours = rows.groupBy(*part).agg(F.max("_n").cast("bigint").alias("_size"), F.min("_pt").alias("_first"), F.max("_pt").alias("_last"))
+    ahead, back = forward(["_key"], "_chunk").rowsBetween(START, -1), backward(["_key"], "_chunk").rowsBetween(START, -1)
+    hours = hours.withColumn("_before", F.coalesce(F.sum("_size").over(ahead), F.lit(0)))
+    hours = hours.withColumn("_first", shifted("_first")).withColumn("_last", shifted("_last"))
+    carried = hours.select(*part, "_before", F.last("_last", True).over(ahead).alias("_earlier"), F.last("_first", True).over(back).alias("_later"))
+    return (rows.join(carried, part)
+            .withColumn("_prev", F.coalesce(shifted("_p"), "_earlier"))
+            .withColumn("_next", F.coalesce(shifted("_q"), "_later"))
+            .withColumn("_i", F.col("_before") + F.col("_n"))
+            .drop("_key", "_chunk", "_n", "_pt", "_p", "_q", "_before", "_earlier", "_later"))
