@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.calendar import seconds_of
+from ..functions.calendar import period_no, seconds_of
 from ..functions.naming import percent, rate, texts
 from ..spec import PanelSpec
 
 
-def cleaning_diagnostics(rows: DataFrame, panel: DataFrame, spec: PanelSpec, grid: DataFrame | None = None,
-                         adjusted: bool = False, rows_used: DataFrame | None = None) -> DataFrame:
+def cleaning_diagnostics(rows: DataFrame, panel: DataFrame, spec: PanelSpec, adjusted: bool = False) -> DataFrame:
     """Counters of one series per row.
 
-    ``rows`` are annotated raw rows, ``grid`` the regular grid before filling
-    (``is_gap``), ``panel`` the finished panel with ``is_outlier``, and
-    ``rows_used`` the rows that went into the buckets.  Distinct buckets are
-    the grid rows that are not gaps, so raw rows need no distinct count.
+    ``rows`` are annotated raw rows; they are read once, as partial counts.
+    Everything else comes from the finished ``panel``, which carries
+    ``used_rows`` (raw rows per period), ``is_gap`` and ``is_outlier``: its
+    periods that are not gaps are the distinct buckets, and the gaps are the
+    rest of its calendar span.
     """
     keys = list(spec.keys)
     raw = rows.groupBy(*keys).agg(
@@ -26,14 +26,12 @@ def cleaning_diagnostics(rows: DataFrame, panel: DataFrame, spec: PanelSpec, gri
         F.count_if("missing_target").alias("missing_target"),
         F.count_if("invalid_target").alias("invalid_target"),
         F.count_if(F.col("y").isNotNull()).alias("known_rows"))
-    used = (rows if rows_used is None else rows_used).where(F.col("y").isNotNull()).groupBy(*keys).agg(
-        F.count("*").alias("used_rows"))
-    shape = (panel if grid is None else grid).groupBy(*keys).agg(
-        F.count_if(~F.col("is_gap")).alias("_buckets"), F.count_if("is_gap").alias("missing_time"))
+    span = period_no(F.max("t"), spec.freq) - period_no(F.min("t"), spec.freq) + 1
     done = panel.groupBy(*keys).agg(
-        F.count("*").alias("valid_points"), F.count_if("is_gap").alias("_filled_gaps"),
+        F.count("*").alias("valid_points"), F.sum("used_rows").alias("used_rows"),
+        F.count_if(~F.col("is_gap")).alias("_buckets"), F.count_if("is_gap").alias("_filled_gaps"), span.alias("_span"),
         F.count_if("is_outlier").alias("outliers"), F.min("t").alias("time_start"), F.max("t").alias("time_end"))
-    joined = raw.join(used, keys, "left").join(shape, keys, "left").join(done, keys, "left")
+    joined = raw.join(done, keys, "left")
 
     def n(c):
         return F.coalesce(F.col(c), F.lit(0))
@@ -42,8 +40,8 @@ def cleaning_diagnostics(rows: DataFrame, panel: DataFrame, spec: PanelSpec, gri
         *keys, "original_rows", n("valid_points").alias("valid_points"),
         (F.col("original_rows") - n("used_rows")).alias("dropped_rows"),
         (n("used_rows") - n("_buckets")).alias("duplicate_time"),
-        n("missing_time").alias("missing_time"), "invalid_time", "missing_target", "invalid_target",
-        (n("used_rows") - F.col("known_rows") + n("_filled_gaps")).alias("filled"),
+        (n("_span") - n("_buckets")).alias("missing_time"), "invalid_time", "missing_target", "invalid_target",
+        (n("used_rows") - F.least(F.col("known_rows"), n("used_rows")) + n("_filled_gaps")).alias("filled"),
         n("outliers").alias("outliers"), (n("outliers") if adjusted else F.lit(0).cast("bigint")).alias("outliers_adjusted"),
         "time_start", "time_end")
 

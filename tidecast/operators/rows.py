@@ -80,16 +80,20 @@ def aggregate_of(how: str, target: str, order: Column | None = None) -> Column:
     return plain[how](y)
 
 
-def bucket_aggregate(df: DataFrame, spec: PanelSpec, how: str = "sum", covariates: tuple[str, ...] = ()) -> DataFrame:
+def bucket_aggregate(df: DataFrame, spec: PanelSpec, how: str = "sum", covariates: tuple[str, ...] = (),
+                     count_as: str | None = None) -> DataFrame:
     """Raw rows to a panel: one row per series and period, covariates averaged alongside.
 
+    ``count_as`` names a column for the number of raw rows behind each period.
+
     One shuffle of partial aggregates: a hot series sends one row per period
     and map task, not its raw rows.
     """
     order = _order(spec, spec.time) if how in ("first", "last") else None
     return (df.groupBy(*spec.keys, time_bucket(spec.time, spec.freq).alias("t"))
             .agg(aggregate_of(how, spec.target, order).cast("double").alias("y"),
-                 *[F.avg(c).alias(c) for c in covariates]))
+                 *[F.avg(c).alias(c) for c in covariates],
+                 *([F.count("*").alias(count_as)] if count_as else [])))
 
 
 def resolve_duplicates(df: DataFrame, spec: PanelSpec, how: str = "mean") -> DataFrame:

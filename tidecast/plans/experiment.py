@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from ..operators.diagnostics import data_health
 from ..operators.rows import detect_frequency
 from ..operators.scoring import holdout_split, part_windows, split_eligible
-from ..session import stage
 from ..spec import CleaningConfig, PanelSpec
 from .backtest import Model, backtest, evaluate_candidates, final_by_series, select_candidate
 from .build import BuiltPanel, build_panel
@@ -64,8 +63,7 @@ def run_experiment(df: DataFrame, spec: PanelSpec, models: Iterable[Model], hori
     if horizon < 1 or test_size < 1:
         raise ValueError("horizon and test_size must be at least 1")
     models, keys = list(models), list(spec.keys)
-    built = build_panel(df, spec, cfg, how)
-    built = replace(built, panel=stage(built.panel))
+    built = build_panel(df, spec, cfg, how, staged=True)
     panel = built.panel.select(*keys, "t", "y")
     _, listed = split_eligible(panel, test_size, keys)
     split = holdout_split(panel, test_size, keys)
