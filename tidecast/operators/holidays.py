@@ -1,57 +1,56 @@
 """Holiday features from a calendar table (``date``, ``name`` and any columns named in ``on``).
 
-The range and as-of joins are equi joins on the day.  Holidays and the period
-bounds of the panel are put on one list of distinct days per calendar; running
-windows over that list give the holiday before, the holiday after and the
-number of holidays before each day, and a difference of two such numbers is
-the count inside a period.  The list is bounded by the calendar: it grows with
-the days covered, not with the series or rows.
+The range and as-of joins need no theta join: the holidays and the first day
+and end day of every distinct period are put on one time line per calendar.
+Running windows over it give the holiday before, the holiday after and the
+number of holidays before each day; the difference between a period's end and
+start is the count inside.  The line is bounded by the calendar: it grows with
+the periods covered, not with the series or rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.calendar import next_period
+from ..functions.calendar import EPOCH, next_period
 from ..spec import KEYS
-from ._common import START, backward, forward
+from ._common import START
 
 FEATURES = ("holiday_is_period", "holiday_count", "holiday_days_since_previous", "holiday_days_to_next", "holiday_is_window")
 FAR = 366  # fixed value: days reported when no holiday is that close
 
 
-def _days(periods: DataFrame, calendar: DataFrame, on) -> DataFrame:
-    """on, day, prev, next, before - one row per calendar and day of interest."""
-    starts = periods.select(*on, F.col("_start").alias("day"), F.lit(0).alias("_hol"))
-    ends = periods.select(*on, F.col("_end").alias("day"), F.lit(0).alias("_hol"))
-    named = calendar.select(*on, F.col("date").cast("date").alias("day"), F.lit(1).alias("_hol"))
-    days = starts.unionByName(ends).unionByName(named).groupBy(*on, "day").agg(F.max("_hol").alias("_hol"))
-    by = list(on) or [F.lit("calendar")]
-    hol = F.when(F.col("_hol") == 1, F.col("day"))
-    return days.select(
-        *on, "day",
-        F.last(hol, True).over(forward(by, "day").rowsBetween(START, 0)).alias("prev"),
-        F.last(hol, True).over(backward(by, "day").rowsBetween(START, 0)).alias("next"),
-        F.coalesce(F.sum("_hol").over(forward(by, "day").rowsBetween(START, -1)), F.lit(0)).alias("before"))
-
-
 def holiday_features(panel: DataFrame, calendar: DataFrame, freq: str, window_days: int = 1, on=()) -> DataFrame:
     """The panel with the five holiday columns."""
     on = list(on)
-    times = panel.select(*on, "t").distinct().select(
-        *on, "t", F.col("t").cast("date").alias("_start"), next_period("t", freq).cast("date").alias("_end"))
-    days = _days(times, calendar, on)
-    first = days.select(*on, F.col("day").alias("_start"), "prev", "next", F.col("before").alias("_b0"))
-    last = days.select(*on, F.col("day").alias("_end"), F.col("before").alias("_b1"))
-    joined = times.join(first, [*on, "_start"]).join(last, [*on, "_end"])
-    count = (F.col("_b1") - F.col("_b0")).cast("double")
-    since = F.coalesce(F.least(F.datediff("_start", "prev"), F.lit(FAR)), F.lit(FAR)).cast("double")
-    ahead = F.coalesce(F.least(F.datediff("next", "_start"), F.lit(FAR)), F.lit(FAR)).cast("double")
-    values = (F.when(count > 0, 1.0).otherwise(0.0), count, since, ahead,
-              F.when(F.least(since, ahead) <= window_days, 1.0).otherwise(0.0))
-    per_time = joined.select(*on, "t", *[v.alias(n) for v, n in zip(values, FEATURES)])
-    return panel.join(per_time, [*on, "t"], "left")
+
+    def day_no(c):
+        return F.datediff(c.cast("date"), F.lit(EPOCH).cast("date"))
+
+    edges = F.array(F.struct(day_no(F.col("t")).alias("day"), F.lit(0).alias("role")),
+                    F.struct(day_no(next_period("t", freq)).alias("day"), F.lit(1).alias("role")))
+    marks = panel.select(*on, "t").distinct().select(*on, "t", F.explode(edges).alias("_e")).select(*on, "t", "_e.*")
+    named = calendar.select(*on, F.lit(None).cast("timestamp_ntz").alias("t"), day_no(F.col("date")).alias("day"), F.lit(2).alias("role")).distinct()
+    by = list(on) or [F.lit("calendar")]
+    hol = F.when(F.col("role") == 2, F.col("day"))
+    ahead, back = W.partitionBy(*by).orderBy("day"), W.partitionBy(*by).orderBy(-F.col("day"))
+    line = marks.unionByName(named).withColumns({
+        "_prev": F.max(hol).over(ahead.rangeBetween(START, 0)), "_before": F.count(hol).over(ahead.rangeBetween(START, -1)),
+        "_next": F.min(hol).over(back.rangeBetween(START, 0))})
+
+    def at(role, value):
+        return F.max(F.when(F.col("role") == role, value))
+
+    since = F.coalesce(F.least(F.col("day") - F.col("_prev"), F.lit(FAR)), F.lit(FAR))
+    until = F.coalesce(F.least(F.col("_next") - F.col("day"), F.lit(FAR)), F.lit(FAR))
+    per_time = line.where(F.col("role") < 2).groupBy(*on, "t").agg(
+        (at(1, F.col("_before")) - at(0, F.col("_before"))).cast("double").alias("_count"),
+        at(0, since).cast("double").alias("_since"), at(0, until).cast("double").alias("_until"))
+    values = (F.when(F.col("_count") > 0, 1.0).otherwise(0.0), F.col("_count"), F.col("_since"), F.col("_until"),
+              F.when(F.least("_since", "_until") <= window_days, 1.0).otherwise(0.0))
+    return panel.join(per_time.select(*on, "t", *[v.alias(n) for v, n in zip(values, FEATURES)]), [*on, "t"], "left")
 
 
 def holiday_range(panel, calendar, freq, on=()):

@@ -91,12 +91,10 @@ CTES["prof"] = ("", """
 SELECT DISTINCT l_orderkey AS run_id, 'y' || l_linenumber AS target, 100 + l_orderkey % 5000 AS row_count, l_linenumber % 4 AS covariates, 23 + l_linenumber % 4 AS features, 'cpu' AS device FROM lineitem""")
 
 
-def sql_table(t, name: str, *tables: str):
+def sql_table(t, name: str, table: str):
     """The derived tables are the same text in both engines."""
-    needs, text = CTES[name]
-    for n in tables:
-        getattr(t, n).createOrReplaceTempView(n)
-    return t.spark.sql(text)
+    text = CTES[name][1].replace(f"FROM {table}", f"FROM {{{table}}}")
+    return t.spark.sql(text, **{table: getattr(t, table)})
 
 
 def runs(t):
