@@ -95,12 +95,17 @@ def period_no(c, freq: str) -> Column:
     return F.year(c).cast("bigint")
 
 
+def micros_of(c) -> Column:
+    """Microseconds since the epoch as BIGINT, so that differences are exact."""
+    c = _col(c)
+    day = F.datediff(c.cast("date"), F.lit(EPOCH).cast("date")).cast("bigint")
+    minutes = (day * 24 + F.hour(c)) * 60 + F.minute(c)
+    return minutes * 60_000_000 + (F.date_part(F.lit("SECOND"), c) * 1_000_000).cast("bigint")
+
+
 def seconds_of(c) -> Column:
     """Seconds since the epoch as DOUBLE, with the fraction."""
-    c = _col(c)
-    day = F.datediff(c.cast("date"), F.lit(EPOCH).cast("date")).cast("double")
-    return (day * 86400.0 + F.hour(c) * 3600.0 + F.minute(c) * 60.0
-            + F.date_part(F.lit("SECOND"), c).cast("double"))
+    return micros_of(c) / 1e6
 
 
 def calendar_fields(df: DataFrame, time_col: str = "t") -> DataFrame:

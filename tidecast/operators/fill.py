@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.calendar import next_period, period_no, seconds_of
+from ..functions.calendar import micros_of, next_period, period_no
 from ..spec import KEYS
 from ._common import START, backward, forward, whole
 
@@ -39,7 +39,7 @@ def time_index(panel: DataFrame, freq: str, keys=KEYS) -> DataFrame:
 
 def neighbours(panel: DataFrame, value: str = "y", keys=KEYS) -> DataFrame:
     """Adds ``_i``, ``_x`` and the previous and next known point (``_prev``, ``_next``)."""
-    rows = panel.withColumn("_i", F.row_number().over(forward(keys))).withColumn("_x", seconds_of("t"))
+    rows = panel.withColumn("_i", F.row_number().over(forward(keys))).withColumn("_x", micros_of("t"))
     point = F.when(F.col(value).isNotNull(), F.struct(
         F.col("_i").alias("i"), F.col("_x").alias("x"), F.col(value).alias("v")))
     return (rows.withColumn("_prev", F.last(point, True).over(forward(keys).rowsBetween(START, 0)))
@@ -56,7 +56,7 @@ def filled_value(value: str, strategy: str, limit: int | None) -> Column:
     if strategy not in ("interpolate", "time"):
         raise ValueError(f"unknown fill strategy {strategy!r}")
     axis = "x" if strategy == "time" else "i"
-    here = F.col("_x") if strategy == "time" else F.col("_i").cast("double")
+    here = F.col("_x") if strategy == "time" else F.col("_i")
     span = nxt[axis] - prev[axis]
     share = F.when(span != 0, (here - prev[axis]) / F.when(span != 0, span)).otherwise(0.0)
     inner = prev["v"] + (nxt["v"] - prev["v"]) * share

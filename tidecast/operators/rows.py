@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.calendar import FREQ_ORDER, check_freq, seconds_of, time_bucket
+from ..functions.calendar import FREQ_ORDER, check_freq, micros_of, time_bucket
 from ..functions.parse import MONTH_FORMATS, YEAR_FORMATS, finite, parse_number, trim_blank, with_parsed_time
 from ..spec import CleaningConfig, PanelSpec
 from ._common import START, backward, forward, in_chunks, whole
@@ -150,11 +150,11 @@ def distinct_gaps(df: DataFrame, keys, time: str = "t") -> DataFrame:
     seen = df.where(F.col(time).isNotNull()).select(*keys, hour.alias("_h"), F.col(time).alias("_t")).distinct()
     inner = (seen.withColumn("_p", F.lag("_t").over(forward([*keys, "_h"], "_t")))
              .where(F.col("_p").isNotNull())
-             .select(*keys, (seconds_of("_t") - seconds_of("_p")).alias("gap")))
+             .select(*keys, ((micros_of("_t") - micros_of("_p")) / 1e6).alias("gap")))
     ends = seen.groupBy(*keys, "_h").agg(F.min("_t").alias("_a"), F.max("_t").alias("_z"))
     across = (ends.withColumn("_p", F.lag("_z").over(forward(keys, "_h")))
               .where(F.col("_p").isNotNull())
-              .select(*keys, (seconds_of("_a") - seconds_of("_p")).alias("gap")))
+              .select(*keys, ((micros_of("_a") - micros_of("_p")) / 1e6).alias("gap")))
     return inner.unionByName(across)
 
 
@@ -240,12 +240,12 @@ def fill_rows(df: DataFrame, spec: PanelSpec, strategy: str, limit: int | None =
 
 
 def chunked_neighbours(df: DataFrame, keys, order, value: str) -> DataFrame:
-    """Adds ``_i`` (position), ``_x`` (seconds), ``_prev`` and ``_next`` known point of every row.
+    """Adds ``_i`` (position), ``_x`` (microseconds), ``_prev`` and ``_next`` known point of every row.
 
     Windows see one hour of one series.  Per hour, the number of rows and the
     first and last known point are carried along the series and joined back.
     """
-    rows = in_chunks(df.withColumn("_x", seconds_of("t")), keys, order, time_bucket("t", "H"))
+    rows = in_chunks(df.withColumn("_x", micros_of("t")), keys, order, time_bucket("t", "H"))
 
     def point(c):
         return F.when(F.col(value).isNotNull(), F.struct(c.alias("i"), F.col("_x").alias("x"), F.col(value).alias("v")))
