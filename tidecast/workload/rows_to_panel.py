@@ -196,8 +196,35 @@ def _(t):
                     "outlier_rate", "continuity", "train_sufficient", "test_reasonable", F.size("warnings").alias("warning_count"))
 
 
-@query("build_panel_standard")
+# the standard build: time interpolation of rows, then of days, then the Hampel filter
+
+def _near_cte(source: str) -> str:
+    return f"""SELECT *, last_value(CASE WHEN y IS NOT NULL THEN i END IGNORE NULLS) OVER p AS pi, last_value(CASE WHEN y IS NOT NULL THEN x END IGNORE NULLS) OVER p AS px,
+ last_value(y IGNORE NULLS) OVER p AS pv, first_value(CASE WHEN y IS NOT NULL THEN i END IGNORE NULLS) OVER n AS ni, first_value(CASE WHEN y IS NOT NULL THEN x END IGNORE NULLS) OVER n AS nx,
+ first_value(y IGNORE NULLS) OVER n AS nv FROM {source} WINDOW p AS (PARTITION BY series_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+ n AS (PARTITION BY series_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"""
+
+
+_FILLED = """CASE WHEN y IS NOT NULL THEN y WHEN pi IS NOT NULL AND ni IS NOT NULL AND (i - pi <= 7 OR ni - i <= 7)
+ THEN pv + (nv - pv) * CASE WHEN nx = px THEN 0 ELSE (x - px)::DOUBLE / (nx - px) END WHEN pi IS NULL AND ni - i <= 7 THEN nv WHEN ni IS NULL AND i - pi <= 7 THEN pv END"""
+_FRAME = "(PARTITION BY series_id ORDER BY t ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)"
+
+CTES["std_rows"] = ("parsed", "SELECT series_id, value AS t, y, epoch_us(value) AS x, row_number() OVER (PARTITION BY series_id ORDER BY value, event_id) AS i FROM parsed WHERE value IS NOT NULL")
+CTES["std_near"] = ("std_rows", _near_cte("std_rows"))
+CTES["std_day"] = ("std_near", f"SELECT series_id, date_trunc('day', t)::TIMESTAMP AS t, avg({_FILLED}) AS y, count({_FILLED}) AS used_rows FROM std_near WHERE ({_FILLED}) IS NOT NULL GROUP BY 1, 2")
+CTES["std_axis"] = ("std_day", "SELECT series_id, unnest(generate_series(min(t), max(t), INTERVAL 1 DAY)) AS t FROM std_day GROUP BY 1")
+CTES["std_grid"] = ("std_axis", "SELECT a.series_id, a.t, d.y, d.used_rows, d.t IS NULL AS is_gap, epoch_us(a.t) AS x, row_number() OVER (PARTITION BY a.series_id ORDER BY a.t) AS i FROM std_axis a LEFT JOIN std_day d ON d.series_id = a.series_id AND d.t = a.t")
+CTES["std_grid_near"] = ("std_grid", _near_cte("std_grid"))
+CTES["std_full"] = ("std_grid_near", f"SELECT series_id, t, {_FILLED} AS y, used_rows, is_gap FROM std_grid_near WHERE ({_FILLED}) IS NOT NULL")
+CTES["std_a"] = ("std_full", f"SELECT *, CASE WHEN count(y) OVER f >= 3 THEN quantile_cont(y, 0.5) OVER f END AS med FROM std_full WINDOW f AS {_FRAME}")
+CTES["std_b"] = ("std_a", "SELECT *, abs(y - med) AS dev FROM std_a")
+CTES["std_c"] = ("std_b", f"SELECT *, 1.4826 * 3.0 * CASE WHEN count(dev) OVER f >= 3 THEN quantile_cont(dev, 0.5) OVER f END AS cut FROM std_b WINDOW f AS {_FRAME}")
+
+
+@query("build_panel_standard", with_ctes("std_c", f"""
+SELECT series_id, t, {near_sql('CASE WHEN cut > 1e-9 AND dev > cut THEN med ELSE y END', 3)} AS y, used_rows, is_gap, coalesce(cut > 1e-9 AND dev > cut, false) AS is_outlier FROM std_c"""))
 def _(t):
     """Row-level and grid-level time interpolation plus Hampel, end to end."""
     cfg = CleaningConfig(missing="time", limit=7, outliers="hampel")
-    return build_panel(dirty(t), DIRTY, cfg).panel
+    p = build_panel(dirty(t), DIRTY, cfg).panel
+    return p.select("series_id", "t", near("y", 3).alias("y"), "used_rows", "is_gap", "is_outlier")
