@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .rules import apply_policy, ledger
 from .simhash import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,3 +30,33 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 @query("op1_simhash_near_dedup")
 def _simhash(spark, folder):
     return near_duplicates(documents(spark, folder))
+
+
+@query("op6_quality_rules", """
+    with words as (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents),
+    flat as (select doc_id, unnest(range(1, greatest(len(w) - 3, 1)::bigint)) as i, w from words),
+    grams as (select doc_id, i, array_to_string(w[i:i + 4], ' ') as g from flat),
+    again as (select doc_id, i, count(*) over (partition by doc_id, g) as c from grams),
+    covered as (select doc_id, i - coalesce(lag(i) over (partition by doc_id order by i), -9) as gap from again where c > 1),
+    repeats as (select doc_id, sum(least(5, gap))::bigint as n_repeat_words from covered group by doc_id),
+    lines as (select doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as l from words),
+    m as (select words.doc_id, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars,
+        (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols,
+        (len(l) - len(list_distinct(l)))::bigint as n_dup_lines, len(l)::bigint as n_lines,
+        coalesce(n_repeat_words, 0)::bigint as n_repeat_words,
+        length(t) - length(regexp_replace(t, '\\p{Lu}', '', 'g')) as caps, length(t) - length(replace(t, '!', '')) as marks,
+        len(list_filter(list_zip(w[:-2], w[2:]), lambda p: p[1] = p[2])) as stutter
+        from words join lines using (doc_id) left join repeats using (doc_id))
+    select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+        n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
+        not (n_words < 10 or 100 * n_repeat_words > 20 * n_words or 10 * n_symbols > n_words or (n_dup_lines >= 2 and 2 * n_dup_lines > n_lines)
+             or 10 * caps > 3 * word_chars or 10 * marks > n_words or 5 * stutter > n_words or word_chars > 20 * n_words) as kept,
+        (case when n_words < 10 then 1 else 0 end + case when 100 * n_repeat_words > 20 * n_words then 2 else 0 end
+         + case when 10 * n_symbols > n_words then 4 else 0 end + case when n_dup_lines >= 2 and 2 * n_dup_lines > n_lines then 8 else 0 end
+         + case when n_words > 0 and 10 * caps > 3 * word_chars then 16 else 0 end + case when 10 * marks > n_words then 32 else 0 end
+         + case when n_words > 0 and 5 * stutter > n_words then 64 else 0 end + case when n_words > 0 and word_chars > 20 * n_words then 128 else 0 end)::bigint as failed
+    from m""")
+def _rules(spark, folder):
+    book = apply_policy(apply_policy(ledger(documents(spark, folder)), "base", "base_kept"), "v1")
+    return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                       (~F.col("base_kept")).alias("base_failed"), "kept", "failed")
