@@ -22,14 +22,11 @@ def local_session(app: str = "tidecast", cores: int | str = "*", partitions: int
     return spark
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and go on from there (runs a job).
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; files
-    there survive lost executors.  Only a local session without that setting
-    uses a folder of its own.
+    Only a local session without that setting gets a folder of its own.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
@@ -38,4 +35,10 @@ def stage(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             shared = tempfile.mkdtemp(prefix="tidecast-")
         sc.setCheckpointDir(shared)
+    return sc.getCheckpointDir()
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Checkpoint ``df`` once to the shared folder and go on from there (runs a job); it survives lost executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
