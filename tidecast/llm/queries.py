@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .rules import apply_policy, ledger
+from .shards import shuffle_to_shards
 from .simhash import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +61,12 @@ def _rules(spark, folder):
     book = apply_policy(apply_policy(ledger(documents(spark, folder)), "base", "base_kept"), "v1")
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                        (~F.col("base_kept")).alias("base_failed"), "kept", "failed")
+
+
+@query("op2_external_shuffle")
+def _shards(spark, folder):
+    placed = shuffle_to_shards(documents(spark, folder))
+    body = F.coalesce(F.col("text"), F.lit(""))
+    return placed.select(
+        "doc_id", (F.octet_length(body) + 1).cast("bigint").alias("size"), F.crc32(body).alias("text_crc32"), F.lit("rows").alias("law"),
+        "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
