@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .lines import drop_boilerplate
 from .rules import apply_policy, ledger
 from .shards import shuffle_to_shards
 from .simhash import near_duplicates
@@ -70,3 +71,23 @@ def _shards(spark, folder):
     return placed.select(
         "doc_id", (F.octet_length(body) + 1).cast("bigint").alias("size"), F.crc32(body).alias("text_crc32"), F.lit("rows").alias("law"),
         "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+_TRIM = "trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+
+
+@query("op10_line_dedup", f"""
+    with lines as (select doc_id, source, unnest(list_transform(string_split(text, chr(10)), lambda x: {_TRIM})) as line from documents),
+    common as (select line, min(doc_id) as holder from lines where line <> '' group by line having count(distinct source) >= 10),
+    bad as (select doc_id, list(distinct line) as gone from lines join common using (line) where doc_id <> holder group by doc_id),
+    cleaned as (select doc_id, text, array_to_string(list_filter(string_split(text, chr(10)), lambda x: {_TRIM} = '' or not list_contains(coalesce(gone, []), {_TRIM})), chr(10)) as now
+        from documents left join bad using (doc_id))
+    select doc_id, (len(string_split(text, chr(10))) - case when now = '' and text <> '' then 0 else len(string_split(now, chr(10))) end)::bigint as n_removed,
+        length(now)::bigint as n_chars, sha256(now) as text_sha256 from cleaned""")
+def _lines(spark, folder):
+    docs = documents(spark, folder).select("doc_id", "source", "text", F.col("text").alias("before"))
+    now = drop_boilerplate(docs)
+    n = lambda c: F.size(F.split(c, "\n"))
+    gone = (F.col("text") == "") & (F.col("before") != "")
+    return now.select("doc_id", (n("before") - F.when(gone, 0).otherwise(n("text"))).cast("bigint").alias("n_removed"),
+                      F.length("text").cast("bigint").alias("n_chars"), F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"))
