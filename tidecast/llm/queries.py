@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .lines import drop_boilerplate
+from .pii import BASE, find_personal_data, listed
 from .rules import apply_policy, ledger
 from .shards import shuffle_to_shards
 from .simhash import near_duplicates
@@ -91,3 +92,11 @@ def _lines(spark, folder):
     gone = (F.col("text") == "") & (F.col("before") != "")
     return now.select("doc_id", (n("before") - F.when(gone, 0).otherwise(n("text"))).cast("bigint").alias("n_removed"),
                       F.length("text").cast("bigint").alias("n_chars"), F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"))
+
+
+@query("op8_weak_supervision_pii")
+def _personal(spark, folder):
+    found = find_personal_data(documents(spark, folder))
+    count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    return found.select("doc_id", *[count(k) for k in BASE], F.sha2(F.encode(listed(F.col("base")), "UTF-8"), 256).alias("base_sha256"),
+                        listed(F.col("spans")).alias("spans"))
