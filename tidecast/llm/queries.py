@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import decode, encode
+from .counts import count_tokens
 from .lines import drop_boilerplate
 from .pii import BASE, find_personal_data, listed
 from .rules import apply_policy, ledger
@@ -100,3 +103,18 @@ def _personal(spark, folder):
     count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
     return found.select("doc_id", *[count(k) for k in BASE], F.sha2(F.encode(listed(F.col("base")), "UTF-8"), 256).alias("base_sha256"),
                         listed(F.col("spans")).alias("spans"))
+
+
+@query("op5_prefix_bpe")
+def _prefix_bpe(spark, folder):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    coded = decode(encode(documents(spark, folder).select("doc_id", "text"), path, public_tokenizers.PATTERN), path)
+    return coded.select("doc_id", F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"),
+                        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
+@query("op9_token_counts")
+def _counts(spark, folder):
+    docs = documents(spark, folder).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    counted = count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return counted.select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
