@@ -7,7 +7,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .vocab import MEMO, parts, read_merges
+from .vocab import MEMO, parts, read_merges, slices
 
 #: Fixed value: how byte-level vocabularies cut text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -130,6 +130,6 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", special: str |
     @F.pandas_udf("bigint")
     def counted(texts):
         import pandas as pd
-        return pd.Series(count_texts([t or "" for t in texts], path, special), dtype="int64")
+        return pd.Series([n for run in slices([t or "" for t in texts]) for n in count_texts(run, path, special)], dtype="int64")
 
     return docs.withColumn(into, counted(F.col(text)))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .bpe import decode, encode
 from .counts import count_tokens
 from .lines import drop_boilerplate
+from .packing import pack
 from .pii import BASE, find_personal_data, listed
 from .rules import apply_policy, ledger
 from .shards import shuffle_to_shards
@@ -118,3 +119,9 @@ def _counts(spark, folder):
     docs = documents(spark, folder).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     counted = count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
     return counted.select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+
+
+@query("op7_retrieval_packing")
+def _packing(spark, folder):
+    pieces = pack(documents(spark, folder), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

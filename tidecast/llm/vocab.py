@@ -10,7 +10,9 @@ import re
 #: a space change the matches of the usual pre-token patterns.
 UNSAFE = re.compile(r"\s (?!\S)")
 #: Entries that a worker's memo of seen parts may hold; it is emptied when full.
-MEMO = 600_000
+MEMO = 300_000
+#: Characters of text that are cut into parts at a time, unless one text is longer.
+SLICE = 2_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -40,3 +42,16 @@ def read_merges(path: str) -> tuple[dict[bytes, int], list[tuple[bytes, bytes]]]
 def parts(text: str) -> list[str] | None:
     """The text cut before spaces, the space left out of all parts but the first; None if cutting would change pre-tokens."""
     return None if UNSAFE.search(text) else text.split(" ")
+
+
+def slices(texts: list[str]):
+    """Runs of texts of at most ``SLICE`` characters together, or one longer text."""
+    run, size = [], 0
+    for t in texts:
+        if run and size + len(t) > SLICE:
+            yield run
+            run, size = [], 0
+        run.append(t)
+        size += len(t)
+    if run:
+        yield run
