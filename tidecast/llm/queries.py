@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import decode, encode
+from .chunks import repeated_passages
 from .counts import count_tokens
 from .lines import drop_boilerplate
 from .packing import pack
@@ -125,3 +126,8 @@ def _counts(spark, folder):
 def _packing(spark, folder):
     pieces = pack(documents(spark, folder), public_tokenizers.path("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query("op4_substring_dedup")
+def _repeats(spark, folder):
+    return repeated_passages(documents(spark, folder))
