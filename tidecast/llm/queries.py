@@ -17,6 +17,7 @@ from .pii import BASE, find_personal_data, listed
 from .rules import apply_policy, ledger
 from .shards import shuffle_to_shards
 from .simhash import near_duplicates
+from .spotsigs import as_text, edit_likeness
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -131,3 +132,10 @@ def _packing(spark, folder):
 @query("op4_substring_dedup")
 def _repeats(spark, folder):
     return repeated_passages(documents(spark, folder))
+
+
+@query("op3_spotsigs")
+def _spots(spark, folder):
+    made = edit_likeness(documents(spark, folder))
+    return made.select("doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), as_text(F.col("signature")).alias("fingerprint"),
+                       as_text(F.col("edited_signature")).alias("edited_fingerprint"), "near_edited", "near_next")

@@ -106,8 +106,12 @@ def ablations(book: DataFrame, policy: str | tuple[str, ...]) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, policy: str | tuple[str, ...] = "v1") -> DataFrame:
-    """The rows that pass a policy, with all their columns as they are."""
-    names = ["__row", "__t", "__w", "__l", "__h"]
-    base = docs.drop(*names)
+    """The rows that pass a policy, with all their columns as they are.
+
+    The row number beside the verdict keeps the optimizer from moving the filter below the measurements, where it
+    would repeat them for every word.
+    """
+    base = docs.drop("__row")
     packed = base.select(F.struct(*[F.col(f"`{c}`") for c in base.columns]).alias("__row"), F.col("text"))
-    return apply_policy(ledger(packed, keep=("__row",)), policy, "__kept").where("__kept").select("__row.*")
+    judged = apply_policy(ledger(packed, keep=("__row",)), policy, "kept").select("__row", "kept", F.monotonically_increasing_id().alias("nth"))
+    return judged.where(F.col("kept") & (F.col("nth") >= 0)).select("__row.*")
