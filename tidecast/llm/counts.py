@@ -3,101 +3,49 @@
 from __future__ import annotations
 
 import numpy as np
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .vocab import MEMO, parts, read_merges, slices
+from .ragged import MergeTable
+from .vocab import MEMO, PATTERN, cutter, read_merges, slices
 
-#: Fixed value: how byte-level vocabularies cut text before merging.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-NEVER = np.iinfo(np.int64).max
 SYMBOLS = 1 << 20
+PIECES = cutter(PATTERN)
 
 
-class MergeTable:
-    """Ranks of symbol pairs, searched as one sorted array; symbols are vocabulary ids."""
+class ByteCounts:
+    """Token counts of byte strings."""
 
     def __init__(self, path: str):
         vocab, merges = read_merges(path)
         self.single = np.array([vocab[bytes([b])] for b in range(256)], np.int64)
-        key = np.array([vocab[a] << 32 | vocab[b] for a, b in merges], np.int64)
-        made = np.array([vocab[a + b] for a, b in merges], np.int64)
-        order = np.argsort(key, kind="stable")
-        self.key, self.rank, self.made = key[order], order.astype(np.int64), made[order]
-
-    def look_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rank (or NEVER) and place in the table of every pair."""
-        key = left << 32 | right
-        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-        return np.where(self.key[at] == key, self.rank[at], NEVER), at
+        self.table = MergeTable([(vocab[a], vocab[b], vocab[a + b]) for a, b in merges])
 
     def count(self, pieces: list[bytes]) -> np.ndarray:
-        """How many symbols are left of every piece when no pair can be merged.
-
-        All pieces are one ragged array; every round merges, in each piece, all places of its lowest-ranked
-        pair at once (from the left where they overlap).  Pieces without a mergeable pair leave the array.
-        """
         size = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        left_over = size.copy()
-        symbol = self.single[np.frombuffer(b"".join(pieces), np.uint8)]
-        owner = np.repeat(np.arange(len(pieces)), size)
-        while len(symbol) > 1:
-            inside = owner[:-1] == owner[1:]
-            rank, at = self.look_up(symbol[:-1], symbol[1:])
-            rank[~inside] = NEVER
-            begin = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-            lowest = np.minimum.reduceat(np.r_[rank, NEVER], begin)
-            length = np.diff(np.r_[begin, len(owner)])
-            hit = (rank == np.repeat(lowest, length)[:-1]) & (rank != NEVER)
-            where = np.flatnonzero(hit)
-            if not len(where):
-                break
-            run = np.flatnonzero(np.r_[True, np.diff(where) != 1])
-            odd = (np.arange(len(where)) - np.repeat(run, np.diff(np.r_[run, len(where)]))) & 1
-            where = where[odd == 0]
-            symbol[where] = self.made[at[where]]
-            keep = np.ones(len(symbol), bool)
-            keep[where + 1] = False
-            np.subtract.at(left_over, owner[where], 1)
-            keep &= np.repeat(lowest != NEVER, length)
-            symbol, owner = symbol[keep], owner[keep]
-        return left_over
-
-
-_LOADED: dict[str, tuple] = {}
-
-
-def _loaded(path: str):
-    """Merge table and the worker's memos: counts of parts at a text's start, after a space, and of pre-tokens."""
-    if path not in _LOADED:
-        _LOADED[path] = MergeTable(path), {}, {}, {}
-    return _LOADED[path]
+        _, owner = self.table.merge(self.single[np.frombuffer(b"".join(pieces), np.uint8)], np.repeat(np.arange(len(pieces)), size))
+        return np.bincount(owner, minlength=len(pieces))
 
 
-_FIND = regex.compile(PATTERN).findall
+_LOADED: dict[str, tuple[ByteCounts, dict[str, int]]] = {}
 
 
 def count_texts(texts: list[str], path: str, special: str | None = None) -> list[int]:
-    """Token counts of a batch of texts; ``special`` counts as one token wherever it stands."""
-    table, first, later, known = _loaded(path)
-    for memo in (first, later, known):
-        if len(memo) > MEMO:
-            memo.clear()
-    cut, extra = [], []
+    """Token counts of a batch of texts; ``special`` counts as one token wherever it stands.
+
+    The pre-tokens of the batch that the worker's memo does not have are counted together, as ragged arrays.
+    """
+    if path not in _LOADED:
+        _LOADED[path] = ByteCounts(path), {}
+    table, known = _LOADED[path]
+    if len(known) > MEMO:
+        known.clear()
+    cut, out = [], []
     for t in texts:
         stretches = t.split(special) if special and special in t else [t]
-        extra.append(len(stretches) - 1)
-        cut.append([(parts(s), s) for s in stretches])
-    starts = {x for doc in cut for p, s in doc for x in (p[:1] if p is not None else _FIND(s))} - first.keys()
-    inner: set[str] = set()
-    for doc in cut:
-        for p, _ in doc:
-            if p is not None:
-                inner.update(p[1:])
-    inner -= later.keys()
-    found = [(first, x, _FIND(x)) for x in starts] + [(later, x, _FIND(" " + x)) for x in inner]
-    fresh = list({m for _, _, ms in found for m in ms} - known.keys())
+        out.append(len(stretches) - 1)
+        cut.append(PIECES(stretches[0]) if len(stretches) == 1 else [m for s in stretches for m in PIECES(s)])
+    fresh = list(set().union(*cut) - known.keys())
     coded = [m.encode("utf-8") for m in fresh]
     at = 0
     while at < len(fresh):
@@ -107,17 +55,7 @@ def count_texts(texts: list[str], path: str, special: str | None = None) -> list
             to += 1
         known.update(zip(fresh[at:to], table.count(coded[at:to]).tolist()))
         at = to
-    for memo, x, ms in found:
-        memo[x] = sum(map(known.__getitem__, ms))
-    out = []
-    for doc, n in zip(cut, extra):
-        for p, s in doc:
-            if p is None:
-                n += sum(map(first.__getitem__, _FIND(s)))
-            else:
-                n += first[p[0]] + sum(map(later.__getitem__, p[1:]))
-        out.append(n)
-    return out
+    return [n + sum(map(known.__getitem__, c)) for n, c in zip(out, cut)]
 
 
 def count_tokens(docs: DataFrame, path: str, text: str = "text", special: str | None = "<|endoftext|>", into: str = "n_tokens") -> DataFrame:
@@ -125,7 +63,7 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", special: str |
 
     The special string inside a text is one token, as the tokenizer's library has it by default; nothing is
     added, cut or padded.  Null and empty texts have 0 tokens.  Repeated rows are treated alike; an existing column
-    ``into`` is replaced.  Workers keep bounded memos of counted parts.
+    ``into`` is replaced.  Workers keep bounded memos of counted pre-tokens.
     """
     @F.pandas_udf("bigint")
     def counted(texts):

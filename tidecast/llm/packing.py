@@ -7,43 +7,88 @@ what does not fit any more is cut and seeds the next window.
 
 from __future__ import annotations
 
+import json
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ragged import MergeTable
 from .store import written
-from .vocab import MEMO, slices
+from .vocab import MEMO, byte_alphabet, slices
 
 K1, B = 1.2, 0.75
 QUERY_TERMS = 24
 SHARD_TOKENS = 2_000_000
 
-_LOADED: dict[str, tuple] = {}
+#: Texts of these characters are lower-cased and cut here; the library does all others.  Each of the characters is its own
+#: normal form, and lower case changes it alone.
+PLAIN = re.compile(r"[\t\n\r -~\u00c0-\u012f\u0132-\u0148\u014a-\u017e]*")
+#: Fixed value: how the word vocabulary cuts lower-case text, for those characters.
+PIECES = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-z\u00df-\u00f6\u00f8-\u017e]+|[0-9]|[^\\sa-z0-9\u00df-\u00f6\u00f8-\u017e]+")
+ALPHABET = {b: c for c, b in byte_alphabet().items()}
+
 
+class WordTokenizer:
+    """Ids of texts as the library gives them, remembered by piece.
+
+    Unseen pieces of a batch are merged together as ragged arrays.  Texts beyond ``PLAIN``, and those with a special string, are
+    cut at spaces (which the tokenizer drops) and go through the library.
+    """
 
-def _loaded(path: str):
-    """The library's tokenizer and the worker's memo of the ids of space-separated parts."""
-    if path not in _LOADED:
+    def __init__(self, path: str, kind: str):
         from tokenizers import Tokenizer
-        _LOADED[path] = Tokenizer.from_file(path), {}
-    return _LOADED[path]
+        self.library, self.kind = Tokenizer.from_file(path), kind
+        with open(path, encoding="utf-8") as f:
+            loaded = json.load(f)
+        vocab, suffix = loaded["model"]["vocab"], loaded["model"]["end_of_word_suffix"]
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in loaded["model"]["merges"]]
+        self.table = MergeTable([(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs])
+        self.inner = np.array([vocab[ALPHABET[b]] for b in range(256)], np.int64)
+        self.last = np.array([vocab[ALPHABET[b] + suffix] for b in range(256)], np.int64)
+        self.special = [t["content"] for t in loaded["added_tokens"]]
+        self.parts: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def learn(self, new: list[str]) -> None:
+        raw = [x.encode("utf-8") for x in new]
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        symbol = self.inner[data]
+        end = np.cumsum(size) - 1
+        symbol[end] = self.last[data[end]]
+        symbol, owner = self.table.merge(symbol, np.repeat(np.arange(len(raw)), size))
+        ids, cuts = symbol.astype(self.kind).tobytes(), np.searchsorted(owner, np.arange(len(raw) + 1)) * np.dtype(self.kind).itemsize
+        self.pieces.update(zip(new, (ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()))))
+
+    def learn_parts(self, new: list[str]) -> None:
+        for at in range(0, len(new), 10_000):
+            some = new[at:at + 10_000]
+            for p, e in zip(some, self.library.encode_batch(some, add_special_tokens=False)):
+                self.parts[p] = np.array(e.ids, self.kind).tobytes()
+
+    def encode(self, texts: list[str], end: int) -> list[bytes]:
+        """Packed ids of every text and the end id."""
+        for memo in (self.parts, self.pieces):
+            if len(memo) > MEMO:
+                memo.clear()
+        plain = [PLAIN.fullmatch(t) is not None and not any(s in t for s in self.special) for t in texts]
+        cut = [PIECES.findall(t.lower()) if p else t.split(" ") for t, p in zip(texts, plain)]
+        self.learn(list(set().union(*(c for c, p in zip(cut, plain) if p)) - self.pieces.keys()))
+        self.learn_parts(list(set().union(*(c for c, p in zip(cut, plain) if not p)) - self.parts.keys()))
+        last = np.array([end], self.kind).tobytes()
+        return [b"".join(map((self.pieces if p else self.parts).__getitem__, c)) + last for c, p in zip(cut, plain)]
+
+
+_LOADED: dict[tuple[str, str], WordTokenizer] = {}
 
 
 def token_ids(texts: list[str], path: str, end: int, kind: str) -> list[bytes]:
-    """Ids of every text as packed integers, with the end id; the tokenizer drops white space, so parts
-    between spaces are encoded apart and remembered."""
-    tokenizer, memo = _loaded(path)
-    if len(memo) > MEMO:
-        memo.clear()
-    cut = [t.split(" ") for t in texts]
-    fresh = list({p for doc in cut for p in doc} - memo.keys())
-    for at in range(0, len(fresh), 20_000):
-        some = fresh[at:at + 20_000]
-        for p, e in zip(some, tokenizer.encode_batch(some, add_special_tokens=False)):
-            memo[p] = np.array(e.ids, kind).tobytes()
-    last = np.array([end], kind).tobytes()
-    return [b"".join(map(memo.__getitem__, doc)) + last for doc in cut]
+    if (path, kind) not in _LOADED:
+        _LOADED[path, kind] = WordTokenizer(path, kind)
+    return _LOADED[path, kind].encode(texts, end)
 
 
 def tokenize(docs: DataFrame, path: str, end: int, kind: str, text: str = "text") -> DataFrame:
@@ -61,10 +106,13 @@ def tokenize(docs: DataFrame, path: str, end: int, kind: str, text: str = "text"
 def document_frequencies(tokens: DataFrame, size: int, kind: str) -> np.ndarray:
     """How many documents have each id: counted in every task, summed by id; as many rows as the vocabulary has reach the driver."""
     def run(batches):
-        df = np.zeros(size, np.int64)
+        df, seen = np.zeros(size, np.int64), np.zeros(size, bool)
         for batch in batches:
             for x in batch.column(0):
-                df[np.unique(np.frombuffer(x.as_buffer(), kind))] += 1
+                seen[np.frombuffer(x.as_buffer(), kind)] = True
+                own = np.flatnonzero(seen)
+                df[own] += 1
+                seen[own] = False
         has = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(has), pa.array(df[has])], names=["term", "n"])
 
@@ -78,17 +126,17 @@ class Index:
     """BM25 postings of one shard: for each id the documents that have it and their weights."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
-        terms, owner, weight = [], [], []
-        for i, ids in enumerate(docs):
-            t, f = np.unique(ids, return_counts=True)
-            terms.append(t.astype(np.int32))
-            owner.append(np.full(len(t), i, np.int32))
-            weight.append((idf[t] * f * (K1 + 1) / (f + K1 * (1 - B + B * len(ids) / mean))).astype(np.float32))
-        self.of = list(zip(terms, weight))
-        terms, owner, weight = map(np.concatenate, (terms, owner, weight))
-        order = np.argsort(terms, kind="stable")
+        size = np.array([len(d) for d in docs], np.int64)
+        key = np.sort((np.repeat(np.arange(len(docs)), size) << 32) | np.concatenate(docs).astype(np.int64))
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        f = np.diff(np.r_[first, len(key)])
+        owner, term = (key[first] >> 32).astype(np.int32), (key[first] & 0xFFFFFFFF).astype(np.int32)
+        weight = (idf[term] * f * (K1 + 1) / (f + K1 * (1 - B + B * size[owner] / mean))).astype(np.float32)
+        cuts = np.searchsorted(owner, np.arange(len(docs) + 1))
+        self.of = [(term[a:b], weight[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+        order = np.argsort(term, kind="stable")
         self.owner, self.weight = owner[order], weight[order]
-        self.start = np.searchsorted(terms[order], np.arange(len(idf) + 1))
+        self.start = np.searchsorted(term[order], np.arange(len(idf) + 1))
         self.n = len(docs)
 
     def scores(self, i: int) -> np.ndarray:
