@@ -166,7 +166,7 @@ def test_sources(spark):
     for r in K.match_sources(df, freq="freq").orderBy("query_id", "place").collect():
         got.setdefault(r["query_id"], []).append(r["source_id"])
     assert got[1] == ["holiday_calendar_cn"]
-    assert got[2] == ["same_sheet_future_rows", "user_covariate_csv"]
+    assert got[2] == ["same_sheet_future_rows", "user_covariate_csv", "weather_connector_placeholder"]
     assert "macro_indicator_registry" in got[3] and "weather_connector_placeholder" not in got[3]
     assert got[4] == ["same_sheet_future_rows", "user_covariate_csv"]
     assert got[5] == ["user_covariate_csv", "weather_connector_placeholder"]

@@ -31,10 +31,13 @@ SUGGESTED = (("节假日", "is_holiday_period"), ("假期", "holiday_count"), ("
              ("油价", "fuel_price"), ("航油", "jet_fuel_price"), ("促销", "promotion_flag"), ("股票", "market_index"),
              ("指数", "market_index"), ("宏观", "macro_indicator"), ("gdp", "gdp"), ("cpi", "cpi"))
 
-# Topic words that point a query at sources directly.
-SOURCE_TOPICS = {"calendar": ("节假日", "假期", "日历"),
-                 "market": ("股票", "指数", "行情", "油价", "宏观", "cpi", "gdp", "汇率", "利率"),
-                 "weather": ("天气", "气温")}
+# Words of a topic, and the ids or categories of the sources that the topic asks for.
+SOURCE_TOPICS = {
+    "calendar": {"words": ("节假日", "假期", "日历"), "ids": ("holiday_calendar_cn",), "categories": ()},
+    "market": {"words": ("股票", "指数", "行情", "油价", "宏观", "cpi", "gdp", "汇率", "利率"), "ids": (),
+               "categories": ("connector_placeholder", "external_registry", "user_upload")},
+    "weather": {"words": ("天气", "气温"), "ids": ("weather_connector_placeholder", "user_covariate_csv"), "categories": ()},
+}
 CONFIDENCE = {"feature_engineering_data": 0.9, "custom_model": 0.9, "hybrid": 0.86, "unsupported": 0.9, "clarify": 0.62}
 
 
@@ -86,12 +89,16 @@ def leakage_terms(df: DataFrame, col: str) -> DataFrame:
 class DataSource:
     source_id: str
     name: str
+    category: str
     description: str
     availability: str
     freqs: tuple[str, ...]
-    topics: tuple[str, ...] = ()
     fallback: bool = False
 
+    @property
+    def topics(self) -> tuple[str, ...]:
+        return tuple(t for t, rule in SOURCE_TOPICS.items() if self.source_id in rule["ids"] or self.category in rule["categories"])
+
     @property
     def haystack(self) -> str:
         return " ".join((self.source_id, self.name, self.description, self.availability)).strip().lower()
@@ -99,18 +106,18 @@ class DataSource:
 
 # The registered sources; queries are matched against these texts.
 REGISTRY = (
-    DataSource("holiday_calendar_cn", "中国节假日日历", "由 Holiday Generator 生成节假日、节日前后窗口和距离特征。",
-               "known_future", ("D", "W", "M"), ("calendar",)),
-    DataSource("same_sheet_future_rows", "同一 Sheet 未来空目标行", "用户在同一表格中提供未来时间点的协变量，目标列留空。",
-               "known_future", ("H", "D", "W", "M", "Q", "Y"), ("market",), True),
-    DataSource("user_covariate_csv", "用户上传协变量 CSV/XLSX", "上传与目标时间轴可对齐的外部数据，进入 Covariate Loader。",
-               "unknown_future", ("H", "D", "W", "M", "Q", "Y"), ("market", "weather"), True),
-    DataSource("market_index_connector_placeholder", "行情/指数连接器占位", "用于登记股票指数、商品价格、油价等外部行情来源；当前版本不自动抓取。",
-               "unknown_future", ("D", "W", "M"), ("market",)),
-    DataSource("weather_connector_placeholder", "天气连接器占位", "用于登记历史天气或天气预报来源；当前版本只生成接口计划。",
-               "unknown_future", ("H", "D"), ("weather",)),
-    DataSource("macro_indicator_registry", "宏观指标登记表", "用于登记 GDP、CPI、汇率、利率等低频外部指标，不自动下载。",
-               "unknown_future", ("M", "Q", "Y"), ("market",)),
+    DataSource("holiday_calendar_cn", "中国节假日日历", "built_in", "由 Holiday Generator 生成节假日、节日前后窗口和距离特征。",
+               "known_future", ("D", "W", "M")),
+    DataSource("same_sheet_future_rows", "同一 Sheet 未来空目标行", "user_upload", "用户在同一表格中提供未来时间点的协变量，目标列留空。",
+               "known_future", ("H", "D", "W", "M", "Q", "Y"), True),
+    DataSource("user_covariate_csv", "用户上传协变量 CSV/XLSX", "user_upload", "上传与目标时间轴可对齐的外部数据，进入 Covariate Loader。",
+               "unknown_future", ("H", "D", "W", "M", "Q", "Y"), True),
+    DataSource("market_index_connector_placeholder", "行情/指数连接器占位", "connector_placeholder", "用于登记股票指数、商品价格、油价等外部行情来源；当前版本不自动抓取。",
+               "unknown_future", ("D", "W", "M")),
+    DataSource("weather_connector_placeholder", "天气连接器占位", "connector_placeholder", "用于登记历史天气或天气预报来源；当前版本只生成接口计划。",
+               "unknown_future", ("H", "D")),
+    DataSource("macro_indicator_registry", "宏观指标登记表", "external_registry", "用于登记 GDP、CPI、汇率、利率等低频外部指标，不自动下载。",
+               "unknown_future", ("M", "Q", "Y")),
 )
 
 
@@ -127,7 +134,7 @@ def match_sources(df: DataFrame, col: str = "query", key: str = "query_id", freq
     text = F.col("_x")
     wanted = F.upper(F.coalesce(F.col(freq), F.lit(""))) if freq else F.lit("")
     # the first topic found decides, in the order calendar, market, weather
-    topic = F.coalesce(*[F.when(has_any(text, w), F.lit(t)) for t, w in SOURCE_TOPICS.items()])
+    topic = F.coalesce(*[F.when(has_any(text, rule["words"]), F.lit(t)) for t, rule in SOURCE_TOPICS.items()])
     # only tokens that occur in some source can matter; one search drops the rest
     every = F.lit(" ".join(s.haystack for s in sources))
     tokens = F.filter(F.array_distinct(F.split(text, r"[^\p{L}\p{N}_]+")), lambda x: (x != "") & every.contains(x))
