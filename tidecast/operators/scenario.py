@@ -27,9 +27,10 @@ def residual_band(forecast: DataFrame, backtest: DataFrame, keys=KEYS) -> DataFr
         "p10": F.col("predicted") - s, "p50": F.col("predicted"), "p90": F.col("predicted") + s}).drop("_s"))
 
 
-def model_gap_table(leaderboard: DataFrame, k: int = 6) -> DataFrame:
+def model_gap_table(leaderboard: DataFrame, k: int = 6, keys=KEYS) -> DataFrame:
+    """The first ``k`` models of each series with their error and times."""
     return leaderboard.where(F.col("rank") <= k).select(
-        *[c for c in leaderboard.columns if c in ("series_id", "model_id", "rank", "mae")],
+        *[c for c in leaderboard.columns if c in (*keys, "model_id", "rank", "mae")],
         *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("fit_seconds", "predict_seconds")])
 
 

@@ -47,16 +47,16 @@ def _fit(estimator, model_id: str, features: DataFrame, names, cfg: FeatureConfi
 
 
 def lag_forest(features: DataFrame, names, cfg: FeatureConfig = FeatureConfig(), trees: int = 120, depth: int = 18,
-               leaf: int = 2, target: str = "y", seed: int = SEED) -> TreeModel:
+               leaf: int = 2, target: str = "y", seed: int = SEED, bootstrap: bool = True) -> TreeModel:
     """Random forest; runs one Spark job per tree level."""
-    est = RandomForestRegressor(numTrees=trees, maxDepth=min(depth, 30), minInstancesPerNode=leaf, seed=seed)
+    est = RandomForestRegressor(numTrees=trees, maxDepth=min(depth, 30), minInstancesPerNode=leaf, seed=seed, bootstrap=bootstrap)
     return _fit(est, "lag_forest", features, names, cfg, target)
 
 
 def lag_boosting(features: DataFrame, names, cfg: FeatureConfig = FeatureConfig(), trees: int = 200, depth: int = 3,
-                 rate: float = 0.05, target: str = "y", seed: int = SEED) -> TreeModel:
-    """Gradient boosting; trees grow one after the other, each over all rows."""
-    est = GBTRegressor(maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=0.9, seed=seed)
+                 rate: float = 0.05, target: str = "y", seed: int = SEED, share: float = 0.9) -> TreeModel:
+    """Gradient boosting; trees grow one after the other, each over a random ``share`` of the rows."""
+    est = GBTRegressor(maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=share, seed=seed)
     return _fit(est, "lag_boosting", features, names, cfg, target)
 
 
@@ -141,19 +141,20 @@ def recursive_predict(model: TreeModel, panel: DataFrame, horizon: int, freq: st
             F.col("step").cast("int").alias("step"), F.struct(*cfg.covariates).alias("c")))).alias("_future"))
         state = state.join(given, keys, "left")
 
-    def known(k: int) -> list[Column]:
+    def known(k: Column) -> list[Column]:
         t = next_period("_end", freq, k)
         row = []
         if cfg.calendar:
             row += [(F.col("_n") + (k - 1)).cast("double"), F.weekday(t).cast("double"), F.month(t).cast("double")]
         for c in cfg.covariates:
-            ahead = F.try_element_at("_future", F.lit(k))[c].cast("double") if "_future" in state.columns else F.lit(None).cast("double")
+            ahead = F.try_element_at("_future", k)[c].cast("double") if "_future" in state.columns else F.lit(None).cast("double")
             row.append(F.coalesce(ahead, F.col(f"_last_{c}"), F.lit(0.0)))
         return row
 
-    inputs = F.array(*[c for k in range(1, horizon + 1) for c in known(k)]).cast("array<double>")
+    # the inputs of a step are written once, for a step number that runs; the plan is as long for any horizon
+    inputs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(horizon)), lambda k: F.array(*known(k)).cast("array<double>")))
     trees = panel.sparkSession.sparkContext.broadcast(tree_arrays(model))
-    width = len(model.names)
+    width = len(model.names) if with_features else 0
 
     @F.pandas_udf("array<double>")
     def walk(history: pd.Series, ahead: pd.Series) -> pd.Series:
@@ -165,7 +166,9 @@ def recursive_predict(model: TreeModel, panel: DataFrame, horizon: int, freq: st
         for k in range(horizon):
             x = np.column_stack([*_trailing(past, cfg), fixed[:, k, :]])
             y = _tree_values(trees.value, x)
-            out[:, k, 0], out[:, k, 1:] = y, x
+            out[:, k, 0] = y
+            if width:
+                out[:, k, 1:] = x
             past = np.column_stack([past[:, 1:], y])
         return pd.Series(list(out.reshape(len(history), -1)))
 

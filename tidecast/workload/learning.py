@@ -7,14 +7,16 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import functions as F
 
+from ..functions.calendar import next_period
 from ..operators import scenario as N
 from ..operators import trees as L
 from ..operators.custom import register_forecaster, run_forecaster
 from ..operators.features import feature_matrix
 from ..operators.forecasters import naive, residual_interval
 from ..operators.runs import importance_by_name
-from ..operators.scoring import holdout_split, pair_predictions
+from ..operators.scoring import holdout_split, largest_residual, pair_predictions
 from ..plans.backtest import leaderboard_of, model_grid
+from ..spec import FeatureConfig
 from .base import CTES, hourly_zero, monthly, near, near_sql, query, with_ctes
 from .models_and_scores import hourly_run
 from .windows_and_fill import NAMES
@@ -27,50 +29,107 @@ def split(t):
     return s.where(~F.col("is_test")).drop("is_test", "step"), s.where("is_test")
 
 
-def forest(t, train):
-    m, names = feature_matrix(train)
-    return L.lag_forest(m, names, trees=20, depth=6), m
+# One tree with one split over the hour and the weekday can be found in SQL: the split that leaves the least variance, and
+# the mean on either side.  Deeper trees are compared with the model's own prediction in the unit tests.
 
+ONLY = FeatureConfig(lags=(), means=(), stds=(), calendar=False, holidays=False, covariates=("hour", "weekday"))
 
-@query("lag_forest_leaderboard")
+
+def with_clock(df):
+    return df.withColumns({"hour": F.hour("t").cast("double"), "weekday": F.weekday("t").cast("double")})
+
+
+def stump(train):
+    return L.lag_forest(with_clock(train), ONLY.covariates, ONLY, trees=1, depth=1, bootstrap=False)
+
+
+def clock_ahead(panel, horizon):
+    ends = panel.groupBy("series_id").agg(F.max("t").alias("_t"))
+    steps = ends.select("series_id", "_t", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step"))
+    return with_clock(steps.withColumn("t", next_period("_t", "H", F.col("step")))).drop("_t", "t")
+
+
+def _stump_ctes(prefix, source):
+    CTES[f"{prefix}_v"] = (source, f"SELECT *, hour(t) AS hour, isodow(t) - 1 AS weekday FROM {source}")
+    CTES[f"{prefix}_g"] = (f"{prefix}_v", f"""
+SELECT f, x, sum(y) AS s, count(*) AS n FROM (SELECT 'hour' AS f, hour AS x, y FROM {prefix}_v UNION ALL SELECT 'weekday', weekday, y FROM {prefix}_v) GROUP BY 1, 2""")
+    CTES[f"{prefix}_c"] = (f"{prefix}_g", f"""
+SELECT f, x, sum(s) OVER w AS ls, sum(n) OVER w AS ln, sum(s) OVER (PARTITION BY f) AS ts, sum(n) OVER (PARTITION BY f) AS tn FROM {prefix}_g WINDOW w AS (PARTITION BY f ORDER BY x)""")
+    CTES[f"{prefix}_cut"] = (f"{prefix}_c", f"""
+SELECT f, x + 0.5 AS cut, ls / ln AS low, (ts - ls) / (tn - ln) AS high FROM {prefix}_c WHERE ln < tn ORDER BY ls * ls / ln + (ts - ls) * (ts - ls) / (tn - ln) DESC LIMIT 1""")
+
+
+_LEAF = "CASE WHEN CASE c.f WHEN 'hour' THEN {h} ELSE {w} END <= c.cut THEN c.low ELSE c.high END"
+CTES["lf_rows"] = ("ev_zero", "SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY t DESC) AS back FROM ev_zero")
+CTES["lf_train"] = ("lf_rows", f"SELECT series_id, t, y FROM lf_rows WHERE back > {TEST}")
+_stump_ctes("lf", "lf_train")
+_stump_ctes("lb", "ev_zero")
+CTES["lf_points"] = ("lf_rows lf_cut", f"""
+SELECT series_id, t, back, y AS actual, {_LEAF.format(h='hour(t)', w='isodow(t) - 1')} AS predicted FROM lf_rows, lf_cut c WHERE back <= {TEST}""")
+
+
+@query("lag_forest_leaderboard", with_ctes("lf_points lf_rows", f"""
+, a AS (SELECT series_id, 'lag_forest' AS model_id, actual, predicted FROM lf_points
+ UNION ALL SELECT p.series_id, 'naive', p.actual, r.y FROM lf_points p JOIN lf_rows r ON r.series_id = p.series_id AND r.back = {TEST} + 1),
+m AS (SELECT series_id, model_id, avg(abs(actual - predicted)) AS mae, sqrt(avg((actual - predicted) * (actual - predicted))) AS rmse FROM a GROUP BY 1, 2)
+SELECT series_id, model_id, {near_sql('mae')} AS mae, {near_sql('rmse')} AS rmse, rank() OVER (PARTITION BY series_id ORDER BY mae) AS rank FROM m""".replace("\n, a AS", ", a AS", 1)))
 def _(t):
     train, test = split(t)
-    model, _ = forest(t, train)
-    trees = L.recursive_predict(model, train, TEST, "H")
+    trees = L.recursive_predict(stump(train), with_clock(train), TEST, "H", clock_ahead(train, TEST))
     base = naive(train, TEST, "H")
     points = pair_predictions(test, trees.unionByName(base))
     expected = model_grid(train.select("series_id").distinct(), ["lag_forest", "naive"])
-    return leaderboard_of(points, expected, TEST)
+    board = leaderboard_of(points, expected, TEST)
+    return board.select("series_id", "model_id", near("mae").alias("mae"), near("rmse").alias("rmse"), "rank")
 
 
-@query("lag_boosting_forecast")
+@query("lag_boosting_forecast", with_ctes("lb_v lb_cut ehf_axis", f"""
+, r AS (SELECT series_id, stddev_samp(y - {_LEAF.format(h='hour', w='weekday')}) AS s FROM lb_v, lb_cut c GROUP BY 1),
+p AS (SELECT series_id, step, t, {_LEAF.format(h='hour(t)', w='isodow(t) - 1')} AS predicted FROM ehf_axis, lb_cut c WHERE step <= 12)
+SELECT series_id, step, t, {near_sql('predicted')} AS predicted, {near_sql('predicted - 1.96 * s')} AS lower, {near_sql('predicted + 1.96 * s')} AS upper FROM p JOIN r USING (series_id)""".replace("\n, r AS", ", r AS", 1)))
 def _(t):
-    p = hourly_zero(t)
-    m, names = feature_matrix(p)
-    model = L.lag_boosting(m, names, trees=10, depth=3, rate=0.2)
-    return residual_interval(L.fitted_residuals(model, m), L.recursive_predict(model, p, 12, "H"))
+    p = with_clock(hourly_zero(t))
+    model = L.lag_boosting(p, ONLY.covariates, ONLY, trees=1, depth=1, share=1.0)
+    out = residual_interval(L.fitted_residuals(model, p), L.recursive_predict(model, p, 12, "H", clock_ahead(p, 12)))
+    return out.select("series_id", "step", "t", *[near(c).alias(c) for c in ("predicted", "lower", "upper")])
 
 
-@query("feature_importance")
+@query("feature_importance", with_ctes("lf_cut", """
+SELECT 'lag_forest' AS model_id, n AS feature, CASE WHEN n = f THEN 1.0 ELSE 0.0 END::DOUBLE AS importance, CASE WHEN n = f THEN 1 ELSE 2 END::BIGINT AS rank
+FROM lf_cut, (VALUES ('hour'), ('weekday')) AS v(n)"""))
 def _(t):
-    model, _ = forest(t, split(t)[0])
-    return L.feature_importance(t.spark, model)
+    return L.feature_importance(t.spark, stump(split(t)[0]))
+
+
+# a stump's contributions: all of the step from the mean row's leaf to the row's own goes to the one feature it looks at
+CTES["lf_base"] = ("lf_v lf_cut", f"SELECT {_LEAF.format(h='m.h', w='m.w')} AS base FROM lf_cut c, (SELECT avg(hour) AS h, avg(weekday) AS w FROM lf_v) m")
 
 
-@query("shapley_drivers")
+@query("shapley_drivers", with_ctes("lf_v lf_cut lf_base", f"""
+, l AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY t DESC) AS back FROM lf_v),
+d AS (SELECT c.f, {_LEAF.format(h='hour', w='weekday')} - base AS x FROM l, lf_cut c, lf_base WHERE back <= 128),
+a AS (SELECT n AS feature, avg(CASE WHEN n = f THEN abs(x) ELSE 0 END) AS mean_abs, avg(CASE WHEN n = f THEN x ELSE 0 END) AS signed FROM d, (VALUES ('hour'), ('weekday')) AS v(n) GROUP BY 1)
+SELECT 'lag_forest' AS model_id, feature, {near_sql('mean_abs')} AS mean_abs, CASE WHEN signed > 1e-9 THEN 'positive' WHEN signed < -1e-9 THEN 'negative' ELSE 'neutral' END AS direction,
+ rank() OVER (ORDER BY mean_abs DESC, feature) AS rank FROM a""".replace("\n, l AS", ", l AS", 1)))
 def _(t):
-    train, _ = split(t)
-    model, m = forest(t, train)
-    return N.driver_ranking(L.shapley_sampled(model, m, permutations=8, last=32), L.feature_importance(t.spark, model))
+    train = split(t)[0]
+    out = L.shapley_sampled(stump(train), with_clock(train))
+    return out.select("model_id", "feature", near("mean_abs").alias("mean_abs"), "direction", "rank")
 
 
-@query("single_point")
+@query("single_point", with_ctes("lf_points lf_cut lf_base", f"""
+, w AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY abs(actual - predicted) DESC, t) AS r FROM lf_points)
+SELECT series_id, t, n AS feature, {near_sql('CASE WHEN n = f THEN predicted - base ELSE 0 END')} AS contribution,
+ CASE WHEN n <> f OR abs(predicted - base) <= 1e-9 THEN 'neutral' WHEN predicted > base THEN 'positive' ELSE 'negative' END AS direction
+FROM w, lf_cut, lf_base, (VALUES ('hour'), ('weekday')) AS v(n) WHERE r = 1""".replace("\n, w AS", ", w AS", 1)))
 def _(t):
     train, test = split(t)
-    model, m = forest(t, train)
-    rows = L.recursive_predict(model, train, TEST, "H", with_features=True)
-    points = pair_predictions(test, rows)
-    return L.single_point(points, L.shapley_points(model, rows, m, ["series_id", "t"], 8))
+    model = stump(train)
+    rows = L.recursive_predict(model, with_clock(train), TEST, "H", clock_ahead(train, TEST), with_features=True)
+    worst = largest_residual(pair_predictions(test, rows))
+    told = rows.join(worst.select("series_id", "t"), ["series_id", "t"])
+    out = L.single_point(worst, L.shapley_points(model, told, with_clock(train), ["series_id", "t"]))
+    return out.select("series_id", "t", "feature", near("contribution").alias("contribution"), "direction")
 
 
 @query("user_forecaster", with_ctes("ehf_end", f"""
