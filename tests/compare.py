@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 
 import duckdb
 
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
           "labels conversations").split()
 
@@ -57,7 +60,6 @@ def difference(spark_df, con, sql: str, show: int = 3) -> str | None:
 
 def main(argv):
     from tidecast.session import local_session
-    sys.path.insert(0, ".")
     import __spark_entry__ as entry
     folder = argv[0] if argv else "/root/testdata/sf0.01"
     wanted = argv[1:]

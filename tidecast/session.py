@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,3 +44,15 @@ def stage(df: DataFrame) -> DataFrame:
     """Checkpoint ``df`` once to the shared folder and go on from there (runs a job); it survives lost executors."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def share_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each Spark context, so that Python workers find it wherever they start."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tidecast_shared", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="tidecast-")
+    copy = shutil.copytree(here, os.path.join(folder, "src", "tidecast"), ignore=shutil.ignore_patterns("__pycache__"))
+    sc.addPyFile(shutil.make_archive(os.path.join(folder, "tidecast"), "zip", os.path.dirname(copy), "tidecast"))
+    sc._tidecast_shared = True
