@@ -43,19 +43,20 @@ def trend_season(panel: DataFrame, horizon: int, freq: str, changepoints: int =
     seasons = SEASONS[check_freq(freq)] if seasons is None else seasons
     knots = [0.8 * (i + 1) / (changepoints + 1) for i in range(changepoints)]
     known = panel.where(F.col("y").isNotNull()).withColumn("_no", period_no("t", freq).cast("double"))
-    edges = known.groupBy(*keys).agg(F.min("_no").alias("_a"), F.max("_no").alias("_z"), F.max("t").alias("_last"))
-    rows = known.join(edges, list(keys))
+    edges = known.groupBy(*keys).agg(F.min("_no").alias("_a"), F.max("_no").alias("_z"), F.max("t").alias("_last"), F.avg("y").alias("_mean"))
+    # sums of squares of a high level would drown the residuals, so values are taken from their mean
+    rows = known.join(edges, list(keys)).withColumn("y", F.col("y") - F.col("_mean"))
     scale = F.greatest(F.col("_z") - F.col("_a"), F.lit(1.0))
     terms = design(F.col("_no"), scale, F.col("_a"), seasons, knots)
     p = len(terms)
-    rows = rows.select(*keys, "_a", "_z", "_last", "y", *[c.alias(f"_x{i}") for i, c in enumerate(terms)])
+    rows = rows.select(*keys, "_a", "_z", "_last", "_mean", "y", *[c.alias(f"_x{i}") for i, c in enumerate(terms)])
     x = [F.col(f"_x{i}") for i in range(p)]
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
     sums = rows.groupBy(*keys).agg(
         *[F.sum(x[i] * x[j]).alias(f"_s{n}") for n, (i, j) in enumerate(pairs)],
         *[F.sum(x[i] * F.col("y")).alias(f"_r{i}") for i in range(p)],
         F.sum(F.col("y") * F.col("y")).alias("_yy"), F.count("*").alias("_n"),
-        F.first("_a").alias("_a"), F.first("_z").alias("_z"), F.first("_last").alias("_last"))
+        F.first("_a").alias("_a"), F.first("_z").alias("_z"), F.first("_last").alias("_last"), F.first("_mean").alias("_mean"))
 
     @F.pandas_udf("array<double>")
     def solve(sxx: pd.Series, sxy: pd.Series) -> pd.Series:
@@ -68,7 +69,7 @@ def trend_season(panel: DataFrame, horizon: int, freq: str, changepoints: int =
         return pd.Series([one(a, b) for a, b in zip(sxx, sxy)])
 
     fitted = sums.select(
-        *keys, "_a", "_z", "_last", "_n", "_yy",
+        *keys, "_a", "_z", "_last", "_n", "_yy", "_mean",
         F.array(*[F.col(f"_r{i}") for i in range(p)]).alias("_xy"),
         solve(F.array(*[F.col(f"_s{n}") for n in range(len(pairs))]), F.array(*[F.col(f"_r{i}") for i in range(p)])).alias("_b"))
     explained = F.aggregate(F.zip_with("_b", "_xy", lambda b, r: b * r), F.lit(0.0), lambda s, v: s + v)
@@ -77,7 +78,7 @@ def trend_season(panel: DataFrame, horizon: int, freq: str, changepoints: int =
     fitted = fitted.withColumn("_sigma", F.sqrt(left / free))
     ahead = fitted.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
     future = design(F.col("_z") + F.col("step"), scale, F.col("_a"), seasons, knots)
-    predicted = sum((F.col("_b")[i] * c for i, c in enumerate(future[1:], start=1)), F.col("_b")[0])
+    predicted = sum((F.col("_b")[i] * c for i, c in enumerate(future[1:], start=1)), F.col("_b")[0] + F.col("_mean"))
     return ahead.select(
         *keys, F.lit("trend_season").alias("model_id"), "step", next_period("_last", freq, F.col("step")).alias("t"),
         predicted.alias("predicted"), (predicted - Z80 * F.col("_sigma")).alias("lower"), (predicted + Z80 * F.col("_sigma")).alias("upper"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.calendar import FREQ_ORDER, check_freq, micros_of, time_bucket
-from ..functions.parse import MONTH_FORMATS, YEAR_FORMATS, finite, parse_number, trim_blank, with_parsed_time
+from ..functions.parse import MONTH_FORMATS, YEAR_FORMATS, coerce_flag_number, finite, parse_number, trim_blank, with_parsed_time
 from ..spec import CleaningConfig, PanelSpec
 from ._common import START, backward, forward, in_chunks, whole
 
@@ -22,7 +22,8 @@ def annotate_rows(df: DataFrame, spec: PanelSpec, cfg: CleaningConfig = Cleaning
     """Parse time and target; keep every row and flag what is wrong with it.
 
     Output: keys, ``t``, ``source_format``, ``y``, ``invalid_time``,
-    ``missing_target``, ``invalid_target``, the order column and ``keep``.
+    ``missing_target``, ``invalid_target``, the order column and ``keep``
+    (covariates; text is read as a number or a flag, e.g. ``yes``).
     In count mode each row counts 1, whatever its target.
     """
     if count_mode:
@@ -34,8 +35,10 @@ def annotate_rows(df: DataFrame, spec: PanelSpec, cfg: CleaningConfig = Cleaning
         missing = F.col(spec.target).isNull()
         value = finite(F.col(spec.target).cast("double"))
     extra = [c for c in ((spec.order,) if spec.order else ()) + tuple(keep) if c not in spec.keys]
-    base = with_parsed_time(df, spec.time, "_p").select(
-        *spec.keys, *extra, "_p", missing.alias("_m"), value.alias("_v"))
+    kinds = dict(df.dtypes)
+    read = [coerce_flag_number(c).alias(c) if c in keep and kinds[c] == "string" else F.col(c) for c in extra]
+    base = with_parsed_time(df, spec.time, "_p", cfg.extra_formats).select(
+        *spec.keys, *read, "_p", missing.alias("_m"), value.alias("_v"))
     ok = F.col("_p.ok")
     return base.select(
         *spec.keys, *extra,
@@ -92,7 +95,7 @@ def bucket_aggregate(df: DataFrame, spec: PanelSpec, how: str = "sum", covariate
     order = _order(spec, spec.time) if how in ("first", "last") else None
     return (df.groupBy(*spec.keys, time_bucket(spec.time, spec.freq).alias("t"))
             .agg(aggregate_of(how, spec.target, order).cast("double").alias("y"),
-                 *[F.avg(c).alias(c) for c in covariates],
+                 *_covariate_means(df, covariates),
                  *([F.count("*").alias(count_as)] if count_as else [])))
 
 
@@ -104,7 +107,13 @@ def resolve_duplicates(df: DataFrame, spec: PanelSpec, how: str = "mean") -> Dat
 
 def bucket_covariates(df: DataFrame, spec: PanelSpec, columns) -> DataFrame:
     return (df.groupBy(*spec.keys, time_bucket(spec.time, spec.freq).alias("t"))
-            .agg(*[F.avg(c).alias(c) for c in columns]))
+            .agg(*_covariate_means(df, columns)))
+
+
+def _covariate_means(df: DataFrame, columns) -> list[Column]:
+    """Mean of every covariate; text is read as a number or a flag first."""
+    kinds = dict(df.dtypes)
+    return [F.avg(coerce_flag_number(c) if kinds[c] == "string" else F.col(c)).alias(c) for c in columns]
 
 
 def duplicate_count(df: DataFrame, spec: PanelSpec) -> DataFrame:

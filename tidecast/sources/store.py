@@ -43,12 +43,18 @@ def load_run(spark: SparkSession, root: str, experiment_id: str, names=None) ->
 
 
 def delete_run(spark: SparkSession, root: str, experiment_id: str) -> int:
-    """Remove the partitions of a run; returns how many tables held it.  No data is rewritten."""
-    if not experiment_id or "/" in experiment_id:
-        raise ValueError("experiment_id must be a plain name")
+    """Remove the partitions of a run; returns how many tables held it.  No data is rewritten.
+
+    A partition's folder is found by the value it stands for, since the writer escapes characters such as ``:`` in names.
+    """
+    if not experiment_id:
+        raise ValueError("experiment_id must not be empty")
+    plain = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
     gone = 0
     for name in stored_tables(spark, root):
-        fs, p = _fs(spark, f"{root}/{name}/experiment_id={experiment_id}")
-        if fs.exists(p):
-            gone += bool(fs.delete(p, True))
+        fs, p = _fs(spark, f"{root}/{name}")
+        for folder in fs.listStatus(p):
+            key, _, value = folder.getPath().getName().partition("=")
+            if key == "experiment_id" and plain(value) == experiment_id:
+                gone += bool(fs.delete(folder.getPath(), True))
     return gone

@@ -13,29 +13,38 @@ DELIMITERS = (",", "\t", ";", "|")
 
 
 def clean_header(names) -> list[str]:
-    """Blank names become column_n, repeated ones get _2, _3, ..."""
-    out, seen = [], {}
-    for i, raw in enumerate(names, start=1):
-        name = (raw or "").strip().lstrip("\ufeff") or f"column_{i}"
-        seen[name] = seen.get(name, 0) + 1
-        out.append(name if seen[name] == 1 else f"{name}_{seen[name]}")
-    return out
+    """Names without blanks around them: an empty one becomes column_n, and a name already taken gets the first free _2, _3, ..."""
+    plain = [(raw or "").strip().lstrip("\ufeff") or f"column_{i}" for i, raw in enumerate(names, start=1)]
+    taken: set[str] = set()
+    for i, name in enumerate(plain):
+        if name in taken:
+            free = next(k for k in range(2, len(plain) + 2) if f"{name}_{k}" not in taken and f"{name}_{k}" not in plain)
+            plain[i] = f"{name}_{free}"
+        taken.add(plain[i])
+    return plain
 
 
-def detect_encoding(spark: SparkSession, path: str, sample: int = 1000) -> str:
-    """UTF-8 unless the sampled lines hold bytes that are not; then GB18030."""
-    bad = spark.read.text(path).limit(sample).where(~F.is_valid_utf8("value")).limit(1)
-    return "GB18030" if bad.take(1) else "UTF-8"
+def encoding_of(lines: DataFrame, col: str = "value") -> str:
+    """UTF-8 unless any line holds bytes that are not; then GB18030.  Stops at the first such line."""
+    return "GB18030" if lines.where(~F.is_valid_utf8(col)).limit(1).take(1) else "UTF-8"
 
 
-def detect_delimiter(spark: SparkSession, path: str, candidates=DELIMITERS, sample: int = 1000) -> str:
-    """The delimiter that occurs equally often on every sampled line; else the most frequent on the first."""
-    lines = spark.read.text(path).where(F.trim("value") != "").limit(sample)
-    found = F.array(*[F.struct(F.lit(i).alias("i"), (F.size(F.split("value", f"[{d}]" if d != "\t" else "\t")) - 1).alias("n"))
+def detect_encoding(spark: SparkSession, path: str) -> str:
+    """Encoding of a text file, judged by all its lines."""
+    return encoding_of(spark.read.text(path))
+
+
+def delimiter_counts(lines: DataFrame, candidates=DELIMITERS, col: str = "value") -> DataFrame:
+    """i, lines, mean, spread, first: how often each candidate stands on the lines with text (one row each)."""
+    found = F.array(*[F.struct(F.lit(i).alias("i"), (F.size(F.split(col, f"[{d}]" if d != "\t" else "\t")) - 1).alias("n"))
                       for i, d in enumerate(candidates)])
-    stats = (lines.select(F.monotonically_increasing_id().alias("_l"), F.explode(found).alias("c"))
-             .groupBy("c.i").agg(F.avg("c.n").alias("mean"), F.stddev_pop("c.n").alias("spread"),
-                                 F.min_by("c.n", "_l").alias("first")).collect())
+    return (lines.where(F.trim(col) != "").select(F.monotonically_increasing_id().alias("_l"), F.explode(found).alias("c"))
+            .groupBy("c.i").agg(F.count("*").alias("lines"), F.avg("c.n").alias("mean"), F.stddev_pop("c.n").alias("spread"), F.min_by("c.n", "_l").alias("first")))
+
+
+def delimiter_of(lines: DataFrame, candidates=DELIMITERS, col: str = "value") -> str:
+    """The delimiter that occurs equally often on every line; else the most frequent on the first."""
+    stats = delimiter_counts(lines, candidates, col).collect()
     steady = [r for r in stats if r["mean"] > 0 and r["spread"] == 0]
     if steady:
         return candidates[max(steady, key=lambda r: (r["mean"], -r["i"]))["i"]]
@@ -43,6 +52,11 @@ def detect_delimiter(spark: SparkSession, path: str, candidates=DELIMITERS, samp
     return candidates[top["i"]] if top is not None and top["first"] else candidates[0]
 
 
+def detect_delimiter(spark: SparkSession, path: str, candidates=DELIMITERS) -> str:
+    """Delimiter of a text file, judged by all its lines; one row a candidate reaches the driver."""
+    return delimiter_of(spark.read.text(path), candidates)
+
+
 def read_table(spark: SparkSession, path: str, fmt: str = "csv", sep: str | None = None,
                encoding: str = "UTF-8", **options) -> DataFrame:
     """CSV as text columns with clean names, or a typed format as it is.
@@ -57,6 +71,13 @@ def read_table(spark: SparkSession, path: str, fmt: str = "csv", sep: str | None
     reader = spark.read.options(sep=sep, encoding=encoding, **options)
     head = reader.option("header", False).csv(path).limit(1).collect()
     names = clean_header(head[0] if head else [])
+    files = reader.option("header", False).csv(path).inputFiles()
+    if len(files) > 1:
+        # one line of each file: files of other columns would be read into the wrong ones
+        for f in files:
+            other = reader.option("header", False).csv(f).limit(1).collect()
+            if other and clean_header(other[0]) != names:
+                raise ValueError(f"{f} has other columns than the first file: read it apart")
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     return reader.option("header", True).option("enforceSchema", True).schema(schema).csv(path)
 

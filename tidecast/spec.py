@@ -47,6 +47,7 @@ class CleaningConfig:
     iqr_k: float = 1.5
     hampel_window: int = 7
     hampel_sigma: float = 3.0
+    extra_formats: tuple[str, ...] = ()  # further time patterns, tried after the built-in ones
 
     def __post_init__(self):
         if self.missing not in MISSING_STRATEGIES:
