@@ -233,15 +233,18 @@ def runtime_estimate(requests: DataFrame, samples: DataFrame) -> DataFrame:
 
     ``requests``: request_id, model_id, row_count, covariates, features,
     profile, strategy, device, targets.  ``samples``: model_id, row_count,
-    covariates, features, profile, strategy, device, seconds - past runs, which
-    the history limit keeps few.  Past seconds are scaled to the request and
-    averaged by similarity; without samples a formula answers.
+    covariates, features, profile, strategy, device, seconds - past runs.
+    Past seconds are scaled to the request and averaged by similarity; without
+    samples a formula answers.  Scale and similarity depend on the shape of a
+    run alone (its model and settings), so runs and requests are first grouped
+    by shape, and only distinct shapes of one model meet.
     """
     m = F.col("model_id")
-    s = samples.where(F.col("seconds") > 0).select("model_id", *[F.col(c).alias(f"s_{c}") for c in (
-        "row_count", "covariates", "features", "profile", "strategy", "device", "seconds")])
-    rows = F.greatest(F.col("row_count"), F.lit(1))
-    pairs = requests.withColumn("row_count", rows).join(s, "model_id", "left")
+    shape = ("row_count", "covariates", "features", "profile", "strategy", "device")
+    s = (samples.where(F.col("seconds") > 0).groupBy("model_id", *[F.col(c).alias(f"s_{c}") for c in shape])
+         .agg(F.sum("seconds").alias("s_seconds"), F.count("*").alias("s_runs")))
+    asked = requests.withColumn("row_count", F.greatest(F.col("row_count"), F.lit(1)))
+    pairs = asked.select("model_id", *shape).distinct().join(s, "model_id", "left")
 
     def gap(a, b, least):
         return F.abs(F.col(a) - F.col(b)) / F.greatest(F.lit(float(least)), F.col(a).cast("double"), F.col(b).cast("double"))
@@ -262,9 +265,12 @@ def runtime_estimate(requests: DataFrame, samples: DataFrame) -> DataFrame:
                * _strategy_factor(m, F.col("strategy")))
     pairs = pairs.withColumn("_formula", formula)
     weight = F.col("_alike") + 0.35
-    agg = pairs.groupBy("request_id", "model_id", "targets").agg(
-        F.count("s_seconds").alias("samples"), F.max("_alike").alias("best_alike"),
-        (F.sum(F.col("_scaled") * weight) / F.sum(weight)).alias("_mean"), F.max("_formula").alias("_formula"))
+    found = pairs.groupBy("model_id", *shape).agg(
+        F.coalesce(F.sum("s_runs"), F.lit(0)).alias("samples"), F.max("_alike").alias("best_alike"),
+        (F.sum(F.col("_scaled") * weight) / F.sum(F.col("s_runs") * weight)).alias("_mean"), F.max("_formula").alias("_formula"))
+    found = found.withColumnsRenamed({c: f"_of_{c}" for c in ("model_id", *shape)})
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in ("model_id", *shape)]
+    agg = asked.join(found, same).select("request_id", "model_id", "targets", "samples", "best_alike", "_mean", "_formula")
     per_target = F.when(F.col("samples") > 0, F.col("_mean")).otherwise(F.col("_formula"))
     confidence = (F.when((F.col("samples") >= 4) & (F.col("best_alike") >= 0.72), "high")
                   .when(F.col("samples") > 0, "medium").otherwise("low"))

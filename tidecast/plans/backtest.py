@@ -170,10 +170,12 @@ def dedupe_candidates(grid: DataFrame, keys=KEYS) -> DataFrame:
     """Canonical parameters, first occurrence of each kept, renumbered as ``round``."""
     season = F.create_map(*[F.lit(x) for pair in SEASON.items() for x in pair])[F.col("freq")]
     asked = F.col("param").try_cast("int")
+    # periods and windows beyond these bounds are refused, not cut
+    refused = lambda c, top, what: F.when(c > top, F.raise_error(F.lit(f"{what} above {top}")).cast("int")).otherwise(c)
     period = F.when(asked > 0, asked).otherwise(season)
     period = F.when(F.col("n") < period, 1).otherwise(period)
-    canon = (F.when(F.col("model_id") == "seasonal_naive", F.least(period, F.lit(8760)).cast("string"))
-             .when(F.col("model_id") == "moving_average", F.least(F.greatest(asked, F.lit(2)), F.lit(720)).cast("string"))
+    canon = (F.when(F.col("model_id") == "seasonal_naive", refused(period, 8760, "season period").cast("string"))
+             .when(F.col("model_id") == "moving_average", refused(F.greatest(asked, F.lit(2)), 720, "window").cast("string"))
              .otherwise(F.col("param")))
     by = [*keys, "model_id"]
     rows = grid.withColumn("param", canon).groupBy(*by, "param", "freq", "n").agg(F.min("_raw").alias("_raw"))
@@ -191,11 +193,12 @@ def tuning_split(train: DataFrame, test_size: int, keys=KEYS) -> DataFrame:
 
 
 def evaluate_candidates(train: DataFrame, models: Iterable[str], test_size: int, freq: str,
-                        limit: int = PROFILE_LIMITS["balanced"], base: dict | None = None, keys=KEYS) -> DataFrame:
+                        limit: int | None = None, base: dict | None = None, keys=KEYS) -> DataFrame:
     """Score every candidate of every series on its validation part, in one job.
 
     keys, model_id, round, param, mae, mse, rmse, wape, status.  The history
     of a series is one array; candidates are short rows joined to it by key.
+    ``limit`` keeps the first rounds of each model; None tries every candidate.
     """
     check_freq(freq)
     keys = list(keys)
@@ -203,7 +206,8 @@ def evaluate_candidates(train: DataFrame, models: Iterable[str], test_size: int,
     splits = tuning_split(train, test_size, keys).where(F.col("reason").isNull()).withColumn("freq", F.lit(freq))
     grids = None
     for m in models:
-        g = dedupe_candidates(candidate_grid(splits, m, (base or {}).get(m), keys), keys).where(F.col("round") <= limit)
+        g = dedupe_candidates(candidate_grid(splits, m, (base or {}).get(m), keys), keys)
+        g = g if limit is None else g.where(F.col("round") <= limit)
         grids = g if grids is None else grids.unionByName(g)
     tried = grids.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("model_id", "round", "param"))).alias("cands"))
     longest = max(max(WINDOWS), *(2 * p for p in PERIODS[freq]), 2 * SEASON[freq], int((base or {}).get("seasonal_naive") or 0) * 2,

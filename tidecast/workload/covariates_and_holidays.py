@@ -162,10 +162,11 @@ def _(t):
 
 
 @query("chart_wide", with_ctes("eh_points", f"""
-SELECT series_id, t, {near_sql("max(predicted) FILTER (model_id = 'naive')")} AS naive, {near_sql("max(predicted) FILTER (model_id = 'moving_average')")} AS moving_average FROM eh_points GROUP BY 1, 2"""))
+SELECT series_id, t, {near_sql("max(predicted) FILTER (model_id = 'naive')")} AS naive, {near_sql("max(predicted) FILTER (model_id = 'seasonal_naive')")} AS seasonal_naive,
+ {near_sql("max(predicted) FILTER (model_id = 'moving_average')")} AS moving_average FROM eh_points GROUP BY 1, 2"""))
 def _(t):
-    wide = N.chart_wide(hourly_run(t)[1], models=["naive", "moving_average"])
-    return wide.select("series_id", "t", near("naive").alias("naive"), near("moving_average").alias("moving_average"))
+    wide = N.chart_wide(hourly_run(t)[1], models=["naive", "seasonal_naive", "moving_average"])
+    return wide.select("series_id", "t", *[near(m).alias(m) for m in ("naive", "seasonal_naive", "moving_average")])
 
 
 @query("recommendation", with_ctes("om_board", f"""

@@ -123,9 +123,24 @@ def _(t):
     return M.exp_smoothing(monthly(t), 12, "M").select("series_id", "step", "t", *[near(c, 1).alias(c) for c in ("predicted", "lower", "upper")])
 
 
-@query("arima")
+# (1,0,0): deviations from the mean decay by the lag-one coefficient; (1,1,0): the same for changes, which are then summed
+CTES["ar_z"] = ("ord_m", """
+SELECT series_id, t, y, z, lag(z) OVER w AS z1, c, lag(c) OVER w AS c1, row_number() OVER (PARTITION BY series_id ORDER BY t DESC) AS rb
+FROM (SELECT series_id, t, y, y - avg(y) OVER (PARTITION BY series_id) AS z, y - lag(y) OVER (PARTITION BY series_id ORDER BY t) AS c FROM ord_m)
+WINDOW w AS (PARTITION BY series_id ORDER BY t)""")
+CTES["ar_fit"] = ("ar_z", """
+SELECT series_id, sum(z * z1) / sum(z1 * z1) AS a, sum(c * c1) FILTER (c1 IS NOT NULL) / sum(c1 * c1) AS b, avg(y) AS mean, max(z) FILTER (rb = 1) AS z,
+ max(c) FILTER (rb = 1) AS c, max(y) FILTER (rb = 1) AS y, max(t) AS t FROM ar_z GROUP BY 1""")
+
+
+@query("arima", with_ctes("ar_fit", f"""
+SELECT series_id, '1,0,0' AS pdq, k::BIGINT AS step, (t + k * INTERVAL 1 MONTH)::TIMESTAMP AS t, {near_sql('mean + z * pow(a, k)', 1)} AS predicted FROM ar_fit, generate_series(1, 12) AS g(k)
+UNION ALL SELECT series_id, '1,1,0', k::BIGINT, (t + k * INTERVAL 1 MONTH)::TIMESTAMP, {near_sql('y + c * list_sum(list_transform(generate_series(1, k), lambda i: pow(b, i)))', 1)} FROM ar_fit, generate_series(1, 12) AS g(k)"""))
 def _(t):
-    return M.arima(monthly(t), 12, "M")
+    p = monthly(t)
+    plain = M.arima(p, 12, "M", p=1, d=0, q=0).withColumn("pdq", F.lit("1,0,0"))
+    changes = M.arima(p, 12, "M", p=1, d=1, q=0).withColumn("pdq", F.lit("1,1,0"))
+    return plain.unionByName(changes).select("series_id", "pdq", "step", "t", near("predicted", 1).alias("predicted"))
 
 
 @query("trend_regression", with_ctes("sm_in omf_axis", f"""
@@ -135,14 +150,48 @@ def _(t):
     return trend_season(monthly(t), 12, "M", seasons=()).select("series_id", "step", "t", near("predicted", 1).alias("predicted"))
 
 
-@query("trend_season")
+# one daily wave and a trend, by making the terms orthogonal one after the other
+CTES["ts_x"] = ("ehf_end", """
+SELECT series_id, rb, y, sin(h * pi() / 12) AS s, cos(h * pi() / 12) AS c, h AS x, h FROM (SELECT series_id, rb, y, (epoch(t) / 3600)::DOUBLE - 473352 AS h FROM ehf_end)""")
+CTES["ts_1"] = ("ts_x", "SELECT series_id, avg(s) AS ms, avg(c) AS mc, avg(x) AS mx, avg(y) AS my, count(*) AS n, max(h) AS last FROM ts_x GROUP BY 1")
+CTES["ts_2"] = ("ts_x ts_1", """
+SELECT series_id, sum((c - mc) * (s - ms)) / sum((s - ms) * (s - ms)) AS cs, sum((x - mx) * (s - ms)) / sum((s - ms) * (s - ms)) AS xs,
+ sum((y - my) * (s - ms)) / sum((s - ms) * (s - ms)) AS bs FROM ts_x JOIN ts_1 USING (series_id) GROUP BY 1""")
+CTES["ts_3"] = ("ts_x ts_1 ts_2", """
+SELECT series_id, sum((x - mx) * u) / sum(u * u) AS xc, sum((y - my) * u) / sum(u * u) AS bc
+FROM (SELECT *, c - mc - cs * (s - ms) AS u FROM ts_x JOIN ts_1 USING (series_id) JOIN ts_2 USING (series_id)) GROUP BY 1""")
+_TS_V = "(x - mx - xs * (s - ms) - xc * (c - mc - cs * (s - ms)))"
+_TS_FIT = f"(my + bs * (s - ms) + bc * (c - mc - cs * (s - ms)) + bx * {_TS_V})"
+CTES["ts_4"] = ("ts_x ts_1 ts_2 ts_3", f"""
+SELECT series_id, sum((y - my) * {_TS_V}) / sum({_TS_V} * {_TS_V}) AS bx FROM ts_x JOIN ts_1 USING (series_id) JOIN ts_2 USING (series_id) JOIN ts_3 USING (series_id) GROUP BY 1""")
+CTES["ts_5"] = ("ts_x ts_1 ts_2 ts_3 ts_4", f"""
+SELECT series_id, sqrt(sum((y - {_TS_FIT}) * (y - {_TS_FIT})) / (any_value(n) - 4)) AS sigma
+FROM ts_x JOIN ts_1 USING (series_id) JOIN ts_2 USING (series_id) JOIN ts_3 USING (series_id) JOIN ts_4 USING (series_id) GROUP BY 1""")
+
+
+@query("trend_season", with_ctes("ts_1 ts_2 ts_3 ts_4 ts_5", f"""
+, f AS (SELECT *, last + k AS x, sin((last + k) * pi() / 12) AS s, cos((last + k) * pi() / 12) AS c
+ FROM ts_1 JOIN ts_2 USING (series_id) JOIN ts_3 USING (series_id) JOIN ts_4 USING (series_id) JOIN ts_5 USING (series_id), generate_series(1, 48) AS g(k))
+SELECT series_id, k::BIGINT AS step, {near_sql(_TS_FIT, 2)} AS predicted, {near_sql(f'{_TS_FIT} - 1.2816 * sigma', 2)} AS lower, {near_sql(f'{_TS_FIT} + 1.2816 * sigma', 2)} AS upper FROM f""".replace("\n, f AS", ", f AS", 1)))
 def _(t):
-    return trend_season(hourly_zero(t), 48, "H")
+    out = trend_season(hourly_zero(t), 48, "H", seasons=((24, 1),))
+    return out.select("series_id", "step", *[near(c, 2).alias(c) for c in ("predicted", "lower", "upper")])
+
+
+CTES["ab_z"] = ("om_train", """
+SELECT series_id, z, lag(z) OVER (PARTITION BY series_id ORDER BY t) AS z1, mean, rb FROM (SELECT series_id, t, rb, y - avg(y) OVER (PARTITION BY series_id) AS z, avg(y) OVER (PARTITION BY series_id) AS mean FROM om_train)""")
+CTES["ab_fit"] = ("ab_z", "SELECT series_id, sum(z * z1) / sum(z1 * z1) AS a, any_value(mean) AS mean, max(z) FILTER (rb = 1) AS z FROM ab_z GROUP BY 1")
+CTES["ab_points"] = ("om_rows ab_fit", f"""
+SELECT series_id, y AS actual, mean + z * pow(a, {TEST} + 1 - back) AS predicted FROM om_rows JOIN ab_fit USING (series_id) WHERE back <= {TEST}""")
 
 
-@query("backtest_all_models")
+@query("backtest_all_models", with_ctes("om_board ab_points", f"""
+, b AS (SELECT series_id, model_id, mae, rmse, wape FROM om_board UNION ALL SELECT series_id, 'arima', avg(abs(actual - predicted)), sqrt(avg((actual - predicted) * (actual - predicted))),
+ sum(abs(actual - predicted)) / sum(abs(actual)) FROM ab_points GROUP BY 1)
+SELECT series_id, model_id, {near_sql('mae', 2)} AS mae, {near_sql('rmse', 2)} AS rmse, {near_sql('wape', 6)} AS wape, rank() OVER (PARTITION BY series_id ORDER BY mae) AS rank, 'success' AS status FROM b""".replace("\n, b AS", ", b AS", 1)))
 def _(t):
-    return B.backtest(monthly(t), (*BASELINES, "exp_smoothing", "arima"), TEST, "M")[0].drop("warnings")
+    board = B.backtest(monthly(t), (*BASELINES, ("arima", {"p": 1, "d": 0, "q": 0})), TEST, "M")[0]
+    return board.select("series_id", "model_id", near("mae", 2).alias("mae"), near("rmse", 2).alias("rmse"), near("wape", 6).alias("wape"), "rank", "status")
 
 
 @query("final_forecast", with_ctes("om_board ehf_axis", "SELECT 1").replace("SELECT 1", "") + f"""
@@ -225,11 +274,11 @@ def _(t):
     return S.runner_up_gap(monthly_run(t)[0]).select("series_id", "best_model", "runner_up", near("mae_gap", 2).alias("mae_gap"))
 
 
-@query("visible_models", with_ctes("od_board", "SELECT series_id, model_id FROM od_board WHERE rank <= 2"))
+@query("visible_models", with_ctes("od_board", "SELECT series_id, model_id FROM od_board WHERE rank <= 3"))
 def _(t):
     from ..operators.fill import fill_value
     p = fill_value(daily_grid(t), "zero").drop("is_gap")
-    return S.visible_models(B.backtest(p, BASELINES, 14, "D")[0], 2).select("series_id", "model_id")
+    return S.visible_models(B.backtest(p, BASELINES, 14, "D")[0], 3).select("series_id", "model_id")
 
 
 @query("metric_views", with_ctes("om_board", f"""
@@ -314,9 +363,9 @@ CTES["trials"] = ("tune_pred", """
 SELECT series_id, model_id, round::BIGINT AS round, p::VARCHAR AS param, avg(abs(actual - predicted)) AS mae, sqrt(avg((actual - predicted) * (actual - predicted))) AS rmse FROM tune_pred GROUP BY 1, 2, 3, 4""")
 
 
-def tuned(t, limit=7):
+def tuned(t):
     train = S.holdout_split(monthly(t), TEST).where(~F.col("is_test")).drop("is_test", "step")
-    return B.evaluate_candidates(train, ("moving_average", "seasonal_naive"), TEST, "M", limit)
+    return B.evaluate_candidates(train, ("moving_average", "seasonal_naive"), TEST, "M")
 
 
 @query("tuning_split", with_ctes("tune_size", "SELECT series_id, points, validation, points - validation AS n FROM tune_size"))

@@ -125,16 +125,21 @@ def _(t):
     return R.search_runs(runs(t), " Urgent File_7", ("name", "file_name", "sheet_name", "target")).select("run_id")
 
 
-def samples(t):
+def samples(t, latest=None):
+    """Past runs, all or the ``latest`` ones."""
     logs = sql_table(t, "logs", "lineitem")
     prof = sql_table(t, "prof", "lineitem")
-    newest = R.latest_runs(runs(t)).select("run_id")
-    return R.history_samples(logs.join(newest, "run_id"), prof)
+    listed = runs(t) if latest is None else R.latest_runs(runs(t), latest)
+    return R.history_samples(logs.join(listed.select("run_id"), "run_id"), prof)
 
 
 CTES["samples"] = ("rn logs prof", """
 SELECT l.*, p.row_count, p.covariates, p.features, p.device, fit_seconds + predict_seconds + coalesce(tuning_seconds, 0) AS seconds FROM logs l JOIN prof p ON p.run_id = l.run_id AND p.target = l.target
-WHERE l.status = 'success' AND fit_seconds + predict_seconds + coalesce(tuning_seconds, 0) > 0 AND l.run_id IN (SELECT run_id FROM rn ORDER BY created_at DESC, run_id DESC LIMIT 200)""")
+WHERE l.status = 'success' AND fit_seconds + predict_seconds + coalesce(tuning_seconds, 0) > 0 AND l.run_id IN (SELECT run_id FROM rn)""")
+
+
+# the estimate looks at the newest 200 runs, as its specification says
+CTES["samples_200"] = ("samples rn", "SELECT * FROM samples WHERE run_id IN (SELECT run_id FROM rn ORDER BY created_at DESC, run_id DESC LIMIT 200)")
 
 
 @query("history_samples", with_ctes("samples", f"SELECT run_id, target, model_id, {near_sql('seconds', 4)} AS seconds, row_count, covariates::BIGINT AS covariates FROM samples"))
@@ -160,19 +165,19 @@ SELECT c_custkey AS request_id, CASE c_custkey % 6 WHEN 0 THEN 'naive' WHEN 1 TH
  CASE WHEN c_custkey % 4 = 0 THEN 'auto' ELSE 'default' END AS strategy, 'cpu' AS device, 1 + c_custkey % 2 AS targets FROM customer""")
 
 
-@query("runtime_estimate", with_ctes("req samples", f"""
+@query("runtime_estimate", with_ctes("req samples_200", f"""
 , j AS (SELECT r.*, s.seconds, 1.0 / (1.0 + abs(ln((r.row_count + 1) / (s.row_count + 1)::DOUBLE)) * 0.55 + abs(r.covariates - s.covariates) / greatest(16.0, r.covariates, s.covariates)::DOUBLE * 0.25
   + abs(r.features - s.features) / greatest(8.0, r.features, s.features)::DOUBLE * 0.2 + CASE WHEN r.profile <> s.profile THEN 0.18 ELSE 0 END + CASE WHEN r.strategy <> s.strategy THEN 0.28 ELSE 0 END)::DOUBLE AS alike,
   s.seconds * pow((r.row_count + 1) / (s.row_count + 1)::DOUBLE, {_case(R.ROW_EXPONENT, 'r.model_id', 0.65)}) * {_ff('r')} / {_ff('s')} * {_case(R.PROFILE_FACTOR, 'r.profile', 1.0)} / {_case(R.PROFILE_FACTOR, 's.profile', 1.0)}
    * {_sf('r')} / {_sf('s')} AS scaled,
   {_case(R.BASE_SECONDS, 'r.model_id', 20.0)} * pow(r.row_count / 1000.0::DOUBLE, {_case(R.ROW_EXPONENT, 'r.model_id', 0.65)}) * {_ff('r')} * {_case(R.PROFILE_FACTOR, 'r.profile', 1.0)} * {_sf('r')} AS formula
- FROM req r LEFT JOIN samples s ON s.model_id = r.model_id),
+ FROM req r LEFT JOIN samples_200 s ON s.model_id = r.model_id),
 g AS (SELECT request_id, model_id, targets, count(seconds) AS samples, max(alike) AS best, sum(scaled * (alike + 0.35)) / sum(alike + 0.35) AS mean, max(formula) AS formula FROM j GROUP BY 1, 2, 3)
 SELECT request_id, model_id, samples, CASE WHEN samples >= 4 AND best >= 0.72 THEN 'high' WHEN samples > 0 THEN 'medium' ELSE 'low' END AS confidence,
  {near_sql('CASE WHEN samples > 0 THEN mean ELSE formula END', 4)} AS per_target FROM g""".replace("\n, j AS", ", j AS", 1)))
 def _(t):
     req = sql_table(t, "req", "customer")
-    return R.runtime_estimate(req, samples(t)).select("request_id", "model_id", "samples", "confidence", near("per_target").alias("per_target"))
+    return R.runtime_estimate(req, samples(t, 200)).select("request_id", "model_id", "samples", "confidence", near("per_target").alias("per_target"))
 
 
 # -- summaries and comparisons of back-tests
