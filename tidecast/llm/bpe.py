@@ -10,11 +10,10 @@ from __future__ import annotations
 
 import ahocorasick
 import numpy as np
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .vocab import MEMO, parts, read_ranks
+from .vocab import MEMO, cutter, read_ranks
 
 
 class PrefixEncoder:
@@ -103,45 +102,31 @@ class PrefixEncoder:
         return [whole] if whole is not None else self.tokens(self.extend([-1], data))
 
 
-class _Parts(dict):
-    """Part of a text -> its ids as little-endian unsigned 32-bit integers, with ``lead`` before the part."""
+class _Pieces(dict):
+    """Pre-token -> its ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, encoder: PrefixEncoder, pattern, lead: str, shared: dict):
-        self.encoder, self.find, self.lead, self.shared = encoder, pattern.findall, lead, shared
+    def __init__(self, encoder: PrefixEncoder):
+        self.encoder = encoder
 
-    def __missing__(self, part: str) -> bytes:
+    def __missing__(self, piece: str) -> bytes:
         if len(self) >= MEMO:
             self.clear()
-        if len(self.shared) >= MEMO:
-            self.shared.clear()
-        out = []
-        for m in self.find(self.lead + part):
-            got = self.shared.get(m)
-            if got is None:
-                got = self.shared[m] = np.array(self.encoder.encode(m.encode("utf-8")), "<u4").tobytes()
-            out.append(got)
-        self[part] = got = b"".join(out)
+        self[piece] = got = np.array(self.encoder.encode(piece.encode("utf-8")), "<u4").tobytes()
         return got
 
 
-_LOADED: dict[tuple[str, str], tuple[PrefixEncoder, _Parts, _Parts]] = {}
+_LOADED: dict[str, _Pieces] = {}
 
 
-def _loaded(path: str, pattern: str):
-    """The encoder of a rank file, loaded once in a worker."""
-    if (path, pattern) not in _LOADED:
-        encoder, shared, find = PrefixEncoder(read_ranks(path)), {}, regex.compile(pattern)
-        _LOADED[path, pattern] = encoder, _Parts(encoder, find, "", shared), _Parts(encoder, find, " ", shared)
-    return _LOADED[path, pattern]
+def _loaded(path: str) -> _Pieces:
+    """The encoder of a rank file and its memo, loaded once in a worker."""
+    if path not in _LOADED:
+        _LOADED[path] = _Pieces(PrefixEncoder(read_ranks(path)))
+    return _LOADED[path]
 
 
 def encode_text(text: str | None, path: str, pattern: str) -> bytes:
-    _, first, later = _loaded(path, pattern)
-    cut = parts(text or "")
-    if cut is None:
-        # each white-space separated stretch at a time keeps the memo useful
-        return b"".join(first[m] for m in first.find(text))
-    return first[cut[0]] + b"".join(map(later.__getitem__, cut[1:])) if cut else b""
+    return b"".join(map(_loaded(path).__getitem__, cutter(pattern)(text or "")))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", into: str = "ids") -> DataFrame:
@@ -149,7 +134,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", into: s
 
     Every match of ``pattern`` is encoded separately by the ranks at ``path``, without special tokens.  Null and empty
     texts give no ids.  Repeated rows are treated alike; an existing column ``into`` is replaced.  The path must be readable
-    on every executor; a worker keeps a bounded memo of parts it has encoded.
+    on every executor; a worker keeps a bounded memo of pre-tokens it has encoded.
     """
     @F.pandas_udf("binary")
     def ids(texts):

@@ -65,13 +65,3 @@ def slices(texts: list[str]):
         size += len(t)
     if run:
         yield run
-
-
-#: A space with white space before it and none but white space after it: only there does cutting before
-#: a space change the matches of the usual pre-token patterns.
-UNSAFE = re.compile(r"\s (?!\S)")
-
-
-def parts(text: str) -> list[str] | None:
-    """The text cut before spaces, the space left out of all parts but the first; None if cutting would change pre-tokens."""
-    return None if UNSAFE.search(text) else text.split(" ")
