@@ -41,31 +41,64 @@ def _finite_all(values: Column, size: int) -> Column:
     return F.coalesce((F.size(values) == size) & ok, F.lit(False))
 
 
-def _model_rows(panel: DataFrame, models, test_size: int, freq: str, keys) -> DataFrame:
+# which parameter of a model a search tries
+SEARCHED = {"moving_average": "window", "seasonal_naive": "period", "exp_smoothing": "trend"}
+
+
+def _reach(named, freq: str, tuned) -> int | None:
+    """How many trailing points the models read; with tuned parameters as many as the longest candidate."""
+    need = [points_needed(m, freq, p) for m, p in named]
+    if tuned is not None and None not in need:
+        need += [max(WINDOWS), *(2 * x for x in PERIODS[freq]), 2 * SEASON[freq]]
+    return None if None in need else max(need)
+
+
+def _with_tuned(rows: DataFrame, tuned: DataFrame | None, keys) -> DataFrame:
+    """Every series' own parameters beside it: one text column per searched model."""
+    if tuned is None:
+        return rows
+    wide = tuned.groupBy(*keys).agg(*[F.max(F.when(F.col("model_id") == m, F.col("param"))).alias(f"_tuned_{m}") for m in SEARCHED])
+    return rows.join(wide, list(keys), "left")
+
+
+def _predict(m: str, train: Column, steps: int, freq: str, params: dict, tuned) -> Column:
+    """Predictions of an array model, with the series' tuned parameter where there is one."""
+    params = {"freq": freq} | params
+    if tuned is not None and m in SEARCHED:
+        own, name = F.col(f"_tuned_{m}"), SEARCHED[m]
+        if m == "exp_smoothing":
+            params[name] = F.coalesce(own, F.lit(params.get(name, BASE[m])))
+        else:
+            params[name] = F.coalesce(own.try_cast("int"), F.lit(int(params.get(name) or BASE[m] or SEASON[freq])))
+    return ARRAY_MODELS[m](train, steps, **params)
+
+
+def _model_rows(panel: DataFrame, models, test_size: int, freq: str, keys, tuned: DataFrame | None = None) -> DataFrame:
     """One row per series and model: test points and predictions as arrays."""
     named = _named(models)
-    need = [points_needed(m, freq, p) for m, p in named]
-    limit = None if None in need else max(need) + test_size
-    rows = series_tail(panel, limit, keys).where(F.size("pts") > test_size)
+    need = _reach(named, freq, tuned)
+    limit = None if need is None else need + test_size
+    rows = _with_tuned(series_tail(panel, limit, keys).where(F.size("pts") > test_size), tuned, keys)
     cut = F.size("pts") - test_size
     rows = rows.select(
-        *keys, F.transform(F.slice("pts", 1, cut), lambda p: p["y"]).alias("train"),
+        *keys, *[c for c in rows.columns if c.startswith("_tuned_")], F.transform(F.slice("pts", 1, cut), lambda p: p["y"]).alias("train"),
         F.slice("pts", cut + 1, test_size).alias("test"))
     # every prediction is a column of its own first, so a Python-backed model is evaluated once
-    preds = rows.withColumns({f"_p{i}": ARRAY_MODELS[m](F.col("train"), test_size, **({"freq": freq} | p))
-                              for i, (m, p) in enumerate(named)})
+    preds = rows.withColumns({f"_p{i}": _predict(m, F.col("train"), test_size, freq, p, tuned) for i, (m, p) in enumerate(named)})
     per_model = F.array(*[F.struct(F.lit(m).alias("model_id"), F.lit(i).alias("selection"),
                                    F.col(f"_p{i}").alias("pred")) for i, (m, _) in enumerate(named)])
     return preds.select(*keys, "test", F.explode(per_model).alias("m")).select(*keys, "test", "m.*")
 
 
-def backtest_points(panel: DataFrame, models: Iterable[Model], test_size: int, freq: str, keys=KEYS) -> DataFrame:
+def backtest_points(panel: DataFrame, models: Iterable[Model], test_size: int, freq: str, keys=KEYS, tuned: DataFrame | None = None) -> DataFrame:
     """keys, model_id, selection, step, t, actual, predicted, residual, abs_error, sq_error, ok.
 
+    ``tuned`` (keys, model_id, param) gives series parameters of their own.
+
     A model without ``test_size`` finite predictions keeps one row with nulls
     and ``ok`` false, so the leaderboard can report the failure.
     """
-    rows = _model_rows(panel, models, test_size, freq, keys)
+    rows = _model_rows(panel, models, test_size, freq, keys, tuned)
     ok = _finite_all(F.col("pred"), test_size)
     zipped = F.when(ok, F.arrays_zip(F.col("test"), F.col("pred")))
     flat = rows.select(*keys, "model_id", "selection", ok.alias("ok"), F.posexplode_outer(zipped).alias("_pos", "z"))
@@ -88,9 +121,10 @@ def leaderboard(points: DataFrame, keys=KEYS) -> DataFrame:
     })
 
 
-def backtest(panel: DataFrame, models: Iterable[Model], test_size: int, freq: str, keys=KEYS) -> tuple[DataFrame, DataFrame]:
+def backtest(panel: DataFrame, models: Iterable[Model], test_size: int, freq: str, keys=KEYS,
+             tuned: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(leaderboard, points).  Series not longer than ``test_size`` have no rows: see ``split_eligible``."""
-    points = backtest_points(panel, models, test_size, freq, keys)
+    points = backtest_points(panel, models, test_size, freq, keys, tuned)
     good = points.where(F.col("ok")).drop("ok", "selection") if "ok" in points.columns else points
     return leaderboard(points, keys), good
 
@@ -112,16 +146,16 @@ def final_forecast(panel: DataFrame, model: str, horizon: int, freq: str, keys=K
     return out.withColumns({"lower": empty, "upper": empty})
 
 
-def final_by_series(panel: DataFrame, board: DataFrame, models: Iterable[Model], horizon: int, freq: str, keys=KEYS) -> DataFrame:
+def final_by_series(panel: DataFrame, board: DataFrame, models: Iterable[Model], horizon: int, freq: str, keys=KEYS,
+                    tuned: DataFrame | None = None) -> DataFrame:
     """Final forecast of every series by its own rank-1 model, in one pass over the panel."""
     named = _named(models)
     best = board.where(F.col("rank") == 1).select(*keys, F.col("model_id").alias("_best"))
-    need = [points_needed(m, freq, p) for m, p in named]
-    rows = series_tail(panel, None if None in need else max(need), keys).join(best, list(keys))
+    rows = _with_tuned(series_tail(panel, _reach(named, freq, tuned), keys).join(best, list(keys)), tuned, keys)
     train = F.transform("pts", lambda p: p["y"])
     pred = None
     for m, p in named:
-        one = ARRAY_MODELS[m](train, horizon, **({"freq": freq} | p))
+        one = _predict(m, train, horizon, freq, p, tuned)
         pred = F.when(F.col("_best") == m, one) if pred is None else pred.when(F.col("_best") == m, one)
     from ..operators.forecasters import _steps
     out = _steps(rows.withColumn("_pred", pred), freq, keys)

@@ -4,15 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.additive import trend_season
+from ..operators.covariates import future_covariates, to_long
+from ..operators.custom import REGISTERED, run_forecaster
 from ..operators.diagnostics import data_health
+from ..operators.features import feature_matrix
+from ..operators.forecasters import ARRAY_MODELS, future_axis, residual_interval
+from ..operators.holidays import FEATURES as HOLIDAYS
+from ..operators.holidays import holiday_features
 from ..operators.rows import detect_frequency
-from ..operators.scoring import holdout_split, part_windows, split_eligible
-from ..spec import CleaningConfig, PanelSpec
-from .backtest import Model, backtest, evaluate_candidates, final_by_series, select_candidate
+from ..operators.scoring import holdout_split, pair_predictions, part_windows, split_eligible
+from ..operators.trees import fitted_residuals, lag_boosting, lag_forest, recursive_predict
+from ..session import stage
+from ..spec import CleaningConfig, CovariateRole, FeatureConfig, PanelSpec
+from .backtest import (PROFILE_LIMITS, SEARCHED, Model, backtest, evaluate_candidates, final_by_series, leaderboard_of, model_grid,
+                       select_candidate)
 from .build import BuiltPanel, build_panel
 
 TUNABLE = ("moving_average", "seasonal_naive", "exp_smoothing")
@@ -52,27 +63,125 @@ def check_frequency(df: DataFrame, spec: PanelSpec, cfg: CleaningConfig = Cleani
     return detect_frequency(rows, replace(spec, time="t", target="y"), spec.freq)
 
 
+TREES = {"lag_forest": lag_forest, "lag_boosting": lag_boosting}
+
+
+def _wide(ahead: DataFrame, names, keys) -> DataFrame:
+    """Covariates of the steps ahead, one column each."""
+    return ahead.groupBy(*keys, "step").agg(*[F.max(F.when(F.col("name") == c, F.col("value"))).alias(c) for c in names])
+
+
+def _beyond_arrays(named, history: DataFrame, horizon: int, freq: str, keys, ahead: DataFrame | None, features: FeatureConfig) -> DataFrame | None:
+    """Predictions of the models that need more than the array of a series: additive, tree and user models.
+
+    keys, model_id, step, t, predicted, lower, upper.  Trees are fitted here, once for all series (Spark jobs); their
+    band is that of their in-sample residuals.
+    """
+    cols = [*keys, "model_id", "step", "t", "predicted", "lower", "upper"]
+    parts = []
+    for m, params in named:
+        if m == "trend_season":
+            out = trend_season(history.select(*keys, "t", "y"), horizon, freq, keys=keys, **params)
+        elif m in TREES:
+            matrix, names = feature_matrix(history, features, keys)
+            matrix = stage(matrix)
+            model = TREES[m](matrix, names, features, **params)
+            out = residual_interval(fitted_residuals(model, matrix, keys), recursive_predict(model, history, horizon, freq, ahead, keys), keys)
+        else:
+            axis = future_axis(history, horizon, freq, keys)
+            out = run_forecaster(m, history, horizon, keys).where(F.col("error").isNull()).join(axis, [*keys, "step"])
+        parts.append(out.select(*cols))
+    return reduce(lambda a, b: a.unionByName(b), parts) if parts else None
+
+
+def _detected(df: DataFrame, spec: PanelSpec, cfg: CleaningConfig) -> PanelSpec:
+    """The spec with the one frequency that all series show."""
+    found = [r["freq"] for r in check_frequency(df, replace(spec, freq="H"), cfg).select("freq").distinct().collect()]
+    known = sorted(f for f in found if f)
+    if len(known) != 1:
+        raise ValueError(f"no common frequency: {known or 'none'}; name one")
+    return replace(spec, freq=known[0])
+
+
 def run_experiment(df: DataFrame, spec: PanelSpec, models: Iterable[Model], horizon: int, test_size: int,
-                   cfg: CleaningConfig = CleaningConfig(), how: str | None = None, tune: str | None = None) -> Experiment:
-    """``tune`` is None or a search profile (candidate limit); trials are reported per series and model.
+                   cfg: CleaningConfig = CleaningConfig(), how: str | None = None, tune: str | None = None, roles: Iterable[CovariateRole] = (),
+                   calendar: DataFrame | None = None, features: FeatureConfig = FeatureConfig(), known_ahead: DataFrame | None = None) -> Experiment:
+    """Back-test, rank and forecast every series with every model.
+
+    ``models``: array models, ``trend_season``, ``lag_forest``, ``lag_boosting`` and registered user forecasters, each by name or
+    with parameters.  ``spec.freq`` may be ``auto``.  ``tune`` is None, a search profile (fast, balanced, accurate: the first
+    candidates) or ``all``; every series is then scored and forecast with its own best parameters.  ``roles`` name the covariates
+    that trees use, text or numbers; ``calendar`` adds the holiday columns to them; ``known_ahead`` (keys, step, name,
+    value) are inputs known beyond the history.  The forecast is that of the best model of each series; where a model
+    has no band of its own, it is 1.96 deviations of its back-test residuals.
 
     The finished panel is staged once (one job), so the tables that follow read
     it instead of the raw rows; it holds a row per series and period.
     """
-    from .backtest import PROFILE_LIMITS
     if horizon < 1 or test_size < 1:
         raise ValueError("horizon and test_size must be at least 1")
-    models, keys = list(models), list(spec.keys)
-    built = build_panel(df, spec, cfg, how, staged=True)
-    panel = built.panel.select(*keys, "t", "y")
+    if tune not in (None, "all", *PROFILE_LIMITS):
+        raise ValueError(f"unknown search profile {tune!r}")
+    keys, roles = list(spec.keys), list(roles)
+    named = [(m, {}) if isinstance(m, str) else (m[0], dict(m[1])) for m in models]
+    unknown = [m for m, _ in named if m not in ARRAY_MODELS and m not in TREES and m != "trend_season" and m not in REGISTERED]
+    if unknown or not named:
+        raise ValueError(f"unknown models: {', '.join(unknown)}" if unknown else "select at least one model")
+    arrays = [(m, p) for m, p in named if m in ARRAY_MODELS]
+    others = [(m, p) for m, p in named if m not in ARRAY_MODELS]
+    if spec.freq == "auto":
+        spec = _detected(df, spec, cfg)
+    freq = spec.freq
+    built = build_panel(df, spec, cfg, how, covariates=tuple(r.name for r in roles), staged=True)
+    full, extra = built.panel, [r.name for r in roles]
+    if calendar is not None:
+        full, extra = holiday_features(full, calendar, freq), [*extra, *HOLIDAYS]
+        roles += [CovariateRole(c, "known_future") for c in HOLIDAYS]
+    features = replace(features, covariates=tuple(extra))
+    panel = full.select(*keys, "t", "y")
     _, listed = split_eligible(panel, test_size, keys)
-    split = holdout_split(panel, test_size, keys)
-    board, points = backtest(panel, models, test_size, spec.freq, keys)
-    trials = None
+    split = holdout_split(full.select(*keys, "t", "y", *extra), test_size, keys)
+    train, test = split.where(~F.col("is_test")).drop("is_test", "step"), split.where("is_test").drop("is_test")
+
+    trials = tuned = None
     if tune is not None:
-        names = [m for m in (x if isinstance(x, str) else x[0] for x in models) if m in TUNABLE]
-        train = split.where(~F.col("is_test")).drop("is_test", "step")
-        trials = select_candidate(evaluate_candidates(train, names, test_size, spec.freq, PROFILE_LIMITS[tune], keys=keys), keys)
+        names = [m for m, _ in arrays if m in TUNABLE]
+        base = {m: p[SEARCHED[m]] for m, p in arrays if m in TUNABLE and SEARCHED[m] in p}
+        trials = select_candidate(evaluate_candidates(train.select(*keys, "t", "y"), names, test_size, freq, PROFILE_LIMITS.get(tune), base, keys), keys)
+        tuned = stage(trials.where("selected").select(*keys, "model_id", "param"))
+
+    def ahead(history, axis, purpose, observed):
+        if not extra:
+            return None
+        held = None if calendar is None else holiday_features(axis.select(*keys, "t").distinct(), calendar, freq)
+        return _wide(future_covariates(to_long(history, extra, keys), axis, roles, purpose, observed, held, keys), extra, keys)
+
+    order = {m: i for i, (m, _) in enumerate(named)}
+    if others:
+        seen = to_long(test, extra, keys).join(test.select(*keys, "t", "step"), [*keys, "t"]) if extra else None
+        eligible = train.join(listed.where(F.col("reason").isNull()).select(*keys), keys, "left_semi")
+        guessed = _beyond_arrays(others, eligible, test_size, freq, keys, ahead(train, test.select(*keys, "step", "t"), "backtest", seen), features)
+        points = pair_predictions(test, guessed, keys)
+        if arrays:
+            points = points.unionByName(backtest(panel, arrays, test_size, freq, keys, tuned)[1].select(*points.columns))
+        points = stage(points)
+        expected = model_grid(listed.where(F.col("reason").isNull()).select(*keys), [m for m, _ in named])
+        board = leaderboard_of(points, expected, test_size, keys)
+    else:
+        board, points = backtest(panel, arrays, test_size, freq, keys, tuned)
+    if tuned is not None:
+        board = board.join(tuned, [*keys, "model_id"], "left")
+
+    cols = [*keys, "model_id", "step", "t", "predicted", "lower", "upper"]
+    parts = []
+    if arrays:
+        ours = board.where(F.col("model_id").isin([m for m, _ in arrays]))
+        parts.append(residual_interval(points, final_by_series(panel, ours, arrays, horizon, freq, keys, tuned), keys).select(*cols))
+    if others:
+        best = board.where(F.col("rank") == 1).select(*keys, "model_id")
+        final = _beyond_arrays(others, full, horizon, freq, keys, ahead(full, future_axis(panel, horizon, freq, keys), "forecast", known_ahead), features)
+        parts.append(final.join(best, [*keys, "model_id"], "left_semi").select(*cols))
+    forecast = reduce(lambda a, b: a.unionByName(b), parts)
     return Experiment(
         built, data_health(built.diagnostics, horizon, test_size, keys), listed.where(F.col("reason").isNotNull()), part_windows(split, keys),
-        board, points, final_by_series(panel, board, models, horizon, spec.freq, keys), trials)
+        board, points, forecast, trials)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from dataclasses import replace
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -16,9 +16,10 @@ from ..operators.forecasters import naive, residual_interval
 from ..operators.runs import importance_by_name
 from ..operators.scoring import holdout_split, largest_residual, pair_predictions
 from ..plans.backtest import leaderboard_of, model_grid
-from ..spec import FeatureConfig
+from ..plans.experiment import run_experiment
+from ..spec import CleaningConfig, CovariateRole, FeatureConfig, PanelSpec
 from .base import CTES, hourly_zero, monthly, near, near_sql, query, with_ctes
-from .models_and_scores import hourly_run
+from .models_and_scores import BASELINES, hourly_run
 from .windows_and_fill import NAMES
 
 TEST = 24
@@ -49,10 +50,11 @@ def clock_ahead(panel, horizon):
     return with_clock(steps.withColumn("t", next_period("_t", "H", F.col("step")))).drop("_t", "t")
 
 
-def _stump_ctes(prefix, source):
+def _stump_ctes(prefix, source, features=("hour", "weekday")):
+    every = " UNION ALL ".join(f"SELECT '{f}' AS f, {f} AS x, y FROM {prefix}_v" for f in features)
     CTES[f"{prefix}_v"] = (source, f"SELECT *, hour(t) AS hour, isodow(t) - 1 AS weekday FROM {source}")
     CTES[f"{prefix}_g"] = (f"{prefix}_v", f"""
-SELECT f, x, sum(y) AS s, count(*) AS n FROM (SELECT 'hour' AS f, hour AS x, y FROM {prefix}_v UNION ALL SELECT 'weekday', weekday, y FROM {prefix}_v) GROUP BY 1, 2""")
+SELECT f, x, sum(y) AS s, count(*) AS n FROM ({every}) GROUP BY 1, 2""")
     CTES[f"{prefix}_c"] = (f"{prefix}_g", f"""
 SELECT f, x, sum(s) OVER w AS ls, sum(n) OVER w AS ln, sum(s) OVER (PARTITION BY f) AS ts, sum(n) OVER (PARTITION BY f) AS tn FROM {prefix}_g WINDOW w AS (PARTITION BY f ORDER BY x)""")
     CTES[f"{prefix}_cut"] = (f"{prefix}_c", f"""
@@ -206,3 +208,63 @@ def _(t):
     imp = importance(t).withColumn("target", F.lit("y"))
     con = imp.where(F.col("series_id") != "click").withColumnRenamed("importance", "mean_abs")
     return importance_by_name(imp, con).select("feature", near("importance", 6).alias("importance"), near("contribution", 6).alias("contribution"))
+
+
+# -- whole experiments: raw rows in, leaderboard and forecast out
+
+CTES["ex_best"] = ("om_board om_points", """
+SELECT b.series_id, b.model_id, s FROM om_board b JOIN (SELECT series_id, model_id, stddev_samp(residual) AS s FROM om_points GROUP BY 1, 2) p USING (series_id, model_id) WHERE b.rank = 1""")
+MONTHLY = PanelSpec(("series_id",), "o_orderdate", "o_totalprice", "M", "o_orderkey")
+
+
+def order_rows(t):
+    return t.orders.withColumnRenamed("o_orderpriority", "series_id")
+
+
+def monthly_experiment(t, models=BASELINES, **more):
+    return run_experiment(order_rows(t), MONTHLY, models, 6, 6, CleaningConfig(missing="drop", fill_steps=False), "sum", **more)
+
+
+@query("experiment_leaderboard", with_ctes("om_board", f"SELECT series_id, model_id, {near_sql('mae', 2)} AS mae, {near_sql('wape', 6)} AS wape, rank, 'success' AS status FROM om_board"))
+def _(t):
+    return monthly_experiment(t).leaderboard.select("series_id", "model_id", near("mae", 2).alias("mae"), near("wape", 6).alias("wape"), "rank", "status")
+
+
+@query("experiment_forecast", with_ctes("om_rows ex_best", f"""
+, p AS (SELECT a.series_id, b.model_id, a.step, a.t, b.s, CASE b.model_id WHEN 'naive' THEN n.y WHEN 'seasonal_naive' THEN s.y ELSE m.m END AS predicted
+ FROM (SELECT series_id, k::BIGINT AS step, (t + k * INTERVAL 1 MONTH)::TIMESTAMP AS t FROM om_rows, generate_series(1, 6) AS g(k) WHERE back = 1) a
+ JOIN ex_best b ON b.series_id = a.series_id JOIN om_rows n ON n.series_id = a.series_id AND n.back = 1 JOIN om_rows s ON s.series_id = a.series_id AND s.back = 12 - (a.step - 1) % 12
+ JOIN (SELECT series_id, avg(y) AS m FROM om_rows WHERE back <= 7 GROUP BY 1) m ON m.series_id = a.series_id)
+SELECT series_id, model_id, step, t, {near_sql('predicted', 2)} AS predicted, {near_sql('predicted - 1.96 * s', 1)} AS lower, {near_sql('predicted + 1.96 * s', 1)} AS upper FROM p""".replace("\n, p AS", ", p AS", 1)))
+def _(t):
+    out = monthly_experiment(t).forecast
+    return out.select("series_id", "model_id", "step", "t", near("predicted", 2).alias("predicted"), near("lower", 1).alias("lower"), near("upper", 1).alias("upper"))
+
+
+@query("experiment_tuned", with_ctes("trials om_test om_train", f"""
+, best AS (SELECT series_id, model_id, param::INT AS p FROM (SELECT *, row_number() OVER (PARTITION BY series_id, model_id ORDER BY mae, round) AS r FROM trials) WHERE r = 1),
+e AS (SELECT s.series_id, b.model_id, b.p, abs(s.actual - CASE b.model_id WHEN 'moving_average' THEN (SELECT avg(h.y) FROM om_train h WHERE h.series_id = s.series_id AND h.rb <= b.p)
+  ELSE (SELECT max(h.y) FROM om_train h WHERE h.series_id = s.series_id AND h.rb = b.p - (s.step - 1) % b.p) END) AS err FROM om_test s JOIN best b USING (series_id))
+SELECT series_id, model_id, p::VARCHAR AS param, {near_sql('avg(err)', 2)} AS mae, rank() OVER (PARTITION BY series_id ORDER BY avg(err)) AS rank FROM e GROUP BY 1, 2, 3""".replace("\n, best AS", ", best AS", 1)))
+def _(t):
+    board = monthly_experiment(t, ("moving_average", "seasonal_naive"), tune="all").leaderboard
+    return board.select("series_id", "model_id", "param", near("mae", 2).alias("mae"), "rank")
+
+
+# a covariate that comes as text, known ahead from the calendar, drives a tree of one split
+CTES["wk_train"] = ("lf_train", "SELECT * FROM lf_train QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY t) > 1")
+_stump_ctes("wk", "wk_train", ("weekday",))
+CTES["wk_points"] = ("lf_rows wk_cut", f"SELECT r.series_id, t, back, y AS actual, {_LEAF.format(h='0', w='isodow(t) - 1')} AS predicted FROM lf_rows r, wk_cut c WHERE back <= {TEST}")
+
+
+@query("experiment_with_covariates", with_ctes("wk_points lf_rows", f"""
+, a AS (SELECT series_id, 'lag_forest' AS model_id, actual, predicted FROM wk_points
+ UNION ALL SELECT p.series_id, 'naive', p.actual, r.y FROM wk_points p JOIN lf_rows r ON r.series_id = p.series_id AND r.back = {TEST} + 1)
+SELECT series_id, model_id, {near_sql('avg(abs(actual - predicted))')} AS mae, rank() OVER (PARTITION BY series_id ORDER BY avg(abs(actual - predicted))) AS rank FROM a GROUP BY 1, 2""".replace("\n, a AS", ", a AS", 1)))
+def _(t):
+    rows = hourly_zero(t).select("series_id", F.date_format("t", "yyyy-MM-dd HH:mm:ss").alias("time"), F.col("y").cast("string").alias("value"),
+                                 F.concat(F.lit(" "), F.weekday("t").cast("string")).alias("weekday"))
+    plain = replace(ONLY, covariates=())
+    run = run_experiment(rows, PanelSpec(("series_id",), "time", "value", "H"), ["naive", ("lag_forest", {"trees": 1, "depth": 1, "bootstrap": False})], 12, TEST,
+                         roles=[CovariateRole("weekday", "known_future")], features=plain)
+    return run.leaderboard.select("series_id", "model_id", near("mae").alias("mae"), "rank")
