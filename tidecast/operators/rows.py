@@ -167,6 +167,35 @@ def distinct_gaps(df: DataFrame, keys, time: str = "t") -> DataFrame:
     return inner.unionByName(across)
 
 
+def _gap_bands(df: DataFrame, keys, time: str, fmt: Column) -> DataFrame:
+    """keys, _band, _n, _lo, _hi: number, least and largest of the gaps of each band; band -1 holds the rows
+    (``_n``) and those of year and month formats (``_years``, ``_months``).
+
+    One reading of the rows: they are counted per distinct time; gaps inside an hour, the edges of every hour and the counts then
+    travel together, as one short row per series and hour.
+    """
+    item = lambda band, n, lo, hi, y, m: F.struct(band.cast("int").alias("_band"), n.cast("bigint").alias("_n"), lo.alias("_lo"), hi.alias("_hi"),
+                                                  y.cast("bigint").alias("_y"), m.cast("bigint").alias("_m"))
+    none, zero = F.lit(None).cast("double"), F.lit(0)
+    seen = df.where(F.col(time).isNotNull()).groupBy(*keys, time_bucket(time, "H").alias("_h"), F.col(time).alias("_t")).agg(
+        F.count("*").alias("_c"), F.count_if(fmt.isin(*YEAR_FORMATS)).alias("_y"), F.count_if(fmt.isin(*MONTH_FORMATS)).alias("_m"))
+    inner = (micros_of("_t") - micros_of(F.lag("_t").over(forward([*keys, "_h"], "_t")))) / 1e6
+    stepped = seen.withColumn("gap", inner).withColumn("_band", F.when(F.col("gap").isNotNull(), _band(F.col("gap"))))
+    short = stepped.groupBy(*keys, "_h", "_band").agg(
+        F.count("gap").alias("_n"), F.min("gap").alias("_lo"), F.max("gap").alias("_hi"), F.min("_t").alias("_a"), F.max("_t").alias("_z"),
+        F.sum("_c").alias("_c"), F.sum("_y").alias("_y"), F.sum("_m").alias("_m"))
+    hours = short.groupBy(*keys, "_h").agg(
+        F.collect_list(F.when(F.col("_band").isNotNull(), item(F.col("_band"), F.col("_n"), F.col("_lo"), F.col("_hi"), zero, zero))).alias("_items"),
+        F.min("_a").alias("_a"), F.max("_z").alias("_z"), F.sum("_c").alias("_c"), F.sum("_y").alias("_y"), F.sum("_m").alias("_m"))
+    across = (micros_of("_a") - micros_of(F.lag("_z").over(forward(keys, "_h")))) / 1e6
+    gap = F.col("gap")
+    line = hours.withColumn("gap", across).select(*keys, F.inline(F.concat(
+        F.col("_items"), F.array_compact(F.array(F.when(gap.isNotNull(), item(_band(gap), F.lit(1), gap, gap, zero, zero)))),
+        F.array(item(F.lit(-1), F.col("_c"), none, none, F.col("_y"), F.col("_m"))))))
+    return line.groupBy(*keys, "_band").agg(F.sum("_n").alias("_n"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"),
+                                            F.sum("_y").alias("_years"), F.sum("_m").alias("_months"))
+
+
 def detect_frequency(df: DataFrame, spec: PanelSpec, target: str | None = None, strict: bool = False) -> DataFrame:
     """Frequency of each series from the median gap between its distinct times.
 
@@ -184,22 +213,18 @@ def detect_frequency(df: DataFrame, spec: PanelSpec, target: str | None = None,
     keys = list(spec.keys)
     formats = "source_format" in df.columns
     fmt = F.col("source_format") if formats else F.lit(None).cast("string")
-    head = df.where(F.col(spec.time).isNotNull()).groupBy(*keys).agg(
-        F.count("*").alias("_rows"),
-        F.count_if(fmt.isin(*YEAR_FORMATS)).alias("_years"),
-        F.count_if(fmt.isin(*MONTH_FORMATS)).alias("_months"))
-
-    gaps = distinct_gaps(df, keys, spec.time).withColumn("_band", _band(F.col("gap")))
-    bands = gaps.groupBy(*keys, "_band").agg(
-        F.count("*").alias("_n"), F.min("gap").alias("_lo"), F.max("gap").alias("_hi"))
-    upto = F.sum("_n").over(forward(keys, "_band").rowsBetween(START, 0))
-    placed = bands.withColumns({"_upto": upto, "_all": F.sum("_n").over(whole(keys))})
+    bands = _gap_bands(df, keys, spec.time, fmt)
+    gap = F.col("_band") >= 0
+    known = F.when(gap, F.col("_n"))
+    upto = F.sum(known).over(forward(keys, "_band").rowsBetween(START, 0))
+    placed = bands.withColumns({"_upto": upto, "_all": F.sum(known).over(whole(keys))})
     # 1-based ranks of the two middle gaps
     left, right = F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1
     before = F.col("_upto") - F.col("_n")
-    holds_left = (before < left) & (left <= F.col("_upto"))
-    holds_right = (before < right) & (right <= F.col("_upto"))
+    holds_left = gap & (before < left) & (left <= F.col("_upto"))
+    holds_right = gap & (before < right) & (right <= F.col("_upto"))
     middle = placed.groupBy(*keys).agg(
+        *[F.max(F.when(~gap, F.col(c))).alias(n) for c, n in (("_n", "_rows"), ("_years", "_years"), ("_months", "_months"))],
         F.max(F.when(holds_left, F.col("_band"))).alias("_bl"), F.max(F.when(holds_left, F.col("_hi"))).alias("_vl"),
         F.max(F.when(holds_right, F.col("_band"))).alias("_br"), F.max(F.when(holds_right, F.col("_lo"))).alias("_vr"))
     split = F.col("_bl") != F.col("_br")
@@ -207,13 +232,12 @@ def detect_frequency(df: DataFrame, spec: PanelSpec, target: str | None = None,
     middle = middle.withColumn("median_gap", median).withColumn(
         "_band", F.when(split, _band(F.col("median_gap"))).otherwise(F.col("_bl")))
 
-    joined = head.join(middle, keys, "left")
     by_gap = _band_freq(F.col("_band"))
     by_format = F.when(F.col("_years") == F.col("_rows"), "Y").when(F.col("_months") == F.col("_rows"), "M")
     enough = F.col("_rows") >= 2
     freq = F.coalesce(F.when(enough, F.coalesce(by_format, by_gap)), F.lit("D"))
     irregular = enough & by_format.isNull() & F.col("_band").isNotNull() & by_gap.isNull()
-    out = joined.select(*keys, freq.alias("freq"), "median_gap", irregular.alias("irregular"))
+    out = middle.select(*keys, freq.alias("freq"), "median_gap", irregular.alias("irregular"))
     rank = F.create_map(*[F.lit(x) for pair in FREQ_ORDER.items() for x in pair])
     too_fine = F.lit(False) if target is None else F.lit(FREQ_ORDER[check_freq(target)]) < rank[F.col("freq")]
     out = out.withColumn("too_fine", too_fine)
