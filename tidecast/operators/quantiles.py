@@ -1,54 +1,53 @@
 """Exact quantiles of groups of any size.
 
 ``percentile`` keeps every distinct value of a group in one task.  That is fine
-for a bucketed series and wrong for raw rows.  Here the value axis of each
-group is cut into bins, the bins holding the wanted ranks are found from
-counts, and only these bins are looked at again; after the zoom rounds the
-rest is small whatever the group was.
+for a bucketed series and wrong for raw rows.  Here the rows are sorted once by
+group and value over range partitions, so a hot group spreads over as many
+tasks as it fills; the place of any rank then follows from the row counts of
+(partition, group), whatever the distribution of the values.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import START, forward
+from ..session import stage
+from ._common import START, forward, whole
 
-BINS = 4096
+PART_BITS = 33  # fixed value: monotonically_increasing_id counts rows below this bit and partitions above
 
 
-def exact_quantile(df: DataFrame, keys, value: str, q: float, zooms: int = 2) -> DataFrame:
-    """Linear-interpolated quantile ``q`` per group: keys, ``quantile``.
+def exact_quantiles(df: DataFrame, keys, value: str, qs: Iterable[float]) -> DataFrame:
+    """keys, q, quantile: linear-interpolated quantiles per group, all in one pass (runs a job).
 
-    Each zoom is one partial aggregate with at most ``BINS`` rows per group.
+    The sorted rows are staged once, since their places must stay the same while they are looked up.  Null values are
+    left out; null keys are groups of their own.
     """
     keys = list(keys)
-    data = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    size = data.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    place = (F.col("_n") - 1) * F.lit(float(q))
-    lower = F.floor(place).cast("bigint")
-    # one row per group and wanted 0-based rank; both ranks may be the same
-    want = (size.withColumn("_w", place - lower)
-            .withColumn("_rank", F.explode(F.array(F.struct(lower.alias("r"), F.lit(0).alias("side")),
-                                                   F.struct(F.least(lower + 1, F.col("_n") - 1).alias("r"),
-                                                            F.lit(1).alias("side")))))
-            .select(*keys, "_w", "_lo", "_hi", F.col("_rank.r").alias("_r"), F.col("_rank.side").alias("_side")))
-    for _ in range(zooms):
-        wanted = data.join(want, keys).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
-        width = (F.col("_hi") - F.col("_lo")) / BINS
-        bin_no = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(BINS - 1))).otherwise(0)
-        counts = (wanted.groupBy(*keys, "_side", "_w", "_r", bin_no.alias("_bin"))
-                  .agg(F.count("*").alias("_c"), F.min("_v").alias("_blo"), F.max("_v").alias("_bhi")))
-        upto = F.sum("_c").over(forward([*keys, "_side"], "_bin").rowsBetween(START, 0))
-        want = (counts.withColumn("_upto", upto)
-                .where((F.col("_r") < F.col("_upto")) & (F.col("_r") >= F.col("_upto") - F.col("_c")))
-                .select(*keys, "_w", F.col("_blo").alias("_lo"), F.col("_bhi").alias("_hi"),
-                        (F.col("_r") - (F.col("_upto") - F.col("_c"))).alias("_r"), "_side"))
-    last = data.join(want, keys).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
-    per_value = last.groupBy(*keys, "_side", "_w", "_r", "_v").agg(F.count("*").alias("_c"))
-    upto = F.sum("_c").over(forward([*keys, "_side"], "_v").rowsBetween(START, 0))
-    hit = (per_value.withColumn("_upto", upto)
-           .where((F.col("_r") < F.col("_upto")) & (F.col("_r") >= F.col("_upto") - F.col("_c"))))
-    a = F.max(F.when(F.col("_side") == 0, F.col("_v")))
-    b = F.max(F.when(F.col("_side") == 1, F.col("_v")))
-    return hit.groupBy(*keys).agg((a + (b - a) * F.max("_w")).alias("quantile"))
+    data = df.select(F.struct(*keys).alias("_k"), F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    ranged = data.repartitionByRange("_k", "_v").sortWithinPartitions("_k", "_v")
+    placed = stage(ranged.withColumn("_at", F.monotonically_increasing_id()))
+    parts = placed.groupBy("_k", F.shiftright("_at", PART_BITS).alias("_part")).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(forward(["_k"], "_part").rowsBetween(START, -1)), F.lit(0))
+    parts = parts.withColumns({"_before": before, "_all": F.sum("_n").over(whole(["_k"]))})
+    asked = parts.select("*", F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q"))
+    place = (F.col("_all") - 1) * F.col("q")
+    low = F.floor(place).cast("bigint")
+    sides = F.array(F.struct(low.alias("rank"), (1 - (place - low)).alias("share")),
+                    F.struct(F.least(low + 1, F.col("_all") - 1).alias("rank"), (place - low).alias("share")))
+    ranks = asked.select("_k", "q", "_first", "_before", "_n", F.inline(sides)).where(
+        (F.col("rank") >= F.col("_before")) & (F.col("rank") < F.col("_before") + F.col("_n")))
+    hits = ranks.select("_k", "q", "share", (F.col("_first") + F.col("rank") - F.col("_before")).alias("_at"))
+    found = hits.join(placed.select("_at", "_v"), "_at")
+    # a + (b - a) * share keeps equal neighbours exact
+    a, b = F.min("_v"), F.max("_v")
+    out = found.groupBy("_k", "q").agg((a + (b - a) * F.max_by("share", F.struct("_v", "_at"))).alias("quantile"))
+    return out.select("_k.*", "q", "quantile")
+
+
+def exact_quantile(df: DataFrame, keys, value: str, q: float) -> DataFrame:
+    """keys, quantile: one exact quantile per group."""
+    return exact_quantiles(df, keys, value, (q,)).drop("q")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.calendar import period_no
 from ..operators.diagnostics import cleaning_diagnostics, data_health
 from ..operators.fill import reindex, time_index
-from ..operators.quantiles import exact_quantile
+from ..operators.quantiles import exact_quantiles
 from ..operators.rows import (annotate_rows, bucket_aggregate, bucket_covariates, detect_frequency, duplicate_count,
                               fill_rows, resolve_duplicates)
 from ..plans.build import build_panel
@@ -119,8 +119,9 @@ def _(t):
 @query("user_value_quantiles", f"""
 SELECT user_id, {near_sql('quantile_cont(value, 0.5)')} AS median, {near_sql('quantile_cont(value, 0.9)')} AS p90 FROM events GROUP BY 1""")
 def _(t):
-    a = exact_quantile(t.events, ["user_id"], "value", 0.5).select("user_id", near("quantile").alias("median"))
-    return a.join(exact_quantile(t.events, ["user_id"], "value", 0.9).select("user_id", near("quantile").alias("p90")), "user_id")
+    found = exact_quantiles(t.events, ["user_id"], "value", (0.5, 0.9))
+    at = lambda q: F.max(F.when(F.col("q") == q, F.col("quantile")))
+    return found.groupBy("user_id").agg(near(at(0.5)).alias("median"), near(at(0.9)).alias("p90"))
 
 
 # row-level fill in time order, before bucketing
