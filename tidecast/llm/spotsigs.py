@@ -7,7 +7,6 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import written
 from .words import let
 
 #: Very common words of English, German, French and Spanish; they are the anchors and are left out of the chains.
@@ -20,27 +19,26 @@ ANCHORS = (
 )
 CHAIN = 3
 AHEAD = 10
+BLOCK_ROWS, BLOCKS = 2000, 20_000
 
 
 def signatures(text: Column) -> Column:
     """The set of spot signatures of a whole text as a sorted array<int>; null counts as empty.
 
     A signature hashes an anchor and the next ``CHAIN`` words that are no anchors, among the ``AHEAD`` words after it.  Words are
-    runs of letters, in lower case.  In a text without anchors every word is one (so it has at least one signature, that of
-    no words if there are none); equal texts have equal sets.
+    runs of letters, in lower case.  A word is an anchor too where none of the ``AHEAD`` words before it is common, so that
+    lists and texts in other languages have signatures; the first word always is one, so no set is empty.  Whether a word
+    starts a chain depends on its neighbours alone, and equal texts have equal sets.
     """
     words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+")
-    anchor = lambda x: x.isin(*ANCHORS)
+    common = lambda x: x.isin(*ANCHORS)
 
     def spots(w):
-        chain = lambda x, i: F.hash(x, F.slice(F.filter(F.slice(w, i + 2, F.lit(AHEAD)), lambda y: ~anchor(y) & (y != "")), 1, CHAIN))
-        return F.filter(F.transform(w, lambda x, i: F.when(anchor(x), chain(x, i))), lambda s: s.isNotNull())
+        chain = lambda x, i: F.hash(x, F.slice(F.filter(F.slice(w, i + 2, F.lit(AHEAD)), lambda y: ~common(y) & (y != "")), 1, CHAIN))
+        lonely = lambda i: ~F.exists(F.slice(w, F.greatest(i - AHEAD + 1, F.lit(1)), F.least(i, F.lit(AHEAD))), common)
+        return F.filter(F.transform(w, lambda x, i: F.when(common(x) | lonely(i), chain(x, i))), lambda s: s.isNotNull())
 
-    def whole(w):
-        every = F.transform(w, lambda x, i: F.hash(F.slice(w, i + 1, CHAIN + 1)))
-        return let(spots(w), lambda s: F.when(F.size(s) > 0, s).otherwise(every))
-
-    return F.sort_array(F.array_distinct(let(words, whole)))
+    return F.sort_array(F.array_distinct(let(words, spots)))
 
 
 def likeness(a: Column, b: Column, at_least: float = 0.0) -> Column:
@@ -55,55 +53,46 @@ def as_text(signature: Column) -> Column:
     return F.array_join(signature.cast("array<string>"), ",")
 
 
-def order_by_id(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, h, n, nth): distinct documents numbered from 0 by falling doc_id, nulls last, then by text hash.
-
-    Sorted by range; the parts are written once, and only their row counts are added up in one place.
-    """
-    ids = docs.select("doc_id", F.xxhash64(text).alias("h"), F.coalesce(F.length(text), F.lit(0)).alias("n")).distinct()
-    ranged = ids.repartitionByRange(F.desc_nulls_last("doc_id"), "h").sortWithinPartitions(F.desc_nulls_last("doc_id"), "h")
-    placed = written(ranged.withColumn("at", F.monotonically_increasing_id()))
-    part = F.shiftright("at", 33)
-    counts = placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("c"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("part", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("start"))
-    return (placed.withColumn("part", part).join(starts, "part")
-            .select("doc_id", "h", "n", (F.col("start") + F.col("at").bitwiseAND((1 << 33) - 1)).alias("nth")))
-
-
 def with_next(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, text, signature, piece, next_signature): every row with what its next document lends it.
+    """(doc_id, text, next_text): every row with the text of the next one; null texts count as empty.
 
-    The next document is that of the next smaller doc_id, after the last one the first.  piece are its first floor(n / 2) code points, n
-    being this document's.  Rows equal in doc_id and text are one document; rows that share a doc_id follow each other by text hash.
-    Texts are dealt once by their key, and only the lent halves once more.
+    Rows follow each other by falling doc_id, nulls last, rows of one doc_id by text hash; after the last one comes the first.
+    Rows are dealt once, by blocks of neighbouring ids (of nulls: of hashes), and ordered within a block.  The first row of a block
+    also goes to the block before it, where it stands last; there are at most ``BLOCKS`` such rows beside one for nulls,
+    so their keys may be broadcast.
     """
-    order = written(order_by_id(docs, text))
-    total = order.agg(F.max("nth")).head()[0]
-    if total is None:
-        total = 0
-    takers = order.select(((F.col("nth") + 1) % F.lit(total + 1)).alias("nth"), F.col("doc_id").alias("to_id"), F.col("h").alias("to_h"),
-                          F.floor(F.col("n") / 2).cast("int").alias("half"))
-    lenders = order.join(takers, "nth").select(F.col("doc_id").alias("k_id"), F.col("h").alias("k_h"), "to_id", "to_h", "half")
-    body = F.coalesce(F.col(text), F.lit(""))
-    dealt = docs.select("doc_id", F.xxhash64(text).alias("h"), body.alias("text"), signatures(F.col(text)).alias("signature"))
-    same = lambda a, b, c, d: F.col(a).eqNullSafe(F.col(b)) & (F.col(c) == F.col(d))
-    lent = (dealt.dropDuplicates(["doc_id", "h"]).join(lenders, same("doc_id", "k_id", "h", "k_h"))
-            .select("to_id", "to_h", F.substring("text", F.lit(1), F.col("half")).alias("piece"), F.col("signature").alias("next_signature")))
-    return dealt.join(lent, same("doc_id", "to_id", "h", "to_h")).select("doc_id", "text", "signature", "piece", "next_signature")
+    body, h = F.coalesce(F.col(text), F.lit("")), F.xxhash64(text)
+    seen = docs.agg(F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("ids"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).head()
+    some = lambda n: max(1, min(BLOCKS, n // BLOCK_ROWS))
+    low, width = seen["low"] or 0, ((seen["high"] or 0) - (seen["low"] or 0)) // some(seen["ids"]) + 1
+    nulls = some(seen["n"] - seen["ids"])
+    of_null = F.least(F.floor((h.cast("double") / 2.0 ** 64 + 0.5) * nulls), F.lit(nulls - 1))
+    block = F.when(F.col("doc_id").isNull(), -1 - of_null).otherwise(F.expr(f"(doc_id - {low}L) div {width}L"))
+    keyed = docs.select("doc_id", body.alias("text"), h.alias("h"), block.cast("bigint").alias("block"))
+    first = F.max(F.struct("doc_id", F.bitwise_not("h").alias("nh")))
+    firsts = keyed.groupBy("block").agg(first.alias("f"))
+    falling = Window.orderBy(F.desc("block"))
+    firsts = firsts.select("block", F.col("f.doc_id").alias("f_id"), F.bitwise_not("f.nh").alias("f_h"),
+                           F.coalesce(F.lag("block").over(falling), F.min("block").over(Window.partitionBy())).alias("before"))
+    guests = keyed.join(F.broadcast(firsts), "block").where(F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("h") == F.col("f_h")))
+    both = keyed.withColumn("guest", F.lit(False)).unionByName(
+        guests.select("doc_id", "text", "h", F.col("before").alias("block"), F.lit(True).alias("guest")))
+    order = Window.partitionBy("block").orderBy("guest", F.desc_nulls_last("doc_id"), "h")
+    return both.withColumn("next_text", F.lead("text").over(order)).where(~F.col("guest")).select("doc_id", "text", "next_text")
 
 
 def edit_likeness(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, n_chars, edited, signature, edited_signature, near_edited, near_next for every row of ``docs``.
 
-    edited: the text with its last floor(n / 2) code points replaced by the first as many (or all) of the next document's; likeness is
-    that of signature sets, from 0 to 1.  Empty tables give empty tables; a single document is its own next.
+    edited: the text with its last floor(n / 2) code points replaced by the first as many (or all) of the next row's, in the order of
+    ``with_next``; likeness is that of signature sets, from 0 to 1.  Repeated rows each count; an empty table gives an empty
+    table; a single row is its own next.
     """
-    held = with_next(docs, text)
-    n = F.length("text")
-    edited = F.concat(F.substring("text", F.lit(1), (n - F.floor(n / 2)).cast("int")), F.col("piece"))
-    made = held.select("doc_id", n.cast("bigint").alias("n_chars"), "signature", "next_signature", edited.alias("edited"))
-    made = made.withColumn("edited_signature", signatures(F.col("edited")))
+    half = F.floor(F.length("text") / 2).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_text", F.lit(1), half))
+    held = with_next(docs, text).select("doc_id", "text", "next_text", edited.alias("edited"))
+    made = held.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), "edited", signatures(F.col("text")).alias("signature"),
+                       signatures(F.col("edited")).alias("edited_signature"), signatures(F.col("next_text")).alias("next_signature"))
     return made.select("doc_id", "n_chars", "edited", "signature", "edited_signature",
                        likeness(F.col("signature"), F.col("edited_signature")).alias("near_edited"),
                        likeness(F.col("signature"), F.col("next_signature")).alias("near_next"))
