@@ -162,7 +162,7 @@ def _find(label: np.ndarray, x: np.ndarray) -> np.ndarray:
         r = n
 
 
-def group_forest(key, home, fp, chk, node, threshold: int, check: int):
+def group_forest(key, home, fp, chk, node, threshold: int, together: int):
     """Links of each run of equal keys, as (smallest node, other node) of the parts that hang together.
 
     All pairs of a home and any other member are compared, in steps of growing distance, until the
@@ -180,9 +180,10 @@ def group_forest(key, home, fp, chk, node, threshold: int, check: int):
         if not len(at):
             break
         a, b = at, at + k
-        near = (label[a] != label[b]) & (np.bitwise_count(fp[a] ^ fp[b]) <= threshold)
-        if check:
-            near[near] = np.bitwise_count(chk[a[near]] ^ chk[b[near]]) <= check
+        apart = np.bitwise_count(fp[a] ^ fp[b])
+        if together:
+            apart += np.bitwise_count(chk[a] ^ chk[b])
+        near = (label[a] != label[b]) & (apart <= (together or threshold))
         x, y = a[near], b[near]
         while len(x):
             x, y = _find(label, x), _find(label, y)
@@ -202,11 +203,11 @@ def group_forest(key, home, fp, chk, node, threshold: int, check: int):
     return least[other], node[other]
 
 
-def links(fps: DataFrame, threshold: int = 4, check: int = 0) -> DataFrame:
+def links(fps: DataFrame, threshold: int = 4, together: int = 0) -> DataFrame:
     """(u, v): enough links between the rows of ``fps`` (node, fp, chk: bigint) to connect all that are near.
 
-    Near: at most ``threshold`` differing bits, and at most ``check`` in the second fingerprint unless it
-    is 0.  Only a spanning forest of every anchor's group is returned, so a dense group gives as
+    Near: at most ``threshold`` differing bits, of which none are missed; or, unless it is 0, at most ``together`` differing bits
+    in both fingerprints, among the pairs that meet at an anchor.  Only a spanning forest of every anchor's group is returned, so a dense group gives as
     many rows as members, not as pairs.  A group passes one task as numbers of 25 bytes a member.
     """
     names = ["key", "home", "fp", "chk", "node"]
@@ -234,7 +235,7 @@ def links(fps: DataFrame, threshold: int = 4, check: int = 0) -> DataFrame:
 
     def _edges(cols, upto):
         key, home, fp, chk, node = (c[:upto] for c in cols)
-        u, v = group_forest(key, home, fp.astype(np.uint64), chk.astype(np.uint64), node, threshold, check)
+        u, v = group_forest(key, home, fp.astype(np.uint64), chk.astype(np.uint64), node, threshold, together)
         return pa.RecordBatch.from_arrays([pa.array(v), pa.array(u)], names=["u", "v"])
 
     sent = fps.select("node", "fp", "chk").mapInArrow(send, "key bigint, home boolean, fp bigint, chk bigint, node bigint")
@@ -242,14 +243,14 @@ def links(fps: DataFrame, threshold: int = 4, check: int = 0) -> DataFrame:
             .mapInArrow(compare, "u bigint, v bigint").distinct())
 
 
-def classes(fps: DataFrame, threshold: int, check: int = 0, doc_id: str = "doc_id") -> DataFrame:
+def classes(fps: DataFrame, threshold: int, together: int = 0, doc_id: str = "doc_id") -> DataFrame:
     """(fp, chk, component) for every distinct fingerprint of ``fps`` (doc_id, fp, chk).
 
     Equal fingerprints are one node, named by their smallest doc_id (nulls ignored; a fingerprint that
     only rows without doc_id have stays alone and gets a null component).
     """
     nodes = stage(fps.groupBy("fp", "chk").agg(F.min(doc_id).alias("node")))
-    found = components(links(nodes.where("node is not null"), threshold, check))
+    found = components(links(nodes.where("node is not null"), threshold, together))
     return (nodes.join(found, "node", "left")
             .select("fp", "chk", F.coalesce("component", "node").alias("component")))
 
@@ -266,10 +267,11 @@ def near_duplicates(docs: DataFrame, words: int = 4, threshold: int = 4, seed: i
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 8, check: int = 12, seed: int = 42) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 8, together: int = 20, seed: int = 42) -> DataFrame:
     """One row of every group of near copies: that of the smallest doc_id.  All columns stay as they are.
 
-    Copies differ in at most ``threshold`` of 64 bits and ``check`` of 64 further ones; a link chain makes one group.
+    Copies meet at an anchor for ``threshold`` bits and differ in at most ``together`` of 128 bits (two fingerprints); a chain of links
+    makes one group.
     Texts without words are one group.  Rows without doc_id stay only where no row with an id has their
     fingerprint, one for each fingerprint; of rows that repeat the kept doc_id in a group one stays.
     """
@@ -277,7 +279,7 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 8, ch
     base = docs.drop(*names)
     made = with_fingerprints(base, words, seed, into="__fp", check="__chk")
     fps = stage(made.select("doc_id", F.col("__fp").alias("fp"), F.col("__chk").alias("chk")))
-    groups = classes(fps, threshold, check).select(F.col("fp").alias("__fp"), F.col("chk").alias("__chk"), F.col("component").alias("__component"))
+    groups = classes(fps, threshold, together).select(F.col("fp").alias("__fp"), F.col("chk").alias("__chk"), F.col("component").alias("__component"))
     chosen = made.join(groups, ["__fp", "__chk"]).where(F.col("doc_id").eqNullSafe(F.col("__component")))
     alone = F.col("__component").isNull()
     return (chosen.withColumn("__fp", F.when(alone, F.col("__fp"))).withColumn("__chk", F.when(alone, F.col("__chk")))
