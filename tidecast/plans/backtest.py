@@ -273,6 +273,11 @@ def evaluate_candidates(train: DataFrame, models: Iterable[str], test_size: int,
 
 
 def select_candidate(trials: DataFrame, keys=KEYS) -> DataFrame:
-    """Mark the trial with the smallest MAE of each series and model; the earlier round wins ties."""
-    w = whole([*keys, "model_id"]).orderBy(F.col("mae").asc_nulls_last(), "round")
+    """Mark the trial with the smallest MAE of each series and model; the earlier round wins ties.
+
+    Errors equal in eleven digits are ties: they differ by the order of a sum only.
+    """
+    scale = F.pow(F.lit(10.0), F.floor(F.log10("mae")))
+    rounded = F.when(F.col("mae") > 0, F.round(F.col("mae") / scale, 10) * scale).otherwise(F.col("mae"))
+    w = whole([*keys, "model_id"]).orderBy(rounded.asc_nulls_last(), "round")
     return trials.withColumn("selected", (F.row_number().over(w) == 1) & F.col("mae").isNotNull())

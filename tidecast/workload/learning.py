@@ -74,7 +74,7 @@ SELECT series_id, t, back, y AS actual, {_LEAF.format(h='hour(t)', w='isodow(t)
 , a AS (SELECT series_id, 'lag_forest' AS model_id, actual, predicted FROM lf_points
  UNION ALL SELECT p.series_id, 'naive', p.actual, r.y FROM lf_points p JOIN lf_rows r ON r.series_id = p.series_id AND r.back = {TEST} + 1),
 m AS (SELECT series_id, model_id, avg(abs(actual - predicted)) AS mae, sqrt(avg((actual - predicted) * (actual - predicted))) AS rmse FROM a GROUP BY 1, 2)
-SELECT series_id, model_id, {near_sql('mae')} AS mae, {near_sql('rmse')} AS rmse, rank() OVER (PARTITION BY series_id ORDER BY mae) AS rank FROM m""".replace("\n, a AS", ", a AS", 1)))
+SELECT series_id, model_id, {near_sql('mae')} AS mae, {near_sql('rmse')} AS rmse, row_number() OVER (PARTITION BY series_id ORDER BY mae, model_id) AS rank FROM m""".replace("\n, a AS", ", a AS", 1)))
 def _(t):
     train, test = split(t)
     trees = L.recursive_predict(stump(train), with_clock(train), TEST, "H", clock_ahead(train, TEST))
@@ -242,10 +242,10 @@ def _(t):
 
 
 @query("experiment_tuned", with_ctes("trials om_test om_train", f"""
-, best AS (SELECT series_id, model_id, param::INT AS p FROM (SELECT *, row_number() OVER (PARTITION BY series_id, model_id ORDER BY mae, round) AS r FROM trials) WHERE r = 1),
+, best AS (SELECT series_id, model_id, param::INT AS p FROM (SELECT *, row_number() OVER (PARTITION BY series_id, model_id ORDER BY round(mae, 4), round) AS r FROM trials) WHERE r = 1),
 e AS (SELECT s.series_id, b.model_id, b.p, abs(s.actual - CASE b.model_id WHEN 'moving_average' THEN (SELECT avg(h.y) FROM om_train h WHERE h.series_id = s.series_id AND h.rb <= b.p)
   ELSE (SELECT max(h.y) FROM om_train h WHERE h.series_id = s.series_id AND h.rb = b.p - (s.step - 1) % b.p) END) AS err FROM om_test s JOIN best b USING (series_id))
-SELECT series_id, model_id, p::VARCHAR AS param, {near_sql('avg(err)', 2)} AS mae, rank() OVER (PARTITION BY series_id ORDER BY avg(err)) AS rank FROM e GROUP BY 1, 2, 3""".replace("\n, best AS", ", best AS", 1)))
+SELECT series_id, model_id, p::VARCHAR AS param, {near_sql('avg(err)', 2)} AS mae, row_number() OVER (PARTITION BY series_id ORDER BY avg(err), model_id) AS rank FROM e GROUP BY 1, 2, 3""".replace("\n, best AS", ", best AS", 1)))
 def _(t):
     board = monthly_experiment(t, ("moving_average", "seasonal_naive"), tune="all").leaderboard
     return board.select("series_id", "model_id", "param", near("mae", 2).alias("mae"), "rank")
@@ -260,7 +260,7 @@ CTES["wk_points"] = ("lf_rows wk_cut", f"SELECT r.series_id, t, back, y AS actua
 @query("experiment_with_covariates", with_ctes("wk_points lf_rows", f"""
 , a AS (SELECT series_id, 'lag_forest' AS model_id, actual, predicted FROM wk_points
  UNION ALL SELECT p.series_id, 'naive', p.actual, r.y FROM wk_points p JOIN lf_rows r ON r.series_id = p.series_id AND r.back = {TEST} + 1)
-SELECT series_id, model_id, {near_sql('avg(abs(actual - predicted))')} AS mae, rank() OVER (PARTITION BY series_id ORDER BY avg(abs(actual - predicted))) AS rank FROM a GROUP BY 1, 2""".replace("\n, a AS", ", a AS", 1)))
+SELECT series_id, model_id, {near_sql('avg(abs(actual - predicted))')} AS mae, row_number() OVER (PARTITION BY series_id ORDER BY avg(abs(actual - predicted)), model_id DESC) AS rank FROM a GROUP BY 1, 2""".replace("\n, a AS", ", a AS", 1)))
 def _(t):
     rows = hourly_zero(t).select("series_id", F.date_format("t", "yyyy-MM-dd HH:mm:ss").alias("time"), F.col("y").cast("string").alias("value"),
                                  F.concat(F.lit(" "), F.weekday("t").cast("string")).alias("weekday"))

@@ -186,9 +186,9 @@ SELECT series_id, y AS actual, mean + z * pow(a, {TEST} + 1 - back) AS predicted
 
 
 @query("backtest_all_models", with_ctes("om_board ab_points", f"""
-, b AS (SELECT series_id, model_id, mae, rmse, wape FROM om_board UNION ALL SELECT series_id, 'arima', avg(abs(actual - predicted)), sqrt(avg((actual - predicted) * (actual - predicted))),
+, b AS (SELECT series_id, model_id, selection, mae, rmse, wape FROM om_board UNION ALL SELECT series_id, 'arima', 3, avg(abs(actual - predicted)), sqrt(avg((actual - predicted) * (actual - predicted))),
  sum(abs(actual - predicted)) / sum(abs(actual)) FROM ab_points GROUP BY 1)
-SELECT series_id, model_id, {near_sql('mae', 2)} AS mae, {near_sql('rmse', 2)} AS rmse, {near_sql('wape', 6)} AS wape, rank() OVER (PARTITION BY series_id ORDER BY mae) AS rank, 'success' AS status FROM b""".replace("\n, b AS", ", b AS", 1)))
+SELECT series_id, model_id, {near_sql('mae', 2)} AS mae, {near_sql('rmse', 2)} AS rmse, {near_sql('wape', 6)} AS wape, row_number() OVER (PARTITION BY series_id ORDER BY mae, selection) AS rank, 'success' AS status FROM b""".replace("\n, b AS", ", b AS", 1)))
 def _(t):
     board = B.backtest(monthly(t), (*BASELINES, ("arima", {"p": 1, "d": 0, "q": 0})), TEST, "M")[0]
     return board.select("series_id", "model_id", near("mae", 2).alias("mae"), near("rmse", 2).alias("rmse"), near("wape", 6).alias("wape"), "rank", "status")
