@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -58,8 +59,8 @@ def with_next(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Rows follow each other by falling doc_id, nulls last, rows of one doc_id by text hash; after the last one comes the first.
     Rows are dealt once, by blocks of neighbouring ids (of nulls: of hashes), and ordered within a block.  The first row of a block
-    also goes to the block before it, where it stands last; there are at most ``BLOCKS`` such rows beside one for nulls,
-    so their keys may be broadcast.
+    also goes to the block before it, where it stands last.  There are at most ``BLOCKS`` blocks of ids and as many of
+    nulls, so the keys of these rows pass the driver (four numbers each) and are broadcast.
     """
     body, h = F.coalesce(F.col(text), F.lit("")), F.xxhash64(text)
     seen = docs.agg(F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("ids"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).head()
@@ -70,10 +71,12 @@ def with_next(docs: DataFrame, text: str = "text") -> DataFrame:
     block = F.when(F.col("doc_id").isNull(), -1 - of_null).otherwise(F.expr(f"(doc_id - {low}L) div {width}L"))
     keyed = docs.select("doc_id", body.alias("text"), h.alias("h"), block.cast("bigint").alias("block"))
     first = F.max(F.struct("doc_id", F.bitwise_not("h").alias("nh")))
-    firsts = keyed.groupBy("block").agg(first.alias("f"))
-    falling = Window.orderBy(F.desc("block"))
-    firsts = firsts.select("block", F.col("f.doc_id").alias("f_id"), F.bitwise_not("f.nh").alias("f_h"),
-                           F.coalesce(F.lag("block").over(falling), F.min("block").over(Window.partitionBy())).alias("before"))
+    rows = keyed.groupBy("block").agg(first.alias("f")).select("block", "f.doc_id", F.bitwise_not("f.nh").alias("h")).collect()
+    rows.sort(key=lambda r: -r["block"])
+    # each block's first row goes to the block before it, that of the highest block to the lowest one
+    told = [{"block": r["block"], "f_id": r["doc_id"], "f_h": r["h"], "before": rows[i - 1]["block"]} for i, r in enumerate(rows)]
+    firsts = docs.sparkSession.range(1).select(F.inline(F.from_json(
+        F.lit(json.dumps(told)), "array<struct<block:bigint,f_id:bigint,f_h:bigint,before:bigint>>")))
     guests = keyed.join(F.broadcast(firsts), "block").where(F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("h") == F.col("f_h")))
     both = keyed.withColumn("guest", F.lit(False)).unionByName(
         guests.select("doc_id", "text", "h", F.col("before").alias("block"), F.lit(True).alias("guest")))
