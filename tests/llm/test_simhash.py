@@ -97,3 +97,45 @@ def test_drop_keeps_the_smallest_of_a_group(docs_of):
     rows = [(5, base), (3, near), (9, base), (9, base), (1, prose(4, 300)), (None, base), (None, prose(8, 50)), (None, prose(8, 50)), (2, ""), (4, None)]
     kept = simhash.drop_near_duplicates(docs_of(rows)).collect()
     assert sorted((r["doc_id"] is None, r["doc_id"]) for r in kept) == [(False, 1), (False, 2), (False, 3), (True, None)]
+
+
+def shingles(text):
+    w = text.lower().split()
+    return {tuple(w[i:i + 5]) for i in range(max(len(w) - 4, 1))}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def spoiled(seed, n, edits):
+    w = prose(seed, n).split()
+    for e, i in enumerate(random.Random(seed).sample(range(n), edits)):
+        w[i] = f"edit{seed}x{e}"
+    return " ".join(w)
+
+
+def test_drop_decides_by_the_jaccard_of_shingles(docs_of):
+    texts = []
+    for s in range(120):                                   # likeness 0.7 to 0.95 around the limit
+        texts += [prose(5000 + s, 200), spoiled(5000 + s, 200, 2 + s % 6)]
+    texts += ["again and again it goes " * 60 + prose(s, 100) for s in range(3)]      # one frequent shingle, other sets
+    texts += edited(70, 60)                                # a dense group
+    rows = list(enumerate(texts, 1))
+    sets = {i: shingles(t) for i, t in rows}
+    like = [jaccard(sets[i], sets[i + 1]) for i in range(1, 240, 2)]
+    assert sum(x < 0.8 for x in like) > 20 and sum(0.8 <= x < 0.85 for x in like) > 10
+    want = plain_components(sets, lambda a, b: jaccard(a, b) >= 0.8)
+    assert {r["doc_id"] for r in simhash.drop_near_duplicates(docs_of(rows)).collect()} == set(want.values())
+
+
+def test_groups_left_in_parts_are_searched_for_all_pairs(spark):
+    # forty sets whose fingerprints are all near: they hang together by one pair that is not among the first ones, and by chains
+    r = np.random.default_rng(3)
+    sets = {i: list(range(1000 * i, 1000 * i + 100)) for i in range(1, 41)}
+    sets[37] = sets[5][:95] + [7, 8, 9]
+    sets[38] = sets[37][:90] + [6, 4]
+    fps = spark.createDataFrame([(i, int(1) << int(r.integers(0, 60)), 0, 100) for i in sets], "node bigint, fp bigint, chk bigint, n int")
+    table = spark.createDataFrame(list(sets.items()), "node bigint, hashes array<bigint>")
+    got = simhash.near_sets(fps, lambda nodes: table.join(nodes, "node", "left_semi"), 8, 36).collect()
+    assert {x["node"]: x["component"] for x in got if x["node"] != x["component"]} == {37: 5, 38: 5}

@@ -102,22 +102,37 @@ def anchor_keys(fp: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray,
     return np.concatenate(rows), np.concatenate(keys), np.concatenate(homes)
 
 
-def fingerprint(text: str | None, words: int, seed: int, second: bool = True) -> tuple[int, int]:
-    """Fingerprint of the word shingles of a text, and a second one from the same hashes for checking (or 0); 0, 0 without words."""
+def shingle_hashes(text: str | None, words: int, seed: int):
+    """Hashes (uint64) of the word shingles of a text in order, in blocks; none without words."""
     tokens = (text or "").encode("utf-8", "replace").lower().split()
     if not tokens:
-        return 0, 0
+        return
     size = np.fromiter(map(len, tokens), np.int64, len(tokens))
     end = np.cumsum(size + 1) - 1
     begin = end - size
     body = b" ".join(tokens)
     k = min(words, len(tokens))
     begin, end = begin[:len(tokens) - k + 1], end[k - 1:]
-    ones, twos = np.zeros(64, np.int64), np.zeros(64, np.int64)
     digest = xxhash.xxh64_intdigest
     for at in range(0, len(begin), BLOCK):
         a, b = begin[at:at + BLOCK].tolist(), end[at:at + BLOCK].tolist()
-        h = np.fromiter((digest(body[x:y], seed) for x, y in zip(a, b)), np.uint64, len(a))
+        yield np.fromiter((digest(body[x:y], seed) for x, y in zip(a, b)), np.uint64, len(a))
+
+
+def shingle_set(text: str | None, words: int, seed: int) -> np.ndarray:
+    """The distinct hashes, rising."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, words, seed)]))
+
+
+def fingerprint(text: str | None, words: int, seed: int, second: bool = True) -> tuple[int, int]:
+    """Fingerprint of the word shingles of a text, and a second one from the same hashes for checking (or 0); 0, 0 without words."""
+    return _prints(shingle_hashes(text, words, seed), second)
+
+
+def _prints(blocks, second: bool) -> tuple[int, int]:
+    ones, twos, n = np.zeros(64, np.int64), np.zeros(64, np.int64), 0
+    for h in blocks:
+        n += len(h)
         ones += _bits(h)
         if not second:
             continue
@@ -126,7 +141,7 @@ def fingerprint(text: str | None, words: int, seed: int, second: bool = True) ->
         g *= np.uint64(0xBF58476D1CE4E5B9)
         g ^= g >> np.uint64(32)
         twos += _bits(g)
-    pack = lambda c: int(np.packbits(c * 2 > len(begin), bitorder="little").view("<u8")[0])
+    pack = lambda c: int(np.packbits(c * 2 > n, bitorder="little").view("<u8")[0])
     return pack(ones), pack(twos)
 
 
@@ -203,44 +218,176 @@ def group_forest(key, home, fp, chk, node, threshold: int, together: int):
     return least[other], node[other]
 
 
-def links(fps: DataFrame, threshold: int = 4, together: int = 0) -> DataFrame:
-    """(u, v): enough links between the rows of ``fps`` (node, fp, chk: bigint) to connect all that are near.
+def group_pairs(key, home, fp, chk, node, n, label, most: int, low: int, high: int):
+    """Pairs (u, v, bits) of members of equal keys that may be alike: at most ``most`` differing bits in both fingerprints, and sizes n in reach.
 
-    Near: at most ``threshold`` differing bits, of which none are missed; or, unless it is 0, at most ``together`` differing bits
-    in both fingerprints, among the pairs that meet at an anchor.  Only a spanning forest of every anchor's group is returned, so a dense group gives as
-    many rows as members, not as pairs.  A group passes one task as numbers of 25 bytes a member.
+    Without labels: enough pairs to connect, in each run of equal keys, all that such pairs connect.  With labels: every home's
+    pairs number ``low`` to ``high`` (all pairs count) whose labels differ, and (u, u, 0) if it has reached ``high``.
     """
-    names = ["key", "home", "fp", "chk", "node"]
+    cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    many = np.diff(np.r_[cut, len(key)])
+    stop, group = np.repeat(cut + many, many), np.repeat(np.arange(len(cut)), many)
+    at = np.flatnonzero(home)
+    grow = label is None
+    if grow:
+        label = np.arange(len(key))
+    else:
+        one = np.minimum.reduceat(label, cut) == np.maximum.reduceat(label, cut)
+        at = at[~one[group[at]]]
+        count = np.zeros(len(key), np.int64)
+    us, vs, bits = [node[:0]], [node[:0]], [node[:0]]
+    k = 1
+    while True:
+        at = at[at + k < stop[at]]
+        if not len(at):
+            break
+        a, b = at, at + k
+        apart = np.bitwise_count(fp[a] ^ fp[b]) + np.bitwise_count(chk[a] ^ chk[b])
+        near = (apart <= most) & (5 * np.minimum(n[a], n[b]) >= 4 * np.maximum(n[a], n[b]))
+        take = near & (label[a] != label[b])
+        if not grow:
+            take &= count[a] >= low
+            count[a] += near
+        x, y = a[take], b[take]
+        us.append(np.minimum(node[x], node[y]))
+        vs.append(np.maximum(node[x], node[y]))
+        bits.append(apart[take].astype(np.int64))
+        if grow:
+            while len(x):
+                x, y = _find(label, x), _find(label, y)
+                differ = x != y
+                x, y = np.minimum(x, y)[differ], np.maximum(x, y)[differ]
+                np.minimum.at(label, y, x)
+            if k & (k - 1) == 0 and k > 1:
+                label = _find(label, label)
+                one = np.minimum.reduceat(label, cut) == np.maximum.reduceat(label, cut)
+                at = at[~one[group[at]]]
+        else:
+            full = node[at[count[at] >= high]]
+            us.append(full)
+            vs.append(full)
+            bits.append(np.zeros(len(full), np.int64))
+            at = at[count[at] < high]
+        k += 1
+    return np.concatenate(us), np.concatenate(vs), np.concatenate(bits)
+
+
+def _at_anchors(fps: DataFrame, threshold: int, carried: list[str], compare, schema: str, prints: int = 1) -> DataFrame:
+    """``compare`` (numpy columns key, home and ``carried``, to the columns of ``schema``) over whole groups of rows that meet at an anchor.
+
+    The first ``prints`` of the carried columns are fingerprints, each with anchors of its own.
+    """
+    names = ["key", "home", *carried]
+    made = [x.split()[0] for x in schema.split(", ")]
+    kind = dict(fps.dtypes)
 
     def send(batches):
         for batch in batches:
-            fp = batch.column(1).to_numpy().astype(np.uint64)
-            for at in range(0, len(fp), 4096):
-                row, key, home = anchor_keys(fp[at:at + 4096], threshold)
-                row = row + at
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(home)] + [pa.array(batch.column(i).to_numpy()[row]) for i in (1, 2, 0)], names=names)
-
-    def compare(batches):
+            for p in range(prints):
+                fp = batch.column(p).to_numpy().astype(np.uint64)
+                for at in range(0, len(fp), 4096):
+                    row, key, home = anchor_keys(fp[at:at + 4096], threshold)
+                    row = row + at
+                    yield pa.RecordBatch.from_arrays([pa.array(key | p << 48), pa.array(home)] + [pa.array(batch.column(i).to_numpy()[row]) for i in range(len(carried))],
+                                                     names=names)
+
+    def run(batches):
         held = None
         for batch in batches:
-            cols = [np.asarray(batch.column(i).to_numpy(zero_copy_only=False)) for i in range(5)]
+            cols = [np.asarray(batch.column(i).to_numpy(zero_copy_only=False)) for i in range(len(names))]
             if held is not None:
                 cols = [np.concatenate(x) for x in zip(held, cols)]
             last = np.searchsorted(cols[0], cols[0][-1]) if len(cols[0]) else 0
             held = [c[last:] for c in cols]
             if last:
-                yield _edges(cols, last)
+                yield _made([c[:last] for c in cols])
         if held is not None and len(held[0]):
-            yield _edges(held, len(held[0]))
+            yield _made(held)
 
-    def _edges(cols, upto):
-        key, home, fp, chk, node = (c[:upto] for c in cols)
+    def _made(cols):
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in compare(*cols)], names=made)
+
+    sent = fps.select("fp", *[c for c in carried if c != "fp"]).mapInArrow(send, "key bigint, home boolean, " + ", ".join(f"{c} {kind[c]}" for c in carried))
+    return sent.repartition("key").sortWithinPartitions("key", F.desc("home"), "node").mapInArrow(run, schema)
+
+
+def links(fps: DataFrame, threshold: int = 4, together: int = 0) -> DataFrame:
+    """(u, v): enough links between the rows of ``fps`` (node, fp, chk: bigint) to connect all that are near.
+
+    Near: at most ``threshold`` differing bits, of which none are missed; or, unless it is 0, at most ``together`` differing bits
+    in both fingerprints, among the pairs that meet at an anchor.  Only a spanning forest of every anchor's group is returned, so a dense group gives as
+    many rows as members, not as pairs.  A group passes one task as numbers of 25 bytes a member.
+    """
+    def compare(key, home, fp, chk, node):
         u, v = group_forest(key, home, fp.astype(np.uint64), chk.astype(np.uint64), node, threshold, together)
-        return pa.RecordBatch.from_arrays([pa.array(v), pa.array(u)], names=["u", "v"])
+        return v, u
+
+    return _at_anchors(fps, threshold, ["fp", "chk", "node"], compare, "u bigint, v bigint").distinct()
+
+
+def possible_pairs(fps: DataFrame, threshold: int, most: int, low: int = 0, high: int = 0) -> DataFrame:
+    """(u, v, bits) of ``group_pairs`` over ``fps`` (node, fp, chk: bigint, n: int; with high: label) at the anchors of both fingerprints, each pair once."""
+    def compare(key, home, fp, chk, node, n, label=None):
+        return group_pairs(key, home, fp.astype(np.uint64), chk.astype(np.uint64), node, n.astype(np.int64), label, most, low, high)
+
+    carried = ["fp", "chk", "node", "n"] + ["label"] * (high > 0)
+    return _at_anchors(fps, threshold, carried, compare, "u bigint, v bigint, bits bigint", prints=2).distinct()
 
-    sent = fps.select("node", "fp", "chk").mapInArrow(send, "key bigint, home boolean, fp bigint, chk bigint, node bigint")
-    return (sent.repartition("key").sortWithinPartitions("key", F.desc("home"), "node")
-            .mapInArrow(compare, "u bigint, v bigint").distinct())
+
+def alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) whose sets (node, hashes) have a Jaccard likeness of ``percent`` or more, by counting what they share."""
+    a, b = (sets.select(F.col("node").alias(c), F.col("hashes").alias(f"of_{c}")) for c in "uv")
+    both = F.size(F.array_intersect("of_u", "of_v"))
+    return (pairs.select("u", "v").join(b, "v").join(a, "u")
+            .where(100 * both >= percent * (F.size("of_u") + F.size("of_v") - both)).select("u", "v"))
+
+
+def _labelled(pairs: DataFrame, label: DataFrame) -> DataFrame:
+    """``pairs`` with the components lu and lv of both ends (a node without one is its own)."""
+    for c in "uv":
+        pairs = pairs.join(label.select(F.col("node").alias(c), F.col("component").alias(f"l{c}")), c, "left").withColumn(f"l{c}", F.coalesce(f"l{c}", c))
+    return pairs
+
+
+def near_sets(fps: DataFrame, sets_of, threshold: int, most: int, percent: int = 80) -> DataFrame:
+    """(node, component) of the nodes of ``fps`` (node, fp, chk, n) that hang together by pairs of ``percent`` likeness or more.
+
+    Pairs that meet at an anchor and differ in at most ``most`` bits are decided by their shingles; ``sets_of(nodes)`` gives
+    (node, hashes).  A pair whose ends already hang together is not compared.  First one pair a node, to some smaller node, then the
+    other pairs of the forests that the anchors give; only groups that these pairs leave in parts are searched
+    for further pairs, eight times as many a node in each round, until no node has more.
+    """
+    pairs = stage(possible_pairs(fps, threshold, most))
+    sets = stage(sets_of(pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()))
+    first = pairs.groupBy("v").agg(F.min_by("u", F.struct(F.shiftright("bits", 2), F.xxhash64("u", "v"))).alias("u"))
+    good = stage(alike(first, sets, percent))
+    label = components(good)
+
+    def test(more):
+        nonlocal good, label
+        found = stage(alike(more, sets, percent))
+        if found.head(1):
+            good = good.unionByName(found)
+            label = components(good)
+
+    rest = stage(_labelled(pairs.join(first, ["u", "v"], "left_anti"), label).where("lu <> lv").select("u", "v"))
+    if rest.head(1):
+        test(rest)
+    parted = stage(_labelled(pairs, label).where("lu <> lv").select(F.col("lu").alias("u"), F.col("lv").alias("v")).distinct())
+    if not parted.head(1):
+        return label
+    left = parted.select(F.col("u").alias("label")).unionByName(parted.select(F.col("v").alias("label"))).distinct()
+    with_label = lambda f: f.join(label, "node", "left").select(*f.columns, F.coalesce("component", "node").alias("label"))
+    members = stage(with_label(fps).join(left, "label", "left_semi").drop("label"))
+    low, high = 0, 8
+    while True:
+        found = stage(possible_pairs(with_label(members), threshold, most, low, high))
+        new = found.where("u <> v")
+        if new.head(1):
+            test(new)
+        if not found.where("u = v").head(1):
+            return label
+        low, high = high, high * 8
 
 
 def classes(fps: DataFrame, threshold: int, together: int = 0, doc_id: str = "doc_id") -> DataFrame:
@@ -267,20 +414,50 @@ def near_duplicates(docs: DataFrame, words: int = 4, threshold: int = 4, seed: i
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 8, together: int = 20, seed: int = 42) -> DataFrame:
+def with_sets(docs: DataFrame, words: int, seed: int, hashes: bool = False, text: str = "text") -> DataFrame:
+    """``docs`` with __node, a digest of the set of its shingles; and __fp, __chk and __n, two fingerprints and the size of the set, or with its __hashes."""
+    kind = "node bigint, " + ("hashes array<bigint>" if hashes else "fp bigint, chk bigint, n int")
+
+    @F.pandas_udf(kind)
+    def both(texts):
+        import pandas as pd
+        sets = [shingle_set(t, words, seed) for t in texts]
+        out = {"node": np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in sets], np.uint64).astype(np.int64)}
+        if hashes:
+            out["hashes"] = [h.astype(np.int64) for h in sets]
+        else:
+            fp = np.array([_prints([h], True) if len(h) else (0, 0) for h in sets], np.uint64).reshape(-1, 2).astype(np.int64)
+            out |= {"fp": fp[:, 0], "chk": fp[:, 1], "n": np.array([len(h) for h in sets], np.int32)}
+        return pd.DataFrame(out)
+
+    made = docs.withColumn("__both", both(F.col(text)))
+    return made.select(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(f"__both.{c.split()[0]}").alias(f"__{c.split()[0]}") for c in kind.split(", ")])
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 8, most: int = 36, percent: int = 80, seed: int = 42) -> DataFrame:
     """One row of every group of near copies: that of the smallest doc_id.  All columns stay as they are.
 
-    Copies meet at an anchor for ``threshold`` bits and differ in at most ``together`` of 128 bits (two fingerprints); a chain of links
-    makes one group.
+    Copies have sets of word shingles of a Jaccard likeness of ``percent`` or more; a chain of copies makes one group.  Looked at
+    are the pairs that meet at an anchor for ``threshold`` bits of either fingerprint and differ in at most ``most`` of 128 bits (two fingerprints of the sets).
     Texts without words are one group.  Rows without doc_id stay only where no row with an id has their
-    fingerprint, one for each fingerprint; of rows that repeat the kept doc_id in a group one stays.
+    shingles, one for each set; of rows that repeat the kept doc_id in a group one stays.
     """
-    names = ["__fp", "__chk", "__component"]
+    names = ["__node", "__fp", "__chk", "__n", "__hashes", "__component", "__id", "__both"]
     base = docs.drop(*names)
-    made = with_fingerprints(base, words, seed, into="__fp", check="__chk")
-    fps = stage(made.select("doc_id", F.col("__fp").alias("fp"), F.col("__chk").alias("chk")))
-    groups = classes(fps, threshold, together).select(F.col("fp").alias("__fp"), F.col("chk").alias("__chk"), F.col("component").alias("__component"))
-    chosen = made.join(groups, ["__fp", "__chk"]).where(F.col("doc_id").eqNullSafe(F.col("__component")))
-    alone = F.col("__component").isNull()
-    return (chosen.withColumn("__fp", F.when(alone, F.col("__fp"))).withColumn("__chk", F.when(alone, F.col("__chk")))
-            .dropDuplicates(names).select(*[F.col(f"`{c}`") for c in base.columns]))
+    made = with_sets(base, words, seed)
+    nodes = stage(made.groupBy(F.col("__node").alias("node"), F.col("__fp").alias("fp"), F.col("__chk").alias("chk"), F.col("__n").alias("n"))
+                  .agg(F.min("doc_id").alias("doc_id")))
+
+    def sets_of(wanted):
+        own = nodes.join(wanted, "node", "left_semi").select(F.col("doc_id").alias("__id"), F.col("node").alias("__component"))
+        texts = base.select("doc_id", "text").join(own, F.col("doc_id") == F.col("__id"))
+        return (with_sets(texts, words, seed, hashes=True).where("__node = __component").dropDuplicates(["__node"])
+                .select(F.col("__node").alias("node"), F.col("__hashes").alias("hashes")))
+
+    group = near_sets(nodes.where("doc_id is not null"), sets_of, threshold, most, percent)
+    placed = nodes.join(group, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
+    least = placed.groupBy("component").agg(F.min("doc_id").alias("least"))
+    kept = (placed.join(least, "component").where(F.col("doc_id").eqNullSafe(F.col("least")))
+            .select(F.col("node").alias("__of"), F.col("doc_id").alias("__id"), F.col("component").alias("__component")))
+    chosen = made.join(kept, (F.col("__node") == F.col("__of")) & F.col("doc_id").eqNullSafe(F.col("__id")))
+    return chosen.dropDuplicates(["__component"]).select(*[F.col(f"`{c}`") for c in base.columns])
