@@ -136,6 +136,6 @@ def test_groups_left_in_parts_are_searched_for_all_pairs(spark):
     sets[37] = sets[5][:95] + [7, 8, 9]
     sets[38] = sets[37][:90] + [6, 4]
     fps = spark.createDataFrame([(i, int(1) << int(r.integers(0, 60)), 0, 100) for i in sets], "node bigint, fp bigint, chk bigint, n int")
-    table = spark.createDataFrame(list(sets.items()), "node bigint, hashes array<bigint>")
+    table = spark.createDataFrame([(i, np.array(h, np.uint64).tobytes()) for i, h in sets.items()], "node bigint, hashes binary")
     got = simhash.near_sets(fps, lambda nodes: table.join(nodes, "node", "left_semi"), 8, 36).collect()
     assert {x["node"]: x["component"] for x in got if x["node"] != x["component"]} == {37: 5, 38: 5}

@@ -285,8 +285,8 @@ def _at_anchors(fps: DataFrame, threshold: int, carried: list[str], compare, sch
         for batch in batches:
             for p in range(prints):
                 fp = batch.column(p).to_numpy().astype(np.uint64)
-                for at in range(0, len(fp), 4096):
-                    row, key, home = anchor_keys(fp[at:at + 4096], threshold)
+                for at in range(0, len(fp), 1024):
+                    row, key, home = anchor_keys(fp[at:at + 1024], threshold)
                     row = row + at
                     yield pa.RecordBatch.from_arrays([pa.array(key | p << 48), pa.array(home)] + [pa.array(batch.column(i).to_numpy()[row]) for i in range(len(carried))],
                                                      names=names)
@@ -335,11 +335,15 @@ def possible_pairs(fps: DataFrame, threshold: int, most: int, low: int = 0, high
 
 
 def alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose sets (node, hashes) have a Jaccard likeness of ``percent`` or more, by counting what they share."""
+    """The pairs (u, v) whose sets (node, hashes: packed uint64) have a Jaccard likeness of ``percent`` or more, by counting what they share."""
     a, b = (sets.select(F.col("node").alias(c), F.col("hashes").alias(f"of_{c}")) for c in "uv")
-    both = F.size(F.array_intersect("of_u", "of_v"))
-    return (pairs.select("u", "v").join(b, "v").join(a, "u")
-            .where(100 * both >= percent * (F.size("of_u") + F.size("of_v") - both)).select("u", "v"))
+    @F.udf("boolean", useArrow=False)
+    def near(x, y):
+        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return 100 * both >= percent * (len(x) + len(y) - both)
+
+    return pairs.select("u", "v").join(b, "v").join(a, "u").where(near("of_u", "of_v")).select("u", "v")
 
 
 def _labelled(pairs: DataFrame, label: DataFrame) -> DataFrame:
@@ -416,22 +420,26 @@ def near_duplicates(docs: DataFrame, words: int = 4, threshold: int = 4, seed: i
 
 def with_sets(docs: DataFrame, words: int, seed: int, hashes: bool = False, text: str = "text") -> DataFrame:
     """``docs`` with __node, a digest of the set of its shingles; and __fp, __chk and __n, two fingerprints and the size of the set, or with its __hashes."""
-    kind = "node bigint, " + ("hashes array<bigint>" if hashes else "fp bigint, chk bigint, n int")
+    names = ["node", "hashes"] if hashes else ["node", "fp", "chk", "n"]
+    digest = lambda h: int(np.uint64(xxhash.xxh64_intdigest(h.tobytes())).astype(np.int64))
+
+    def prints(t):
+        h = shingle_set(t, words, seed)
+        fp, chk = np.array(_prints([h], True) if len(h) else (0, 0), np.uint64).astype(np.int64).tolist()
+        return digest(h), fp, chk, len(h)
 
-    @F.pandas_udf(kind)
+    @F.pandas_udf("node bigint, fp bigint, chk bigint, n int")
     def both(texts):
         import pandas as pd
-        sets = [shingle_set(t, words, seed) for t in texts]
-        out = {"node": np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in sets], np.uint64).astype(np.int64)}
-        if hashes:
-            out["hashes"] = [h.astype(np.int64) for h in sets]
-        else:
-            fp = np.array([_prints([h], True) if len(h) else (0, 0) for h in sets], np.uint64).reshape(-1, 2).astype(np.int64)
-            out |= {"fp": fp[:, 0], "chk": fp[:, 1], "n": np.array([len(h) for h in sets], np.int32)}
-        return pd.DataFrame(out)
+        return pd.DataFrame([prints(t) for t in texts], columns=names)
+
+    @F.udf("node bigint, hashes binary", useArrow=False)
+    def held(t):
+        h = shingle_set(t, words, seed)
+        return digest(h), h.tobytes()
 
-    made = docs.withColumn("__both", both(F.col(text)))
-    return made.select(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(f"__both.{c.split()[0]}").alias(f"__{c.split()[0]}") for c in kind.split(", ")])
+    made = docs.withColumn("__both", held(F.col(text)) if hashes else both(F.col(text)))
+    return made.select(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(f"__both.{c}").alias(f"__{c}") for c in names])
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 8, most: int = 36, percent: int = 80, seed: int = 42) -> DataFrame:
