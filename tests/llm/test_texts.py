@@ -179,3 +179,16 @@ def test_near_pairs_are_all_found(spark):
 def test_equal_texts_have_equal_fingerprints(docs_of):
     got = [r for r in spotsigs.edit_likeness(docs_of([(1, prose(1, 30)), (2, prose(1, 30)), (3, "")])).collect() if r["doc_id"] < 3]
     assert got[0]["signature"] == got[1]["signature"]
+
+
+def test_a_passage_of_a_third_document_leaves_the_first_of_two_copies(docs_of):
+    passage, body = prose(801, 60), (prose(802, 60), prose(803, 60))
+    copy = f"{body[0]} {passage} {body[1]}"
+    docs = docs_of([(3, f"{prose(804, 60)} {passage} {prose(805, 60)}"), (5, copy), (9, copy)])
+    rows = chunks.repeated_passages(docs).collect()
+    mine = sorted((r["start"], r["end"], r["removed"]) for r in rows if r["doc_id"] == 5)
+    assert [x[2] for x in mine] == [False, True, False]
+    at = copy.index(passage)
+    assert at <= mine[1][0] <= at + 64 and at + len(passage) - 64 <= mine[1][1] <= at + len(passage)
+    assert sum(r["end"] - r["start"] for r in rows if r["doc_id"] == 9 and r["removed"]) == len(copy)
+    assert [r["removed"] for r in rows if r["doc_id"] == 3] == [False]

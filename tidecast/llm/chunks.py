@@ -110,8 +110,8 @@ def repeated_passages(docs: DataFrame, min_words: int = 20, text: str = "text")
     """doc_id, start, end (code points, end exclusive), n_words, first_doc_ids, removed: runs of chunks that other documents have too.
 
     Chunks are found again by digest.  A passage is a run of adjoining chunks, each of which stands in at least two
-    documents, with at least ``min_words`` words; first_doc_ids are the smallest doc_ids that have its chunks, and removed tells whether
-    these are all other documents (the first one keeps the passage).  A passage that repeats over more than about 50 bytes beyond
+    documents, with at least ``min_words`` words, all of them first held by this document or all by earlier ones; first_doc_ids are the
+    smallest doc_ids that have its chunks, and removed tells whether these are other documents (the first one keeps the passage).  A passage that repeats over more than about 50 bytes beyond
     ``min_words`` words is found wherever it stands.  Rows that repeat a doc_id count as one document, repeats within
     a document do not count, and rows without doc_id take no part.  Documents without repeats have no row.
 
@@ -127,7 +127,8 @@ def repeated_passages(docs: DataFrame, min_words: int = 20, text: str = "text")
         (F.shiftright("place", SIZE_BITS + WORD_BITS) + F.shiftright("place", WORD_BITS).bitwiseAND((1 << SIZE_BITS) - 1)).alias("end"),
         F.col("place").bitwiseAND(low).alias("words"))
     order = Window.partitionBy("doc_id").orderBy("start", "end")
-    fresh = F.when(F.lag("end").over(order) >= F.col("start"), 0).otherwise(1)
+    later = F.col("first") != F.col("doc_id")
+    fresh = F.when((F.lag("end").over(order) >= F.col("start")) & (F.lag(later).over(order) == later), 0).otherwise(1)
     runs = (found.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(order))
             .groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n_words"),
                                           F.array_sort(F.collect_set("first")).alias("first_doc_ids")))
