@@ -117,3 +117,20 @@ def test_seeds_take_their_nearest_neighbours():
     brute = np.array([sum(idf[t] * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(d) / 100)) for t, f in zip(*np.unique(d, return_counts=True)) if t in set(docs[0].tolist())) for d in docs])
     top = index.scores(0)
     assert set(np.argsort(-top)[:8].tolist()) <= set(np.argsort(-brute)[:12].tolist())
+
+
+def test_neighbours_meet_over_several_shards(docs_of):
+    topics = {k: [f"{a}{b}{k}" for a, b in zip("harbour lantern quarry meadow copper violin saddle orchard".split(), "abcdefgh")] for k in "qwxyzjkv"}
+    rows = [(i, f"{prose(i, 60)} " + " ".join([*topics["qwxyzjkv"[i % 8]]] * 4)) for i in range(160)]
+    pieces = packing.pack(docs_of(rows), P.path("word_bpe_49k.json"), window=1024, shard_tokens=8000).collect()
+    assert sorted({p["doc_id"] for p in pieces}) == list(range(160))
+    together = {}
+    for p in pieces:
+        together.setdefault(p["sequence_id"], set()).add(p["doc_id"])
+    same = [a % 8 == b % 8 for s in together.values() for a in s for b in s if a < b]
+    assert len({p["sequence_id"] >> 40 for p in pieces}) > 3 and sum(same) > 0.6 * len(same)
+
+
+def test_hot_leading_ids_are_split_by_size():
+    first, many, n = packing.deal({3: 10, 5: 950, 7: 60, 9: 60}, 100)
+    assert (first[3], many[3], first[5], many[5], first[7], first[9], n) == (0, 1, 1, 10, 11, 12, 13)

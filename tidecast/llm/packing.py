@@ -1,6 +1,6 @@
 """Packing of token sequences by lexical retrieval.
 
-Documents are dealt to shards of bounded size.  Each shard has a BM25 inverted index over token ids, with document frequencies of
+Documents are dealt to shards of bounded size by their heaviest id, so that neighbours meet.  Each shard has a BM25 inverted index over token ids, with document frequencies of
 the whole corpus.  A seed document asks it for its nearest unused neighbours, which fill the seed's window one after the other;
 what does not fit any more is cut and seeds the next window.
 """
@@ -122,6 +122,33 @@ def document_frequencies(tokens: DataFrame, size: int, kind: str) -> np.ndarray:
     return out
 
 
+def leading_id(ids: np.ndarray, idf: np.ndarray, once: np.ndarray) -> int:
+    """The id of the largest BM25 weight among those that other documents have too (the smallest of equals), else the end id."""
+    term, f = np.unique(ids, return_counts=True)
+    w = idf[term] * f / (f + K1)
+    w[once[term]] = 0
+    return int(term[np.argmax(w)])
+
+
+def deal(amounts: dict[int, int], limit: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(first shard, number of shards) by leading id, and the number of all shards, for the tokens ``amounts`` of each leading id.
+
+    Ids in rising order fill a shard up to ``limit`` tokens; an id with more has shards of its own, as many as its tokens need.
+    """
+    first, many = np.zeros(max(amounts, default=0) + 1, np.int64), np.ones(max(amounts, default=0) + 1, np.int64)
+    shard, have = 0, 0
+    for term in sorted(amounts):
+        n = amounts[term]
+        if have and have + n > limit:
+            shard, have = shard + 1, 0
+        first[term], many[term] = shard, max(1, -(-n // limit))
+        if many[term] > 1:
+            shard, have = shard + int(many[term]), 0
+        else:
+            have += n
+    return first, many, shard + (have > 0)
+
+
 class Index:
     """BM25 postings of one shard: for each id the documents that have it and their weights."""
 
@@ -209,7 +236,7 @@ def pack(docs: DataFrame, path: str, window: int = 4096, end: int = 2, text: str
     ids (binary) are the piece's ids as little-endian unsigned 32-bit integers; start counts the document's ids before it.
     A document has the ids of its whole text (null: empty) and the end id, so every row is in at least one piece, and
     repeated rows as often as they are.  Only the last sequence of a shard may be shorter than the window.  Tokens are written once
-    to the shared folder; a task holds one shard of about ``shard_tokens`` tokens, or one longer document.
+    to the shared folder; the shards do not depend on the cluster; a task holds one shard of about ``shard_tokens`` tokens, or one longer document.
     An empty table gives an empty table.
     """
     from tokenizers import Tokenizer
@@ -220,13 +247,28 @@ def pack(docs: DataFrame, path: str, window: int = 4096, end: int = 2, text: str
     total = tokens.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("ids")).alias("b")).head()
     n, amount = total["n"], (total["b"] or 0) // width
     shards = max(1, -(-amount // shard_tokens))
-    parts = max(-(-shards // 16), min(shards, 4 * docs.sparkSession.sparkContext.defaultParallelism))
     df = document_frequencies(tokens, size, kind)
     idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
     mean = amount / max(n, 1)
     names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
-    share = -(-amount // max(parts, 1))
-    limit = max(1, -(-share // max(1, round(share / shard_tokens)))) if amount else shard_tokens
+    limit = max(1, -(-amount // shards))
+    once = df < 2
+
+    def lead(batches):
+        for batch in batches:
+            ids = [np.frombuffer(x.as_buffer(), kind) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([pa.array([leading_id(x, idf, once) for x in ids], pa.int64()), pa.array([len(x) for x in ids], pa.int64()),
+                                              batch.column(0), batch.column(1)], names=["term", "n", "doc_id", "ids"])
+
+    led = tokens.select("doc_id", "ids").mapInArrow(lead, "term bigint, n bigint, doc_id bigint, ids binary")
+    first, many, shards = deal({r["term"]: r["n"] for r in led.groupBy("term").agg(F.sum("n").alias("n")).collect()}, limit)
+    parts = max(1, shards)
+
+    def place(batches):
+        for batch in batches:
+            term, h = (np.asarray(batch.column(i)) for i in (0, 1))
+            shard = first[term] + h % many[term]
+            yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), batch.column(2), batch.column(3)], names=["part", "doc_id", "ids"])
 
     def packed(part, ids_of, base):
         docs = [np.frombuffer(x, kind) for _, x in ids_of]
@@ -242,7 +284,7 @@ def pack(docs: DataFrame, path: str, window: int = 4096, end: int = 2, text: str
         for batch in batches:
             for p, d, x in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 part = p
-                if held and have + len(x) // width > 1.1 * limit:
+                if held and have + len(x) // width > 1.5 * limit:
                     base = yield from packed(part, held, base)
                     held, have = [], 0
                 held.append((d, x))
@@ -250,6 +292,7 @@ def pack(docs: DataFrame, path: str, window: int = 4096, end: int = 2, text: str
         if held:
             yield from packed(part, held, base)
 
-    where = F.pmod(F.xxhash64("doc_id", F.crc32("ids")), F.lit(parts)).cast("int").alias("part")
-    dealt = tokens.select(where, "doc_id", "ids").repartitionById(parts, F.col("part")).sortWithinPartitions("doc_id", "ids")
+    spread = F.pmod(F.xxhash64("doc_id", F.crc32("ids")), F.lit(1 << 31))
+    dealt = (led.select("term", spread.alias("h"), "doc_id", "ids").mapInArrow(place, "part int, doc_id bigint, ids binary")
+             .repartitionById(parts, F.col("part")).sortWithinPartitions("doc_id", "ids"))
     return dealt.mapInArrow(run, "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint")
