@@ -122,12 +122,17 @@ def document_frequencies(tokens: DataFrame, size: int, kind: str) -> np.ndarray:
     return out
 
 
-def leading_id(ids: np.ndarray, idf: np.ndarray, once: np.ndarray) -> int:
-    """The id of the largest BM25 weight among those that other documents have too (the smallest of equals), else the end id."""
-    term, f = np.unique(ids, return_counts=True)
-    w = idf[term] * f / (f + K1)
-    w[once[term]] = 0
-    return int(term[np.argmax(w)])
+def leading_ids(docs: list[np.ndarray], weight: np.ndarray) -> np.ndarray:
+    """The id of the largest weight, by ``weight`` and its count, of each sequence of ids (the smallest of equals)."""
+    size = np.array([len(d) for d in docs], np.int64)
+    key = np.sort((np.repeat(np.arange(len(docs)), size) << 32) | np.concatenate(docs).astype(np.int64))
+    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    f = np.diff(np.r_[start, len(key)])
+    owner, term = key[start] >> 32, key[start] & 0xFFFFFFFF
+    w = weight[term] * f / (f + K1)
+    cut = np.searchsorted(owner, np.arange(len(docs)))
+    best = np.flatnonzero(w == np.maximum.reduceat(w, cut)[owner])
+    return term[best[np.searchsorted(owner[best], np.arange(len(docs)))]]
 
 
 def deal(amounts: dict[int, int], limit: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -252,23 +257,36 @@ def pack(docs: DataFrame, path: str, window: int = 4096, end: int = 2, text: str
     mean = amount / max(n, 1)
     names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
     limit = max(1, -(-amount // shards))
-    once = df < 2
-
-    def lead(batches):
+    weight = np.where(df < 2, 0, idf)
+
+    def led(batch, column):
+        """Runs of about 2^18 tokens of a batch: the first row, the sequences and their leading ids."""
+        held, have, begin = [], 0, 0
+        for i, x in enumerate(batch.column(column)):
+            held.append(np.frombuffer(x.as_buffer(), kind))
+            have += len(held[-1])
+            if have >= 1 << 18 or i + 1 == batch.num_rows:
+                yield begin, held, leading_ids(held, weight)
+                held, have, begin = [], 0, i + 1
+
+    def count(batches):
+        got = np.zeros(size, np.int64)
         for batch in batches:
-            ids = [np.frombuffer(x.as_buffer(), kind) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([pa.array([leading_id(x, idf, once) for x in ids], pa.int64()), pa.array([len(x) for x in ids], pa.int64()),
-                                              batch.column(0), batch.column(1)], names=["term", "n", "doc_id", "ids"])
+            for _, ids, term in led(batch, 0):
+                np.add.at(got, term, [len(x) for x in ids])
+        has = np.flatnonzero(got)
+        yield pa.RecordBatch.from_arrays([pa.array(has), pa.array(got[has])], names=["term", "n"])
 
-    led = tokens.select("doc_id", "ids").mapInArrow(lead, "term bigint, n bigint, doc_id bigint, ids binary")
-    first, many, shards = deal({r["term"]: r["n"] for r in led.groupBy("term").agg(F.sum("n").alias("n")).collect()}, limit)
+    counted = tokens.select("ids").mapInArrow(count, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    first, many, shards = deal({r["term"]: r["n"] for r in counted}, limit)
     parts = max(1, shards)
 
     def place(batches):
         for batch in batches:
-            term, h = (np.asarray(batch.column(i)) for i in (0, 1))
-            shard = first[term] + h % many[term]
-            yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), batch.column(2), batch.column(3)], names=["part", "doc_id", "ids"])
+            for begin, ids, term in led(batch, 2):
+                some = batch.slice(begin, len(ids))
+                shard = first[term] + np.asarray(some.column(0)) % many[term]
+                yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), some.column(1), some.column(2)], names=["part", "doc_id", "ids"])
 
     def packed(part, ids_of, base):
         docs = [np.frombuffer(x, kind) for _, x in ids_of]
@@ -293,6 +311,6 @@ def pack(docs: DataFrame, path: str, window: int = 4096, end: int = 2, text: str
             yield from packed(part, held, base)
 
     spread = F.pmod(F.xxhash64("doc_id", F.crc32("ids")), F.lit(1 << 31))
-    dealt = (led.select("term", spread.alias("h"), "doc_id", "ids").mapInArrow(place, "part int, doc_id bigint, ids binary")
+    dealt = (tokens.select(spread.alias("h"), "doc_id", "ids").mapInArrow(place, "part int, doc_id bigint, ids binary")
              .repartitionById(parts, F.col("part")).sortWithinPartitions("doc_id", "ids"))
     return dealt.mapInArrow(run, "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint")
