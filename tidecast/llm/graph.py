@@ -6,26 +6,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
+from .skew import attach
 
 
-def _turn(edges: DataFrame, larger: bool) -> DataFrame:
+def _turn(edges: DataFrame, larger: bool, many: int) -> DataFrame:
     """One half round: hang neighbours on the smallest node a node knows.
 
     larger: every node passes its smallest neighbour (or itself) to its larger neighbours;
     else to its smaller ones and to itself.  Only a minimum per node is grouped, so a hub costs
-    one aggregated row, and its edges may be split over tasks in the join.
+    one aggregated row; its edges (of ``many`` in all) stay in their tasks and meet that row there.
     """
     if larger:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         both = edges
-    least = both.groupBy("u").agg(F.min("v").alias("m"))
+    least = stage(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")))
+    met = attach(both, least, ["u"], "n", many * (2 if larger else 1))
     if larger:
-        hung = (both.join(least, "u").where("v > u")
-                .select(F.col("v").alias("u"), F.least("u", "m").alias("v")))
+        hung = met.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
     else:
-        hung = (both.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                .unionByName(least.select("u", F.col("m").alias("v"))))
+        hung = met.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
     return hung.where("u > v").distinct()
 
 
@@ -42,7 +42,8 @@ def components(edges: DataFrame) -> DataFrame:
                 .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = _mark(now)
     while True:
-        now = stage(_turn(_turn(now, True), False))
+        half = stage(_turn(now, True, mark[0]))
+        now = stage(_turn(half, False, half.count()))
         before, mark = mark, _mark(now)
         if before == mark:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
