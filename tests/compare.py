@@ -42,7 +42,7 @@ def difference(spark_df, con, sql: str, show: int = 3) -> str | None:
     got = [tuple(r) for r in spark_df.collect()]
     if sorted(names) != sorted(spark_df.columns):
         return f"columns {sorted(spark_df.columns)} against {sorted(names)}"
-    kinds = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP"}
+    kinds = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP"}
     have = dict(spark_df.dtypes)
     off = [(n, have[n], t) for n, t in zip(names, types) if kinds.get(have[n], have[n]) != t]
     if off:
