@@ -95,21 +95,28 @@ def test_links_that_the_first_member_misses(docs_of, monkeypatch):
             texts.append(" ".join(w))
     rows = list(enumerate(texts))
     want = plain(rows)
-    for split in (4096, 1):
-        monkeypatch.setattr(S, "SPLIT", split)
+    for block in (2048, 2):
+        monkeypatch.setattr(S, "BLOCK", block)
         assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in S.near_duplicates(docs_of(rows)).collect()} == want
 
 
-def test_parted_buckets_give_the_missing_pairs(spark):
-    """With labels that joined nothing, all near pairs come from the buckets."""
-    known, texts = S.Words(), near_copies(3, 20)
+def test_parted_buckets_find_the_missing_links(spark, monkeypatch):
+    """With labels that joined nothing, the buckets join what all pairs join, whole or in blocks."""
+    known, texts = S.Words(), near_copies(3, 20, edits=20) + near_copies(4, 6)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     nodes = S.sketches(docs).withColumn("node", F.col("doc_id"))
-    none = spark.createDataFrame([], "node bigint, component bigint")
-    got = {tuple(r) for r in S.parted_pairs(nodes, none, 80).collect()}
-    sets = [set(S.shingle_hashes(t, 2, known).tolist()) for t in texts]
-    want = {(i, j) for j in range(20) for i in range(j) if sets[i] != sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
-    assert want and want <= got
+    labelled = nodes.select("node", "n", "sig", "keys", F.col("node").alias("label"))
+    met, rows = S.met_in_buckets(nodes.select("node", "n", F.explode("keys").alias("key")), len(texts) * S.BANDS)
+    want = plain_components({i: frozenset(S.shingle_hashes(t, 2, known).tolist()) for i, t in enumerate(texts)}, lambda a, b: 100 * len(a & b) >= 80 * len(a | b))
+    sets = nodes.select("node", "doc_id", "d1", "d2").transform(lambda n: S.hash_sets(docs, n, 2))
+    for block in (2048, 3):
+        monkeypatch.setattr(S, "BLOCK", block)
+        partners = S.possible_partners(met, rows, labelled, 80)
+        links = [tuple(r) for r in S.links_of_partners(partners, labelled, sets, 80).collect()]
+        of = [plain_set(t) for t in texts]
+        assert links and all(100 * len(of[u] & of[v]) >= 80 * len(of[u] | of[v]) for u, v in links)
+        joined = plain_components(dict(enumerate(range(len(texts)))), lambda a, b: (a, b) in links or (b, a) in links)
+        assert joined == want
 
 
 def test_hubs_are_dealt(spark, monkeypatch):

@@ -22,12 +22,12 @@ from .store import written
 BANDS, BAND_ROWS = 40, 5
 PLACES = BANDS * BAND_ROWS
 SEED = 42
-#: Elements held at once, and words remembered, by a task.
-BATCH, REMEMBERED = 1 << 17, 1 << 19
+#: Elements held at once, and words remembered, by a task; steps for which exchanges are traced back instead of kept as whole orders.
+BATCH, REMEMBERED, TRACED = 1 << 17, 1 << 19, 12
 #: A pair of sets of likeness 0.8 agrees in fewer than this share of its places with odds below one in a million.
 LOOSE = 0.65
-#: Beyond so many members a bucket is split by every second band that its members share.
-SPLIT = 4096
+#: Members of a bucket that are compared in one group.
+BLOCK = 2048
 
 GOLDEN, M1, M2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -68,19 +68,23 @@ def signatures(elements: np.ndarray, owner: np.ndarray, sets: int, places: int =
     An empty set has the largest number everywhere.
     """
     sig = np.full(sets * places, np.iinfo(np.uint64).max, np.uint64)
+    drawn: list[np.ndarray] = []
     order = None
     for j in range(places):
         draw = mix(elements + np.uint64((j + 1) * int(GOLDEN) & (1 << 64) - 1))
-        k = j + (((draw & np.uint64(0xFFFFFFFF)) * np.uint64(places - j)) >> np.uint64(32)).astype(np.int64)
-        if j == 0:
-            place, first = k, k
+        k = (((draw & np.uint64(0xFFFFFFFF)) * np.uint64(places - j)) >> np.uint64(32)).astype(np.int32) + np.int32(j)
+        if j < TRACED:  # what stands at place k is found from the exchanges so far
+            place = k
+            for s in range(j - 1, -1, -1):
+                place = np.where(place == drawn[s], np.int32(s), place)
+            drawn.append(k)
         else:
-            if order is None:  # places in order, but for the first exchange
-                order = np.tile(np.arange(places, dtype=np.uint8 if places <= 256 else np.int32), (len(elements), 1))
-                order[np.arange(len(elements)), first] = 0
-                order[:, 0] = first
             row = np.arange(len(elements))
-            place = order[row, k].astype(np.int64)
+            if order is None:
+                order = np.tile(np.arange(places, dtype=np.int32), (len(elements), 1))
+                for s, d in enumerate(drawn):
+                    order[:, s], order[row, d] = order[row, d], order[:, s].copy()
+            place = order[row, k]
             order[row, k] = order[:, j]
         np.minimum.at(sig, owner * places + place, (np.uint64(j) << np.uint64(32)) | (draw >> np.uint64(32)))
         full = sig.reshape(sets, places).max(1) < np.uint64(j + 1) << np.uint64(32)
@@ -89,7 +93,8 @@ def signatures(elements: np.ndarray, owner: np.ndarray, sets: int, places: int =
             if not going.any():
                 break
             if not going.all():
-                elements, owner, first = elements[going], owner[going], first[going]
+                elements, owner = elements[going], owner[going]
+                drawn = [d[going] for d in drawn] if order is None else drawn
                 order = None if order is None else order[going]
     return sig.reshape(sets, places)
 
@@ -127,83 +132,138 @@ def sketches(docs: DataFrame, words: int = 2, text: str = "text") -> DataFrame:
     return docs.select("doc_id", F.col(text).alias("text")).mapInArrow(run, "doc_id bigint, n bigint, d1 bigint, d2 bigint, sig binary, keys array<bigint>")
 
 
-def first_pairs(members: DataFrame, sets: int) -> DataFrame:
-    """(u, v, bands): every member (key, node, n) of a bucket with the bucket's first one, and in how many bands they meet so; sizes that rule a link out have no row.
+def met_in_buckets(members: DataFrame, rows: int) -> tuple[DataFrame, int]:
+    """(key, node, n, many): the members (key, node, n; ``rows`` in all) of buckets with two or more, written, and how many they are."""
+    many = written(members.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1"))
+    met = written(attach(members, many, ["key"], "many", rows).select("key", "node", "n", "many"))
+    return met, many.agg(F.coalesce(F.sum("many"), F.lit(0))).head()[0]
 
-    A bucket is only ever an aggregate (its first member and size, combined on the map side): its members meet that one row.
-    """
-    heads = written(members.groupBy("key").agg(F.min(F.struct("node", "n")).alias("head"), F.count(F.lit(1)).alias("many")).where("many > 1"))
-    met = attach(members, heads, ["key"], "many", sets).where(F.col("node") != F.col("head.node"))
-    return met.where(_sizes_fit(F.col("n"), F.col("head.n"))).groupBy(F.col("head.node").alias("u"), F.col("node").alias("v")).agg(F.count(F.lit(1)).alias("bands"))
 
+def first_pairs(met: DataFrame, rows: int, percent: int) -> DataFrame:
+    """(u, v, bands): every member of a bucket with the bucket's head, and in how many bands they meet so; sizes that rule a link out have no row.
 
-def _sizes_fit(a, b, percent: int = 80):
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+    The head is the member that meets most others over all its bands: of near copies of one text it is the one in their middle.  A bucket
+    is only ever an aggregate (its head and size, combined on the map side): its members meet that one row.
+    """
+    central = met.groupBy("node").agg(F.sum("many").alias("score"))
+    scored = met.join(central, "node")
+    heads = written(scored.groupBy("key").agg(F.max(F.struct("score", (-F.col("node")).alias("first"), "n")).alias("head"), F.count(F.lit(1)).alias("size"))
+                    .select("key", (-F.col("head.first")).alias("head"), F.col("head.n").alias("head_n"), "size"))
+    pairs = attach(met, heads, ["key"], "size", rows).where("node <> head").where(_sizes_fit(F.col("n"), F.col("head_n"), percent))
+    return pairs.groupBy(F.col("head").alias("u"), F.col("node").alias("v")).agg(F.count(F.lit(1)).alias("bands"))
 
 
-def bucket_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """(u, v): pairs of members (key, node, n, label, sig) of one bucket that differ in label, may have the likeness by size and agree in LOOSE of their places.
+def _sizes_fit(a, b, percent: int):
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
-    A bucket is compared within one task, in the order of sizes and so only with sizes in reach; ``parted_pairs`` keeps buckets small.
-    """
-    def compare(table):
-        n, label, node = (table[c].to_numpy() for c in ("n", "label", "node"))
-        sig = np.frombuffer(b"".join(table["sig"]), np.uint8).reshape(len(n), -1)
-        at, k, found = np.arange(len(n)), 1, []
-        while True:
-            at = at[at + k < len(n)]
-            at = at[100 * n[at] >= percent * n[at + k]]
-            if not len(at):
-                break
-            apart = at[label[at] != label[at + k]]
-            near = (sig[apart] == sig[apart + k]).mean(1) >= LOOSE
-            found.append(np.c_[node[apart[near]], node[apart[near] + k]])
-            k += 1
-        got = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        return got.min(1), got.max(1)
 
+class Unit:
+    """Members of one bucket that are compared together: of one block (all sides 0), or of two (sides 0 and 1)."""
+
+    def __init__(self, key: int, t: pa.Table, percent: int):
+        self.key, self.percent = key, percent
+        self.node, self.n, self.label, self.side = (t.column(c).to_numpy() for c in ("node", "n", "label", "side"))
+        self.sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(len(self.node), -1)
+        self.keys = t.column("keys").combine_chunks().flatten().to_numpy().reshape(len(self.node), -1)
+        self.sets = [np.frombuffer(h, np.uint64) for h in t.column("hashes").to_pylist()] if "hashes" in t.column_names else None
+
+    def partners(self):
+        """(a, places b): pairs of different labels that fit by size, agree in LOOSE of their places and meet in no earlier band.
+
+        Members of the most common label are looked at from the other side only, so a bucket that is nearly one component costs little.
+        """
+        _, place, many = np.unique(self.label, return_inverse=True, return_counts=True)
+        usual = place == many.argmax()
+        at = np.arange(len(self.node))
+        for a in np.flatnonzero(~usual):
+            others = (self.label != self.label[a]) & (usual | (at > a)) & (100 * np.minimum(self.n, self.n[a]) >= self.percent * np.maximum(self.n, self.n[a]))
+            if self.side.any():
+                others &= self.side != self.side[a]
+            b = np.flatnonzero(others)
+            b = b[(self.sig[b] == self.sig[a]).mean(1) >= LOOSE]
+            earlier = np.flatnonzero(self.keys[a] == self.key)[0]
+            yield a, b[~(self.keys[b, :earlier] == self.keys[a, :earlier]).any(1)]
+
+    def flagged(self) -> np.ndarray:
+        """Places of the members that have a partner."""
+        hit = np.zeros(len(self.node), bool)
+        for a, b in self.partners():
+            hit[b] = True
+            hit[a] |= bool(len(b))
+        return np.flatnonzero(hit)
+
+    def links(self) -> list[tuple[int, int]]:
+        """Verified links, as many as join what they join: partners that already hang together here are not compared."""
+        root = {x: x for x in self.label.tolist()}
+
+        def find(x):
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        out = []
+        for a, b in self.partners():
+            for o in b.tolist():
+                x, y = find(self.label[a]), find(self.label[o])
+                if x != y and alike(self.sets[a], self.sets[o], self.percent):
+                    root[y] = x
+                    out.append((int(self.node[a]), int(self.node[o])))
+        return out
+
+
+def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two rising arrays of distinct hashes have a Jaccard likeness of ``percent`` or more."""
+    at = np.searchsorted(x, y)
+    both = int((x[np.minimum(at, len(x) - 1)] == y).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _units(members: DataFrame, schema: str, made, percent: int) -> DataFrame:
+    """``made(unit, key columns, table)`` over whole units of ``members`` (key, i, j, side, node, n, label, sig, keys and maybe hashes)."""
     def run(batches):
-        held = None
+        held, last = [], None
         for batch in batches:
-            import pandas as pd
-            now = batch.to_pandas()
-            held = now if held is None else pd.concat([held, now], ignore_index=True)
-            whole = held["key"] != held["key"].iloc[-1] if len(held) else None
-            if whole is not None and whole.any():
-                yield from each(held[whole])
-                held = held[~whole].reset_index(drop=True)
-        if held is not None and len(held):
-            yield from each(held)
-
-    def each(table):
-        for _, g in table.groupby("key", sort=False):
-            if g["label"].nunique() == 1:
-                continue
-            u, v = compare(g.reset_index(drop=True))
-            yield pa.RecordBatch.from_arrays([pa.array(u.astype(np.int64)), pa.array(v.astype(np.int64))], names=["u", "v"])
-
-    return members.select("key", "node", "n", "label", "sig").repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(run, "u bigint, v bigint").distinct()
-
-
-def parted_pairs(nodes: DataFrame, label: DataFrame, percent: int) -> DataFrame:
-    """Pairs that may still join two components: those that meet in a bucket whose members are not all in one component.
-
-    Such a bucket of more than SPLIT members is split by the second bands that members share: a pair at the threshold that meets in one
-    band meets in no other with odds below one in 10^6.
+            where = np.column_stack([batch.column(c).to_numpy() for c in ("key", "i", "j")])
+            for a, b in zip(cuts := [0, *(np.flatnonzero((where[1:] != where[:-1]).any(1)) + 1)], [*cuts[1:], batch.num_rows]):
+                if held and tuple(where[a]) != last:
+                    yield made(Unit(last[0], t := pa.Table.from_batches(held), percent), t)
+                    held = []
+                held.append(batch.slice(a, b - a))
+                last = tuple(where[a].tolist())
+        if held:
+            yield made(Unit(last[0], t := pa.Table.from_batches(held), percent), t)
+
+    return members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, schema)
+
+
+def possible_partners(met: DataFrame, rows: int, labelled: DataFrame, percent: int) -> DataFrame:
+    """(key, i, j, side, node): members that have a possible partner of another component, in the unit where the two first meet.
+
+    Looked at are buckets whose members are not all in one component.  A bucket of more than BLOCK members is dealt into blocks by hash, and every two
+    blocks meet in a unit of their own.
     """
-    labelled = written(nodes.join(label, "node", "left").select("node", "n", "sig", "keys", F.coalesce("component", "node").alias("label")))
-    members = labelled.select("node", "label", F.explode("keys").alias("key"))
-    mixed = written(members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("many")).where("low < high").select("key", "many"))
-    if not mixed.head(1):
-        return members.select(F.col("node").alias("u"), F.col("label").alias("v")).where("false")
-    total = members.agg(F.count(F.lit(1))).head()[0]
-    inside = attach(members.select("node", "key"), mixed, ["key"], "many", total)
-    wide = inside.groupBy("node").agg(F.collect_list(F.struct("key", "many")).alias("in"))
-    told = labelled.join(wide, "node")
-    small = told.select("node", "n", "label", "sig", F.explode(F.filter("in", lambda x: x["many"] <= SPLIT)).alias("b")).select("node", "n", "label", "sig", F.col("b.key").alias("key"))
-    both = F.flatten(F.transform(F.filter("in", lambda x: x["many"] > SPLIT), lambda x: F.transform(F.filter("keys", lambda k: k != x["key"]), lambda k: F.xxhash64(x["key"], k))))
-    large = told.select("node", "n", "label", "sig", F.explode(both).alias("key"))
-    return bucket_pairs(small.unionByName(large), percent)
+    names = ["key", "i", "j", "side", "node"]
+    told = met.join(labelled.select("node", "label"), "node")
+    mixed = written(told.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("many").alias("size")).where("low < high").select("key", "size"))
+    blocks = F.ceil(F.col("many") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j"), (o < F.col("own")).cast("int").alias("side")))
+    inside = attach(met, mixed, ["key"], "size", rows).withColumn("own", own).select("key", "node", F.inline(meets)).join(labelled, "node")
+
+    def flag(unit, t):
+        at = pa.array(unit.flagged(), pa.int64())
+        return pa.RecordBatch.from_arrays([t.column(c).combine_chunks().take(at) for c in names], names=names)
+
+    return _units(inside, "key bigint, i int, j int, side int, node bigint", flag, percent)
+
+
+def links_of_partners(partners: DataFrame, labelled: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(u, v): links between the members of ``partners``, decided on their full sets inside the unit; a unit returns no more links than join its components."""
+    def link(unit, _):
+        got = np.array(unit.links(), np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["u", "v"])
+
+    return _units(partners.join(labelled, "node").join(sets, "node"), "u bigint, v bigint", link, percent)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -228,11 +288,9 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 if v is None:
                     mine, of = h.copy(), u
                     continue
-                at = np.searchsorted(mine, h) if of == u else None
-                if at is None:
+                if of != u:
                     raise ValueError("a set is missing")
-                both = int((mine[np.minimum(at, len(mine) - 1)] == h).sum())
-                if 100 * both >= percent * (len(mine) + len(h) - both):
+                if alike(mine, h, percent):
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([batch.column("u").take(pa.array(keep, pa.int64())), batch.column("v").take(pa.array(keep, pa.int64()))], names=["u", "v"])
 
@@ -263,7 +321,7 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, text: st
 
     Sets with a Jaccard likeness of ``percent`` or more are linked, decided on the full sets (64-bit hashes of their shingles).  Candidates meet in one of
     BANDS bands of BAND_ROWS places; at likeness 0.8 a pair meets in none with odds of one in 10^7.  Equal sets are one node.  Each bucket's members
-    are compared with its first one; after joining what is linked, buckets that still hold several components are compared pair by pair.
+    are compared with its head; after joining what is linked, buckets that still hold several components are compared pair by pair, in blocks.
 
     A text without words (null, empty, blank) has the empty set and is linked with nothing.  Rows without doc_id share the component of an equal
     set that has one (and are not kept), else their component is null and they are kept; they link nothing.  Repeated rows each get a row.  An empty table gives an empty
@@ -276,36 +334,35 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, text: st
     named = nodes.where("doc_id is not null")
     members = named.select("node", "n", F.explode("keys").alias("key"))
     counts = nodes.agg(F.count("doc_id"), F.coalesce(F.sum("copies"), F.lit(0)), F.count(F.lit(1))).head()
-    pairs = written(first_pairs(members, counts[0] * BANDS))
+    met, rows = met_in_buckets(members, counts[0] * BANDS)
+    pairs = written(first_pairs(met, rows, percent))
     best = written(pairs.groupBy("v").agg(F.max_by("u", F.struct("bands", "u")).alias("u")).select("u", "v"))
-    texts_of = lambda p: hash_sets(base, named.join(p.select(F.col("u").alias("node")).unionByName(p.select(F.col("v").alias("node"))).distinct(), "node"), words)
-    sets = written(texts_of(pairs))
+    texts_of = lambda some: written(hash_sets(base, named.join(some.distinct(), "node"), words))
+    sets = texts_of(pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))))
     good = written(verified(best, sets, percent))
     label = stage(components(good))
 
-    def unjoined(some):
-        for c in "uv":
-            some = some.join(label.select(F.col("node").alias(c), F.col("component").alias(f"l{c}")), c, "left").withColumn(f"l{c}", F.coalesce(f"l{c}", c))
-        return some.where("lu <> lv").select("u", "v")
-
-    def joined(more, of):
+    def joined(found):
         nonlocal good, label
-        found = written(verified(more, of, percent))
         if found.head(1):
             good = good.unionByName(found)
             label = stage(components(good))
 
-    rest = written(unjoined(pairs.join(best, ["u", "v"], "left_anti")))
+    rest = pairs.join(best, ["u", "v"], "left_anti")
+    for c in "uv":
+        rest = rest.join(label.select(F.col("node").alias(c), F.col("component").alias(f"l{c}")), c, "left").withColumn(f"l{c}", F.coalesce(f"l{c}", c))
+    rest = written(rest.where("lu <> lv").select("u", "v"))
     if rest.head(1):
-        joined(rest, sets)
-    parted = written(parted_pairs(named, label, percent))
-    if parted.head(1):
-        joined(parted, written(texts_of(parted)))
-    placed = nodes.join(label, "node", "left").select("d1", "d2", "copies", "doc_id", F.coalesce("component", "node").alias("component"))
-    placed = written(placed)
+        joined(written(verified(rest, sets, percent)))
+    labelled = written(met.select("node").distinct().join(named.select("node", "n", "sig", "keys"), "node").join(label, "node", "left")
+                       .select("node", "n", "sig", "keys", F.coalesce("component", "node").alias("label")))
+    partners = written(possible_partners(met, rows, labelled, percent))
+    if partners.head(1):
+        joined(written(links_of_partners(partners, labelled, texts_of(partners.select("node")), percent)))
+    placed = written(nodes.join(label, "node", "left").select("d1", "d2", "copies", "doc_id", F.coalesce("component", "node").alias("component")))
     least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("many"))
     told = written(attach(placed.drop("doc_id"), written(least), ["component"], "many", counts[2]).select("d1", "d2", "copies", "component_id"))
-    rows = attach(made.where("n > 0").select("doc_id", "n", "d1", "d2"), told, ["d1", "d2"], "copies", counts[1]).select("doc_id", "n", "component_id")
+    told_rows = attach(made.where("n > 0").select("doc_id", "n", "d1", "d2"), told, ["d1", "d2"], "copies", counts[1]).select("doc_id", "n", "component_id")
     alone = made.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    return rows.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id",
+    return told_rows.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id",
                                           F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
