@@ -185,7 +185,7 @@ def test_tree_walk_equals_the_model_and_shapley_adds_up(promo, spark):
         again = model.predict(walked, "again")
         assert again.select(F.max(F.abs(F.col("again") - F.col("predicted")))).first()[0] < 1e-9
         rows = L.last_rows(m, 4)
-        points = L.shapley_points(model, rows, m, ["series_id", "t"], 4)
+        points = L.shapley_points(model, rows, m, ["series_id", "t"])
         total = {r["t"]: r["s"] for r in points.groupBy("t").agg(F.sum("contribution").alias("s")).collect()}
         mean = m.agg(*[F.avg(n).alias(n) for n in names])
         base = model.predict(mean).first()["predicted"]

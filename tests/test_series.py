@@ -183,6 +183,19 @@ def test_numbering_keeps_null_keys_and_times(spark):
         assert [r["sequence"] for r in mine] == list(range(1, 51)) and [r["id"] for r in mine] == [r[2] for r in want]
 
 
+def test_ranges_spread_one_time_stamp(spark):
+    """A bulk load: all rows of one run under one time stamp, or without any; numbers and fills are exact and spread over tasks."""
+    from tidecast.operators._common import number_rows
+    n = 40_000
+    df = spark.range(n).selectExpr("'r' AS k", "IF(id % 2 = 0, timestamp_ntz'2024-01-01', CAST(NULL AS timestamp_ntz)) AS ts", "id", "IF(id % 5 = 0, cast(id AS double), NULL) AS y")
+    got = number_rows(df, ["k"], ["ts", "id"]).withColumn("p", F.spark_partition_id())
+    assert got.where("sequence <> IF(ts IS NULL, 0, 20000) + floor(id / 2) + 1").count() == 0
+    sizes = [r["n"] for r in got.groupBy("p").agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) > 1 and max(sizes) < 0.7 * n
+    filled = R.fill_rows(df.withColumnsRenamed({"k": "series_id", "ts": "t"}).where("t IS NOT NULL"), PanelSpec(("series_id",), "t", "y", "H", "id"), "ffill", ranged=True)
+    assert filled.where("y <> floor(id / 10) * 10").count() == 0 and filled.count() == n // 2
+
+
 def test_hot_series_spreads_over_tasks(spark):
     """One series holds nearly all raw rows: its rows still reach many tasks, and the answers are exact."""
     n = 200_000

@@ -33,6 +33,44 @@ def test_delimiters(spark, tmp_path, d):
     assert S.detect_delimiter(spark, str(path)) == d
 
 
+def test_quotes_hide_delimiters_and_line_ends(spark, tmp_path):
+    path = tmp_path / "q.csv"
+    rows = [(i, f"a, b; {'x' * (i % 7)}" + ("\nsecond, line;; \n, third" if i % 3 == 0 else ""), i * i) for i in range(3000)]
+    body = "id;note;value\n" + "\n".join(f'{i};"{n}";{v}' for i, n, v in rows) + "\n"
+    path.write_text(body)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        told = S.quoted_records(S.file_lines(spark, str(path)))
+        assert told.select("start").distinct().count() > 3
+        got = {r["i"]: (r["lines"], r["mean"], r["spread"], r["first"]) for r in S.delimiter_counts(told).collect()}
+        assert got == {0: (3001, 0.0, 0.0, 0), 1: (3001, 0.0, 0.0, 0), 2: (3001, 2.0, 0.0, 2), 3: (3001, 0.0, 0.0, 0)}
+        assert told.where("inside").count() == 2 * 1000 and told.agg(F.max("record")).first()[0] == 3001
+        assert S.detect_delimiter(spark, str(path)) == ";"
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_headers_of_many_files_are_one_job(spark, tmp_path):
+    for i in range(40):
+        (tmp_path / f"f{i}.csv").write_text("a;b\n1;2\n")
+    sc = spark.sparkContext
+    sc.setJobGroup("headers", "")
+    assert S.read_table(spark, str(tmp_path), sep=";").count() == 40
+    assert len(sc.statusTracker().getJobIdsForGroup("headers")) < 12
+    (tmp_path / "f41.csv").write_text("a;c\n1;2\n")
+    with pytest.raises(ValueError, match="f41.csv has other columns"):
+        S.read_table(spark, str(tmp_path), sep=";")
+
+
+def test_digests_are_streamed(spark, tmp_path):
+    data = bytes(range(256)) * 4000
+    (tmp_path / "big file.bin").write_bytes(data)
+    (tmp_path / "none.bin").write_bytes(b"")
+    got = {r["path"].rsplit("/", 1)[1].replace("%20", " "): (r["bytes"], r["sha256"]) for r in S.file_digest(spark, str(tmp_path), piece=1000).collect()}
+    assert got == {"big file.bin": (len(data), hashlib.sha256(data).hexdigest()), "none.bin": (0, hashlib.sha256(b"").hexdigest())}
+
+
 def test_gb18030(spark, tmp_path):
     path = tmp_path / "cn.csv"
     path.write_bytes("日期,数值\n2024年1月1日,5\n".encode("gb18030"))
@@ -74,6 +112,35 @@ def test_save_twice_compare_and_delete(spark, panel_of, tmp_path):
         store.delete_run(spark, root, "../two")
 
 
+def test_runs_come_back_whole_or_not_at_all(spark, tmp_path):
+    root = str(tmp_path / "store")
+    full = {"leaderboard": spark.range(3), "trials": spark.createDataFrame([], "series_id string, mae double")}
+    store.save_run(full, root, "a:b/c".replace("/", "-"))
+    again = store.load_run(spark, root, "a:b-c")
+    assert set(again) == {"leaderboard", "trials"} and again["trials"].columns == ["series_id", "mae", "experiment_id"] and again["trials"].count() == 0
+    assert store.stored_runs(spark, root) == ["a:b-c"]
+    store.save_run({"leaderboard": spark.range(0), "points": spark.range(2)}, root, "a:b-c")
+    again = store.load_run(spark, root, "a:b-c")
+    assert {n: d.count() for n, d in again.items()} == {"leaderboard": 0, "points": 2}
+
+    def broken(x):
+        raise RuntimeError("lost")
+
+    bad = spark.range(2).select(F.udf(broken, "long")("id").alias("id"))
+    with pytest.raises(Exception, match="lost"):
+        store.save_run({"leaderboard": spark.range(5), "points": bad}, root, "a:b-c")
+    assert store.stored_runs(spark, root) == [] and all(d.count() == 0 for d in store.load_run(spark, root, "a:b-c").values())
+
+
+def test_first_distinct_values_leave_tasks_as_a_few_rows(spark):
+    from tidecast.operators.profiling import first_distinct, profile_columns
+    df = spark.range(20_000).selectExpr("id AS row", "concat('v', (id * 7919) % 5000) AS many", "IF(id % 3 = 0, NULL, cast(id % 4 AS string)) AS few", "CAST(NULL AS string) AS none").repartition(6)
+    rows = first_distinct(df, ["many", "few", "none"], "row", 5)
+    assert rows.groupBy("column").count().where("count > 6 * 5").count() == 0
+    got = {r["column"]: (r["non_null"], r["nulls"], r["samples"]) for r in profile_columns(df, ["many", "few", "none"], "row").collect()}
+    assert got == {"many": (20_000, 0, [f"v{i * 7919 % 5000}" for i in range(5)]), "few": (13_333, 6_667, ["1", "2", "0", "3"]), "none": (0, 20_000, [])}
+
+
 def test_hash_sees_every_change(panel_of):
     a = panel_of({"a": range(60)})
     same = R.series_hash(a.orderBy(F.rand(1))).first()["series_hash"]
@@ -123,6 +190,24 @@ def test_streaming_equals_batch(spark, tmp_path):
     assert len(seen) == len(EVENTS)  # the checkpoint is the cursor
 
 
+def test_streams_of_late_and_repeated_events_equal_batches(spark, tmp_path):
+    import random
+    r, t0 = random.Random(3), datetime(2024, 1, 1)
+    rows = [(f"r{i % 4}", i // 4 + 1, t0 + timedelta(seconds=3 * i), "y", f"m{r.randrange(3)}", R.STAGES[min(i // 30, 9)], r.choice(["running", "success", "failed"]),
+             r.choice([None, float(i)]), r.choice([None, i / 2])) for i in range(240)]
+    sent = rows + r.sample(rows, 100)
+    r.shuffle(sent)
+    ev, src = spark.createDataFrame(rows, E.EVENT_SCHEMA), str(tmp_path / "events")
+    states, stages = {}, {}
+    keep = lambda into, *key: lambda df, _: into.update({tuple(x[k] for k in key): tuple(x) for x in df.collect()})
+    for i in range(0, len(sent), 90):
+        spark.createDataFrame(sent[i:i + 90], E.EVENT_SCHEMA).write.mode("append").parquet(src)
+        E.follow(E.model_states(E.read_events(spark, src)), keep(states, "run_id", "target", "model_id"), str(tmp_path / "a")).awaitTermination()
+        E.follow(E.stage_states(E.read_events(spark, src)), keep(stages, "run_id", "place"), str(tmp_path / "b")).awaitTermination()
+    assert sorted(states.values()) == sorted(tuple(x) for x in R.latest_model_state(ev).collect())
+    assert sorted(stages.values(), key=repr) == sorted((tuple(x) for x in R.stage_durations(ev).collect()), key=repr)
+
+
 def test_estimates_are_ordered(spark):
     schema = "request_id int, model_id string, row_count bigint, covariates int, features int, profile string, strategy string, device string, targets int"
     req = spark.createDataFrame([(i, m, 26304, 320, 343 if m.startswith("lag") else 1, "accurate", "auto", "cpu", 1) for i, m in enumerate(("naive", "lag_boosting", "lag_forest"))], schema)
@@ -135,6 +220,27 @@ def test_estimates_are_ordered(spark):
     assert hit["seconds"] == 3.0 and hit["confidence"] == "high"
 
 
+def test_auxiliary_forecasts_lengthen_a_run(spark):
+    schema = "request_id int, model_id string, row_count bigint, covariates int, features int, profile string, strategy string, device string, targets int, unknown_future int, per_model int"
+    req = spark.createDataFrame([(i, "lag_forest", 1000, 4, 20, "balanced", "default", "cpu", 2, *more) for i, more in enumerate(((0, 0), (2, 0), (0, 1), (1, 1), (None, None)))], schema)
+    none = spark.createDataFrame([], "model_id string, row_count bigint, covariates int, features int, profile string, strategy string, device string, seconds double")
+    got = {r["request_id"]: r["seconds"] for r in R.runtime_estimate(req, none).collect()}
+    assert [got[i] / got[0] for i in range(5)] == pytest.approx([1, 1.7, 1.8, 2.15, 1], rel=1e-3)
+
+
+def test_whole_runs_are_compared(spark, panel_of):
+    p = panel_of({"a": range(40), "b": [x * x % 7 for x in range(40)]})
+    board, points = B.backtest(p, ["naive", "moving_average"], 5, "D")
+    one = {"leaderboard": board, "backtest": points, "series_points": p}
+    same = R.compare_whole_runs(one, dict(one)).collect()
+    assert [(r["checks"], r["score"], r["drift"]) for r in same] == [(11, 1.0, [])] * 2
+    two = {"leaderboard": board.withColumn("rank", F.when(F.col("series_id") == "a", 3 - F.col("rank")).otherwise(F.col("rank"))),
+           "backtest": points.withColumn("predicted", F.when((F.col("series_id") == "b") & (F.col("step") == 2), F.col("predicted") + 1e-6).otherwise(F.col("predicted"))),
+           "series_points": p.where("series_id <> 'a' or y <> 3")}
+    drift = {r["series_id"]: r["drift"] for r in R.compare_whole_runs(one, two).collect()}
+    assert drift == {"a": ["recommended_model", "series_hash"], "b": ["backtest_hash"]}
+
+
 # The ten labelled ideas, their route and whether they need a leakage warning.
 IDEAS = [
     ("holiday_data", "把节假日和春节前后窗口加进去看看", "feature_engineering_data", False),

@@ -10,14 +10,13 @@ series, whose length the calendar bounds.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.calendar import SEASON, check_freq, next_period
 from ..spec import KEYS
 from ._common import backward
+from .arima import arima_fits
 
 # Parameter grid of the smoothing method and the 95 % normal quantile.
 ALPHAS = (0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 0.9)
@@ -95,64 +94,15 @@ def array_std(train: Column) -> Column:
     return F.when(n > 1, F.sqrt(ss / F.when(n > 1, n - 1)))
 
 
-def _lagged(values: np.ndarray, count: int, rows: int) -> list[np.ndarray]:
-    return [values[len(values) - rows - k: len(values) - k] for k in range(1, count + 1)]
-
-
-def _arima_forecast(values: np.ndarray, p: int, d: int, q: int, horizon: int) -> np.ndarray:
-    """Hannan-Rissanen: a long autoregression estimates the shocks, least squares the coefficients."""
-    if len(values) < 8:
-        p, d, q = min(p, 1), 0, min(q, 1)
-    levels, work = [], values.astype(float)
-    for _ in range(d):
-        levels.append(work[-1])
-        work = np.diff(work)
-    mean = work.mean() if d == 0 else 0.0
-    z = work - mean
-    long_lag = max(p, q) + 4
-    shocks = np.zeros_like(z)
-    if q and len(z) > 2 * long_lag:
-        rows = len(z) - long_lag
-        design = np.column_stack(_lagged(z, long_lag, rows))
-        phi = np.linalg.lstsq(design, z[-rows:], rcond=None)[0]
-        shocks[-rows:] = z[-rows:] - design @ phi
-    else:
-        q = 0
-    skip = max(p, long_lag + q if q else 0)
-    rows = len(z) - skip
-    coef = np.zeros(p + q)
-    if rows > p + q and p + q:
-        design = np.column_stack(_lagged(z, p, rows) + _lagged(shocks, q, rows))
-        coef = np.linalg.lstsq(design, z[-rows:], rcond=None)[0]
-    ar, ma = coef[:p], coef[p:]
-    past, noise, out = list(z[-max(p, 1):]), list(shocks[-max(q, 1):]), []
-    for _ in range(horizon):
-        nxt = sum(a * past[-1 - i] for i, a in enumerate(ar) if i < len(past))
-        nxt += sum(m * noise[-1 - i] for i, m in enumerate(ma) if i < len(noise))
-        past.append(nxt)
-        noise.append(0.0)
-        out.append(nxt)
-    result = np.asarray(out) + mean
-    for last in reversed(levels):
-        result = last + np.cumsum(result)
-    return result
-
-
-def arima_values(train: Column, horizon: int, p: int = 1, d: int = 1, q: int = 1, **_) -> Column:
-    """ARIMA(p,d,q) by least squares; a series that cannot be fitted repeats its last value."""
-    @F.pandas_udf("array<double>")
-    def fit(batch: pd.Series) -> pd.Series:
-        def one(values):
-            y = np.asarray(values, dtype=float)
-            try:
-                out = _arima_forecast(y, p, d, q, horizon)
-                if np.isfinite(out).all():
-                    return out
-            except (np.linalg.LinAlgError, ValueError, IndexError):
-                pass
-            return np.repeat(y[-1], horizon)
-        return batch.map(one)
-    return fit(train)
+def arima_values(train: Column, horizon: int, p=1, d=1, q=1, **_) -> Column:
+    """ARIMA(p,d,q), numbers or columns (see ``arima``); a series that cannot be fitted repeats its last value."""
+    return arima_noted(train, horizon, p, d, q)["pred"]
+
+
+def arima_noted(train: Column, horizon: int, p=1, d=1, q=1, **_) -> Column:
+    """STRUCT<pred, note>: the forecast, and what was changed to get it, if anything."""
+    fit = arima_fits(train, F.array(F.concat_ws(",", *[_lit(x).cast("string") for x in (p, d, q)])), horizon)
+    return F.struct(fit["pred"].alias("pred"), fit["note"][0].alias("note"))
 
 
 ARRAY_MODELS = {
@@ -162,6 +112,8 @@ ARRAY_MODELS = {
     "exp_smoothing": smoothing_values,
     "arima": arima_values,
 }
+#: Models that tell what they changed: STRUCT<pred, note>.
+NOTED = {"arima": arima_noted}
 WHOLE_HISTORY = ("exp_smoothing", "arima")
 
 

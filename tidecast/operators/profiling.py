@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.parse import NUMBER, _text, with_parsed_time
 from ._common import whole
@@ -47,17 +52,43 @@ def infer_column_types(df: DataFrame, columns=None) -> DataFrame:
     return rows.select("column", kind.alias("inferred_type"), "n", "booleans", "numbers", "dates")
 
 
-def profile_columns(df: DataFrame, columns, order: str, samples: int = 5) -> DataFrame:
-    """column, non_null, nulls and the first distinct values in row order.
+def first_distinct(df: DataFrame, columns, order: str, k: int) -> DataFrame:
+    """column, v, _first: the ``k`` distinct values of each column that stand first by ``order``, and some more of other tasks.
 
-    Values are combined per map task before the exchange; the cut to
-    ``samples`` rows per column also happens before its own exchange.
+    Every task keeps the k earliest of its own rows, one Arrow batch after the other: a value that is among the first k of the table is
+    among the first k of the task that holds its first row.  So columns x tasks x k rows leave the tasks, whatever the number of distinct
+    values.  Values first seen at equal places are taken in their own order; rows without ``order`` are not looked at.
     """
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), _present(c).alias("v")) for c in columns])
-    long = df.select(F.col(order).alias("_o"), F.explode(pairs).alias("p")).select("_o", "p.*")
-    values = long.groupBy("column", "v").agg(F.min("_o").alias("_first"), F.count("*").alias("_n"))
-    pos = F.row_number().over(whole(["column"]).orderBy("_first"))
-    kept = (values.where(F.col("v").isNotNull()).withColumn("_k", pos).where(F.col("_k") <= samples)
+    kind = dict(df.dtypes)[order]
+
+    def keep(batches):
+        held = [pd.DataFrame({"o": pd.Series(dtype=object), "v": pd.Series(dtype=object)}) for _ in columns]
+        for batch in batches:
+            place = batch.column(0).to_pandas()
+            for i in range(len(columns)):
+                new = pd.DataFrame({"o": place, "v": batch.column(i + 1).to_pandas()})
+                new = new[new["v"].notna() & new["o"].notna()]
+                if len(held[i]) == k:
+                    new = new[new["o"] <= held[i]["o"].iloc[-1]]
+                if len(new):
+                    both = pd.concat([held[i], new], ignore_index=True) if len(held[i]) else new
+                    held[i] = both.groupby("v", as_index=False, sort=False)["o"].min()[["o", "v"]].sort_values(["o", "v"]).head(k)
+        for i, h in enumerate(held):
+            if len(h):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), i, np.int32)), pa.array(h["v"].tolist(), pa.string()), pa.array(h["o"].tolist(), to_arrow_type(schema["_first"].dataType))],
+                                                 names=["_i", "v", "_first"])
+
+    schema = T.StructType.fromDDL(f"_i int, v string, _first {kind}")
+    rows = df.select(F.col(order).alias("_o"), *[_present(c).alias(f"c{i}") for i, c in enumerate(columns)]).mapInArrow(keep, schema)
+    names = F.array(*[F.lit(c) for c in columns])
+    return rows.groupBy("_i", "v").agg(F.min("_first").alias("_first")).select(names[F.col("_i")].alias("column"), "v", "_first")
+
+
+def profile_columns(df: DataFrame, columns, order: str, samples: int = 5) -> DataFrame:
+    """column, non_null, nulls and the first distinct values in row order (see ``first_distinct``)."""
+    columns = list(columns)
+    pos = F.row_number().over(whole(["column"]).orderBy("_first", "v"))
+    kept = (first_distinct(df, columns, order, samples).withColumn("_k", pos).where(F.col("_k") <= samples)
             .groupBy("column").agg(F.sort_array(F.collect_list(F.struct("_k", "v"))).alias("_s")))
     counts = df.agg(*[F.count(_present(c)).alias(f"n{i}") for i, c in enumerate(columns)], F.count("*").alias("_all"))
     totals = counts.select(F.explode(F.array(*[

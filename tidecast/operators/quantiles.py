@@ -27,8 +27,10 @@ def exact_quantiles(df: DataFrame, keys, value: str, qs: Iterable[float]) -> Dat
     left out; null keys are groups of their own.
     """
     keys = list(keys)
-    data = df.select(F.struct(*keys).alias("_k"), F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    ranged = data.repartitionByRange("_k", "_v").sortWithinPartitions("_k", "_v")
+    whole_row = F.xxhash64(*[F.col(f"`{c}`") for c, kind in df.dtypes if not kind.startswith("map")])
+    data = df.select(F.struct(*keys).alias("_k"), F.col(value).cast("double").alias("_v"), whole_row.alias("_h")).where(F.col("_v").isNotNull())
+    # rows of one value, however many, are cut by their hash
+    ranged = data.repartitionByRange("_k", "_v", "_h").drop("_h").sortWithinPartitions("_k", "_v")
     placed = stage(ranged.withColumn("_at", F.monotonically_increasing_id()))
     parts = placed.groupBy("_k", F.shiftright("_at", PART_BITS).alias("_part")).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
     before = F.coalesce(F.sum("_n").over(forward(["_k"], "_part").rowsBetween(START, -1)), F.lit(0))

@@ -3,7 +3,7 @@
 Everything in this module reads un-aggregated rows, where one series may hold
 a third of the table.  So there is no window over a whole series here: plain
 aggregates combine on the map side, and positions or gaps are found inside
-hour-sized chunks of the time axis.
+hour-sized chunks of the time axis or even ranges of the rows.
 """
 
 from __future__ import annotations
@@ -250,11 +250,12 @@ def detect_frequency(df: DataFrame, spec: PanelSpec, target: str | None = None,
 
 # -- filling at row level -----------------------------------------------------
 
-def fill_rows(df: DataFrame, spec: PanelSpec, strategy: str, limit: int | None = None) -> DataFrame:
+def fill_rows(df: DataFrame, spec: PanelSpec, strategy: str, limit: int | None = None, ranged: bool = False) -> DataFrame:
     """Fill missing targets of raw rows in time order, before bucketing.
 
     Runs in hour chunks: windows see one hour of one series, and only the last
-    and first known value of each hour travel along the series.
+    and first known value of each hour travel along the series.  ``ranged`` takes even ranges of series and time instead, which are
+    staged (a job): they also cut a bulk load under one time stamp, or rows without a time.
     """
     from .fill import filled_value
     keys = list(spec.keys)
@@ -267,18 +268,18 @@ def fill_rows(df: DataFrame, spec: PanelSpec, strategy: str, limit: int | None =
         med = exact_quantile(df.where(F.col("y").isNotNull()), keys, "y", 0.5).withColumnRenamed("quantile", "_med")
         return (df.join(med, keys, "left")
                 .withColumn("y", F.coalesce("y", "_med", F.lit(0.0))).drop("_med"))
-    rows = chunked_neighbours(df, keys, ("t", *((spec.order,) if spec.order else ())), "y")
+    rows = chunked_neighbours(df, keys, ("t", *((spec.order,) if spec.order else ())), "y", ranged)
     value = filled_value("y", strategy, limit)
     return rows.withColumn("y", value).drop("_i", "_x", "_prev", "_next")
 
 
-def chunked_neighbours(df: DataFrame, keys, order, value: str) -> DataFrame:
+def chunked_neighbours(df: DataFrame, keys, order, value: str, ranged: bool = False) -> DataFrame:
     """Adds ``_i`` (position), ``_x`` (microseconds), ``_prev`` and ``_next`` known point of every row.
 
-    Windows see one hour of one series.  Per hour, the number of rows and the
+    Windows see one hour (or range) of one series.  Per hour, the number of rows and the
     first and last known point are carried along the series and joined back.
     """
-    rows = in_chunks(df.withColumn("_x", micros_of("t")), keys, order, time_bucket("t", "H"))
+    rows = in_chunks(df.withColumn("_x", micros_of("t")), keys, order, None if ranged else time_bucket("t", "H"))
 
     def point(c):
         return F.when(F.col(value).isNotNull(), F.struct(c.alias("i"), F.col("_x").alias("x"), F.col(value).alias("v")))
@@ -300,4 +301,4 @@ def chunked_neighbours(df: DataFrame, keys, order, value: str) -> DataFrame:
             .withColumn("_prev", F.coalesce(shifted("_p"), "_earlier"))
             .withColumn("_next", F.coalesce(shifted("_q"), "_later"))
             .withColumn("_i", F.col("_before") + F.col("_n"))
-            .drop("_key", "_chunk", "_n", "_pt", "_p", "_q", "_before", "_earlier", "_later"))
+            .drop("_key", "_chunk", "_tie", "_n", "_pt", "_p", "_q", "_before", "_earlier", "_later"))

@@ -2,7 +2,7 @@
 
 ``events`` are append-only rows (run_id, sequence, ts, target, model_id, stage,
 status, ...).  One run may hold a third of all events, so states and stages
-are plain aggregates, and numbering works in hour chunks.
+are plain aggregates, and numbering works in even ranges of run and time.
 """
 
 from __future__ import annotations
@@ -71,13 +71,13 @@ def stage_durations(events: DataFrame) -> DataFrame:
 
 
 def events_from_logs(logs: DataFrame, order: str = "log_id") -> DataFrame:
-    """Numbered events from stored logs (run_id, ts, stage, level, model_id)."""
+    """Numbered events from stored logs (run_id, ts, stage, level, model_id); the rows are staged by ranges of run and time (a job)."""
     status = F.when(F.col("level") == "error", "failed").when(F.col("stage") == "finished", "completed").otherwise("running")
     kind = (F.when(F.col("stage") == "auto_tuning", "optimization").when(F.col("model_id").isNotNull(), "model")
             .when(F.col("stage").isin("finished", "failed"), "terminal").otherwise("log"))
     marked = logs.withColumns({"status": status, "event_type": kind})
     marked = marked.withColumn("progress", F.when(F.col("status") == "completed", 100))
-    return number_rows(marked, ["run_id"], ["ts", order], time_bucket("ts", "H"), "sequence")
+    return number_rows(marked, ["run_id"], ["ts", order], name="sequence")
 
 
 def remaining_time(states: DataFrame, estimates: DataFrame, keys=RUN_KEYS) -> DataFrame:
@@ -142,8 +142,14 @@ def compare_golden(actual: DataFrame, expected: DataFrame, tol: float = 0.0, key
     return out.withColumn("passed", good).drop("one_sided")
 
 
-def compare_runs(a: DataFrame, b: DataFrame, tol: float = 1e-8, metrics=("mae", "mse", "rmse", "wape"), keys=KEYS) -> DataFrame:
-    """Metrics of two leaderboards: checks, passed, score and the drifting items, per series."""
+def _scored(checks: DataFrame, keys) -> DataFrame:
+    """checks, passed, drift (the items that failed, in order) and score per series, from rows of keys, item, ok."""
+    out = checks.groupBy(*keys).agg(F.count("*").alias("checks"), F.count_if("ok").alias("passed"),
+                                    F.sort_array(F.collect_list(F.when(~F.col("ok"), F.col("item")))).alias("drift"))
+    return out.withColumn("score", F.col("passed") / F.col("checks"))
+
+
+def _metric_checks(a: DataFrame, b: DataFrame, tol: float, metrics, keys) -> DataFrame:
     def long(board, side):
         items = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias(side)) for m in metrics])
         rows = board.select(*keys, "model_id", F.explode(items).alias("_m"))
@@ -152,11 +158,33 @@ def compare_runs(a: DataFrame, b: DataFrame, tol: float = 1e-8, metrics=("mae",
     both = long(a, "a").join(long(b, "b"), [*keys, "model_id", "metric"], "full")
     present = F.col("in_a").isNotNull() & F.col("in_b").isNotNull()
     same = (F.col("a").isNull() & F.col("b").isNull()) | F.coalesce(F.abs(F.col("a") - F.col("b")) <= tol, F.lit(False))
-    ok = present & same
-    item = F.when(~ok, F.concat_ws(".", "model_id", "metric"))
-    out = both.groupBy(*keys).agg(F.count("*").alias("checks"), F.count_if(ok).alias("passed"),
-                                  F.sort_array(F.collect_list(item)).alias("drift"))
-    return out.withColumn("score", F.col("passed") / F.col("checks"))
+    return both.select(*keys, F.concat_ws(".", "model_id", "metric").alias("item"), (present & same).alias("ok"))
+
+
+def compare_runs(a: DataFrame, b: DataFrame, tol: float = 1e-8, metrics=("mae", "mse", "rmse", "wape"), keys=KEYS) -> DataFrame:
+    """Metrics of two leaderboards: checks, passed, score and the drifting items, per series."""
+    return _scored(_metric_checks(a, b, tol, metrics, keys), list(keys))
+
+
+def compare_whole_runs(a: dict[str, DataFrame], b: dict[str, DataFrame], tol: float = 1e-8, metrics=("mae", "mse", "rmse", "wape"), keys=KEYS) -> DataFrame:
+    """Two runs' tables (leaderboard, series_points, backtest): ``compare_runs``, and whether the series, the back-test and the recommended model are the same.
+
+    Points are compared by their ordered hashes to twelve digits, so no row of one run meets a row of the other.
+    """
+    keys = list(keys)
+
+    def told(run):
+        board = run["leaderboard"].groupBy(*keys).agg(F.max(F.when(F.col("rank") == 1, F.col("model_id"))).alias("recommended_model"))
+        series = series_hash(run["series_points"], 12, keys).select(*keys, F.col("series_hash").alias("series_hash"))
+        tested = series_hash(run["backtest"].select(*keys, "model_id", "t", F.col("predicted").alias("y")), 12, [*keys, "model_id"])
+        tested = tested.groupBy(*keys).agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws("=", "model_id", "series_hash"))), "|").alias("backtest_hash"))
+        return board.join(series, keys, "full").join(tested, keys, "full")
+
+    names = ("recommended_model", "series_hash", "backtest_hash")
+    first, second = (told(r).select(*keys, *[F.col(n).alias(f"{n}_{i}") for n in names]) for i, r in enumerate((a, b)))
+    both = first.join(second, keys, "full")
+    more = both.select(*keys, F.explode(F.array(*[F.struct(F.lit(n).alias("item"), F.col(f"{n}_0").eqNullSafe(F.col(f"{n}_1")).alias("ok")) for n in names])).alias("c")).select(*keys, "c.*")
+    return _scored(_metric_checks(a["leaderboard"], b["leaderboard"], tol, metrics, keys).unionByName(more), keys)
 
 
 def importance_by_name(importance: DataFrame, contributions: DataFrame | None = None, by=("target",)) -> DataFrame:
@@ -213,6 +241,8 @@ TUNING_FACTOR = {"naive": 1.0, "seasonal_naive": 1.15, "moving_average": 1.18, "
                  "trend_season": 1.7, "lag_boosting": 2.1, "lag_forest": 2.45}
 PROFILE_FACTOR = {"fast": 0.72, "balanced": 1.0, "accurate": 1.32}
 TREE_MODELS = ("lag_boosting", "lag_forest")
+# What each auxiliary forecast adds to a run, as a share of it.
+AUXILIARY = {"unknown_future": 0.35, "per_model": 0.8}
 
 
 def _table(values: dict, key: Column, default: float) -> Column:
@@ -232,7 +262,8 @@ def runtime_estimate(requests: DataFrame, samples: DataFrame) -> DataFrame:
     """Expected seconds of each requested model run, with sample count and confidence.
 
     ``requests``: request_id, model_id, row_count, covariates, features,
-    profile, strategy, device, targets.  ``samples``: model_id, row_count,
+    profile, strategy, device, targets, and maybe unknown_future (forecasts of inputs unknown ahead) and per_model (covariates of
+    single models).  ``samples``: model_id, row_count,
     covariates, features, profile, strategy, device, seconds - past runs.
     Past seconds are scaled to the request and averaged by similarity; without
     samples a formula answers.  Scale and similarity depend on the shape of a
@@ -243,7 +274,8 @@ def runtime_estimate(requests: DataFrame, samples: DataFrame) -> DataFrame:
     shape = ("row_count", "covariates", "features", "profile", "strategy", "device")
     s = (samples.where(F.col("seconds") > 0).groupBy("model_id", *[F.col(c).alias(f"s_{c}") for c in shape])
          .agg(F.sum("seconds").alias("s_seconds"), F.count("*").alias("s_runs")))
-    asked = requests.withColumn("row_count", F.greatest(F.col("row_count"), F.lit(1)))
+    extra = sum((F.coalesce(F.col(c), F.lit(0)) * w for c, w in AUXILIARY.items() if c in requests.columns), F.lit(1.0))
+    asked = requests.withColumn("row_count", F.greatest(F.col("row_count"), F.lit(1))).withColumn("_extra", extra)
     pairs = asked.select("model_id", *shape).distinct().join(s, "model_id", "left")
 
     def gap(a, b, least):
@@ -270,9 +302,9 @@ def runtime_estimate(requests: DataFrame, samples: DataFrame) -> DataFrame:
         (F.sum(F.col("_scaled") * weight) / F.sum(F.col("s_runs") * weight)).alias("_mean"), F.max("_formula").alias("_formula"))
     found = found.withColumnsRenamed({c: f"_of_{c}" for c in ("model_id", *shape)})
     same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in ("model_id", *shape)]
-    agg = asked.join(found, same).select("request_id", "model_id", "targets", "samples", "best_alike", "_mean", "_formula")
+    agg = asked.join(found, same).select("request_id", "model_id", "targets", "_extra", "samples", "best_alike", "_mean", "_formula")
     per_target = F.when(F.col("samples") > 0, F.col("_mean")).otherwise(F.col("_formula"))
     confidence = (F.when((F.col("samples") >= 4) & (F.col("best_alike") >= 0.72), "high")
                   .when(F.col("samples") > 0, "medium").otherwise("low"))
-    seconds = F.bround(F.greatest(F.lit(0.2), per_target) * F.greatest(F.col("targets"), F.lit(1)), 1)
+    seconds = F.bround(F.greatest(F.lit(0.2), per_target) * F.col("_extra") * F.greatest(F.col("targets"), F.lit(1)), 1)
     return agg.select("request_id", "model_id", seconds.alias("seconds"), "samples", confidence.alias("confidence"), per_target.alias("per_target"))

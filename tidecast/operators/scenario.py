@@ -54,8 +54,12 @@ def chart_wide(backtest: DataFrame, value: str = "predicted", models=None, keys=
     return pivot.agg(F.first(value))
 
 
-def recommendation(leaderboard: DataFrame, roles: DataFrame | None = None, keys=KEYS) -> DataFrame:
-    """Recommended model, runner-up, gap, reasons and caveats per series."""
+def recommendation(leaderboard: DataFrame, roles: DataFrame | None = None, keys=KEYS, trials: DataFrame | None = None, features=()) -> DataFrame:
+    """Recommended model, runner-up, gap, reasons and caveats per series.
+
+    ``trials`` of a parameter search tell how the recommended model was tuned; ``features`` are those that tree models were given.  Up to
+    three warnings of the model, where the leaderboard has them, are caveats.
+    """
     def at(rank, c):
         return F.max(F.when(F.col("rank") == rank, F.col(c)))
 
@@ -64,6 +68,18 @@ def recommendation(leaderboard: DataFrame, roles: DataFrame | None = None, keys=
         *[at(1, m).alias(m) for m in ("mae", "rmse", "wape")], at(2, "mae").alias("_mae2"))
     gap = F.col("_mae2") - F.col("mae")
     out = best.withColumn("mae_gap", gap)
+    searched, warned = [], F.array().cast("array<string>")
+    if "warnings" in leaderboard.columns:
+        told = leaderboard.where("rank = 1").groupBy(*keys).agg(F.first("warnings").alias("_warnings"))
+        out = out.join(told, list(keys), "left")
+        warned = F.slice(F.coalesce("_warnings", warned), 1, 3)
+    if trials is not None:
+        tried = trials.groupBy(*keys, "model_id").agg(F.count(F.lit(1)).alias("_tried"), F.min(F.when(F.col("status") == "success", F.col("mae"))).alias("_reached"))
+        out = out.join(tried, [*keys, "model_id"], "left")
+        searched = [F.when(F.col("_tried").isNotNull(), F.format_string("a search tried %d candidates, the best with MAE %.4f", "_tried", "_reached"))
+                    .when(F.col("model_id").isNotNull(), "no search: default or given parameters")]
+    if features:
+        searched.append(F.when(F.col("model_id").isin("lag_forest", "lag_boosting"), "uses the features " + ", ".join(features)))
     risk = F.lit(0)
     if roles is not None:
         out = out.join(roles.groupBy(*keys).agg(F.count_if("leakage_risk").alias("_risk")), list(keys), "left")
@@ -72,12 +88,12 @@ def recommendation(leaderboard: DataFrame, roles: DataFrame | None = None, keys=
         F.when(F.col("mae").isNotNull(), F.format_string("lowest MAE of the successful models: %.4f", "mae")),
         F.when(F.col("rmse").isNotNull(), F.format_string("RMSE %.4f", "rmse")),
         F.when(F.col("wape").isNotNull(), F.format_string("WAPE %.4f", "wape")),
-        F.when(F.col("mae_gap") > 0, F.format_string("MAE lower than %s by %.4f", "runner_up", "mae_gap")))
+        F.when(F.col("mae_gap") > 0, F.format_string("MAE lower than %s by %.4f", "runner_up", "mae_gap")), *searched)
     caveats = texts(
         F.when(F.col("model_id").isNull(), "no model succeeded"),
         F.when(F.col("mae_gap") == 0, F.format_string("same MAE as %s", "runner_up")),
         F.when(risk > 0, F.format_string("%d covariates may leak the future", risk)))
-    return out.select(*keys, "model_id", "runner_up", "mae", "rmse", "wape", "mae_gap", reasons.alias("reasons"), caveats.alias("caveats"))
+    return out.select(*keys, "model_id", "runner_up", "mae", "rmse", "wape", "mae_gap", reasons.alias("reasons"), F.concat(caveats, warned).alias("caveats"))
 
 
 # -- drivers ------------------------------------------------------------------

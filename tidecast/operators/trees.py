@@ -7,9 +7,8 @@ only holds the trees.
 
 from __future__ import annotations
 
-import random
 from collections.abc import Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -19,11 +18,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.calendar import next_period
+from ..session import stage
 from ..spec import KEYS, FeatureConfig
+from . import packed as P
 from ._common import backward, whole
 from .forecasters import series_tail
+from .packed import node_table
 
 SEED = 42  # fixed value
+TASK_ROWS = 20_000
 
 
 @dataclass(frozen=True)
@@ -32,6 +35,7 @@ class TreeModel:
     model: object
     names: tuple[str, ...]
     cfg: FeatureConfig
+    held: dict = field(default_factory=dict, compare=False, repr=False)  # the packed nodes, once read
 
     def predict(self, df: DataFrame, out: str = "predicted", columns: Iterable[str] | None = None) -> DataFrame:
         vec = VectorAssembler(inputCols=list(columns or self.names), outputCol=f"_vec_{out}").transform(df)
@@ -39,18 +43,24 @@ class TreeModel:
         return fitted.transform(vec).drop(f"_vec_{out}")
 
 
-def _fit(estimator, model_id: str, features: DataFrame, names, cfg: FeatureConfig, target: str) -> TreeModel:
+def _fit(estimator, model_id: str, features: DataFrame, names, cfg: FeatureConfig, target: str, at_once: int = 1) -> TreeModel:
     data = VectorAssembler(inputCols=list(names), outputCol="_vec", handleInvalid="error").transform(features)
     data = data.select("_vec", F.col(target).alias("_label"))
+    # every level of every tree is a job over the partitions: a small matrix must not be in many
+    parts = max(1, -(-features.count() * at_once // TASK_ROWS))
+    if parts < features.sparkSession.sparkContext.defaultParallelism:
+        data = data.coalesce(parts)
     fitted = estimator.setFeaturesCol("_vec").setLabelCol("_label").fit(data)
     return TreeModel(model_id, fitted, tuple(names), cfg)
 
 
 def lag_forest(features: DataFrame, names, cfg: FeatureConfig = FeatureConfig(), trees: int = 120, depth: int = 18,
                leaf: int = 2, target: str = "y", seed: int = SEED, bootstrap: bool = True) -> TreeModel:
-    """Random forest; runs one Spark job per tree level."""
-    est = RandomForestRegressor(numTrees=trees, maxDepth=min(depth, 30), minInstancesPerNode=leaf, seed=seed, bootstrap=bootstrap)
-    return _fit(est, "lag_forest", features, names, cfg, target)
+    """Random forest; runs one Spark job per tree level.  Trees of more than 30 levels are refused: the learner has no more."""
+    if depth > 30:
+        raise ValueError(f"depth {depth} is above 30")
+    est = RandomForestRegressor(numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, seed=seed, bootstrap=bootstrap)
+    return _fit(est, "lag_forest", features, names, cfg, target, max(1, trees // 10))
 
 
 def lag_boosting(features: DataFrame, names, cfg: FeatureConfig = FeatureConfig(), trees: int = 200, depth: int = 3,
@@ -66,50 +76,26 @@ def fitted_residuals(model: TreeModel, features: DataFrame, keys=KEYS) -> DataFr
     return out.select(*keys, F.lit(model.model_id).alias("model_id"), "t", (F.col("y") - F.col("predicted")).alias("residual"))
 
 
-def tree_arrays(model: TreeModel) -> dict[str, np.ndarray]:
-    """The trees as flat arrays, read from the model's own listing of its nodes.
+def packed(model: TreeModel, spark) -> DataFrame:
+    """One record a tree (see ``packed``), staged once a model."""
+    if "table" not in model.held:
+        model.held["table"] = stage(node_table(model.model, spark, model.model_id == "lag_forest"))
+        model.held["bytes"] = model.held["table"].agg(F.coalesce(F.sum("nodes"), F.lit(0))).head()[0] * P.NODE_BYTES
+    return model.held["table"]
 
-    ``feature`` is -1 at leaves; ``weight`` already averages a forest.
-    """
-    feature, cut, left, right, value, roots, weight = [], [], [], [], [], [], []
-    open_ifs: list[int] = []
-    slot: tuple[list, int] | None = None
-    for line in model.model.toDebugString.splitlines()[1:]:
-        words = line.replace("(", " ").replace(")", " ").split()
-        if not words:
-            continue
-        if words[0] == "Else":
-            slot = (right, open_ifs.pop())
-            continue
-        if words[0] == "Tree":
-            roots.append(len(feature))
-            weight.append(float(words[3]))
-            slot = None
-            continue
-        me = len(feature)
-        if slot is not None:
-            slot[0][slot[1]] = me
-        inner = words[0] == "If"
-        feature.append(int(words[2]) if inner else -1)
-        cut.append(float(words[4]) if inner else 0.0)
-        value.append(0.0 if inner else float(words[1]))
-        left.append(me)
-        right.append(me)
-        if inner:
-            open_ifs.append(me)
-            slot = (left, me)
-    share = np.asarray(weight) / (len(roots) if model.model_id == "lag_forest" else 1.0)
-    return {"feature": np.asarray(feature), "cut": np.asarray(cut), "left": np.asarray(left), "right": np.asarray(right),
-            "value": np.asarray(value), "roots": np.asarray(roots), "weight": share}
-
-
-def _tree_values(trees: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
-    at = np.broadcast_to(trees["roots"], (len(x), len(trees["roots"]))).copy()
-    rows = np.arange(len(x))[:, None]
-    while (trees["feature"][at] >= 0).any():
-        low = x[rows, np.maximum(trees["feature"][at], 0)] <= trees["cut"][at]
-        at = np.where(trees["feature"][at] < 0, at, np.where(low, trees["left"][at], trees["right"][at]))
-    return trees["value"][at] @ trees["weight"]
+
+def _everywhere(model: TreeModel, spark):
+    """A broadcast of the node arrays, or None where they are larger than ``MOST_BYTES``."""
+    table = packed(model, spark)
+    if model.held["bytes"] > P.MOST_BYTES:
+        return None
+    if "sent" not in model.held:
+        model.held["sent"] = spark.sparkContext.broadcast(P.unpacked(r.asDict() for r in table.orderBy("tree").collect()))
+    return model.held["sent"]
+
+
+def _blocks(model: TreeModel) -> int:
+    return max(1, -(-model.held["bytes"] // P.BLOCK_BYTES))
 
 
 def _trailing(past: np.ndarray, cfg: FeatureConfig) -> list[np.ndarray]:
@@ -153,33 +139,69 @@ def recursive_predict(model: TreeModel, panel: DataFrame, horizon: int, freq: st
 
     # the inputs of a step are written once, for a step number that runs; the plan is as long for any horizon
     inputs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(horizon)), lambda k: F.array(*known(k)).cast("array<double>")))
-    trees = panel.sparkSession.sparkContext.broadcast(tree_arrays(model))
+    state = state.select(*keys, "_end", F.transform("pts", lambda p: p["y"]).alias("_past"), inputs.alias("_ahead"))
     width = len(model.names) if with_features else 0
+    trees = _everywhere(model, panel.sparkSession)
+    if trees is None:
+        walked = _walk_in_blocks(model, state, keys, reach, horizon, width)
+    else:
+        walked = _walk(model, state, keys, reach, horizon, width, trees)
+    flat = walked.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
+    first = (F.col("step") - 1) * (1 + width)
+    cols = [*keys, F.lit(model.model_id).alias("model_id"), "step", next_period("_end", freq, F.col("step")).alias("t"),
+            F.col("_w")[first].alias("predicted")]
+    if with_features:
+        cols += [F.col("_w")[first + i].alias(n) for i, n in enumerate(model.names, start=1)]
+    return flat.select(*cols)
+
+
+def _window(history, reach: int) -> np.ndarray:
+    """The last ``reach`` values of every history as rows; NaN before a short one began."""
+    past = np.full((len(history), reach), np.nan)
+    for i, h in enumerate(history):
+        past[i, reach - len(h):] = h
+    return past
+
+
+def _walk(model: TreeModel, state: DataFrame, keys, reach: int, horizon: int, width: int, trees) -> DataFrame:
+    """All steps of every series inside one task, with all trees at hand."""
+    cfg = model.cfg
 
     @F.pandas_udf("array<double>")
     def walk(history: pd.Series, ahead: pd.Series) -> pd.Series:
-        past = np.full((len(history), reach), np.nan)
-        for i, h in enumerate(history):
-            past[i, reach - len(h):] = h
+        past = _window(history, reach)
         fixed = np.stack([np.asarray(a, dtype=float) for a in ahead]).reshape(len(history), horizon, -1)
         out = np.empty((len(history), horizon, 1 + width))
         for k in range(horizon):
             x = np.column_stack([*_trailing(past, cfg), fixed[:, k, :]])
-            y = _tree_values(trees.value, x)
+            y = P.tree_values(trees.value, x)
             out[:, k, 0] = y
             if width:
                 out[:, k, 1:] = x
             past = np.column_stack([past[:, 1:], y])
         return pd.Series(list(out.reshape(len(history), -1)))
 
-    walked = state.select(*keys, "_end", walk(F.transform("pts", lambda p: p["y"]), inputs).alias("_w"))
-    flat = walked.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
-    first = (F.col("step") - 1) * (1 + width)
-    cols = [*keys, F.lit(model.model_id).alias("model_id"), "step", next_period("_end", freq, F.col("step")).alias("t"),
-            F.col("_w")[first].alias("predicted")]
-    if with_features:
-        cols += [F.col("_w")[first + i].alias(n) for i, n in enumerate(model.names, start=1)]
-    return flat.select(*cols)
+    return state.select(*keys, "_end", walk("_past", "_ahead").alias("_w"))
+
+
+def _walk_in_blocks(model: TreeModel, state: DataFrame, keys, reach: int, horizon: int, width: int) -> DataFrame:
+    """Step after step: rows of all series meet the blocks of trees, whose parts are added; every step is staged."""
+    cfg, table, blocks = model.cfg, packed(model, state.sparkSession), _blocks(model)
+
+    @F.pandas_udf("array<double>")
+    def row(history: pd.Series, fixed: pd.Series) -> pd.Series:
+        fixed = np.stack([np.asarray(a, dtype=float) for a in fixed])
+        return pd.Series(list(np.column_stack([*_trailing(_window(history, reach), cfg), fixed])))
+
+    now = stage(state.withColumn("_id", F.monotonically_increasing_id()).withColumn("_w", F.array().cast("array<double>")))
+    for k in range(horizon):
+        per = F.expr(f"size(_ahead) div {horizon}")
+        asked = stage(now.select(F.col("_id").alias("id"), row("_past", F.slice("_ahead", per * k + 1, per)).alias("x")))
+        got = P.over_blocks(asked, table, blocks, P.tree_values).join(asked, "id").select(F.col("id").alias("_id"), F.col("out")[0].alias("_y"), "x")
+        more = F.concat("_w", F.array("_y"), "x") if width else F.concat("_w", F.array("_y"))
+        past = F.concat("_past", F.array("_y"))
+        now = stage(now.join(got, "_id").select(*keys, "_end", "_id", "_ahead", F.slice(past, F.greatest(F.size(past) - reach + 1, F.lit(1)), F.lit(reach)).alias("_past"), more.alias("_w")))
+    return now.select(*keys, "_end", "_w")
 
 
 # -- explanations -------------------------------------------------------------
@@ -200,50 +222,46 @@ def last_rows(features: DataFrame, k: int = 128, keys=KEYS) -> DataFrame:
     return features.withColumn("_r", pos).where(F.col("_r") <= k).drop("_r")
 
 
-def shapley_points(model: TreeModel, rows: DataFrame, background: DataFrame, ids, permutations: int = 32, seed: int = SEED) -> DataFrame:
-    """Sampled Shapley values: ids, feature, value, contribution.
+def shapley_points(model: TreeModel, rows: DataFrame, background: DataFrame | None, ids) -> DataFrame:
+    """Exact Shapley values: ids, feature, value, contribution.
 
-    Absent features take their mean over ``background``.  Rows are exploded
-    over random feature orders and positions, scored by the model in the JVM
-    with and without the feature, and the differences are averaged.  The
-    contributions of a row add up to its prediction minus the mean row's.
+    An absent feature takes its mean over ``background``; without one it follows both branches of a cut by the shares of the training
+    rows.  The contributions of a row add up to its prediction minus that of the mean row, or minus the mean over all leaves by their shares.  One
+    Arrow pass, a row of numbers for each row; only its result is exploded, a row per feature.  Forests beyond ``MOST_BYTES`` pass block by block.
     """
     names, ids = list(model.names), list(ids)
-    base = background.agg(*[F.avg(n).alias(n) for n in names]).first()
-    rng = random.Random(seed)
-    orders = []
-    for _ in range(permutations):
-        order = list(range(len(names)))
-        rng.shuffle(order)
-        place = [0] * len(names)
-        for position, feature in enumerate(order):
-            place[feature] = position
-        orders.append((order, place))
-    literal = F.array(*[F.struct(F.array(*[F.lit(i) for i in o]).alias("order"), F.array(*[F.lit(i) for i in p]).alias("place")) for o, p in orders])
-    long = (rows.select(*ids, *names).withColumn("_perm", F.explode(literal))
-            .withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1)))))
-    place = F.col("_perm")["place"]
-
-    def mix(prefix: str, limit: Column):
-        return {f"{prefix}{i}": F.when(place[i] <= limit, F.col(n)).otherwise(F.lit(float(base[n]))) for i, n in enumerate(names)}
-
-    long = long.withColumns(mix("_w", F.col("_k")) | mix("_o", F.col("_k") - 1))
-    long = long.withColumn("_f", F.col("_perm")["order"][F.col("_k")])
+    base = None
+    if background is not None:
+        means = background.agg(*[F.avg(n).alias(n) for n in names]).first()
+        base = np.array([float("nan") if means[n] is None else float(means[n]) for n in names])
     values = F.array(*[F.col(n).cast("double") for n in names])
-    long = long.select(*ids, F.element_at(F.array(*[F.lit(n) for n in names]), F.col("_f") + 1).alias("feature"),
-                       values[F.col("_f")].alias("value"), *[f"_w{i}" for i in range(len(names))], *[f"_o{i}" for i in range(len(names))])
-    scored = model.predict(long, "_with", [f"_w{i}" for i in range(len(names))])
-    scored = model.predict(scored, "_without", [f"_o{i}" for i in range(len(names))])
-    return scored.groupBy(*ids, "feature", "value").agg(F.avg(F.col("_with") - F.col("_without")).alias("contribution"))
+    trees = _everywhere(model, rows.sparkSession)
+    if trees is None:
+        asked = stage(rows.select(*ids, values.alias("x")).withColumn("id", F.monotonically_increasing_id()))
+        told = P.over_blocks(asked.select("id", "x"), packed(model, rows.sparkSession), _blocks(model), lambda t, x: P.tree_shapley(P.leaf_paths(t), x, base)).withColumnRenamed("out", "_phi")
+        told = asked.join(told, "id").select(*ids, F.col("x").alias("_x"), "_phi")
+    else:
+        @F.pandas_udf("array<double>")
+        def explain(x: pd.Series) -> pd.Series:
+            if "paths" not in trees.value:
+                trees.value["paths"] = P.leaf_paths(trees.value)
+            return pd.Series(list(P.tree_shapley(trees.value["paths"], np.stack([np.asarray(r, dtype=float) for r in x]), base))) if len(x) else pd.Series([], dtype=object)
+
+        told = rows.select(*ids, values.alias("_x")).withColumn("_phi", explain("_x"))
+    named = F.arrays_zip(F.array(*[F.lit(n) for n in names]).alias("feature"), F.col("_x").alias("value"), F.col("_phi").alias("contribution"))
+    return told.select(*ids, F.inline(named)).toDF(*ids, "feature", "value", "contribution")
 
 
 def _direction(c: Column) -> Column:
     return F.when(c > 1e-9, "positive").when(c < -1e-9, "negative").otherwise("neutral")
 
 
-def shapley_sampled(model: TreeModel, features: DataFrame, permutations: int = 32, last: int = 128, k: int = 20, keys=KEYS) -> DataFrame:
-    """model_id, feature, mean_abs, direction, rank over the last rows of each series."""
-    points = shapley_points(model, last_rows(features, last, keys), features, [*keys, "t"], permutations)
+def shapley_sampled(model: TreeModel, features: DataFrame, last: int = 128, k: int = 20, keys=KEYS, paths: bool = False) -> DataFrame:
+    """model_id, feature, mean_abs, direction, rank over the last rows of each series.
+
+    Absent features take their mean over ``features``, or with ``paths`` follow the trees by shares of rows.
+    """
+    points = shapley_points(model, last_rows(features, last, keys), None if paths else features, [*keys, "t"])
     out = points.groupBy("feature").agg(F.avg(F.abs("contribution")).alias("mean_abs"), F.avg("contribution").alias("_signed"))
     pos = F.row_number().over(_one_partition().orderBy(F.col("mean_abs").desc(), "feature"))
     return (out.withColumn("model_id", F.lit(model.model_id)).withColumn("direction", _direction(F.col("_signed")))

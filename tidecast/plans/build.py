@@ -37,7 +37,7 @@ def build_panel(df: DataFrame, spec: PanelSpec, cfg: CleaningConfig = CleaningCo
     timed = drop_invalid_time(rows, cfg.on_invalid_time)
     inner = PanelSpec(spec.keys, "t", "y", spec.freq, spec.order)
     if fill_raw and cfg.missing != "drop" and how != "count":
-        timed = fill_rows(timed, inner, cfg.missing, cfg.limit)
+        timed = fill_rows(timed, inner, cfg.missing, cfg.limit, ranged=staged)
     panel = bucket_aggregate(drop_missing_target(timed), inner, how or cfg.duplicates, covariates, "used_rows")
     grid = reindex(panel, spec.freq, spec.keys) if cfg.fill_steps else panel.withColumn("is_gap", F.lit(False))
     filled = fill_missing(grid, cfg.missing, cfg.limit, keys=spec.keys) if cfg.fill_steps else grid

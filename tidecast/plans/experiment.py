@@ -18,15 +18,16 @@ from ..operators.forecasters import ARRAY_MODELS, future_axis, residual_interval
 from ..operators.holidays import FEATURES as HOLIDAYS
 from ..operators.holidays import holiday_features
 from ..operators.rows import detect_frequency
-from ..operators.scoring import holdout_split, pair_predictions, part_windows, split_eligible
+from ..operators._common import backward
+from ..operators.scoring import error_metrics, holdout_split, pair_predictions, part_windows, split_eligible
 from ..operators.trees import fitted_residuals, lag_boosting, lag_forest, recursive_predict
 from ..session import stage
-from ..spec import CleaningConfig, CovariateRole, FeatureConfig, PanelSpec
-from .backtest import (PROFILE_LIMITS, SEARCHED, Model, backtest, evaluate_candidates, final_by_series, leaderboard_of, model_grid,
-                       select_candidate)
+from ..spec import KEYS, CleaningConfig, CovariateRole, FeatureConfig, PanelSpec
+from .backtest import (LISTED, PROFILE_LIMITS, SEARCHED, Model, backtest, backtest_points, base_text, evaluate_candidates, final_by_series, leaderboard_of, model_grid,
+                       parameters_of, select_candidate, tuning_split)
 from .build import BuiltPanel, build_panel
 
-TUNABLE = ("moving_average", "seasonal_naive", "exp_smoothing")
+TUNABLE = ("moving_average", "seasonal_naive", "exp_smoothing", "arima")
 
 
 @dataclass(frozen=True)
@@ -71,27 +72,110 @@ def _wide(ahead: DataFrame, names, keys) -> DataFrame:
     return ahead.groupBy(*keys, "step").agg(*[F.max(F.when(F.col("name") == c, F.col("value"))).alias(c) for c in names])
 
 
-def _beyond_arrays(named, history: DataFrame, horizon: int, freq: str, keys, ahead: DataFrame | None, features: FeatureConfig) -> DataFrame | None:
-    """Predictions of the models that need more than the array of a series: additive, tree and user models.
+class _Matrix:
+    """The feature matrix of a history, staged once however many models and candidates are fitted on it."""
 
-    keys, model_id, step, t, predicted, lower, upper.  Trees are fitted here, once for all series (Spark jobs); their
-    band is that of their in-sample residuals.
+    def __init__(self, history: DataFrame, features: FeatureConfig, keys):
+        self.history, self.features, self.keys, self.made = history, features, keys, None
+
+    def get(self):
+        if self.made is None:
+            matrix, names = feature_matrix(self.history, self.features, self.keys)
+            self.made = stage(matrix), names
+        return self.made
+
+
+def _fitted(m: str, params: dict, history: DataFrame, matrix: _Matrix, wanted: DataFrame | None, horizon: int, freq: str, ahead: DataFrame | None) -> DataFrame:
+    """keys, model_id, step, t, predicted, lower, upper, error of one model for the series of ``wanted`` (keys; None: all).
+
+    Trees are fitted here on all series (Spark jobs); their band is that of their in-sample residuals.
     """
+    keys = list(matrix.keys)
     cols = [*keys, "model_id", "step", "t", "predicted", "lower", "upper"]
-    parts = []
+    own = history if wanted is None else history.join(wanted, keys, "left_semi")
+    if m == "trend_season":
+        out = trend_season(own.select(*keys, "t", "y"), horizon, freq, keys=keys, **params)
+    elif m in TREES:
+        rows, names = matrix.get()
+        model = TREES[m](rows, names, matrix.features, **params)
+        out = residual_interval(fitted_residuals(model, rows, keys), recursive_predict(model, own, horizon, freq, ahead, keys), keys)
+    else:
+        out = run_forecaster(m, own, horizon, keys).join(future_axis(own, horizon, freq, keys), [*keys, "step"], "left")
+        return out.select(*cols, "error")
+    return out.select(*cols, F.lit(None).cast("string").alias("error"))
+
+
+def _reason(e: Exception) -> str:
+    return (str(e).strip().splitlines() or [type(e).__name__])[0][:300]
+
+
+def _failed(wanted: DataFrame, m: str, keys, e: Exception) -> DataFrame:
+    """What a model says that could not be fitted at all: a row per series."""
+    empty = {c: F.lit(None).cast(k) for c, k in (("step", "int"), ("t", "timestamp_ntz"), ("predicted", "double"), ("lower", "double"), ("upper", "double"))}
+    return wanted.select(*keys, F.lit(m).alias("model_id"), *[v.alias(c) for c, v in empty.items()], F.lit(_reason(e)).alias("error"))
+
+
+def _beyond_arrays(named, history: DataFrame, horizon: int, freq: str, keys, ahead: DataFrame | None, features: FeatureConfig, tuned: DataFrame | None = None) -> DataFrame:
+    """Predictions of the models that need more than the array of a series: additive, tree and user models (see ``_fitted``).
+
+    With ``tuned`` (keys, model_id, param) every candidate that some series chose is fitted, and predicts those series.  A model that
+    fails has rows with its error instead, and does not stop the others.
+    """
+    matrix, parts = _Matrix(history, features, keys), []
+    every = history.select(*keys).distinct()
     for m, params in named:
-        if m == "trend_season":
-            out = trend_season(history.select(*keys, "t", "y"), horizon, freq, keys=keys, **params)
-        elif m in TREES:
-            matrix, names = feature_matrix(history, features, keys)
-            matrix = stage(matrix)
-            model = TREES[m](matrix, names, features, **params)
-            out = residual_interval(fitted_residuals(model, matrix, keys), recursive_predict(model, history, horizon, freq, ahead, keys), keys)
-        else:
-            axis = future_axis(history, horizon, freq, keys)
-            out = run_forecaster(m, history, horizon, keys).where(F.col("error").isNull()).join(axis, [*keys, "step"])
-        parts.append(out.select(*cols))
-    return reduce(lambda a, b: a.unionByName(b), parts) if parts else None
+        own = None if tuned is None or m not in LISTED else tuned.where(F.col("model_id") == m)
+        texts = [] if own is None else [r["param"] for r in own.select("param").distinct().orderBy("param").collect()]  # no more than the list of candidates
+        jobs = [(params | parameters_of(m, x), own.where(F.col("param") == x).select(*keys)) for x in texts]
+        if own is None:
+            jobs.append((params, None))
+        elif (rest := every.join(own, list(keys), "left_anti")).head(1):
+            jobs.append((params, rest))
+        for p, wanted in jobs:
+            try:
+                parts.append(_fitted(m, p, history, matrix, wanted, horizon, freq, ahead))
+            except Exception as e:  # noqa: BLE001  whatever a learner throws is that model's failure
+                parts.append(_failed(every if wanted is None else wanted, m, keys, e))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def search_fitted(history: DataFrame, models: Iterable[Model], test_size: int, freq: str, features: FeatureConfig = FeatureConfig(), limit: int | None = None,
+                  ahead_of=None, keys=KEYS) -> DataFrame:
+    """``evaluate_candidates`` for additive and tree models: keys, model_id, round, param, mae, mse, rmse, wape, status, error.
+
+    ``history`` has keys, t, y and the covariates of ``features``.  The last points of each series are held back as in every search; the rest is one
+    staged feature matrix on which each candidate is fitted once for all series.  ``ahead_of(train, axis)`` gives the inputs known for
+    the steps held back.  A candidate that cannot be fitted is a failed row with its error.
+    """
+    keys = list(keys)
+    full = history.where(F.col("y").isNotNull())
+    splits = stage(tuning_split(full, test_size, keys).where(F.col("reason").isNull()).withColumn("freq", F.lit(freq)))
+    back = F.row_number().over(backward(keys))
+    rows = stage(full.join(splits.select(*keys, "validation"), keys).withColumn("_back", back))
+    train, held = rows.where("_back > validation").drop("_back", "validation"), rows.where("_back <= validation").withColumn("step", F.col("validation") - F.col("_back") + 1)
+    horizon = max(test_size, 4)
+    ahead = ahead_of(train, held.select(*keys, "step", "t")) if ahead_of else None
+    matrix, wanted, parts = _Matrix(train, features, keys), splits.select(*keys), []
+    for m, params in [(x, {}) if isinstance(x, str) else x for x in models]:
+        tried = list(dict.fromkeys([base_text(m, params), *LISTED[m]]))[:limit]
+        for i, text in enumerate(tried, 1):
+            try:
+                made = _fitted(m, params | parameters_of(m, text), train, matrix, wanted, horizon, freq, ahead)
+            except Exception as e:  # noqa: BLE001
+                made = _failed(wanted, m, keys, e)
+            told = made.groupBy(*keys).agg(F.max("error").alias("error"))
+            scored = error_metrics(successful_steps(pair_predictions(held, made.where("error is null"), keys), held, keys), keys=keys)
+            parts.append(stage(wanted.join(scored, keys, "left").join(told, keys, "left").withColumns({"model_id": F.lit(m), "round": F.lit(i), "param": F.lit(text)})))
+    out = reduce(lambda a, b: a.unionByName(b), parts)
+    return out.select(*keys, "model_id", "round", "param", "mae", "mse", "rmse", "wape", F.when(F.col("mae").isNull(), "failed").otherwise("success").alias("status"), "error")
+
+
+def successful_steps(points: DataFrame, held: DataFrame, keys) -> DataFrame:
+    """Points of the series that have a finite prediction at every step held back."""
+    p = F.col("predicted")
+    good = points.groupBy(*keys).agg(F.count_if(p.isNotNull() & ~F.isnan(p) & (F.abs(p) != float("inf"))).alias("_g"))
+    whole = held.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).join(good, list(keys)).where("_g = _n").select(*keys)
+    return points.join(whole, list(keys), "left_semi")
 
 
 def _detected(df: DataFrame, spec: PanelSpec, cfg: CleaningConfig) -> PanelSpec:
@@ -110,7 +194,8 @@ def run_experiment(df: DataFrame, spec: PanelSpec, models: Iterable[Model], hori
 
     ``models``: array models, ``trend_season``, ``lag_forest``, ``lag_boosting`` and registered user forecasters, each by name or
     with parameters.  ``spec.freq`` may be ``auto``.  ``tune`` is None, a search profile (fast, balanced, accurate: the first
-    candidates) or ``all``; every series is then scored and forecast with its own best parameters.  ``roles`` name the covariates
+    candidates) or ``all``; every series is then scored and forecast with its own best parameters, of every model but naive and user ones.  A model that
+    fails, for all series or for some, is a failed row with its error; what a model changed to fit at all is in ``warnings``.  ``roles`` name the covariates
     that trees use, text or numbers; ``calendar`` adds the holiday columns to them; ``known_ahead`` (keys, step, name,
     value) are inputs known beyond the history.  The forecast is that of the best model of each series; where a model
     has no band of its own, it is 1.96 deviations of its back-test residuals.
@@ -143,30 +228,39 @@ def run_experiment(df: DataFrame, spec: PanelSpec, models: Iterable[Model], hori
     split = holdout_split(full.select(*keys, "t", "y", *extra), test_size, keys)
     train, test = split.where(~F.col("is_test")).drop("is_test", "step"), split.where("is_test").drop("is_test")
 
-    trials = tuned = None
-    if tune is not None:
-        names = [m for m, _ in arrays if m in TUNABLE]
-        base = {m: p[SEARCHED[m]] for m, p in arrays if m in TUNABLE and SEARCHED[m] in p}
-        trials = select_candidate(evaluate_candidates(train.select(*keys, "t", "y"), names, test_size, freq, PROFILE_LIMITS.get(tune), base, keys), keys)
-        tuned = stage(trials.where("selected").select(*keys, "model_id", "param"))
-
     def ahead(history, axis, purpose, observed):
         if not extra:
             return None
         held = None if calendar is None else holiday_features(axis.select(*keys, "t").distinct(), calendar, freq)
         return _wide(future_covariates(to_long(history, extra, keys), axis, roles, purpose, observed, held, keys), extra, keys)
 
-    order = {m: i for i, (m, _) in enumerate(named)}
+    trials = tuned = None
+    if tune is not None:
+        names = [m for m, _ in arrays if m in TUNABLE]
+        base = {m: p[SEARCHED[m]] for m, p in arrays if m in TUNABLE and SEARCHED[m] in p} | {m: base_text(m, p) for m, p in arrays if m == "arima"}
+        limit, found = PROFILE_LIMITS.get(tune), []
+        if names:
+            found.append(evaluate_candidates(train.select(*keys, "t", "y"), names, test_size, freq, limit, base, keys).withColumn("error", F.lit(None).cast("string")))
+        if any(m in LISTED for m, _ in others):
+            told = lambda h, axis: ahead(h, axis, "backtest", to_long(train, extra, keys).join(axis, [*keys, "t"]) if extra else None)
+            found.append(search_fitted(train, [(m, p) for m, p in others if m in LISTED], test_size, freq, features, limit, told, keys))
+        if found:
+            trials = select_candidate(stage(reduce(lambda a, b: a.unionByName(b), found)), keys)
+            tuned = stage(trials.where("selected").select(*keys, "model_id", "param"))
+
     if others:
         seen = to_long(test, extra, keys).join(test.select(*keys, "t", "step"), [*keys, "t"]) if extra else None
         eligible = train.join(listed.where(F.col("reason").isNull()).select(*keys), keys, "left_semi")
-        guessed = _beyond_arrays(others, eligible, test_size, freq, keys, ahead(train, test.select(*keys, "step", "t"), "backtest", seen), features)
-        points = pair_predictions(test, guessed, keys)
+        guessed = stage(_beyond_arrays(others, eligible, test_size, freq, keys, ahead(train, test.select(*keys, "step", "t"), "backtest", seen), features, tuned))
+        said = guessed.where("error is not null").groupBy(*keys, "model_id").agg(F.min("error").alias("error")).withColumn("note", F.lit(None).cast("string"))
+        points = pair_predictions(test, guessed.where("error is null"), keys)
         if arrays:
-            points = points.unionByName(backtest(panel, arrays, test_size, freq, keys, tuned)[1].select(*points.columns))
+            raw = stage(backtest_points(panel, arrays, test_size, freq, keys, tuned))
+            said = said.unionByName(raw.where("note is not null").groupBy(*keys, "model_id").agg(F.lit(None).cast("string").alias("error"), F.min("note").alias("note")))
+            points = points.unionByName(raw.where("ok").select(*points.columns))
         points = stage(points)
         expected = model_grid(listed.where(F.col("reason").isNull()).select(*keys), [m for m, _ in named])
-        board = leaderboard_of(points, expected, test_size, keys)
+        board = leaderboard_of(points, expected, test_size, keys, said)
     else:
         board, points = backtest(panel, arrays, test_size, freq, keys, tuned)
     if tuned is not None:
@@ -179,8 +273,8 @@ def run_experiment(df: DataFrame, spec: PanelSpec, models: Iterable[Model], hori
         parts.append(residual_interval(points, final_by_series(panel, ours, arrays, horizon, freq, keys, tuned), keys).select(*cols))
     if others:
         best = board.where(F.col("rank") == 1).select(*keys, "model_id")
-        final = _beyond_arrays(others, full, horizon, freq, keys, ahead(full, future_axis(panel, horizon, freq, keys), "forecast", known_ahead), features)
-        parts.append(final.join(best, [*keys, "model_id"], "left_semi").select(*cols))
+        final = _beyond_arrays(others, full, horizon, freq, keys, ahead(full, future_axis(panel, horizon, freq, keys), "forecast", known_ahead), features, tuned)
+        parts.append(final.where("error is null").join(best, [*keys, "model_id"], "left_semi").select(*cols))
     forecast = reduce(lambda a, b: a.unionByName(b), parts)
     return Experiment(
         built, data_health(built.diagnostics, horizon, test_size, keys), listed.where(F.col("reason").isNotNull()), part_windows(split, keys),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.runs import RUN_KEYS
+from ..operators.runs import CARRIED, RUN_KEYS, latest_model_state, stage_durations
 
 EVENT_SCHEMA = ("run_id string, sequence bigint, ts timestamp_ntz, target string, model_id string, stage string, "
                 "status string, fit_seconds double, predict_seconds double")
@@ -16,10 +16,18 @@ def read_events(spark: SparkSession, folder: str, schema: str = EVENT_SCHEMA, fi
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
 
 
-def model_states(events: DataFrame, keys=RUN_KEYS) -> DataFrame:
-    """Newest state per model run, for ``update`` mode.  State is one row per model run."""
-    now = F.struct("sequence", "ts", "stage", "status")
-    return events.groupBy(*keys).agg(F.max_by(now, "sequence").alias("now")).select(*keys, "now.*")
+def model_states(events: DataFrame, carried=CARRIED, keys=RUN_KEYS) -> DataFrame:
+    """The table of ``latest_model_state`` kept up to date, for ``update`` mode.
+
+    State is one row per model run: its newest event and, for each carried field, the newest event that has it.  All are maxima by
+    sequence, so events that come late, again or in any order leave the same state.
+    """
+    return latest_model_state(events, carried, keys)
+
+
+def stage_states(events: DataFrame) -> DataFrame:
+    """The table of ``stage_durations`` kept up to date, for ``update`` mode; the state of a run is the first time of each stage and the last event."""
+    return stage_durations(events)
 
 
 def finished_counts(events: DataFrame) -> DataFrame:

@@ -93,16 +93,11 @@ SELECT series_id, CASE WHEN n = 0 THEN 'D' WHEN step <= 5400 THEN 'H' WHEN step
  (n > 0 AND NOT (step <= 5400 OR step BETWEEN 64800 AND 129600 OR step BETWEEN 475200 AND 734400 OR step BETWEEN 2160000 AND 3024000
    OR step BETWEEN 6912000 AND 8640000 OR step BETWEEN 29376000 AND 33696000)) AS irregular FROM m""")
 def _(t):
-    o, e = t.orders, t.events
-    parts = [o.select(F.concat(F.lit(f"{w} "), "o_orderpriority").alias("series_id"), c.cast("timestamp_ntz").alias("t")) for w, c in (
-        ("daily", F.col("o_orderdate")), ("weekly", F.date_trunc("week", "o_orderdate")), ("monthly", F.date_trunc("month", "o_orderdate")),
-        ("quarterly", F.date_trunc("quarter", "o_orderdate")), ("yearly", F.date_trunc("year", "o_orderdate")))]
-    parts += [o.select(F.concat(F.lit("customer "), "o_custkey").alias("series_id"), F.col("o_orderdate").alias("t")),
-              e.select(F.concat(F.lit("event "), "event_type").alias("series_id"), F.col("ts").alias("t")),
-              e.select(F.concat(F.lit("user "), "user_id").alias("series_id"), F.col("ts").alias("t"))]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
+    row = lambda word, c, time: F.struct(F.concat(F.lit(f"{word} "), F.col(c).cast("string")).alias("series_id"), time.cast("timestamp_ntz").alias("t"))
+    day = F.col("o_orderdate")
+    own = [row("daily", "o_orderpriority", day), *[row(f"{w}ly", "o_orderpriority", F.date_trunc(w, day)) for w in ("week", "month", "quarter", "year")], row("customer", "o_custkey", day)]
+    # every table is read once, each row for all the series it is in
+    every = t.orders.select(F.inline(F.array(*own))).unionByName(t.events.select(F.inline(F.array(row("event", "event_type", F.col("ts")), row("user", "user_id", F.col("ts"))))))
     return detect_frequency(every, PanelSpec(("series_id",), "t", None, "D")).select("series_id", "freq", "irregular")
 
 
