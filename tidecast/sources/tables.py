@@ -5,7 +5,7 @@ from __future__ import annotations
 import csv
 import re
 from functools import reduce
-from urllib.parse import unquote
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -157,7 +157,7 @@ def file_digest(spark: SparkSession, path: str, piece: int = PIECE) -> DataFrame
     """path, bytes, sha256 of every file, whatever its size.
 
     Files are digested in parallel, each by one task that reads it as a stream in pieces of ``piece`` bytes; only names and lengths
-    come from the listing, no file is ever one value.  Executors open the paths with Arrow's file systems.
+    come from the listing (which leaves out empty files), no file is ever one value.  Executors open the paths with Arrow's file systems.
     """
     listed = spark.read.format("binaryFile").load(path).select("path", "length")  # the content is not read
 
@@ -167,9 +167,9 @@ def file_digest(spark: SparkSession, path: str, piece: int = PIECE) -> DataFrame
         from pyarrow import fs
         for batch in batches:
             for name, length in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist()):
-                system, place = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", name))
+                system, place = fs.FileSystem.from_uri(quote(re.sub("^file:/+", "file:///", name), safe="/:"))
                 h, seen = hashlib.sha256(), 0
-                with system.open_input_stream(unquote(place)) as stream:
+                with system.open_input_stream(place) as stream:
                     while part := stream.read(piece):
                         h.update(part)
                         seen += len(part)
