@@ -55,38 +55,43 @@ def _(t):
     return trend_season(p, 48, "H", prior=0.05).withColumn("mode", F.lit("additive")).unionByName(trend_season(p, 48, "H", mode="multiplicative", prior=0.05).withColumn("mode", F.lit("multiplicative")))
 
 
-def default_forest(panel):
-    matrix, names = feature_matrix(panel)
-    matrix = stage(matrix)
-    return L.lag_forest(matrix, names), matrix
+_FITTED: dict[tuple, tuple] = {}
+
+
+def fitted(t, learner, panel):
+    """(model, its staged matrix) at default settings; fitted once a session and folder, for all queries that look at it."""
+    key = (t.spark.sparkContext.applicationId, t.folder, learner.__name__)
+    if key not in _FITTED:
+        matrix, names = feature_matrix(panel)
+        matrix = stage(matrix)
+        _FITTED[key] = learner(matrix, names), matrix
+    return _FITTED[key]
 
 
 @query("lag_forest_default")
 def _(t):
     train, test = split(t)
-    points = pair_predictions(test, L.recursive_predict(default_forest(train)[0], train, TEST, "H").unionByName(naive(train, TEST, "H")))
+    points = pair_predictions(test, L.recursive_predict(fitted(t, L.lag_forest, train)[0], train, TEST, "H").unionByName(naive(train, TEST, "H")))
     return leaderboard_of(points, model_grid(train.select("series_id").distinct(), ["lag_forest", "naive"]), TEST)
 
 
 @query("lag_boosting_default")
 def _(t):
     p = hourly_zero(t)
-    matrix, names = feature_matrix(p)
-    matrix = stage(matrix)
-    model = L.lag_boosting(matrix, names)
+    model, matrix = fitted(t, L.lag_boosting, p)
     return residual_interval(L.fitted_residuals(model, matrix), L.recursive_predict(model, p, TEST, "H"))
 
 
 @query("forest_drivers")
 def _(t):
-    model, matrix = default_forest(split(t)[0])
+    model, matrix = fitted(t, L.lag_forest, split(t)[0])
     return L.shapley_sampled(model, matrix, paths=True)
 
 
 @query("forest_worst_points")
 def _(t):
     train, test = split(t)
-    model, _ = default_forest(train)
+    model, _ = fitted(t, L.lag_forest, train)
     rows = stage(L.recursive_predict(model, train, TEST, "H", with_features=True))
     worst = largest_residual(pair_predictions(test, rows))
     told = rows.join(worst.select("series_id", "t"), ["series_id", "t"])
