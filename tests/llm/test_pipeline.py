@@ -6,11 +6,11 @@ import public_tokenizers as P
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tidecast.llm import rules, simhash
+from tidecast.llm import rules
 
 from .conftest import prose
 from .test_rules import plain as measured
-from .test_simhash import plain_components
+from .test_simhash import jaccard, plain_components, shingles
 from .test_texts import plain_base
 
 
@@ -55,8 +55,7 @@ def test_every_stage_matches_a_plain_version(spark):
     now = spark.createDataFrame(list(lined.values()), docs.schema)
 
     single = stage(spark, "simhash_near_dedup", now)
-    fps = {d: simhash.fingerprint(r["text"], 5, 42) for d, r in lined.items()}
-    comp = plain_components(fps, lambda a, b: (a[0] ^ b[0]).bit_count() + (a[1] ^ b[1]).bit_count() <= 20)
+    comp = plain_components({d: shingles(r["text"]) for d, r in lined.items()}, lambda a, b: jaccard(a, b) >= 0.8)
     assert set(single) == set(comp.values()) and len(single) == len(lined) - 12
     assert all(single[d] == lined[d] for d in single)
     now = spark.createDataFrame(list(single.values()), docs.schema)

@@ -77,6 +77,20 @@ def test_anchors_cover_every_pair():
         assert all(any(a[i][k] or b[i][k] for k in a[i].keys() & b[i].keys()) for i in range(len(x))), threshold
 
 
+def test_half_the_bits_reach_a_common_anchor():
+    r = np.random.default_rng(6)
+    for threshold in (2, 4, 8):
+        x = r.integers(0, 1 << 63, 2000, dtype=np.uint64)
+        y = x.copy()
+        for i in range(len(y)):
+            for b in r.choice(64, threshold, replace=False):
+                y[i] ^= np.uint64(1 << int(b))
+        met = [set(zip(*(k.tolist() for k in simhash.anchor_keys(v, threshold, halves=True)[:2]))) for v in (x, y)]
+        assert {row for row, _ in met[0] & met[1]} == set(range(len(x))), threshold
+    rows, _, home = simhash.anchor_keys(x, 8, halves=True)
+    assert home.all() and 15 < len(rows) / len(x) < 17
+
+
 def test_forest_of_a_dense_group_is_small():
     n = 3000
     fp = np.uint64(12345) ^ (np.uint64(1) << (np.arange(n) % 64).astype(np.uint64)) ^ np.uint64(0)
@@ -136,6 +150,6 @@ def test_groups_left_in_parts_are_searched_for_all_pairs(spark):
     sets[37] = sets[5][:95] + [7, 8, 9]
     sets[38] = sets[37][:90] + [6, 4]
     fps = spark.createDataFrame([(i, int(1) << int(r.integers(0, 60)), 0, 100) for i in sets], "node bigint, fp bigint, chk bigint, n int")
-    table = spark.createDataFrame([(i, np.array(h, np.uint64).tobytes()) for i, h in sets.items()], "node bigint, hashes binary")
-    got = simhash.near_sets(fps, lambda nodes: table.join(nodes, "node", "left_semi"), 8, 36).collect()
+    table = spark.createDataFrame([(i, " ".join(map(str, h))) for i, h in sets.items()], "node bigint, text string")
+    got = simhash.near_sets(fps, table, 8, 36, words=1).collect()
     assert {x["node"]: x["component"] for x in got if x["node"] != x["component"]} == {37: 5, 38: 5}
