@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 from tidecast.llm import graph, simhash
@@ -91,6 +92,43 @@ def test_components_of_a_path_and_a_star(spark):
     assert got == {i: 100 for i in range(100, 161)} | {i: 500 for i in range(500, 600)}
 
 
+def test_components_across_blocks(spark, monkeypatch):
+    r = random.Random(4)
+    edges = [(r.randrange(900), r.randrange(900)) for _ in range(500)] + [(2000 + i, 2001 + i) for i in range(64)]
+    nodes = {x for e in edges if e[0] != e[1] for x in e}
+    near = {frozenset(e) for e in edges}
+    want = plain_components({x: x for x in nodes}, lambda a, b: frozenset((a, b)) in near)
+    monkeypatch.setattr(graph, "BLOCK", 5)
+    got = graph.components(spark.createDataFrame(edges, "u bigint, v bigint").repartition(7)).collect()
+    assert {x["node"]: x["component"] for x in got} == want and len(got) == len(want)
+    stars = list(graph._stars(iter([pa.RecordBatch.from_arrays([pa.array([9, 7, 3]), pa.array([7, 3, 1])], names=["u", "v"])])))
+    assert [b.to_pydict() for b in stars] == [{"u": [3, 7, 9], "v": [1, 1, 1]}]
+
+
+def jobs_of(spark, group, run):
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        return run(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_few_jobs_whatever_the_groups(spark, docs_of):
+    # each job leaves its plan, code and counts with the driver
+    rows = list(enumerate([t for s in range(4) for t in edited(80 + s, 12)] + [prose(900 + s, 60) for s in range(20)], 1))
+    kept, jobs = jobs_of(spark, "near copies", lambda: simhash.drop_near_duplicates(docs_of(rows)).collect())
+    assert len(kept) == 24 and jobs <= 70
+    path = spark.createDataFrame([(i, i + 1) for i in range(300)], "u bigint, v bigint")
+    got, jobs = jobs_of(spark, "path", lambda: graph.components(path).collect())
+    assert {r["component"] for r in got} == {0} and jobs <= 20
+
+
+def test_drop_keeps_one_row_of_a_repeated_id(docs_of):
+    a, b = prose(61, 200), spoiled(61, 200, 2)
+    kept = simhash.drop_near_duplicates(docs_of([(1, a), (1, b), (1, a), (2, b), (None, a), (None, prose(62, 90)), (None, prose(62, 90))])).collect()
+    assert sorted((r["doc_id"] is None, r["text"] in (a, b)) for r in kept) == [(False, True), (True, False)]
+
+
 def test_drop_keeps_the_smallest_of_a_group(docs_of):
     base = prose(3, 300)
     near = " ".join(["changed"] + base.split()[1:])

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .graph import components
+from .graph import components, find
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Fixed value: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1 generates the binary Golay code of length 23.
@@ -168,15 +168,6 @@ def with_fingerprints(docs: DataFrame, words: int = 5, seed: int = 42, text: str
                        F.col("__both.fp").alias(into), F.col("__both.chk").alias(check))
 
 
-def _find(label: np.ndarray, x: np.ndarray) -> np.ndarray:
-    r = label[x]
-    while True:
-        n = label[r]
-        if np.array_equal(n, r):
-            return r
-        r = n
-
-
 def group_forest(key, home, fp, chk, node, threshold: int, together: int):
     """Links of each run of equal keys, as (smallest node, other node) of the parts that hang together.
 
@@ -201,16 +192,16 @@ def group_forest(key, home, fp, chk, node, threshold: int, together: int):
         near = (label[a] != label[b]) & (apart <= (together or threshold))
         x, y = a[near], b[near]
         while len(x):
-            x, y = _find(label, x), _find(label, y)
+            x, y = find(label, x), find(label, y)
             differ = x != y
             x, y = np.minimum(x, y)[differ], np.maximum(x, y)[differ]
             np.minimum.at(label, y, x)
         if k & (k - 1) == 0 and k > 1:
-            label = _find(label, label)
+            label = find(label, label)
             one = np.minimum.reduceat(label, cut) == np.maximum.reduceat(label, cut)
             at = at[~one[group[at]]]
         k += 1
-    label = _find(label, label)
+    label = find(label, label)
     least = np.full(n, np.iinfo(np.int64).max)
     np.minimum.at(least, label, node)
     least = least[label]
@@ -254,12 +245,12 @@ def group_pairs(key, home, fp, chk, node, n, label, most: int, low: int, high: i
         bits.append(apart[take].astype(np.int64))
         if grow:
             while len(x):
-                x, y = _find(label, x), _find(label, y)
+                x, y = find(label, x), find(label, y)
                 differ = x != y
                 x, y = np.minimum(x, y)[differ], np.maximum(x, y)[differ]
                 np.minimum.at(label, y, x)
             if k & (k - 1) == 0 and k > 1:
-                label = _find(label, label)
+                label = find(label, label)
                 one = np.minimum.reduceat(label, cut) == np.maximum.reduceat(label, cut)
                 at = at[~one[group[at]]]
         else:
@@ -357,39 +348,25 @@ def near_sets(fps: DataFrame, sets_of, threshold: int, most: int, percent: int =
     """(node, component) of the nodes of ``fps`` (node, fp, chk, n) that hang together by pairs of ``percent`` likeness or more.
 
     Pairs that meet at an anchor and differ in at most ``most`` bits are decided by their shingles; ``sets_of(nodes)`` gives
-    (node, hashes).  A pair whose ends already hang together is not compared.  First one pair a node, to some smaller node, then the
-    other pairs of the forests that the anchors give; only groups that these pairs leave in parts are searched
-    for further pairs, eight times as many a node in each round, until no node has more.
+    (node, hashes).  First the pairs of the forests that the anchors give; only groups that these pairs leave in parts are searched
+    for further pairs between parts, eight times as many a node in each round, until no node has more.
     """
     pairs = stage(possible_pairs(fps, threshold, most))
     sets = stage(sets_of(pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()))
-    first = pairs.groupBy("v").agg(F.min_by("u", F.struct(F.shiftright("bits", 2), F.xxhash64("u", "v"))).alias("u"))
-    good = stage(alike(first, sets, percent))
-    label = components(good)
-
-    def test(more):
-        nonlocal good, label
-        found = stage(alike(more, sets, percent))
-        if found.head(1):
-            good = good.unionByName(found)
-            label = components(good)
-
-    rest = stage(_labelled(pairs.join(first, ["u", "v"], "left_anti"), label).where("lu <> lv").select("u", "v"))
-    if rest.head(1):
-        test(rest)
-    parted = stage(_labelled(pairs, label).where("lu <> lv").select(F.col("lu").alias("u"), F.col("lv").alias("v")).distinct())
-    if not parted.head(1):
-        return label
-    left = parted.select(F.col("u").alias("label")).unionByName(parted.select(F.col("v").alias("label"))).distinct()
+    label = stage(components(alike(pairs, sets, percent)))
+    parted = _labelled(pairs, label).where("lu <> lv")
+    left = stage(parted.select(F.explode(F.array("lu", "lv")).alias("label")).distinct())
     with_label = lambda f: f.join(label, "node", "left").select(*f.columns, F.coalesce("component", "node").alias("label"))
     members = stage(with_label(fps).join(left, "label", "left_semi").drop("label"))
     low, high = 0, 8
     while True:
         found = stage(possible_pairs(with_label(members), threshold, most, low, high))
-        new = found.where("u <> v")
-        if new.head(1):
-            test(new)
-        if not found.where("u = v").head(1):
+        new, more = found.agg(F.count(F.when(F.col("u") != F.col("v"), 1)), F.count(F.when(F.col("u") == F.col("v"), 1))).head()
+        if new:
+            good = stage(alike(found.where("u <> v"), sets, percent))
+            if good.head(1):
+                label = stage(components(good.unionByName(label.select(F.col("node").alias("u"), F.col("component").alias("v")))))
+        if not more:
             return label
         low, high = high, high * 8
 
@@ -438,7 +415,8 @@ def with_sets(docs: DataFrame, words: int, seed: int, hashes: bool = False, text
         h = shingle_set(t, words, seed)
         return digest(h), h.tobytes()
 
-    made = docs.withColumn("__both", held(F.col(text)) if hashes else both(F.col(text)))
+    # not computed below a join that the texts come from: most of them have no near text
+    made = docs.withColumn("__both", held.asNondeterministic()(F.col(text)) if hashes else both(F.col(text)))
     return made.select(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(f"__both.{c}").alias(f"__{c}") for c in names])
 
 
@@ -450,7 +428,7 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 8, mo
     Texts without words are one group.  Rows without doc_id stay only where no row with an id has their
     shingles, one for each set; of rows that repeat the kept doc_id in a group one stays.
     """
-    names = ["__node", "__fp", "__chk", "__n", "__hashes", "__component", "__id", "__both"]
+    names = ["__node", "__fp", "__chk", "__n", "__hashes", "__component", "__id", "__both", "__of"]
     base = docs.drop(*names)
     made = with_sets(base, words, seed)
     nodes = stage(made.groupBy(F.col("__node").alias("node"), F.col("__fp").alias("fp"), F.col("__chk").alias("chk"), F.col("__n").alias("n"))
@@ -463,9 +441,8 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 8, mo
                 .select(F.col("__node").alias("node"), F.col("__hashes").alias("hashes")))
 
     group = near_sets(nodes.where("doc_id is not null"), sets_of, threshold, most, percent)
-    placed = nodes.join(group, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
-    least = placed.groupBy("component").agg(F.min("doc_id").alias("least"))
-    kept = (placed.join(least, "component").where(F.col("doc_id").eqNullSafe(F.col("least")))
-            .select(F.col("node").alias("__of"), F.col("doc_id").alias("__id"), F.col("component").alias("__component")))
-    chosen = made.join(kept, (F.col("__node") == F.col("__of")) & F.col("doc_id").eqNullSafe(F.col("__id")))
-    return chosen.dropDuplicates(["__component"]).select(*[F.col(f"`{c}`") for c in base.columns])
+    key = F.struct(F.col("node").alias("__node"), F.col("doc_id").alias("__id"))     # one key: equal if both ids are null, too
+    kept = stage(nodes.join(group, "node", "left").groupBy(F.coalesce("component", "node").alias("component"))
+                 .agg(F.min_by(key, F.struct("doc_id", "node")).alias("__of")).select("__of"))
+    chosen = made.withColumn("__of", F.struct("__node", F.col("doc_id").alias("__id"))).join(kept, "__of")
+    return chosen.dropDuplicates(["__of"]).select(*[F.col(f"`{c}`") for c in base.columns])
