@@ -177,3 +177,55 @@ def test_groups_left_in_parts_are_searched_for_all_pairs(spark):
     table = spark.createDataFrame([(i, np.array(h, np.uint64).tobytes()) for i, h in sets.items()], "node bigint, hashes binary")
     got = simhash.near_sets(fps, lambda nodes: table.join(nodes, "node", "left_semi"), 8, 36).collect()
     assert {x["node"]: x["component"] for x in got if x["node"] != x["component"]} == {37: 5, 38: 5}
+
+
+def test_many_near_copies_are_decided_in_blocks_without_rows_of_pairs(spark, docs_of, monkeypatch):
+    # near copies around the limit: most pairs are unlike, and every pair once was a row with both sets
+    monkeypatch.setattr(simhash, "UNIT_ROWS", 16)
+    texts = [spoiled_at(7, 146, 1 + i % 6, i) for i in range(90)]
+    sets = {i: shingles(t) for i, t in enumerate(texts, 1)}
+    want = plain_components(sets, lambda a, b: jaccard(a, b) >= 0.8)
+    assert 3 < len(set(want.values())) < 60
+    sizes = []
+    unit = simhash.linked_in_units
+    monkeypatch.setattr(simhash, "linked_in_units", lambda members, percent: sizes.append(members.count()) or unit(members, percent))
+    got = simhash.drop_near_duplicates(docs_of(list(enumerate(texts, 1)))).collect()
+    assert {r["doc_id"] for r in got} == set(want.values())
+    assert len(sizes) == 2 and max(sizes) <= 90 * 10              # a set goes to blocks, not to pairs
+
+
+def test_units_join_what_all_pairs_join():
+    r = np.random.default_rng(5)
+    sets = [np.unique(r.choice(60, 40, replace=False) if i % 3 else np.arange(40) + i // 9).astype(np.uint64) for i in range(80)]
+    node, side = np.arange(80) * 7 % 101, np.arange(80) % 2
+    for label, sides in ((node, side * 0), (node, side), (node // 30, side * 0)):
+        u, v = simhash.unit_links(node.copy(), label.copy(), sides, sets, 60)
+        place = {x: i for i, x in enumerate(node.tolist())}
+        like = lambda a, b: jaccard(set(sets[a].tolist()), set(sets[b].tolist())) >= 0.6
+        assert all(like(place[x], place[y]) for x, y in zip(u.tolist(), v.tolist()))
+        told = set(zip(u.tolist(), v.tolist()))
+        joined = lambda pair: plain_components({i: i for i in range(80)}, lambda a, b: label[a] == label[b] or pair(a, b))
+        assert joined(lambda a, b: (not sides.any() or sides[a] != sides[b]) and like(a, b)) == joined(lambda a, b: {(int(node[a]), int(node[b])), (int(node[b]), int(node[a]))} & told)
+        assert len(u) < 80
+
+
+def spoiled_at(seed, n, edits, which):
+    w = prose(seed, n).split()
+    for e, i in enumerate(random.Random(which).sample(range(n), edits)):
+        w[i] = f"edit{which}x{e}"
+    return " ".join(w)
+
+
+def test_components_of_few_edges_take_few_jobs_and_those_of_many_blocks_agree(spark, monkeypatch):
+    r = random.Random(4)
+    edges = [(r.randrange(400), r.randrange(400)) for _ in range(260)] + [(i, i + 1) for i in range(500, 600)]
+    both = {*edges, *((b, a) for a, b in edges)}
+    want = plain_components({x: x for e in edges for x in e}, lambda a, b: (a, b) in both)
+    table = spark.createDataFrame(edges, "u bigint, v bigint").repartition(32)
+    one, jobs = jobs_of(spark, "one block", lambda: graph.components(table).collect())
+    monkeypatch.setattr(graph, "BLOCK", 16)
+    many = graph.components(table).collect()
+    touched = {x for u, v in edges if u != v for x in (u, v)}
+    for got in (one, many):
+        assert {x["node"]: x["component"] for x in got} == {x: want[x] for x in touched} and len(got) == len(touched)
+    assert jobs <= 6

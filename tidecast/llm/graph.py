@@ -53,6 +53,13 @@ def _star(batches) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(node[least != node]), pa.array(least[least != node])], names=["u", "v"])
 
 
+def _in_blocks(edges: DataFrame) -> tuple[DataFrame, bool]:
+    """The edges as stars, by tasks of about BLOCK edges however many partitions they lay in, and whether that was one block, so that the stars are final."""
+    edges = stage(edges)
+    many = edges.count()
+    return stage(edges.coalesce(max(1, -(-many // BLOCK))).mapInArrow(_stars, "u bigint, v bigint")), many <= BLOCK
+
+
 def _turn(edges: DataFrame, least: DataFrame, larger: bool, many: int, most: int) -> DataFrame:
     """One half round: hang neighbours on the smallest node a node knows.
 
@@ -86,19 +93,20 @@ def _least(edges: DataFrame) -> tuple[DataFrame, int, int, int]:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that each node of ``edges`` (u, v: bigint) reaches.
 
-    Blocks of edges become stars inside their tasks.  Then the two half rounds alternate until the edges are stars around the smallest node of each
-    component, which the neighbours counted for the next round tell.  Every round is written to the
+    Edges become stars inside their tasks, in blocks of BLOCK; what fits one block is done then.  Else the two half rounds alternate until the edges are
+    stars around the smallest node of each component, which the neighbours counted for the next round tell.  Every round is written to the
     shared checkpoint folder, so a lost executor costs one round at most; the number of rounds grows
     with the logarithm of the longest path.  Self links and null ends are ignored; nodes without an
     edge have no row.  An empty table gives an empty table.
     """
-    now = stage(edges.where("u is not null and v is not null and u <> v")
-                .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().mapInArrow(_stars, "u bigint, v bigint"))
-    while True:
+    now, done = _in_blocks(edges.where("u is not null and v is not null and u <> v")
+                           .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    while not done:
         least, many, most, loose = _least(_both(now))
         if not loose:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-                now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+            break
         half = stage(_turn(now, least, True, many, most))
         least, many, most, _ = _least(half)
-        now = stage(_turn(half, least, False, many, most).mapInArrow(_stars, "u bigint, v bigint"))
+        now, done = _in_blocks(_turn(half, least, False, many, most))
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
+        now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

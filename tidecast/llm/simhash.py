@@ -22,11 +22,15 @@ from pyspark.sql import functions as F
 
 from ..session import stage
 from .graph import components, find
+from .skew import attach
+from .store import written
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Fixed value: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1 generates the binary Golay code of length 23.
 GOLAY, LENGTH, PARITY, RADIUS = 0b101011100011, 23, 11, 3
 BLOCK = 1 << 16
+#: Bytes of hashes, and members, of a block of a group that is compared in one task.
+UNIT_BYTES, UNIT_ROWS = 1 << 21, 1024
 
 
 @lru_cache(1)
@@ -168,11 +172,12 @@ def with_fingerprints(docs: DataFrame, words: int = 5, seed: int = 42, text: str
                        F.col("__both.fp").alias(into), F.col("__both.chk").alias(check))
 
 
-def group_forest(key, home, fp, chk, node, threshold: int, together: int):
+def group_forest(key, home, fp, chk, node, threshold: int, together: int, size=None, percent: int = 0):
     """Links of each run of equal keys, as (smallest node, other node) of the parts that hang together.
 
     All pairs of a home and any other member are compared, in steps of growing distance, until the
     whole group is one part; rows are sorted by key with the homes first.  Gives one link a row at most.
+    With ``percent``, sizes that rule out a Jaccard likeness of that much make no link.
     """
     n = len(key)
     cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -190,6 +195,8 @@ def group_forest(key, home, fp, chk, node, threshold: int, together: int):
         if together:
             apart += np.bitwise_count(chk[a] ^ chk[b])
         near = (label[a] != label[b]) & (apart <= (together or threshold))
+        if percent:
+            near &= 100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b])
         x, y = a[near], b[near]
         while len(x):
             x, y = find(label, x), find(label, y)
@@ -209,60 +216,6 @@ def group_forest(key, home, fp, chk, node, threshold: int, together: int):
     return least[other], node[other]
 
 
-def group_pairs(key, home, fp, chk, node, n, label, most: int, low: int, high: int):
-    """Pairs (u, v, bits) of members of equal keys that may be alike: at most ``most`` differing bits in both fingerprints, and sizes n in reach.
-
-    Without labels: enough pairs to connect, in each run of equal keys, all that such pairs connect.  With labels: every home's
-    pairs number ``low`` to ``high`` (all pairs count) whose labels differ, and (u, u, 0) if it has reached ``high``.
-    """
-    cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    many = np.diff(np.r_[cut, len(key)])
-    stop, group = np.repeat(cut + many, many), np.repeat(np.arange(len(cut)), many)
-    at = np.flatnonzero(home)
-    grow = label is None
-    if grow:
-        label = np.arange(len(key))
-    else:
-        one = np.minimum.reduceat(label, cut) == np.maximum.reduceat(label, cut)
-        at = at[~one[group[at]]]
-        count = np.zeros(len(key), np.int64)
-    us, vs, bits = [node[:0]], [node[:0]], [node[:0]]
-    k = 1
-    while True:
-        at = at[at + k < stop[at]]
-        if not len(at):
-            break
-        a, b = at, at + k
-        apart = np.bitwise_count(fp[a] ^ fp[b]) + np.bitwise_count(chk[a] ^ chk[b])
-        near = (apart <= most) & (5 * np.minimum(n[a], n[b]) >= 4 * np.maximum(n[a], n[b]))
-        take = near & (label[a] != label[b])
-        if not grow:
-            take &= count[a] >= low
-            count[a] += near
-        x, y = a[take], b[take]
-        us.append(np.minimum(node[x], node[y]))
-        vs.append(np.maximum(node[x], node[y]))
-        bits.append(apart[take].astype(np.int64))
-        if grow:
-            while len(x):
-                x, y = find(label, x), find(label, y)
-                differ = x != y
-                x, y = np.minimum(x, y)[differ], np.maximum(x, y)[differ]
-                np.minimum.at(label, y, x)
-            if k & (k - 1) == 0 and k > 1:
-                label = find(label, label)
-                one = np.minimum.reduceat(label, cut) == np.maximum.reduceat(label, cut)
-                at = at[~one[group[at]]]
-        else:
-            full = node[at[count[at] >= high]]
-            us.append(full)
-            vs.append(full)
-            bits.append(np.zeros(len(full), np.int64))
-            at = at[count[at] < high]
-        k += 1
-    return np.concatenate(us), np.concatenate(vs), np.concatenate(bits)
-
-
 def _at_anchors(fps: DataFrame, threshold: int, carried: list[str], compare, schema: str, prints: int = 1) -> DataFrame:
     """``compare`` (numpy columns key, home and ``carried``, to the columns of ``schema``) over whole groups of rows that meet at an anchor.
 
@@ -302,73 +255,111 @@ def _at_anchors(fps: DataFrame, threshold: int, carried: list[str], compare, sch
     return sent.repartition("key").sortWithinPartitions("key", F.desc("home"), "node").mapInArrow(run, schema)
 
 
-def links(fps: DataFrame, threshold: int = 4, together: int = 0) -> DataFrame:
+def links(fps: DataFrame, threshold: int = 4, together: int = 0, percent: int = 0) -> DataFrame:
     """(u, v): enough links between the rows of ``fps`` (node, fp, chk: bigint) to connect all that are near.
 
     Near: at most ``threshold`` differing bits, of which none are missed; or, unless it is 0, at most ``together`` differing bits
     in both fingerprints, among the pairs that meet at an anchor.  Only a spanning forest of every anchor's group is returned, so a dense group gives as
     many rows as members, not as pairs.  A group passes one task as numbers of 25 bytes a member.
+    With ``percent``, the rows (then with n: int, the size of a set) meet at the anchors of both fingerprints, and sizes that rule out that likeness make no link.
     """
-    def compare(key, home, fp, chk, node):
-        u, v = group_forest(key, home, fp.astype(np.uint64), chk.astype(np.uint64), node, threshold, together)
+    def compare(key, home, fp, chk, node, n=None):
+        u, v = group_forest(key, home, fp.astype(np.uint64), chk.astype(np.uint64), node, threshold, together, None if n is None else n.astype(np.int64), percent)
         return v, u
 
-    return _at_anchors(fps, threshold, ["fp", "chk", "node"], compare, "u bigint, v bigint").distinct()
-
-
-def possible_pairs(fps: DataFrame, threshold: int, most: int, low: int = 0, high: int = 0) -> DataFrame:
-    """(u, v, bits) of ``group_pairs`` over ``fps`` (node, fp, chk: bigint, n: int; with high: label) at the anchors of both fingerprints, each pair once."""
-    def compare(key, home, fp, chk, node, n, label=None):
-        return group_pairs(key, home, fp.astype(np.uint64), chk.astype(np.uint64), node, n.astype(np.int64), label, most, low, high)
-
-    carried = ["fp", "chk", "node", "n"] + ["label"] * (high > 0)
-    return _at_anchors(fps, threshold, carried, compare, "u bigint, v bigint, bits bigint", prints=2).distinct()
-
+    carried = ["fp", "chk", "node"] + ["n"] * (percent > 0)
+    return _at_anchors(fps, threshold, carried, compare, "u bigint, v bigint", prints=1 + (percent > 0)).distinct()
 
-def alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose sets (node, hashes: packed uint64) have a Jaccard likeness of ``percent`` or more, by counting what they share."""
-    a, b = (sets.select(F.col("node").alias(c), F.col("hashes").alias(f"of_{c}")) for c in "uv")
-    @F.udf("boolean", useArrow=False)
-    def near(x, y):
-        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        return 100 * both >= percent * (len(x) + len(y) - both)
 
-    return pairs.select("u", "v").join(b, "v").join(a, "u").where(near("of_u", "of_v")).select("u", "v")
+def unit_links(node: np.ndarray, label: np.ndarray, side: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(u, v): pairs of members with a Jaccard likeness of ``percent`` or more, as many as join what all such pairs join.
 
+    ``sets`` have distinct hashes.  Members of one label hang together already; with two sides (0 and 1), only pairs across them are looked at.  What a member
+    shares with all others is counted at once from the lists of the members that have a hash.
+    """
+    m = len(node)
+    n = np.fromiter(map(len, sets), np.int64, m)
+    owner = np.repeat(np.arange(m), n)
+    _, place, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = many[place] > 1
+    owner, place = owner[shared], place[shared]
+    cut = np.searchsorted(owner, np.arange(m + 1))
+    having = owner[np.argsort(place, kind="stable")]
+    start = np.searchsorted(np.sort(place), np.arange(len(many) + 1))
+    values, label, sizes = np.unique(label, return_inverse=True, return_counts=True)
+    usual = sizes.argmax()                                  # its members are looked at from the other side only
+    two = side.any()
+    us, vs = [], []
+    for a in range(m):
+        if label[a] == usual or cut[a] == cut[a + 1]:
+            continue
+        both = np.bincount(np.concatenate([having[start[x]:start[x + 1]] for x in place[cut[a]:cut[a + 1]].tolist()]), minlength=m)
+        near = (100 * both >= percent * (n + n[a] - both)) & (label != label[a])
+        if two:
+            near &= side != side[a]
+        b = np.flatnonzero(near)
+        if len(b):
+            found, first = np.unique(label[b], return_index=True)
+            us += [node[a]] * len(found)
+            vs += node[b[first]].tolist()
+            label[np.isin(label, np.r_[found, label[a]])] = usual if usual in found else label[a]
+    return np.array(us, np.int64), np.array(vs, np.int64)
+
+
+def linked_in_units(members: DataFrame, percent: int) -> DataFrame:
+    """(u, v) of ``unit_links`` over whole units of ``members`` (component, i, j, side, node, label, hashes: packed uint64)."""
+    def linked(held):
+        col = lambda c: np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in held])
+        sets = [np.frombuffer(h.as_buffer(), np.uint64) for b in held for h in b.column("hashes")]
+        u, v = unit_links(col("node"), col("label"), col("side"), sets, percent)
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
-def _labelled(pairs: DataFrame, label: DataFrame) -> DataFrame:
-    """``pairs`` with the components lu and lv of both ends (a node without one is its own)."""
-    for c in "uv":
-        pairs = pairs.join(label.select(F.col("node").alias(c), F.col("component").alias(f"l{c}")), c, "left").withColumn(f"l{c}", F.coalesce(f"l{c}", c))
-    return pairs
+    def run(batches):
+        held, last = [], None
+        for batch in batches:
+            where = np.column_stack([batch.column(c).to_numpy() for c in ("component", "i", "j")])
+            cuts = [0, *(np.flatnonzero((where[1:] != where[:-1]).any(1)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if a == b:
+                    continue
+                if held and tuple(where[a].tolist()) != last:
+                    yield linked(held)
+                    held = []
+                held.append(batch.slice(a, b - a))
+                last = tuple(where[a].tolist())
+        if held:
+            yield linked(held)
+
+    return (members.select("component", "i", "j", "side", "node", "label", "hashes").repartition("component", "i", "j")
+            .sortWithinPartitions("component", "i", "j").mapInArrow(run, "u bigint, v bigint"))
 
 
 def near_sets(fps: DataFrame, sets_of, threshold: int, most: int, percent: int = 80) -> DataFrame:
     """(node, component) of the nodes of ``fps`` (node, fp, chk, n) that hang together by pairs of ``percent`` likeness or more.
 
-    Pairs that meet at an anchor and differ in at most ``most`` bits are decided by their shingles; ``sets_of(nodes)`` gives
-    (node, hashes).  First the pairs of the forests that the anchors give; only groups that these pairs leave in parts are searched
-    for further pairs between parts, eight times as many a node in each round, until no node has more.
+    Nodes that hang together by pairs that meet at an anchor, fit by size and differ in at most ``most`` bits form a group; inside it all pairs are decided
+    by their shingles (``sets_of(nodes)`` gives (node, hashes)).  Pairs never leave the tasks: a group is dealt into blocks of UNIT_BYTES and
+    UNIT_ROWS at most, first each block is compared in itself, then every two blocks of groups that are still in parts.
     """
-    pairs = stage(possible_pairs(fps, threshold, most))
-    sets = stage(sets_of(pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()))
-    label = stage(components(alike(pairs, sets, percent)))
-    parted = _labelled(pairs, label).where("lu <> lv")
-    left = stage(parted.select(F.explode(F.array("lu", "lv")).alias("label")).distinct())
-    with_label = lambda f: f.join(label, "node", "left").select(*f.columns, F.coalesce("component", "node").alias("label"))
-    members = stage(with_label(fps).join(left, "label", "left_semi").drop("label"))
-    low, high = 0, 8
-    while True:
-        found = stage(possible_pairs(with_label(members), threshold, most, low, high))
-        new, more = found.agg(F.count(F.when(F.col("u") != F.col("v"), 1)), F.count(F.when(F.col("u") == F.col("v"), 1))).head()
-        if new:
-            good = stage(alike(found.where("u <> v"), sets, percent))
-            if good.head(1):
-                label = stage(components(good.unionByName(label.select(F.col("node").alias("u"), F.col("component").alias("v")))))
-        if not more:
-            return label
-        low, high = high, high * 8
+    group = stage(components(links(fps, threshold, most, percent)))
+    members = written(group.join(sets_of(group.select("node")), "node"))
+    size = written(members.groupBy("component").agg(F.count(F.lit(1)).alias("many"), F.sum(F.octet_length("hashes")).alias("bytes"))
+                   .withColumn("blocks", F.greatest(F.ceil(F.col("bytes") / UNIT_BYTES), F.ceil(F.col("many") / UNIT_ROWS), F.lit(1)).cast("int")))
+    rows, blocks = size.agg(F.coalesce(F.sum("many"), F.lit(0)), F.coalesce(F.max("blocks"), F.lit(0))).head()
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = attach(members, size, ["component"], "many", rows).withColumn("own", own)
+    good = stage(linked_in_units(dealt.select("component", F.col("own").alias("i"), F.col("own").alias("j"), F.lit(0).alias("side"), "node", F.col("node").alias("label"), "hashes"), percent))
+    label = stage(components(good))
+    if blocks < 2:
+        return label
+    told = written(members.select("component", "node").join(label.select("node", F.col("component").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node")))
+    parts = written(told.groupBy("component").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+                    .join(size.where("blocks > 1"), "component").select("component", "many", "blocks"))
+    meets = F.transform(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: o != F.col("own")),
+                        lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j"), (o < F.col("own")).cast("int").alias("side")))
+    across = attach(told, parts, ["component"], "many", rows).withColumn("own", own).join(members.select("node", "hashes"), "node")
+    more = stage(linked_in_units(across.select("component", "node", "label", "hashes", F.inline(meets)), percent))
+    return stage(components(good.unionByName(more)))
 
 
 def classes(fps: DataFrame, threshold: int, together: int = 0, doc_id: str = "doc_id") -> DataFrame:
@@ -424,7 +415,8 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 8, mo
     """One row of every group of near copies: that of the smallest doc_id.  All columns stay as they are.
 
     Copies have sets of word shingles of a Jaccard likeness of ``percent`` or more; a chain of copies makes one group.  Looked at
-    are the pairs that meet at an anchor for ``threshold`` bits of either fingerprint and differ in at most ``most`` of 128 bits (two fingerprints of the sets).
+    are the pairs that hang together by pairs that meet at an anchor for ``threshold`` bits of either fingerprint and differ in at most ``most`` of 128 bits
+    (two fingerprints of the sets).
     Texts without words are one group.  Rows without doc_id stay only where no row with an id has their
     shingles, one for each set; of rows that repeat the kept doc_id in a group one stays.
     """
